@@ -32,8 +32,15 @@ def ratio(part: ColumnLike, whole: ColumnLike, digits: int, scale: int = 1) -> C
     Pure integer arithmetic: exact, and the same on every engine and partitioning.
     """
     step = 10**digits
+    twice = 2 * scale * step
+    if isinstance(part, str) and isinstance(whole, str):
+        # One SQL text in place of a dozen expression calls.
+        least_one = f"greatest(bigint(`{whole}`), 1L)"
+        return F.expr(
+            f"double((bigint(`{part}`) * {twice}L + {least_one}) div ({least_one} * 2L)) / {float(step)}D"
+        )
     whole = F.greatest(_c(whole).cast("bigint"), F.lit(1).cast("bigint"))
-    doubled = _c(part).cast("bigint") * F.lit(2 * scale * step).cast("bigint") + whole
+    doubled = _c(part).cast("bigint") * F.lit(twice).cast("bigint") + whole
     steps = F.call_function("div", doubled, whole * F.lit(2))
     return steps.cast("double") / F.lit(float(step))
 
@@ -82,15 +89,23 @@ def quota_status(value: ColumnLike, target: ColumnLike, labels: StatusLabels = S
     )
 
 
+def _literal(value) -> str:
+    if isinstance(value, bool) or value is None:
+        return "NULL" if value is None else str(value).lower()
+    if isinstance(value, int):
+        return str(value)
+    if isinstance(value, float):
+        return f"{value!r}D"
+    return "'" + str(value).replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def code_lookup(key: ColumnLike, table: Mapping, default: Column | None = None) -> Column:
     """Small literal table as an expression; NULL (or ``default``) for a missing key."""
     if not table:
-        found = F.lit(None)
+        found = F.lit(None).cast("string")
     else:
-        entries = F.map_from_arrays(
-            F.array(*[F.lit(k) for k in table]), F.array(*[F.lit(v) for v in table.values()])
-        )
-        found = F.try_element_at(entries, _c(key))
+        pairs = ", ".join(f"{_literal(k)}, {_literal(v)}" for k, v in table.items())
+        found = F.try_element_at(F.expr(f"map({pairs})"), _c(key))
     return found if default is None else F.coalesce(found, default)
 
 

@@ -449,7 +449,9 @@ def umt_fill(rows: DataFrame, summary: DataFrame, domain: str, staging_base: str
     )
     staged = summary.select(
         F.col("table_name").alias("__table"),
-        F.struct(F.col("row_count").cast("bigint"), F.col("column_count").cast("int"), "file").alias("__d"),
+        F.struct(
+            F.col("row_count").cast("bigint").alias("row_count"), F.col("column_count").cast("int").alias("column_count"), "file"
+        ).alias("__d"),
     )
     joined = keyed.join(bronze, "__sibling", "left").join(staged, "__table", "left")
     s, d = F.col("__s"), F.when(is_staging, F.col("__d"))
@@ -600,7 +602,7 @@ def kpi_cards(entities: DataFrame, definitions: Mapping[str, tuple[str, str, flo
     )
     k = F.col("prof.kpi")
     card = F.struct(
-        "guid", "qualifiedName", F.coalesce("row_count", F.lit(0)).alias("row_count"),
+        "guid", "qualifiedName", F.col("row_count"),
         k["nilai_capaian"].alias("value"), k["nilai_target"].alias("target"),
         k["status_capaian"].alias("status"), k["satuan"].alias("unit"), k["formula"].alias("formula"),
     )

@@ -57,14 +57,17 @@ def money(column: str) -> Column:
 
 
 class Commerce:
-    """Lazy layers over one data directory. Nothing is read before a result is asked for."""
+    """Lazy layers over one data directory. A table's files are looked up when it is first used."""
 
     def __init__(self, spark: SparkSession, directory: str):
         self.spark = spark
-        self.raw = read_tables(spark, directory)
+        self.directory = directory
+        self._opened: dict[str, DataFrame] = {}
 
     def __getitem__(self, name: str) -> DataFrame:
-        return self.raw[name]
+        if name not in self._opened:
+            self._opened.update(read_tables(self.spark, self.directory, name))
+        return self._opened[name]
 
     # ---- silver ----
 

@@ -16,6 +16,8 @@ SCALE_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.files.maxPartitionBytes": "128MB",
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64MB",
+    # Recording a call site for every column expression triples the time to build a plan.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
