@@ -330,7 +330,7 @@ ORACLE["gold_profile"] = f"""SELECT 'fact_kpi1' AS table_name, 'fact' AS table_t
 
 # ---- projections, duplicates, joins -----------------------------------------------
 
-ORACLE["project_first_columns"] = "SELECT c_custkey, c_nationkey, n_name FROM customer JOIN nation ON n_regionkey = c_nationkey"
+ORACLE["project_first_columns"] = "SELECT c_custkey, c_nationkey, n_name FROM customer JOIN nation ON n_nationkey = c_nationkey"
 ORACLE["default_column"] = "SELECT 'Aktif' AS status, count(*) AS n FROM supplier"
 ORACLE["sample_capped"] = "SELECT true AS within_cap, true AS no_repeat"
 ORACLE["dedup_by_key"] = """SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber
@@ -552,22 +552,22 @@ ORACLE["insight_long"] = f"""SELECT 'opportunity' AS section, event_type AS enti
 S = assets.STORE
 _terms = " ".join(f"WHEN '{k}' THEN [{', '.join(lit(t) for t in v)}]" for k, v in assets.TERMS_BY_LANG.items())
 # One row per document: the attributes an asset has, without going through JSON.
-ASSETS = f"""SELECT *, coalesce(at, 'other') || '.' || tbl || '@{S}' AS qn, CASE WHEN doc_id % 7 <> 0 THEN at END AS declared,
-    coalesce(CASE WHEN doc_id % 7 <> 0 THEN at END, CASE WHEN at IS NULL THEN 'unknown' ELSE at END) AS at_layer,
-    CASE WHEN at = 'staging' AND doc_id % 3 = 0 THEN 'bronze' ELSE coalesce(at, 'other') END AS tagged,
+ASSETS = f"""SELECT *, coalesce(tier, 'other') || '.' || tbl || '@{S}' AS qn, CASE WHEN doc_id % 7 <> 0 THEN tier END AS declared,
+    coalesce(CASE WHEN doc_id % 7 <> 0 THEN tier END, CASE WHEN tier IS NULL THEN 'unknown' ELSE tier END) AS at_layer,
+    CASE WHEN tier = 'staging' AND doc_id % 3 = 0 THEN 'bronze' ELSE coalesce(tier, 'other') END AS tagged,
     CASE WHEN doc_id % 13 = 0 THEN -1 WHEN doc_id % 17 = 0 THEN NULL ELSE n_chars END AS row_count_,
     CASE WHEN doc_id % 23 = 0 OR doc_id % 5 = 0 THEN 0 ELSE 2 END AS n_schema,
     CASE WHEN lang <> 'es' THEN lang END AS owner_, CASE lang {_terms} ELSE [] END AS terms,
-    CASE WHEN doc_id % 29 <> 0 THEN stamp END AS ingested, CASE WHEN at IN ('silver','gold') AND doc_id % 4 <> 0 THEN stamp END AS enriched,
-    CASE WHEN doc_id % 11 = 0 THEN '' ELSE concat_ws('/', 'warehouse', at, tbl) END AS loc,
+    CASE WHEN doc_id % 29 <> 0 THEN stamp END AS ingested, CASE WHEN tier IN ('silver','gold') AND doc_id % 4 <> 0 THEN stamp END AS enriched,
+    CASE WHEN doc_id % 11 = 0 THEN '' ELSE concat_ws('/', 'warehouse', tier, tbl) END AS loc,
     CASE WHEN toxic = 1 THEN '' ELSE 'Document in ' || lang END AS descr,
-    CASE WHEN at = 'gold' AND role = 'fact' AND quality = 1 THEN 'KPI-' || (doc_id % 8 + 1) END AS kpi_code,
-    CASE WHEN at = 'gold' AND doc_id % 5 <> 1 THEN role END AS star_role FROM (
-    SELECT *, CASE WHEN at IN ('staging','bronze') THEN 'raw_' || doc_id WHEN at = 'silver' THEN 'silver_' || doc_id
+    CASE WHEN tier = 'gold' AND role = 'fact' AND quality = 1 THEN 'KPI-' || (doc_id % 8 + 1) END AS kpi_code,
+    CASE WHEN tier = 'gold' AND doc_id % 5 <> 1 THEN role END AS star_role FROM (
+    SELECT *, CASE WHEN tier IN ('staging','bronze') THEN 'raw_' || doc_id WHEN tier = 'silver' THEN 'silver_' || doc_id
       WHEN role = 'dimension' THEN 'dim_' || doc_id WHEN role = 'fact' THEN 'fact_kpi' || (doc_id % 8 + 1) || '_' || doc_id ELSE 'misc_' || doc_id END AS tbl,
       strftime(DATE '2024-06-30' - CAST((doc_id * 7919) % 400 AS INTEGER), '%Y-%m-%d') || 'T00:00:00Z' AS stamp FROM (
-    SELECT *, CASE WHEN at = 'gold' THEN CASE WHEN doc_id % 3 = 0 THEN 'dimension' ELSE 'fact' END END AS role FROM (
-    SELECT doc_id, lang, source, n_chars, quality, toxic, CASE CAST(substr(source, 4) AS INTEGER) % 5 WHEN 0 THEN 'staging' WHEN 1 THEN 'bronze' WHEN 2 THEN 'silver' WHEN 3 THEN 'gold' END AS at
+    SELECT *, CASE WHEN tier = 'gold' THEN CASE WHEN doc_id % 3 = 0 THEN 'dimension' ELSE 'fact' END END AS role FROM (
+    SELECT doc_id, lang, source, n_chars, quality, toxic, CASE CAST(substr(source, 4) AS INTEGER) % 5 WHEN 0 THEN 'staging' WHEN 1 THEN 'bronze' WHEN 2 THEN 'silver' WHEN 3 THEN 'gold' END AS tier
     FROM documents LEFT JOIN labels USING (doc_id))))"""
 TAGS = """list_filter([upper(tagged[1]) || tagged[2:] || '_Layer', CASE WHEN tagged = 'silver' AND quality = 1 THEN 'Quality_Pass' END,
     CASE WHEN tagged = 'silver' AND quality = 0 THEN 'Quality_Quarantine' END, CASE WHEN tagged IN ('bronze','silver') AND toxic = 1 THEN 'PII' END,
@@ -602,7 +602,7 @@ ORACLE["catalog_entities"] = " UNION ALL ".join([
     record("dim_nation", "nation", ["x"] * 4, "gold", "dimension", "[]", "Gold_Layer|Star_Schema_Dimension", "'Gold table: dim_nation'", LAYER_OWNER["gold"], "NULL"),
     record("fact_kpi1", f"({KPI1})", ["x"] * 10, "gold", "fact", "[]", FACT_TAGS, lit(f"KPI-1: {KPI_NAMES['KPI-1']}"), LAYER_OWNER["gold"], "'KPI-1'"),
 ])
-ORACLE["umt"] = f"""SELECT qn AS asset_qualified_name, at_layer AS layer, row_count_ AS row_count, CASE WHEN at = 'staging' THEN 'csv' ELSE 'parquet' END AS format,
+ORACLE["umt"] = f"""SELECT qn AS asset_qualified_name, at_layer AS layer, row_count_ AS row_count, CASE WHEN tier = 'staging' THEN 'csv' ELSE 'parquet' END AS format,
     CAST(n_schema AS INTEGER) AS n_schema, owner_ AS owner, CAST(len(terms) AS INTEGER) AS n_terms, array_to_string(tags, '|') AS classifications,
     coalesce(enriched, ingested) AS last_enriched_at FROM ({TAGGED})"""
 _owner, _refresh = lookup("at_layer", LAYER_OWNER), lookup("at_layer", LAYER_REFRESH)
@@ -610,11 +610,11 @@ SIBLING = "at_layer = 'staging' OR (at_layer = 'silver' AND tbl LIKE 'silver\\_%
 ORACLE["umt_filled"] = f"""SELECT qn AS asset_qualified_name, at_layer AS layer,
     coalesce(row_count_, CASE WHEN at_layer = 'staging' THEN n_chars + 1 WHEN {SIBLING} THEN n_chars + 2 END) AS row_count,
     CAST(coalesce(CASE WHEN doc_id % 17 <> 0 THEN 2 END, CASE WHEN at_layer = 'staging' THEN 5 WHEN {SIBLING} THEN 7 END) AS INTEGER) AS column_count,
-    CASE WHEN at = 'staging' THEN 'csv' ELSE 'parquet' END AS format,
+    CASE WHEN tier = 'staging' THEN 'csv' ELSE 'parquet' END AS format,
     CASE WHEN trim(loc) <> '' THEN loc WHEN at_layer = 'staging' THEN 'staging/' || tbl || '.csv' END AS location,
     CAST(CASE WHEN n_schema > 0 THEN n_schema WHEN {SIBLING} THEN 1 ELSE n_schema END AS INTEGER) AS n_schema,
     CASE WHEN toxic = 1 THEN 'text' WHEN {SIBLING} THEN 'a' ELSE '' END AS pii_columns, coalesce(owner_, {_owner}) AS owner,
-    'Commerce Lakehouse' AS domain, {_refresh} AS update_frequency FROM ({ASSETS}) WHERE at IS DISTINCT FROM 'bronze'
+    'Commerce Lakehouse' AS domain, {_refresh} AS update_frequency FROM ({ASSETS}) WHERE tier IS DISTINCT FROM 'bronze'
     UNION ALL SELECT 'bronze.raw_' || doc_id || '@shadow', 'bronze', n_chars + 2, 7, 'orc', NULL, 1, 'a', {lit(LAYER_OWNER['bronze'])}, 'Commerce Lakehouse', {lit(LAYER_REFRESH['bronze'])} FROM documents"""
 ORACLE["catalog_normalise"] = """SELECT doc_id, CAST(CASE WHEN doc_id % 2 = 1 THEN n_chars + 1 ELSE n_chars END AS VARCHAR) AS row_count, source AS qualified, lang,
     CASE WHEN doc_id % 2 = 1 THEN 5 ELSE 5 END AS n_attributes FROM documents"""
@@ -639,9 +639,9 @@ BASE = f"({BASE})"
 AGE = f"(epoch(TIMESTAMP '{assets.AS_OF}') - epoch(CAST(left(coalesce(enriched, ingested), 10) AS TIMESTAMP))) / 86400"
 QUALITY = f"""SELECT qn AS qualifiedName, lay AS eval_layer,
     CASE lay WHEN 'bronze' THEN {even(f'{BASE} * 100.0::DOUBLE / 9')}
-      WHEN 'silver' THEN {even(f"({BASE} + {b('owner_ IS NOT NULL')} + {b('len(terms) > 0')} + {b('at = ' + lit('silver') + ' AND quality IS NOT NULL')} + {b('at = ' + lit('silver') + ' AND toxic IS NOT NULL')}) * 100.0::DOUBLE / 13")}
-      ELSE {even(f"({BASE} + {b('star_role IS NOT NULL OR kpi_code IS NOT NULL')} + {b('at = ' + lit('gold') + ' AND quality IS NOT NULL')} + {b('enriched IS NOT NULL')}) * 100.0::DOUBLE / 12")} END AS completeness,
-    CASE WHEN n_schema = 0 THEN 0 WHEN row_count_ < 0 THEN 0 WHEN lay = 'bronze' THEN 95 WHEN at = 'silver' AND quality = 1 THEN 87 WHEN at = 'silver' AND quality = 0 THEN 70
+      WHEN 'silver' THEN {even(f"({BASE} + {b('owner_ IS NOT NULL')} + {b('len(terms) > 0')} + {b('tier = ' + lit('silver') + ' AND quality IS NOT NULL')} + {b('tier = ' + lit('silver') + ' AND toxic IS NOT NULL')}) * 100.0::DOUBLE / 13")}
+      ELSE {even(f"({BASE} + {b('star_role IS NOT NULL OR kpi_code IS NOT NULL')} + {b('tier = ' + lit('gold') + ' AND quality IS NOT NULL')} + {b('enriched IS NOT NULL')}) * 100.0::DOUBLE / 12")} END AS completeness,
+    CASE WHEN n_schema = 0 THEN 0 WHEN row_count_ < 0 THEN 0 WHEN lay = 'bronze' THEN 95 WHEN tier = 'silver' AND quality = 1 THEN 87 WHEN tier = 'silver' AND quality = 0 THEN 70
       WHEN lay = 'silver' THEN 85 WHEN star_role IS NOT NULL OR kpi_code IS NOT NULL THEN 92 ELSE 75 END AS accuracy,
     CASE WHEN coalesce(enriched, ingested) IS NULL THEN 0 WHEN {AGE} <= 7 THEN 100 WHEN {AGE} <= 30 THEN 90 WHEN {AGE} <= 90 THEN 75 WHEN {AGE} <= 180 THEN 60 ELSE 40 END AS timeliness,
     CAST(({b('declared = lay')} + {b('at_layer = lay')} + {b("starts_with(qn, lay || '.')")} + 1 + {b("contains(lower(loc), lay)")}) * 20 AS INTEGER) AS consistency
@@ -696,8 +696,8 @@ CARDS = ", ".join(f"({lit(c)}, {lit(n)}, {lit(f)}, CAST({g} AS DOUBLE))" for c,
 ORACLE["kpi_cards"] = f"""SELECT code, kpi_name, fact, qn IS NOT NULL AS registered, coalesce(row_count_, 0) AS row_count, CASE WHEN kpi_code IS NOT NULL THEN n_chars / 100.0::DOUBLE END AS value,
     CASE WHEN kpi_code IS NOT NULL AND doc_id % 2 = 0 THEN 50.0::DOUBLE ELSE goal END AS target, NULL::VARCHAR AS status, CASE WHEN code = 'KPI-5' THEN 'Rasio' ELSE '%' END AS unit,
     qn AS qualifiedName, CASE WHEN qn IS NOT NULL THEN md5(CAST(doc_id AS VARCHAR)) END AS guid FROM (VALUES {CARDS}) d(code, kpi_name, fact, goal) LEFT JOIN (
-    SELECT *, 'fact_kpi' || (doc_id % 8 + 1) AS f, row_number() OVER (PARTITION BY doc_id % 8 ORDER BY qn) AS rn FROM ({ASSETS}) WHERE at = 'gold' AND role = 'fact') ON f = fact AND rn = 1"""
-ORACLE["star_counts"] = f"""SELECT count(*) AS gold_count, {count_if("star_role = 'dimension'")} AS dimension_count, {count_if("star_role = 'fact'")} AS fact_count FROM ({ASSETS}) WHERE at = 'gold'"""
+    SELECT *, 'fact_kpi' || (doc_id % 8 + 1) AS f, row_number() OVER (PARTITION BY doc_id % 8 ORDER BY qn) AS rn FROM ({ASSETS}) WHERE tier = 'gold' AND role = 'fact') ON f = fact AND rn = 1"""
+ORACLE["star_counts"] = f"""SELECT count(*) AS gold_count, {count_if("star_role = 'dimension'")} AS dimension_count, {count_if("star_role = 'fact'")} AS fact_count FROM ({ASSETS}) WHERE tier = 'gold'"""
 _r, _n = f"'staging.region_' || n_regionkey || '@{S}'", f"'bronze.nation_' || n_nationkey || '@{S}'"
 _c, _o = f"'silver.customer_' || c_custkey || '@{S}'", f"'gold.order_' || o_orderkey || '@{S}'"
 NC, NCO = "nation JOIN customer ON c_nationkey = n_nationkey", "nation JOIN customer ON c_nationkey = n_nationkey JOIN orders ON o_custkey = c_custkey"
