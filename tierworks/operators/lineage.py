@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tierworks.functions import code_lookup, percent
 from tierworks.functions.names import layer_of, qualified_name
+from tierworks.operators.profile import union_all
 from tierworks.session import cut_lineage
 
 # Source names that are no dataset.
@@ -66,12 +67,13 @@ def completeness(entities: DataFrame, links: DataFrame, layers: tuple[str, ...]
     )
 
 
-def trace(links: DataFrame, start: DataFrame, depth: int, direction: str = "both", cut_every: int = 3) -> DataFrame:
+def trace(links: DataFrame, start: DataFrame, depth: int, direction: str = "both", cut_every: int = 4) -> DataFrame:
     """Assets reachable from the start assets in at most ``depth`` steps: (start, direction, node, depth).
 
-    ``links`` is (src, dst); ``start`` has a column ``node``. Each level extends only the
-    pairs found new on the level before, and keeps the least depth of a pair, so cycles
-    end. Long walks write their state to the shared folder every few levels.
+    ``links`` is (src, dst); ``start`` has a column ``node``. Every level extends the
+    distinct pairs of the level before, and the least depth of a pair is kept at the
+    end, so cycles cost no more than the depth allows. Long walks write a level to the
+    shared folder now and then.
     """
     if direction not in ("up", "down", "both"):
         raise ValueError(f"direction must be 'up', 'down' or 'both', not {direction!r}")
@@ -83,17 +85,17 @@ def trace(links: DataFrame, start: DataFrame, depth: int, direction: str = "both
 
 def _walk(links: DataFrame, start: DataFrame, depth: int, direction: str, cut_every: int) -> DataFrame:
     here, there = ("src", "dst") if direction == "down" else ("dst", "src")
-    step = links.select(F.col(here).alias("node"), F.col(there).alias("next")).distinct()
+    step = links.select(F.col(here).alias("node"), F.col(there).alias("next"))
     frontier = start.select(F.col("node").alias("start"), "node").distinct()
-    seen = frontier.withColumn("depth", F.lit(0))
+    levels = []
     for level in range(1, depth + 1):
-        reached = frontier.join(step, "node").select("start", F.col("next").alias("node")).distinct()
-        # A pair met on an earlier level is not walked again.
-        frontier = reached.join(seen.select("start", "node"), ["start", "node"], "left_anti")
+        frontier = frontier.join(step, "node").select("start", F.col("next").alias("node")).distinct()
         if level % cut_every == 0 and level < depth:
             frontier = cut_lineage(frontier)
-        seen = seen.unionByName(frontier.withColumn("depth", F.lit(level)))
-    return seen.filter(F.col("depth") > 0).select("start", F.lit(direction).alias("direction"), "node", "depth")
+        levels.append(frontier.withColumn("depth", F.lit(level)))
+    reached = union_all(levels).filter(F.col("node") != F.col("start"))
+    least = reached.groupBy("start", "node").agg(F.min("depth").alias("depth"))
+    return least.select("start", F.lit(direction).alias("direction"), "node", "depth")
 
 
 def node_label(pipeline: Column, name: Column, is_process: Column) -> Column:
