@@ -481,24 +481,25 @@ def umt_fill(rows: DataFrame, summary: DataFrame, domain: str, staging_base: str
 
 
 def counts(entities: DataFrame, processes: DataFrame) -> DataFrame:
-    """Entities by type, by layer and by tag, and processes by name, as (kind, label, n)."""
-    layers = entities.groupBy(layer_of(F.col("qualifiedName"), F.col("layer")).alias("label")).agg(F.count(F.lit(1)).alias("n"))
-    by_tag = entities.select(F.explode("classifications").alias("label")).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-    by_pipeline = processes.groupBy(F.col("pipeline_name").alias("label")).agg(F.count(F.lit(1)).alias("n"))
+    """Entities by type, by layer and by tag, and processes by name, as (kind, label, n).
 
-    def total(df: DataFrame, label: str) -> DataFrame:
-        return df.agg(F.count(F.lit(1)).alias("n")).select(F.lit("type").alias("kind"), F.lit(label).alias("label"), "n")
-
-    def kind(df: DataFrame, name: str) -> DataFrame:
-        return df.select(F.lit(name).alias("kind"), "label", "n")
-
-    return (
-        total(entities, "lakehouse_dataset")
-        .unionByName(total(processes, "lakehouse_etl_process"))
-        .unionByName(kind(layers, "layer"))
-        .unionByName(kind(by_tag, "classification"))
-        .unionByName(kind(by_pipeline, "process"))
+    Each row is counted under all its labels at once, so both tables are read once.
+    """
+    def label(kind: str, value: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), value.alias("label"))
+
+    of_entity = F.concat(
+        F.array(
+            label("type", F.lit("lakehouse_dataset")),
+            label("layer", layer_of(F.col("qualifiedName"), F.col("layer"))),
+        ),
+        F.transform(F.coalesce("classifications", F.array().cast("array<string>")), lambda t: label("classification", t)),
+    )
+    of_process = F.array(
+        label("type", F.lit("lakehouse_etl_process")), label("process", F.col("pipeline_name"))
     )
+    labels = entities.select(F.explode(of_entity).alias("l")).unionByName(processes.select(F.explode(of_process).alias("l")))
+    return labels.groupBy("l.kind", "l.label").agg(F.count(F.lit(1)).alias("n"))
 
 
 def search_text() -> Column:

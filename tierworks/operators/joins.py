@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tierworks.session import cut_lineage
+
 
 def broadcast_limit(df: DataFrame) -> int:
     text = df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold")
@@ -33,6 +35,22 @@ def lookup(df: DataFrame, ref: DataFrame, key: str | Sequence[str], how: str = "
     return df.join(ref, [key] if isinstance(key, str) else list(key), how)
 
 
+MOST_GROUP_ROWS = 100_000
+
+
+def join_group_stats(df: DataFrame, stats: DataFrame, on: Sequence[str], most_rows: int = MOST_GROUP_ROWS) -> DataFrame:
+    """Join per-group statistics of a large table back to its rows.
+
+    The planner cannot know how few groups there are and would shuffle every row by
+    the group, a handful of keys at worst. So the statistics are computed first and
+    kept in the shared folder, and broadcast if they have no more than ``most_rows``
+    rows; otherwise the rows are spread over many groups and a plain join is even.
+    """
+    known = cut_lineage(stats)
+    small = known.limit(most_rows + 1).count() <= most_rows
+    return df.join(F.broadcast(known) if small else known, list(on), "left")
+
+
 def sum_by_attribute(
     df: DataFrame,
     ref: DataFrame,

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tierworks.functions import half_up
-from tierworks.operators.joins import lookup
+from tierworks.operators.joins import join_group_stats, lookup
 from tierworks.operators.profile import union_all
 
 
@@ -226,14 +226,14 @@ def opportunity(df: DataFrame, unit: str, columns: Sequence[str], k: int = 3, se
     placed = model.transform(scaled)
     quality = ClusteringEvaluator(featuresCol="features", predictionCol="cluster").evaluate(placed)
     gap = F.aggregate(vector_to_array("features"), F.lit(0.0), lambda acc, x: acc + (1 - x) * (1 - x))
-    score = F.round(100 * (1 - F.sqrt(gap / len(columns))), 2)
+    score = half_up(100 * (1 - F.sqrt(gap / len(columns))), 2)
     return placed.select(unit, *columns, "cluster", score.alias("opportunity_score")), float(quality)
 
 
 def anomaly_z(df: DataFrame, metric: str, value: str, limit: float = 3.0) -> DataFrame:
     """Rows with their z-score within the metric and a flag for |z| above the limit.
 
-    The statistics are one row per metric, joined back to the rows.
+    The statistics are one row per metric, computed first and joined back to the rows.
     """
     v = F.col(value).cast("decimal(18,4)")
     stats = df.groupBy(metric).agg(
@@ -245,7 +245,7 @@ def anomaly_z(df: DataFrame, metric: str, value: str, limit: float = 3.0) -> Dat
     spread = F.sqrt(F.greatest((F.col("__q") - F.col("__s") * mean) / F.col("__n"), F.lit(0.0)))
     z = F.when(spread > 0, (F.col(value) - mean) / spread).otherwise(0.0)
     return (
-        lookup(df, stats, metric)
+        join_group_stats(df, stats, [metric])
         .withColumn("z", half_up(z, 4))
         .withColumn("is_anomaly", (F.abs("z") > limit).cast("int"))
         .drop("__n", "__s", "__q")

@@ -547,6 +547,12 @@ ORACLE["insight_long"] = f"""SELECT 'opportunity' AS section, event_type AS enti
     UNION ALL SELECT 'anomaly', event_type, 'total', n FROM {TYPES} UNION ALL SELECT 'anomaly', event_type, 'anomaly_count', anomaly_count FROM ({RATE})
     UNION ALL SELECT 'anomaly', event_type, 'rate', anomaly_rate_pct FROM ({RATE}) UNION ALL SELECT 'risk_score', CAST(nationkey AS VARCHAR), 'value', pct_met FROM ({KPI4})"""
 
+_vec = {"kpi1": (KPI1, "pct_settled"), "kpi3": (KPI3, "pct_met"), "kpi4": (KPI4, "pct_met"), "kpi7": (KPI7, "pct_met")}
+_means = " JOIN ".join(f"(SELECT nationkey, {mean(v)} AS {n} FROM ({f}) GROUP BY 1)" + ("" if n == "kpi1" else " USING (nationkey)") for n, (f, v) in _vec.items())
+_scaled = " + ".join(f"power(1 - CASE WHEN hi_{n} > lo_{n} THEN ({n} - lo_{n}) / (hi_{n} - lo_{n}) ELSE 0.5 END, 2)" for n in _vec)
+ORACLE["opportunity_scores"] = f"""SELECT nationkey, {', '.join(_vec)}, {rnd(f'100 * (1 - sqrt(({_scaled}) / {len(_vec)}))', 2)} AS opportunity_score
+    FROM ({'SELECT * FROM ' + _means}), (SELECT {', '.join(f'min({n}) AS lo_{n}, max({n}) AS hi_{n}' for n in _vec)} FROM ({'SELECT * FROM ' + _means}))"""
+
 # ---- catalog ----------------------------------------------------------------------
 
 S = assets.STORE

@@ -856,17 +856,26 @@ def v_risk(c):
     return lookup(per, c.dim_nation(), "nationkey").select("nationkey", "nation", "region", "risk_score").orderBy(F.desc("risk_score"), "nationkey")
 
 
-@query
-def v_opportunity(c):
-    """Nations clustered by their KPI values and scored."""
+def _opportunity(c: Commerce) -> DataFrame:
     per = {
         "kpi1": (c.fact_kpi1(), "pct_settled"), "kpi3": (c.fact_kpi3(), "pct_met"),
         "kpi4": (c.fact_kpi4(), "pct_met"), "kpi7": (c.fact_kpi7(), "pct_met"),
     }
     means = [f.groupBy("nationkey").agg(mean_of(v).alias(n)) for n, (f, v) in per.items()]
     vectors = reduce(lambda a, b: a.join(b, "nationkey"), means)
-    scored, _ = predict.opportunity(vectors, "nationkey", list(per))
-    rows = lookup(scored, c.dim_nation(), "nationkey", "inner")
+    return predict.opportunity(vectors, "nationkey", list(per))[0]
+
+
+@query
+def opportunity_scores(c):
+    """The score alone: distance of the scaled KPI vector from the best corner."""
+    return _opportunity(c).drop("cluster")
+
+
+@query
+def v_opportunity(c):
+    """Nations clustered by their KPI values and scored."""
+    rows = lookup(_opportunity(c), c.dim_nation(), "nationkey", "inner")
     return rows.select("nationkey", "nation", "region", "cluster", "opportunity_score").orderBy(F.desc("opportunity_score"), "nationkey")
 
 

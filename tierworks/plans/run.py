@@ -12,13 +12,19 @@ from tierworks.operators import ledger
 from tierworks.sources import write_layer
 
 
+class RejectedSource(RuntimeError):
+    """The sources of a table are too incomplete to build it."""
+
+
 @dataclass(frozen=True)
 class Spec:
-    """A table to build: its name, what builds it, its sources and the steps applied."""
+    """A table to build: its name, what builds it, its sources, the steps applied, and the one-row quality
+    score of the sources that decides whether it is written."""
 
     name: str
     build: Callable[[SparkSession], DataFrame]
     sources: Sequence[str] = ()
+    score: DataFrame | None = None
     transformations: Sequence[str] = field(default_factory=tuple)
     partition_by: Sequence[str] = ()
 
@@ -44,6 +50,9 @@ def run_layer(
         started = ledger.now()
         rows, error = None, None
         try:
+            verdict = spec.score.select("quality_score", "status").first() if spec.score is not None else None
+            if verdict is not None and verdict["status"] == "REJECT":
+                raise RejectedSource(f"REJECT: quality score {verdict['quality_score']}")
             full = write_layer(
                 spec.build(spark), layer, spec.name + suffix, scenario, list(spec.partition_by) or None, location
             )

@@ -77,5 +77,5 @@ def append_batch(df: DataFrame, layer: str, table: str, scenario: str | None = N
     """Add a batch to an existing layer table, columns matched by name."""
     full = _full_name(layer, table, scenario)
     target = read_layer(df.sparkSession, layer, table, scenario)
-    df.select(*target.columns).write.mode("append").format("parquet").saveAsTable(full)
+    df.select(*target.columns).write.insertInto(full)
     return full
