@@ -446,6 +446,15 @@ def umt_fill(rows: DataFrame, summary: DataFrame, domain: str, staging_base: str
         keyed.filter(F.col("layer") == "bronze")
         .groupBy(F.col("__table").alias("__sibling"))
         .agg(F.max_by(t, F.col("asset_qualified_name")).alias("__s"))
+        .withColumn("__has_sibling", F.lit(True))
+    )
+    # Rows without a sibling (all gold ones, say) keep keys of their own that match nothing:
+    # as NULLs they would all meet in one partition.
+    keyed = keyed.withColumns(
+        {
+            "__has_sibling": F.col("__sibling").isNotNull(),
+            "__sibling": F.coalesce("__sibling", "asset_qualified_name"),
+        }
     )
     staged = summary.select(
         F.col("table_name").alias("__table"),
@@ -453,7 +462,7 @@ def umt_fill(rows: DataFrame, summary: DataFrame, domain: str, staging_base: str
             F.col("row_count").cast("bigint").alias("row_count"), F.col("column_count").cast("int").alias("column_count"), "file"
         ).alias("__d"),
     )
-    joined = keyed.join(bronze, "__sibling", "left").join(staged, "__table", "left")
+    joined = keyed.join(bronze, ["__has_sibling", "__sibling"], "left").join(staged, "__table", "left")
     s, d = F.col("__s"), F.when(is_staging, F.col("__d"))
     schema = F.coalesce(F.when(F.size(t["schema"]) > 0, t["schema"]), F.when(F.size(s["schema"]) > 0, s["schema"]), t["schema"])
     technical = F.struct(

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tierworks.functions import half_up
 from tierworks.operators.joins import join_group_stats, lookup
 from tierworks.operators.profile import union_all
+from tierworks.session import cut_lineage
 
 
 def preflight(spark: SparkSession, tables: Sequence[str]) -> DataFrame:
@@ -168,7 +169,10 @@ def _vector(df: DataFrame, columns: Sequence[str], out: str = "features") -> Dat
 
 
 def train_risk(df: DataFrame, columns: Sequence[str], label: str, trees: int = 50, seed: int = 42) -> RandomForestClassificationModel:
-    """Random forest over the training rows (all rows if none are marked)."""
+    """Random forest over the training rows (all rows if none are marked).
+
+    The forest reads its rows several times: give it a stored feature table.
+    """
     rows = df.filter(F.col(label).isNotNull())
     if "is_train" in df.columns:
         rows = rows.filter("is_train")
@@ -218,9 +222,11 @@ def confusion(scored: DataFrame, label: str) -> DataFrame:
 def opportunity(df: DataFrame, unit: str, columns: Sequence[str], k: int = 3, seed: int = 42) -> tuple[DataFrame, float]:
     """Min-max scaled KPI vectors clustered by k-means; score 100 at the best corner, 0 at the worst.
 
-    Returns the scored units and the silhouette of the clustering.
+    Returns the scored units and the silhouette of the clustering. Scaling, clustering
+    and the silhouette each pass over the vectors, so these are computed once and kept
+    in the shared folder.
     """
-    vectors = _vector(df.select(unit, *columns).dropna(), columns, "raw")
+    vectors = _vector(cut_lineage(df.select(unit, *columns).dropna()), columns, "raw")
     scaled = MinMaxScaler(inputCol="raw", outputCol="features").fit(vectors).transform(vectors)
     model = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster").fit(scaled)
     placed = model.transform(scaled)

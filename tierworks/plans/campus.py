@@ -5,7 +5,7 @@ All raw columns are text and are typed here, with NULL for what cannot be read.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tierworks.functions import as_bool, year_of
 from tierworks.operators import gold, kpi, olap, quality, silver
 from tierworks.operators.joins import lookup, one_per_level
+from tierworks.operators.profile import union_all
 from tierworks.operators.shape import ensure_column, first_of_duplicate_columns
 from tierworks.plans.run import Spec, run_layer
 from tierworks.sources import layer_name, literal_table, read_layer
@@ -82,6 +83,16 @@ def _int(column: str) -> Column:
     return F.col(column).try_cast("int")
 
 
+SILVER_SOURCES = {
+    "silver_mahasiswa": ["raw_mahasiswa"],
+    "silver_lulusan": ["raw_lulusan"],
+    "silver_dosen": ["raw_dosen"],
+    "silver_penelitian_pkm": ["raw_penelitian", "raw_pengabdian"],
+    "silver_kerjasama_aktif": ["raw_kerjasama"],
+    "silver_akreditasi_aktif": ["raw_akreditasi"],
+}
+
+
 class Campus:
     """Layers over the raw tables (name -> all-text DataFrame).
 
@@ -89,7 +100,8 @@ class Campus:
     chooses what the achievement is in a year without a target (see
     ``functions.achievement``). ``courses`` (prodi_id, tahun, is_case_method,
     is_team_based; one row per course) feeds the KPI on teaching methods; without it
-    the recap falls back to its default line.
+    the recap falls back to its default line. ``stored`` holds cleaned tables that are
+    already written; those are read in place of being built again.
     """
 
     def __init__(
@@ -99,9 +111,10 @@ class Campus:
         as_of: str,
         unknown_target: str = "null",
         courses: DataFrame | None = None,
+        stored: Callable[[str], DataFrame] | None = None,
     ):
         self.spark, self.bronze, self.as_of = spark, bronze, as_of
-        self.unknown_target, self.courses = unknown_target, courses
+        self.unknown_target, self.courses, self.stored = unknown_target, courses, stored
 
     def _target(self, year: str, code: str) -> Column:
         return kpi.target_for(year, TARGETS[code])
@@ -111,22 +124,26 @@ class Campus:
 
     # ---- silver ----
 
-    def silver(self) -> dict[str, tuple[DataFrame, DataFrame]]:
-        """Cleaned tables, each with the one-row quality score of its sources."""
-        def score(*tables: str) -> DataFrame:
-            parts = [quality.score(self.bronze[t], t) for t in tables]
-            if len(parts) == 1:
-                return parts[0]
-            return quality.combine(parts[0].unionByName(parts[1]), " + ".join(tables))
-
-        return {
-            "silver_mahasiswa": (self.students(), score("raw_mahasiswa")),
-            "silver_lulusan": (self.graduates(), score("raw_lulusan")),
-            "silver_dosen": (self.lecturers(), score("raw_dosen")),
-            "silver_penelitian_pkm": (self.research(), score("raw_penelitian", "raw_pengabdian")),
-            "silver_kerjasama_aktif": (self.partnerships(), score("raw_kerjasama")),
-            "silver_akreditasi_aktif": (self.accreditations(), score("raw_akreditasi")),
+    def cleaned(self, name: str) -> DataFrame:
+        """A silver table: the written one where there is one, else built from the raw tables."""
+        if self.stored is not None:
+            return self.stored(name)
+        build = {
+            "silver_mahasiswa": self.students,
+            "silver_lulusan": self.graduates,
+            "silver_dosen": self.lecturers,
+            "silver_penelitian_pkm": self.research,
+            "silver_kerjasama_aktif": self.partnerships,
+            "silver_akreditasi_aktif": self.accreditations,
         }
+        return build[name]()
+
+    def source_score(self, name: str) -> DataFrame:
+        """One-row quality score of the raw tables behind a silver table."""
+        parts = [quality.score(self.bronze[t], t) for t in SILVER_SOURCES[name]]
+        if len(parts) == 1:
+            return parts[0]
+        return quality.combine(union_all(parts), " + ".join(SILVER_SOURCES[name]))
 
     def _programmes(self) -> DataFrame:
         """Older programme files lack the faculty columns."""
@@ -200,25 +217,26 @@ class Campus:
 
     # ---- dimensions ----
 
-    def dimensions(self) -> dict[str, DataFrame]:
+    def dimension_builders(self) -> dict[str, Callable[[], DataFrame]]:
+        lecturer = [
+            "dosen_id", "nama", "prodi_id", "status_asn", "pendidikan_terakhir", "jabatan_fungsional",
+            "is_s3", "is_serdos", "is_praktisi",
+        ]
+        student = ["mahasiswa_id", "prodi_id", "angkatan", "jalur_masuk", "asal_provinsi", "jenis_kelamin"]
+        topics = "topik_id bigint, nama_topik string, deskripsi string"
         return {
-            "dim_waktu": gold.dim_calendar(self.spark, *CALENDAR_YEARS),
-            "dim_prodi": self.dim_programme(),
-            "dim_dosen": gold.dim_project(
-                self.lecturers(), "dosen_id",
-                ["dosen_id", "nama", "prodi_id", "status_asn", "pendidikan_terakhir", "jabatan_fungsional",
-                 "is_s3", "is_serdos", "is_praktisi"],
-                {"pendidikan_terakhir": "pendidikan"},
-            ),
-            "dim_mahasiswa": gold.dim_project(
-                self.students(), "mahasiswa_id",
-                ["mahasiswa_id", "prodi_id", "angkatan", "jalur_masuk", "asal_provinsi", "jenis_kelamin"],
-            ),
-            "dim_topik_penelitian": literal_table(
-                self.spark, TOPICS, "topik_id bigint, nama_topik string, deskripsi string"
+            "dim_waktu": lambda: gold.dim_calendar(self.spark, *CALENDAR_YEARS),
+            "dim_prodi": self.dim_programme,
+            "dim_dosen": lambda: gold.dim_project(
+                self.cleaned("silver_dosen"), "dosen_id", lecturer, {"pendidikan_terakhir": "pendidikan"}
             ),
+            "dim_mahasiswa": lambda: gold.dim_project(self.cleaned("silver_mahasiswa"), "mahasiswa_id", student),
+            "dim_topik_penelitian": lambda: literal_table(self.spark, TOPICS, topics),
         }
 
+    def dimensions(self) -> dict[str, DataFrame]:
+        return {name: build() for name, build in self.dimension_builders().items()}
+
     def dim_programme(self) -> DataFrame:
         same = ("prodi_id", "nama_prodi", "jenjang", "fakultas_id", "nama_fakultas", "tahun_berdiri", "status")
         return gold.dim_from(
@@ -228,23 +246,26 @@ class Campus:
 
     # ---- facts ----
 
-    def facts(self) -> dict[str, DataFrame]:
-        built = {
-            "fact_iku1_lulusan": self.graduate_outcome(),
-            "fact_iku2_mbkm": self.student_activity(),
-            "fact_iku3_dosen_tridarma": self.lecturer_activity(),
-            "fact_iku4_kualifikasi_dosen": self.lecturer_standing(),
-            "fact_iku5_penelitian_pkm": self.research_ratio(),
-            "fact_iku6_kerjasama_prodi": self.partner_share(),
-            "fact_iku8_akreditasi_internasional": self.accredited_share(),
-            "fact_tata_kelola": self.budget(),
+    def fact_builders(self) -> dict[str, Callable[[], DataFrame]]:
+        builders = {
+            "fact_iku1_lulusan": self.graduate_outcome,
+            "fact_iku2_mbkm": self.student_activity,
+            "fact_iku3_dosen_tridarma": self.lecturer_activity,
+            "fact_iku4_kualifikasi_dosen": self.lecturer_standing,
+            "fact_iku5_penelitian_pkm": self.research_ratio,
+            "fact_iku6_kerjasama_prodi": self.partner_share,
+            "fact_iku8_akreditasi_internasional": self.accredited_share,
+            "fact_tata_kelola": self.budget,
         }
         if self.courses is not None:
-            built["fact_iku7_metode_pembelajaran"] = self.teaching_methods()
-        return built
+            builders["fact_iku7_metode_pembelajaran"] = self.teaching_methods
+        return builders
+
+    def facts(self) -> dict[str, DataFrame]:
+        return {name: build() for name, build in self.fact_builders().items()}
 
     def graduate_outcome(self) -> DataFrame:
-        rows = self.graduates().withColumn("tahun", year_of("tanggal_lulus"))
+        rows = self.cleaned("silver_lulusan").withColumn("tahun", year_of("tanggal_lulus"))
         rows = rows.filter(F.col("tahun").isNotNull() & F.col("prodi_id").isNotNull())
         outcomes = ["lulusan_bekerja", "lulusan_lanjut_studi", "lulusan_wirausaha"]
         fact = kpi.share_fact(
@@ -259,7 +280,7 @@ class Campus:
         return gold.with_keys(fact, ["tahun", "prodi_id"], "tahun").drop("tahun")
 
     def student_activity(self) -> DataFrame:
-        active = self.students().filter(F.coalesce("status_aktif", F.lit("Aktif")) == "Aktif")
+        active = self.cleaned("silver_mahasiswa").filter(F.coalesce("status_aktif", F.lit("Aktif")) == "Aktif")
         winners = (
             self.bronze["raw_prestasi_mahasiswa"].filter(F.col("tingkat").isin("Nasional", "Internasional"))
             .select("mahasiswa_id").distinct().withColumn("won", F.lit(True))
@@ -282,7 +303,7 @@ class Campus:
         kind = F.col("jenis_kegiatan")
         fact = kpi.any_flag_fact(
             self.bronze["raw_kegiatan_dosen"].withColumn("tahun", _int("tahun")),
-            self.lecturers().select("dosen_id", "prodi_id"), "dosen_id", "tahun", "prodi_id",
+            self.cleaned("silver_dosen").select("dosen_id", "prodi_id"), "dosen_id", "tahun", "prodi_id",
             {
                 "dosen_tridarma_pt_lain": kind == "Tridarma_PT_Lain",
                 "dosen_praktisi_industri": kind == "Praktisi_Industri",
@@ -296,7 +317,7 @@ class Campus:
 
     def lecturer_standing(self, overlap: str = "sum") -> DataFrame:
         fact = kpi.flag_sum_fact(
-            self.lecturers(), "prodi_id", "total_dosen_tetap",
+            self.cleaned("silver_dosen"), "prodi_id", "total_dosen_tetap",
             {
                 "dosen_s3": F.col("is_s3"),
                 "dosen_sertifikat_industri": F.col("is_serdos"),
@@ -309,8 +330,8 @@ class Campus:
         return gold.with_keys(fact, ["tahun", "prodi_id"], "tahun").drop("tahun")
 
     def research_ratio(self) -> DataFrame:
-        heads = self.lecturers().select("dosen_id", "jurusan_id")
-        works = lookup(self.research(), heads.withColumnRenamed("jurusan_id", "of_lecturer"), "dosen_id")
+        heads = self.cleaned("silver_dosen").select("dosen_id", "jurusan_id")
+        works = lookup(self.cleaned("silver_penelitian_pkm"), heads.withColumnRenamed("jurusan_id", "of_lecturer"), "dosen_id")
         works = works.withColumns({"tahun": _int("tahun"), "jurusan_id": F.coalesce("jurusan_id", "of_lecturer")})
         fact = kpi.ratio_fact(
             works, heads, "jurusan_id", "tahun",
@@ -332,11 +353,11 @@ class Campus:
         return gold.with_keys(fact, ["tahun"], "tahun").drop("tahun")
 
     def partner_share(self) -> DataFrame:
-        hits = self.partnerships().filter(F.col("prodi_id") != "")
+        hits = self.cleaned("silver_kerjasama_aktif").filter(F.col("prodi_id") != "")
         return self._share(hits, "prodi_berkerjasama", "persen_iku6", "IKU-6")
 
     def accredited_share(self) -> DataFrame:
-        hits = self.accreditations().filter("is_internasional")
+        hits = self.cleaned("silver_akreditasi_aktif").filter("is_internasional")
         return self._share(hits, "prodi_akreditasi_internasional", "persen_iku8", "IKU-8")
 
     def teaching_methods(self) -> DataFrame:
@@ -370,17 +391,25 @@ class Campus:
 
     def silver_specs(self) -> list[Spec]:
         """Specs for a layer run; the score of a table's sources can reject it."""
-        return [Spec(name, lambda _, df=df: df, score=score) for name, (df, score) in self.silver().items()]
+        return [
+            Spec(name, lambda _, name=name: self.cleaned(name), sources, score=self.source_score(name))
+            for name, sources in SILVER_SOURCES.items()
+        ]
 
     def gold_specs(self) -> list[Spec]:
-        tables = {**self.dimensions(), **self.facts()}
-        return [Spec(name, lambda _, df=df: df) for name, df in tables.items()]
+        builders = {**self.dimension_builders(), **self.fact_builders()}
+        return [Spec(name, lambda _, build=build: build()) for name, build in builders.items()]
 
     def build(self, location: str | None = None, scenario: str | None = None, prefix: str = "") -> DataFrame:
         """Write silver, gold and then the recap from the written facts; returns all ledger entries."""
         layers = f"{prefix}silver", f"{prefix}gold"
         silver_run = run_layer(self.spark, layers[0], self.silver_specs(), "bronze_to_silver", scenario, location)
-        gold_run = run_layer(self.spark, layers[1], self.gold_specs(), "silver_to_gold", scenario, location)
+        # Gold reads the cleaned tables just written; one that was rejected fails its own facts only.
+        on_silver = Campus(
+            self.spark, self.bronze, self.as_of, self.unknown_target, self.courses,
+            stored=lambda name: read_layer(self.spark, layers[0], name, scenario),
+        )
+        gold_run = run_layer(self.spark, layers[1], on_silver.gold_specs(), "silver_to_gold", scenario, location)
         written = {
             fact: read_layer(self.spark, layers[1], fact, scenario)
             for _, _, fact, _ in RECAP_LINES

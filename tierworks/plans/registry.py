@@ -812,7 +812,10 @@ RISK_COLUMNS = ["c_acctbal", "n_orders", "n_pressing", "spent"]
 
 
 def _risk_rows(c: Commerce) -> DataFrame:
-    """Customers with features from their orders, and whether they settled less than the target share."""
+    """Customers with features from their orders, and whether they settled less than the target share.
+
+    Kept as a feature table: training and scoring read it several times.
+    """
     status = F.col("o_orderstatus")
     per = c["orders"].groupBy(F.col("o_custkey").alias("c_custkey")).agg(
         F.count(F.lit(1)).alias("n_orders"),
@@ -822,7 +825,8 @@ def _risk_rows(c: Commerce) -> DataFrame:
     )
     rows = lookup(c["customer"].select("c_custkey", "c_nationkey", "c_acctbal"), per, "c_custkey", "inner")
     rows = rows.withColumn("risk_label", predict.risk_label("pct_settled", F.lit(66.0)))
-    return predict.split_by_class(rows, ["c_custkey"])
+    rows = predict.split_by_class(rows, ["c_custkey"])
+    return c.spark.read.parquet(predict.write_features(rows, new_work_path(c.spark, "risk-features")))
 
 
 @query
