@@ -14,7 +14,7 @@ from tierworks.functions.names import qualified_name
 from tierworks.operators import catalog
 
 STORE = "store"
-AS_OF = "2024-07-01 00:00:00"
+AS_OF = "2024-07-01T00:00:00Z"
 SCHEMA_TEXT = '{"doc_id":"bigint","text":"string"}'
 
 TERM_DEFINITIONS = {

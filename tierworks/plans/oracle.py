@@ -642,7 +642,7 @@ def b(test: str) -> str:
 
 BASE = " + ".join(["3", b("descr <> ''"), b("declared IS NOT NULL"), b("loc <> ''"), b("n_schema > 0"), b("row_count_ IS NOT NULL"), b("ingested IS NOT NULL OR enriched IS NOT NULL")])
 BASE = f"({BASE})"
-AGE = f"(epoch(TIMESTAMP '{assets.AS_OF}') - epoch(CAST(left(coalesce(enriched, ingested), 10) AS TIMESTAMP))) / 86400"
+AGE = f"(epoch(TIMESTAMP '{assets.AS_OF[:10]} 00:00:00') - epoch(CAST(left(coalesce(enriched, ingested), 10) AS TIMESTAMP))) / 86400"
 QUALITY = f"""SELECT qn AS qualifiedName, lay AS eval_layer,
     CASE lay WHEN 'bronze' THEN {even(f'{BASE} * 100.0::DOUBLE / 9')}
       WHEN 'silver' THEN {even(f"({BASE} + {b('owner_ IS NOT NULL')} + {b('len(terms) > 0')} + {b('tier = ' + lit('silver') + ' AND quality IS NOT NULL')} + {b('tier = ' + lit('silver') + ' AND toxic IS NOT NULL')}) * 100.0::DOUBLE / 13")}
