@@ -17,6 +17,7 @@ def spark():
         **{
             "spark.sql.shuffle.partitions": "8",
             "spark.ui.showConsoleProgress": "false",
+            "spark.sql.maxMetadataStringLength": "2000",
             "spark.sql.warehouse.dir": tempfile.mkdtemp(prefix="tierworks-wh-"),
         },
     )

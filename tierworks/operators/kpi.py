@@ -125,9 +125,20 @@ def any_flag_fact(
 
 
 def flag_sum_fact(
-    df: DataFrame, unit: str, total: str, flags: Mapping[str, Column], met: str, value: str, overlap: str = "sum"
+    df: DataFrame,
+    unit: str,
+    total: str,
+    flags: Mapping[str, Column],
+    met: str,
+    value: str,
+    overlap: str = "sum",
+    year: int | None = None,
 ) -> DataFrame:
-    """Flag counts per unit. ``overlap="sum"`` adds the counts (a row may count twice), ``"any"`` counts rows once."""
+    """Flag counts per unit. ``overlap="sum"`` adds the counts (a row may count twice), ``"any"`` counts rows once.
+
+    ``year`` stamps a snapshot with its year as ``tahun``, by way of an aggregate: on a
+    plain literal a later join by period would turn into a product.
+    """
     if overlap not in ("sum", "any"):
         raise ValueError(f"overlap must be 'sum' or 'any', not {overlap!r}")
     tests = [F.coalesce(c, F.lit(False)) for c in flags.values()]
@@ -136,6 +147,7 @@ def flag_sum_fact(
         F.count(F.lit(1)).alias(total),
         *[flag_count(c).alias(n) for n, c in flags.items()],
         flag_count(once).alias(met),
+        *([] if year is None else [F.max(F.lit(year)).alias("tahun")]),
     )
     if overlap == "sum":
         out = out.withColumn(met, reduce(add, [F.col(n) for n in flags]))

@@ -323,10 +323,9 @@ class Campus:
                 "dosen_sertifikat_industri": F.col("is_serdos"),
                 "dosen_dari_praktisi": F.col("is_praktisi"),
             },
-            "dosen_memenuhi_iku4", "persen_iku4", overlap,
+            "dosen_memenuhi_iku4", "persen_iku4", overlap, FALLBACK_YEAR,
         )
         fact = self._scored(fact, "persen_iku4", F.lit(float(TARGETS["IKU-4"][FALLBACK_YEAR])))
-        fact = fact.withColumn("tahun", F.lit(FALLBACK_YEAR))
         return gold.with_keys(fact, ["tahun", "prodi_id"], "tahun").drop("tahun")
 
     def research_ratio(self) -> DataFrame:

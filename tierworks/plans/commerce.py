@@ -226,10 +226,9 @@ class Commerce:
         fact = kpi.flag_sum_fact(
             rows, "nationkey", "total_suppliers",
             {"suppliers_premium": F.col("is_premium"), "suppliers_solvent": F.col("is_solvent"), "suppliers_large": F.col("is_large")},
-            "suppliers_met", "pct_met", overlap,
+            "suppliers_met", "pct_met", overlap, SNAPSHOT_YEAR,
         )
         fact = kpi.scored(fact, "pct_met", F.lit(float(TARGETS["KPI-4"][SNAPSHOT_YEAR])))
-        fact = fact.withColumn("tahun", F.lit(SNAPSHOT_YEAR))
         return gold.with_keys(fact, ["tahun", "nationkey"], "tahun").drop("tahun")
 
     def fact_kpi5(self) -> DataFrame:

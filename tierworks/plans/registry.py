@@ -905,7 +905,7 @@ def insight_long(c):
     """Inferred values replace a section's defaults; the anomaly section is updated key by key."""
     def lines(df, section, entity, **metrics):
         pairs = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(v).cast("double").alias("value")) for m, v in metrics.items()])
-        return df.select(F.lit(section).alias("section"), entity.cast("string").alias("entity"), F.explode(pairs).alias("m")).select("section", "entity", "m.*")
+        return df.select(F.when(entity.isNotNull(), section).alias("section"), entity.cast("string").alias("entity"), F.explode(pairs).alias("m")).select("section", "entity", "m.*")
 
     types = c["events"].groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.min("user_id").alias("low"))
     defaults = union(
