@@ -49,6 +49,13 @@ def test_layer_tables(spark):
         write_layer(spark.range(1), "t_layer", "a; drop")
 
 
+def test_bucketed_tables_meet_without_a_shuffle(spark, no_broadcast):
+    for name in ("big", "other"):
+        write_layer(spark.range(1000).select(F.col("id").alias("k"), F.lit(name).alias(name)), "t_layer", name, bucket_by=(4, ["k"]))
+    joined = read_layer(spark, "t_layer", "big").join(read_layer(spark, "t_layer", "other"), "k").groupBy("k").count()
+    assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString() and joined.count() == 1000
+
+
 def test_run_goes_on_after_a_failure(spark):
     bad = spark.createDataFrame([(None, None)], "a string, b string")
 

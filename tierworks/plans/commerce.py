@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tierworks.operators import gold, kpi, silver
 from tierworks.operators.joins import lookup, sum_by_attribute
+from tierworks.session import cut_lineage
 from tierworks.sources import read_tables
 
 # Targets per KPI and year; 1998 is left out, so a year without a target occurs.
@@ -173,7 +174,7 @@ class Commerce:
             return F.when(test, one).otherwise(0)
 
         counts = sum_by_attribute(
-            orders, self._customer_nation, "custkey", ["tahun"], ["nationkey"],
+            orders, self.customer_nation, "custkey", ["tahun"], ["nationkey"],
             {
                 "total_orders": one,
                 "orders_filled": of(status == "F"),
@@ -207,15 +208,10 @@ class Commerce:
     def fact_kpi3(self, denominator: str = "active") -> DataFrame:
         """Suppliers with a qualifying kind of shipment, by year and nation."""
         parent = self["supplier"].select(F.col("s_suppkey").alias("suppkey"), F.col("s_nationkey").alias("nationkey"))
+        kinds = ("suppliers_returned", "suppliers_accepted", "suppliers_untaxed", "suppliers_discounted")
         fact = kpi.any_flag_fact(
-            self._lines, parent, "suppkey", "tahun", "nationkey",
-            {
-                "suppliers_returned": (F.col("l_returnflag") == "R") & (F.col("l_quantity") >= 45),
-                "suppliers_accepted": (F.col("l_returnflag") == "A") & (F.col("l_quantity") >= 48),
-                "suppliers_untaxed": (F.col("l_tax") == 0) & (F.col("l_quantity") >= 49),
-                "suppliers_discounted": (F.col("l_discount") >= 0.1) & (F.col("l_quantity") >= 49),
-            },
-            "total_suppliers", "suppliers_met", "pct_met", denominator,
+            self.supplier_year, parent, "suppkey", "tahun", "nationkey",
+            {k: F.col(k) > 0 for k in kinds}, "total_suppliers", "suppliers_met", "pct_met", denominator,
         )
         fact = kpi.scored(fact, "pct_met", self._target("KPI-3"))
         return gold.with_keys(fact, ["tahun", "nationkey"], "tahun").drop("tahun")
@@ -233,17 +229,12 @@ class Commerce:
 
     def fact_kpi5(self) -> DataFrame:
         """Returned and final lines per supplier, by year and region."""
-        one = F.lit(1).cast("bigint")
+        counted = ["lines_returned", "lines_final"]
         produced = sum_by_attribute(
-            self._lines, self._supplier_region, "suppkey", ["tahun"], ["regionkey"],
-            {
-                "lines_returned": F.when(F.col("l_returnflag") == "R", one).otherwise(0),
-                "lines_final": F.when(F.col("l_linestatus") == "F", one).otherwise(0),
-            },
+            self.supplier_year, self.supplier_region, "suppkey", ["tahun"], ["regionkey"], {m: F.col(m) for m in counted}
         )
         fact = kpi.per_head(
-            produced, self._supplier_region, "regionkey", ["lines_returned", "lines_final"],
-            "total_suppliers", "total_eligible", "ratio_per_supplier",
+            produced, self.supplier_region, "regionkey", counted, "total_suppliers", "total_eligible", "ratio_per_supplier"
         )
         fact = kpi.scored(fact, "ratio_per_supplier", self._target("KPI-5"), floor=0.01)
         return gold.with_keys(fact, ["tahun", "regionkey"], "tahun").drop("tahun")
@@ -260,14 +251,9 @@ class Commerce:
 
     def fact_kpi7(self) -> DataFrame:
         """Lines with a high discount or tax, by year and nation of the supplier; the sum is capped at all lines."""
-        one = F.lit(1).cast("bigint")
+        counted = ["total_lines", "lines_discounted", "lines_taxed"]
         counts = sum_by_attribute(
-            self._lines, self._supplier_nation, "suppkey", ["tahun"], ["nationkey"],
-            {
-                "total_lines": one,
-                "lines_discounted": F.when(F.col("l_discount") >= 0.07, one).otherwise(0),
-                "lines_taxed": F.when(F.col("l_tax") >= 0.05, one).otherwise(0),
-            },
+            self.supplier_year, self.supplier_nation, "suppkey", ["tahun"], ["nationkey"], {m: F.col(m) for m in counted}
         )
         fact = kpi.with_capped_share(counts, ["lines_discounted", "lines_taxed"], "total_lines", "lines_met", "pct_met")
         fact = kpi.scored(fact, "pct_met", self._target("KPI-7"))
@@ -304,29 +290,48 @@ class Commerce:
         return [kpi.Indicator(c, KPI_NAMES[c], f, v, u) for c, f, v, u in facts]
 
     def recap(self) -> DataFrame:
+        """All KPIs by year. Three of them rest on the supplier-year counts, which are stored first: the lines are
+        read and shuffled once."""
+        self.supplier_year = cut_lineage(self.supplier_year)
         return kpi.recap(self.spark, self.indicators(), TARGETS, YEARS, FALLBACK_YEAR)
 
     # ---- shared pieces ----
 
     @cached_property
-    def _lines(self) -> DataFrame:
+    def lines(self) -> DataFrame:
         return self["lineitem"].select(
             F.col("l_suppkey").alias("suppkey"), F.year("l_shipdate").alias("tahun"),
             "l_returnflag", "l_linestatus", "l_quantity", "l_discount", "l_tax",
         )
 
     @cached_property
-    def _customer_nation(self) -> DataFrame:
+    def supplier_year(self) -> DataFrame:
+        """Everything the KPIs need to know of the lines, per supplier and year."""
+        flag, amount = F.col("l_returnflag"), F.col("l_quantity")
+        return self.lines.groupBy("suppkey", "tahun").agg(
+            F.count(F.lit(1)).alias("total_lines"),
+            F.count_if(flag == "R").alias("lines_returned"),
+            F.count_if(F.col("l_linestatus") == "F").alias("lines_final"),
+            F.count_if(F.col("l_discount") >= 0.07).alias("lines_discounted"),
+            F.count_if(F.col("l_tax") >= 0.05).alias("lines_taxed"),
+            F.count_if((flag == "R") & (amount >= 45)).alias("suppliers_returned"),
+            F.count_if((flag == "A") & (amount >= 48)).alias("suppliers_accepted"),
+            F.count_if((F.col("l_tax") == 0) & (amount >= 49)).alias("suppliers_untaxed"),
+            F.count_if((F.col("l_discount") >= 0.1) & (amount >= 49)).alias("suppliers_discounted"),
+        )
+
+    @cached_property
+    def customer_nation(self) -> DataFrame:
         return self["customer"].select(F.col("c_custkey").alias("custkey"), F.col("c_nationkey").alias("nationkey"))
 
     @cached_property
-    def _supplier_nation(self) -> DataFrame:
+    def supplier_nation(self) -> DataFrame:
         return self["supplier"].select(F.col("s_suppkey").alias("suppkey"), F.col("s_nationkey").alias("nationkey"))
 
     @cached_property
-    def _supplier_region(self) -> DataFrame:
+    def supplier_region(self) -> DataFrame:
         nation = self["nation"].select(F.col("n_nationkey").alias("nationkey"), F.col("n_regionkey").alias("regionkey"))
-        return lookup(self._supplier_nation, nation, "nationkey", "inner").select("suppkey", "regionkey")
+        return lookup(self.supplier_nation, nation, "nationkey", "inner").select("suppkey", "regionkey")
 
     @staticmethod
     def _target(code: str) -> Column:

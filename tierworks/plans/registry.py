@@ -292,7 +292,7 @@ def customer_flag_membership(c):
 @query
 def activity_any_flags(c):
     return kpi.any_flags(
-        c._lines, ["suppkey", "tahun"],
+        c.lines, ["suppkey", "tahun"],
         {"is_returned": F.col("l_returnflag") == "R", "is_final": F.col("l_linestatus") == "F", "is_bulk": F.col("l_quantity") >= 49},
     )
 
@@ -300,7 +300,7 @@ def activity_any_flags(c):
 @query
 def fact_activity_flags(c):
     flags = activity_any_flags(c)
-    rows = lookup(flags, c._supplier_nation, "suppkey", "inner")
+    rows = lookup(flags, c.supplier_nation, "suppkey", "inner")
     return rows.groupBy("tahun", "nationkey").agg(
         F.count(F.lit(1)).alias("n"), *[F.sum(x).cast("bigint").alias(x) for x in ("is_returned", "is_final", "is_bulk")]
     )

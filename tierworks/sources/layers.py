@@ -36,8 +36,13 @@ def write_layer(
     scenario: str | None = None,
     partition_by: list[str] | None = None,
     location: str | None = None,
+    bucket_by: tuple[int, list[str]] | None = None,
 ) -> str:
-    """Replace a layer table and its schema. A catalog entry whose files are gone is dropped and built anew."""
+    """Replace a layer table and its schema. A catalog entry whose files are gone is dropped and built anew.
+
+    ``bucket_by`` (count, keys) lays a table out for joins and sums by its keys, so
+    that tables bucketed alike meet without a shuffle.
+    """
     spark = df.sparkSession
     full = _full_name(layer, table, scenario)
     spark.sql(f"CREATE DATABASE IF NOT EXISTS {layer_name(layer, scenario)}")
@@ -46,6 +51,9 @@ def write_layer(
         writer = df.write.mode("overwrite").format("parquet").option("overwriteSchema", True)
         if partition_by:
             writer = writer.partitionBy(*partition_by)
+        if bucket_by:
+            count, keys = bucket_by
+            writer = writer.bucketBy(count, *keys).sortBy(*keys)
         if location:
             writer = writer.option("path", f"{location.rstrip('/')}/{layer_name(layer, scenario)}/{table}")
         writer.saveAsTable(full)
