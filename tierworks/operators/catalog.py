@@ -238,66 +238,62 @@ def parsed(entities: DataFrame) -> DataFrame:
     )
 
 
-def _filled(text: str | Column) -> Column:
-    """Text that says something: not blank and not an empty JSON value."""
-    trimmed = F.trim(F.col(text) if isinstance(text, str) else text)
-    return F.coalesce((F.length(trimmed) > 0) & ~trimmed.isin("{}", "[]", "null"), F.lit(False))
+# The checks below are SQL text: one parsed expression in place of hundreds of calls.
 
 
-def _some(collection: str) -> Column:
-    """A list or map with at least one entry."""
-    return F.coalesce(F.size(F.col(collection)) > 0, F.lit(False))
+def _filled(text: str) -> str:
+    """Text that says something: not blank and not an empty JSON value."""
+    return f"coalesce(length(trim({text})) > 0 AND trim({text}) NOT IN ('{{}}', '[]', 'null'), false)"
 
 
-def _has_quality() -> Column:
-    q = F.col("prof.quality")
-    parts = [q[c].isNotNull() for c in ("overall_score", "source_score", "score", "quality_score", "source_status", "status")]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out | p
-    return F.coalesce(out, F.lit(False))
+def _some(collection: str) -> str:
+    """A list or map with at least one entry."""
+    return f"coalesce(size({collection}) > 0, false)"
 
 
-def _has_role() -> Column:
-    return _filled("prof.star_schema.table_type") | _filled("prof.kpi.iku_code")
+_QUALITY_FIELDS = ("overall_score", "source_score", "score", "quality_score", "source_status", "status")
+HAS_QUALITY = "(" + " OR ".join(f"prof.quality.{f} IS NOT NULL" for f in _QUALITY_FIELDS) + ")"
+HAS_ROLE = f"({_filled('prof.star_schema.table_type')} OR {_filled('prof.kpi.iku_code')})"
 
 
 # ---- scores -----------------------------------------------------------------------
 
 
-def _share(checks: Sequence[Column]) -> Column:
+def _share(checks: Sequence[str]) -> str:
     """Passed checks as whole %, ties to the even number."""
-    hits = sum((F.coalesce(c, F.lit(False)).cast("int") for c in checks[1:]), F.coalesce(checks[0], F.lit(False)).cast("int"))
-    return F.bround(hits * F.lit(100.0) / len(checks)).cast("int")
+    hits = " + ".join(f"int(coalesce({c}, false))" for c in checks)
+    return f"int(bround(({hits}) * 100.0D / {len(checks)}))"
 
 
-def q_completeness(layer: Column) -> Column:
-    base = [
-        *[_filled(c) for c in ("qualifiedName", "name", "description", "layer", "format", "location")],
-        F.size("schema") > 0,
-        F.col("row_count").isNotNull(),
-        _filled("ingested_at") | _filled("enriched_at"),
-    ]
-    silver = [*base, _filled("prof.business.owner"), _some("prof.business.glossary_terms"), _has_quality(), _some("prof.compliance")]
-    gold = [*base, _has_role(), _some("prof.consumption"), _filled("enriched_at")]
-    return F.when(layer == "bronze", _share(base)).when(layer == "silver", _share(silver)).otherwise(_share(gold))
+BASE_CHECKS = [
+    *[_filled(c) for c in ("qualifiedName", "name", "description", "layer", "format", "location")],
+    "size(`schema`) > 0",
+    "row_count IS NOT NULL",
+    f"({_filled('ingested_at')} OR {_filled('enriched_at')})",
+]
+SILVER_CHECKS = [
+    *BASE_CHECKS, _filled("prof.business.owner"), _some("prof.business.glossary_terms"), HAS_QUALITY, _some("prof.compliance"),
+]
+GOLD_CHECKS = [*BASE_CHECKS, HAS_ROLE, _some("prof.consumption"), _filled("enriched_at")]
 
 
-def q_accuracy(layer: Column) -> Column:
-    q = F.col("prof.quality")
-    # A zero counts as "not given" in the order of the score names.
-    given = F.coalesce(*[F.when(q[c] != 0, q[c]) for c in ("overall_score", "source_score", "score")], q["quality_score"])
-    clamped = F.least(F.lit(100), F.greatest(F.lit(0), F.bround(given).cast("int")))
-    return (
-        F.when(F.size("schema") == 0, 0)
-        .when(F.col("row_count") < 0, 0)
-        .when(layer == "bronze", 95)
-        .when(given.isNotNull(), clamped)
-        .when(q["source_status"] == "PASS", 90)
-        .when(q["source_status"] == "QUARANTINE", 70)
-        .when(layer == "silver", 85)
-        .when(_has_role(), 92)
-        .otherwise(75)
+def q_completeness(layer: str) -> Column:
+    """``layer`` names the column with the layer an entity is judged in."""
+    return F.expr(
+        f"CASE {layer} WHEN 'bronze' THEN {_share(BASE_CHECKS)} WHEN 'silver' THEN {_share(SILVER_CHECKS)} "
+        f"ELSE {_share(GOLD_CHECKS)} END"
+    )
+
+
+def q_accuracy(layer: str) -> Column:
+    """A zero score counts as not given, but for the last of the score names."""
+    q = "prof.quality"
+    given = f"coalesce(nullif({q}.overall_score, 0), nullif({q}.source_score, 0), nullif({q}.score, 0), {q}.quality_score)"
+    return F.expr(
+        f"CASE WHEN size(`schema`) = 0 OR row_count < 0 THEN 0 WHEN {layer} = 'bronze' THEN 95 "
+        f"WHEN {given} IS NOT NULL THEN least(100, greatest(0, int(bround({given})))) "
+        f"WHEN {q}.source_status = 'PASS' THEN 90 WHEN {q}.source_status = 'QUARANTINE' THEN 70 "
+        f"WHEN {layer} = 'silver' THEN 85 WHEN {HAS_ROLE} THEN 92 ELSE 75 END"
     )
 
 
@@ -307,42 +303,34 @@ AGE_SCORE_OLDER = 40
 
 
 def q_timeliness(as_of: str) -> Column:
-    stamp = F.coalesce(
-        *[F.when(F.length(c) > 0, F.col(c)) for c in ("enriched_at", "ingested_at")]
-    )
-    at = F.try_to_timestamp(stamp)
-    age = (F.unix_micros(F.lit(as_of).cast("timestamp")) - F.unix_micros(at)) / F.lit(86_400_000_000)
-    out = F.when(at.isNull(), 0)
-    for days, points in AGE_SCORES:
-        out = out.when(age <= days, points)
-    return out.otherwise(AGE_SCORE_OLDER)
-
-
-def q_consistency(layer: Column) -> Column:
-    return _share(
-        [
-            F.col("layer") == layer,
-            F.col("at_layer") == layer,
-            F.startswith(F.col("qualifiedName"), F.concat(layer, F.lit("."))),
-            F.array_contains("classifications", layer_tag(layer)),
-            F.contains(F.lower("location"), layer),
-        ]
-    )
+    at = "try_to_timestamp(coalesce(nullif(enriched_at, ''), nullif(ingested_at, '')))"
+    age = f"(unix_micros(timestamp'{as_of}') - unix_micros({at})) / 86400000000"
+    steps = " ".join(f"WHEN {age} <= {days} THEN {points}" for days, points in AGE_SCORES)
+    return F.expr(f"CASE WHEN {at} IS NULL THEN 0 {steps} ELSE {AGE_SCORE_OLDER} END")
+
+
+def q_consistency(layer: str) -> Column:
+    checks = [
+        f"layer = {layer}",
+        f"at_layer = {layer}",
+        f"startswith(qualifiedName, concat({layer}, '.'))",
+        f"array_contains(classifications, concat(initcap({layer}), '_Layer'))",
+        f"contains(lower(location), {layer})",
+    ]
+    return F.expr(_share(checks))
 
 
 def quality(entities: DataFrame, as_of: str, layers: Sequence[str] = ("bronze", "silver", "gold")) -> DataFrame:
     """The four scores of every entity, for each evaluated layer whose tag it carries."""
-    tagged = F.filter(
-        F.array(*[F.lit(x) for x in layers]), lambda x: F.array_contains(F.col("classifications"), layer_tag(x))
-    )
-    rows = parsed(entities).withColumn("eval_layer", F.explode(tagged))
-    layer = F.col("eval_layer")
+    names = ", ".join(f"'{x}'" for x in layers)
+    tagged = f"filter(array({names}), x -> array_contains(classifications, concat(initcap(x), '_Layer')))"
+    rows = parsed(entities).withColumn("eval_layer", F.expr(f"explode({tagged})"))
     return rows.select(
         "guid", "qualifiedName", "eval_layer",
-        q_completeness(layer).alias("completeness"),
-        q_accuracy(layer).alias("accuracy"),
+        q_completeness("eval_layer").alias("completeness"),
+        q_accuracy("eval_layer").alias("accuracy"),
         q_timeliness(as_of).alias("timeliness"),
-        q_consistency(layer).alias("consistency"),
+        q_consistency("eval_layer").alias("consistency"),
     )
 
 
@@ -369,15 +357,15 @@ def coverage(entities: DataFrame, layers: Sequence[str] = ("bronze", "silver", "
     """Share of entities per layer with a schema, an owner, glossary terms and a PII tag."""
     rows = parsed(entities).filter(F.col("at_layer").isin(*layers))
     flags = {
-        "schema_documented_pct": F.size("schema") > 0,
-        "owner_steward_pct": F.length("prof.business.owner") > 0,
+        "schema_documented_pct": "size(`schema`) > 0",
+        "owner_steward_pct": "length(prof.business.owner) > 0",
         "glossary_term_pct": _some("prof.business.glossary_terms"),
-        "classification_pii_pct": F.array_contains("classifications", "PII"),
+        "classification_pii_pct": "array_contains(classifications, 'PII')",
     }
-    return rows.groupBy(F.col("at_layer").alias("layer")).agg(
-        F.count(F.lit(1)).alias("entity_count"),
-        *[percent(F.count_if(F.coalesce(test, F.lit(False))), F.count(F.lit(1))).alias(n) for n, test in flags.items()],
+    counted = rows.groupBy(F.col("at_layer").alias("layer")).agg(
+        F.count(F.lit(1)).alias("entity_count"), *[F.expr(f"count_if({test})").alias(n) for n, test in flags.items()]
     )
+    return counted.select("layer", "entity_count", *[percent(n, "entity_count").alias(n) for n in flags])
 
 
 # ---- unified metadata -------------------------------------------------------------
