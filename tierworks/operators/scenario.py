@@ -8,6 +8,7 @@ from collections.abc import Iterator, Mapping
 from contextlib import contextmanager
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JError
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -120,7 +121,7 @@ def time_workload(workload: Workload, warm_up: bool = False) -> tuple[float | No
         workload.df.write.format("noop").mode("overwrite").save()
         seconds = round(time.perf_counter() - started, 3)
         return seconds, workload.df.count(), "ok", None
-    except PySparkException as exc:
+    except (PySparkException, Py4JError) as exc:
         return None, None, "error", str(exc).splitlines()[0]
 
 

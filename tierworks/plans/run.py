@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
+from py4j.protocol import Py4JError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 
@@ -57,7 +58,7 @@ def run_layer(
                 spec.build(spark), layer, spec.name + suffix, scenario, list(spec.partition_by) or None, location
             )
             rows = spark.table(full).count()
-        except (PySparkException, ValueError, RuntimeError) as exc:
+        except (PySparkException, Py4JError, ValueError, RuntimeError) as exc:
             error = str(exc).splitlines()[0]
         entries.append(
             (run_id, pipeline, scenario or "default", track, started, ledger.now(), spec.name + suffix, rows, error is None, error)
