@@ -54,3 +54,35 @@ def map_texts(
 def bucket(key: Column, n: int) -> Column:
     """A stable bucket number of a key, 0 to n - 1."""
     return F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+
+
+def keep_rows(df: DataFrame, text_col: str, mask: Callable[[list[str]], list[bool]]) -> DataFrame:
+    """The rows of ``df``, all columns as they are, whose text ``mask`` keeps; nothing is shuffled."""
+    at = df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = pa.RecordBatch.from_arrays([pc.fill_null(batch.column(at), "")], ["text"])
+            flags = [f for _, piece in pieces(texts) for f in mask(piece)]
+            yield batch.filter(pa.array(flags, pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
+def change_texts(df: DataFrame, text_col: str, change: Callable[[list[str]], list[str]]) -> DataFrame:
+    """``df`` with every non-null text changed; the other columns stay as they are."""
+    at = df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = pa.RecordBatch.from_arrays([pc.fill_null(batch.column(at), "")], ["text"])
+            changed = pa.array([t for _, piece in pieces(texts) for t in change(piece)], batch.schema.field(at).type)
+            changed = pc.if_else(pc.is_valid(batch.column(at)), changed, batch.column(at))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:at], changed, *batch.columns[at + 1 :]], schema=batch.schema)
+
+    return df.mapInArrow(run, df.schema)
+
+
+def crc32_bucket(key: Column, n: int) -> Column:
+    """crc32 of the key as text, modulo n; -1 for a null key."""
+    return F.coalesce(F.crc32(key.cast("string").cast("binary")) % n, F.lit(-1))

@@ -6,28 +6,81 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tierworks.llm import bpe, simhash
+from tierworks.llm import bpe, decontaminate, langid, license_scan, secret_scan, simhash, token_ids, topk
+from tierworks.session import new_work_path
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+END_ID = 2
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    target = new_work_path(spark, "token-ids")
+    token_ids.write_ids(table(spark, sf_dir, "documents"), target, BYTE_BPE, END_ID, new_work_path(spark, "tokens"))
+    return token_ids.read_digests(spark, target)
+
+
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op3_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, k=5)
+
+
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secrets(table(spark, sf_dir, "documents")).drop("scores")
+
+
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.licenses(table(spark, sf_dir, "documents")).drop("findings")
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), words_per_shingle=3, max_bits=2)
     return found.select("doc_id", simhash.hexadecimal(found["fp"]).alias("fingerprint"), "component_id")
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    model = langid.fit(documents.where(~langid.held_out(documents["doc_id"])))
+    found = langid.identify(documents, model)
+    return found.select("doc_id", langid.held_out(found["doc_id"]).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(table(spark, sf_dir, "documents"), BYTE_BPE)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_ids": op1_token_ids,
+    "op2_decontaminate": op2_decontaminate,
+    "op3_top_k": op3_top_k,
+    "op5_secrets": op5_secrets,
+    "op6_licenses": op6_licenses,
     "op7_simhash": op7_simhash,
+    "op8_language": op8_language,
     "op9_bpe": op9_bpe,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op3_top_k": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, x -> CAST(floor(CAST(x AS DOUBLE) * 256) AS BIGINT)) AS c
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+              AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+        ), scored AS (
+            SELECT q.vec_id AS query_id, s.vec_id, CAST(list_sum(list_transform(list_zip(q.c, s.c), p -> p[1] * p[2])) AS BIGINT) AS score
+            FROM v q JOIN v s ON q.vec_id % 50 = 0 AND s.vec_id <> q.vec_id AND len(q.c) = len(s.c)
+        ), ranked AS (
+            SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM scored
+        )
+        SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+    """,
+}
