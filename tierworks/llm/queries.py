@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tierworks.llm import bpe, decontaminate, langid, license_scan, secret_scan, simhash, token_ids, topk
+from tierworks.llm import bpe, decontaminate, langid, license_scan, secret_scan, simhash, token_ids, topk, toxicity
 from tierworks.session import new_work_path
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -57,6 +57,13 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(table(spark, sf_dir, "documents"), BYTE_BPE)
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.fit(documents, labels.where(~toxicity.held_out(labels["doc_id"])))
+    found = toxicity.score(documents, model)
+    return found.select("doc_id", toxicity.held_out(found["doc_id"]).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_ids": op1_token_ids,
     "op2_decontaminate": op2_decontaminate,
@@ -66,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_simhash": op7_simhash,
     "op8_language": op8_language,
     "op9_bpe": op9_bpe,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLE: dict[str, str] = {
