@@ -5,9 +5,9 @@ become few differing positions; bit-sampling hashes of the embedding of every it
 against those of the items, in as many repetitions as the target recall needs; every pair found is verified
 by its exact edit distance, the passage being free to begin and end near the window.
 
-Before the walk, windows that cannot lie within the distance of any item are left out without loss: at most
-``k`` edits leave all but ``k`` of an item's words, and all but ``k`` of its rare words, in the window that
-begins where the passage begins.
+Before the walk, windows that cannot lie within the distance of any item are left out without loss: after at
+most ``k`` edits the window that begins where the passage begins holds all but ``k`` of an item's words, and
+all but ``2 k`` of its pairs of neighbouring words.
 
 Cases: a null or wordless item matches nothing, a null or empty text holds nothing; repeated items and
 repeated rows are each reported; an item of fewer words than 1 / (1 - similarity) must occur word for word;
@@ -18,7 +18,6 @@ from __future__ import annotations
 
 import dataclasses
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,8 +31,7 @@ from tierworks.session import new_work_path
 SIMILARITY = 0.8  # 1 - edit distance / words of the item
 RECALL = 0.97
 SAMPLES = 3  # positions of an embedding in one hash
-STRETCH = 3  # steps of the walk for each word of an item
-COMMON = 0.02  # a word in a larger share of the items isn't rare
+STRETCH = 2  # steps of the walk for each word of an item; later ones mostly stand behind its end
 BLOCK_ITEMS, BLOCK_WORDS = 4096, 200_000  # what one index, sent to every task, holds at most
 WINDOWS = 256  # windows that walk at once
 WORD = re.compile(r"\w+")
@@ -60,7 +58,7 @@ class Walk:
         self.hash = rng.integers(0, 2**64, symbols + 2, np.uint64)
         self.seeds = rng.integers(0, 2**64, (STRETCH * longest, repetitions), np.uint64)
         self.pad = symbols + 1
-        # sampled positions as shares of an embedding's first part, where walks are still inside
+        # sampled positions as shares of an embedding
         self.shares = rng.random((repetitions, SAMPLES))
         self.salt = rng.integers(0, 2**64, repetitions, np.uint64) | np.uint64(1)
 
@@ -86,7 +84,7 @@ class Walk:
         key = self.salt[None, :] * (lengths[:, None].astype(np.uint64) + np.uint64(1))
         rows, reps = np.arange(len(starts))[:, None], np.arange(repetitions)[None, :]
         for s in range(SAMPLES):
-            place = (self.shares[None, :, s] * 2 * lengths[:, None]).astype(np.int64)
+            place = (self.shares[None, :, s] * STRETCH * lengths[:, None]).astype(np.int64)
             key = (key ^ self.hash[embedded[rows, reps, place]]) * np.uint64(0xD6E8FEB86659FD93)
             key ^= key >> np.uint64(32)
         return key
@@ -112,22 +110,33 @@ class Index:
     items: list[np.ndarray]  # symbols
     similarity: float
     vocabulary: dict[str, int]
-    rare: np.ndarray  # by symbol; the last is the unknown word
+    pairs: np.ndarray  # neighbouring words of items, as numbers in order
+    pair_lengths: np.ndarray  # for each pair a bit mask of the numbers of the item lengths it occurs in
     walk: Walk
     keys: np.ndarray  # sorted
     owner: np.ndarray  # item of each key
-    needs: list[tuple[int, int, int]]  # window length, least known words, least rare words
+    needs: list[tuple[int, int, int]]  # window length, least known words, least known pairs
 
     def candidates(self, codes: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Starts and lengths of the windows that may match an item."""
-        known = np.concatenate([[0], np.cumsum(codes < len(self.vocabulary), dtype=np.int32)])
-        scarce = np.concatenate([[0], np.cumsum(self.rare[codes], dtype=np.int32)])
+        size = len(self.vocabulary)
+        known = np.concatenate([[0], np.cumsum(codes < size, dtype=np.int32)])
+        at = np.flatnonzero((codes[:-1] < size) & (codes[1:] < size))
+        lengths_of = np.zeros(len(codes), np.uint64)
+        if len(self.pairs):
+            key = codes[at].astype(np.int64) * size + codes[at + 1]
+            place = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
+            lengths_of[at] = np.where(self.pairs[place] == key, self.pair_lengths[place], np.uint64(0))
+        both = np.concatenate([[0], np.cumsum(lengths_of > 0, dtype=np.int32)])
         starts, lengths = [], []
-        for n, least_known, least_rare in self.needs:
+        for bit, (n, least_known, least_pairs) in enumerate(self.needs):
             if n > len(codes):
                 continue
-            found = np.flatnonzero(known[n:] - known[:-n] >= least_known)
-            found = found[scarce[found + n] - scarce[found] >= least_rare]
+            found = np.flatnonzero(both[n - 1 : len(codes)] - both[: len(codes) - n + 1] >= least_pairs)
+            found = found[known[found + n] - known[found] >= least_known]
+            if least_pairs > 0 and len(found):
+                own = (lengths_of[found[:, None] + np.arange(n - 1)] >> np.uint64(bit % 64)) & np.uint64(1)
+                found = found[own.sum(axis=1) >= least_pairs]
             starts.append(found)
             lengths.append(np.full(len(found), n))
         if not starts:
@@ -213,7 +222,7 @@ def repetitions_for(items: list[np.ndarray], symbols: int, similarity: float, re
         changed = perturbed(item, allowed(n, similarity), symbols, rng)
         walk = Walk(symbols, n, 32)
         changed = np.append(changed, np.full(n, symbols, np.int32))[:n]
-        one = walk.embed(np.concatenate([item, changed]), np.array([0, n]), np.array([n, n]))[:, :, : 2 * n]
+        one = walk.embed(np.concatenate([item, changed]), np.array([0, n]), np.array([n, n]))
         chances.append(((one[0] == one[1]).mean(axis=1) ** SAMPLES).mean())
     p = np.array(chances)
     r = 8
@@ -226,15 +235,16 @@ def build(rows: list[tuple[int | None, list[str]]], similarity: float = SIMILARI
     """The index of a block of items given as (id, words)."""
     rows = [(i, w) for i, w in rows if w]
     vocabulary = {w: i for i, w in enumerate(dict.fromkeys(w for _, x in rows for w in x))}
-    in_items = Counter(w for _, x in rows for w in set(x))
-    often = max(1, COMMON * len(rows))
-    rare = np.array([in_items[w] <= often for w in vocabulary] + [False])
     items = [np.array([vocabulary[w] for w in x], np.int32) for _, x in rows]
     lengths = np.array([len(x) for x in items], np.int64)
-    needs = []
-    for n in np.unique(lengths).tolist():
-        k = allowed(n, similarity)
-        needs.append((n, n - k, min(int(rare[x].sum()) for x in items if len(x) == n) - k))
+    needs = [(n, n - allowed(n, similarity), n - 1 - 2 * allowed(n, similarity)) for n in np.unique(lengths).tolist()]
+    masks: dict[int, int] = {}
+    number = {n: i for i, (n, _, _) in enumerate(needs)}
+    for item in items:
+        for key in (item[:-1].astype(np.int64) * len(vocabulary) + item[1:]).tolist():
+            masks[key] = masks.get(key, 0) | 1 << number[len(item)] % 64
+    pairs = np.array(sorted(masks), np.int64)
+    pair_lengths = np.array([masks[k] for k in pairs.tolist()], np.uint64)
     repetitions = repetitions_for(items, len(vocabulary), similarity, recall) if items else 8
     walk = Walk(len(vocabulary), max([1, *lengths.tolist()]), repetitions)
     keys, owner = np.zeros(0, np.uint64), np.zeros(0, np.int64)
@@ -244,7 +254,7 @@ def build(rows: list[tuple[int | None, list[str]]], similarity: float = SIMILARI
         keys, owner = np.concatenate(parts), np.repeat(np.arange(len(items)), repetitions)
         order = np.argsort(keys, kind="stable")
         keys, owner = keys[order], owner[order]
-    return Index([i for i, _ in rows], items, similarity, vocabulary, rare, walk, keys, owner, needs)
+    return Index([i for i, _ in rows], items, similarity, vocabulary, pairs, pair_lengths, walk, keys, owner, needs)
 
 
 def blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list[tuple[int | None, list[str]]]]:

@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tierworks.llm import bpe, decontaminate, langid, license_scan, secret_scan, simhash, token_ids, topk, toxicity
+from tierworks.llm import bpe, decontaminate, langid, license_scan, secret_scan, simhash, suffix_dedup, token_ids, topk, toxicity
+from tierworks.llm.batches import on_workers
 from tierworks.session import new_work_path
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -16,6 +17,7 @@ END_ID = 2
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    on_workers(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -33,6 +35,10 @@ def op3_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, k=5)
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("starts", "ends")
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secrets(table(spark, sf_dir, "documents")).drop("scores")
 
@@ -68,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_ids": op1_token_ids,
     "op2_decontaminate": op2_decontaminate,
     "op3_top_k": op3_top_k,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_secrets": op5_secrets,
     "op6_licenses": op6_licenses,
     "op7_simhash": op7_simhash,
