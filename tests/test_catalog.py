@@ -201,8 +201,11 @@ def test_glossary(spark):
 
 def test_links_take_the_first_by_name(spark):
     df = entities(spark, *[{"qualifiedName": f"gold.dim_{i}", "layer": "gold"} for i in range(9)])
-    got = glossary.link_terms(["Star Schema", "zz"], df, {"star schema": ("dim_",)})
+    got = glossary.link_terms(["Star Schema", "zz"], df, {"star schema": ("dim_",)}, first=6)
     assert [r["asset"] for r in got.orderBy("position").collect()] == [f"gold.dim_{i}" for i in range(6)]
+    assert glossary.link_terms(["Star Schema", "zz"], df, {"star schema": ("dim_",)}).count() == 9
+    short = entities(spark, {"qualifiedName": "gold.fr_sales", "layer": "gold"}, {"qualifiedName": "gold.africa", "layer": "gold"})
+    assert [r["asset"] for r in glossary.link_terms(["fr"], short, {}).collect()] == ["gold.fr_sales"]
 
 
 def test_cards_search_and_lifecycle(spark):

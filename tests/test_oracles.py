@@ -6,7 +6,7 @@ from tests.check_oracles import compare, connect
 from tierworks.plans.oracle import ORACLE
 from tierworks.plans.registry import QUERIES
 
-NO_SQL = {"risk_scores", "class_metrics", "confusion_matrix", "v_risk", "v_opportunity"}
+NO_SQL = {"risk_scores", "class_metrics", "confusion_matrix", "v_risk", "v_opportunity", "cluster_quality"}
 
 
 @pytest.fixture(scope="module")

@@ -71,3 +71,10 @@ def test_profile_of_a_hot_value(spark):
     assert got["row_count"] == 20000 and got["distinct_count"] == 6668
     plan = profile.columns(df, "t")._jdf.queryExecution().executedPlan().toString()
     assert "partial_count" in plan
+
+
+def test_profile_of_nested_nulls(spark):
+    df = spark.createDataFrame([([1], {"a": 1}, (1,)), (None, None, None), (None, None, None)], "arr array<int>, m map<string,int>, s struct<x:int>")
+    got = {r["column_name"]: (r["null_count"], r["distinct_count"]) for r in profile.columns(df, "t").collect()}
+    assert got == {"arr": (2, 1), "m": (2, 1), "s": (2, 1)}
+    assert {r["column_name"]: r["null_count"] for r in profile.completeness(df, "t").collect()} == {"arr": 2, "m": 2, "s": 2}

@@ -149,8 +149,6 @@ def test_injected_skew_is_repeatable(spark):
     a = skew.inject_skew(df.repartition(3), "k", 7, 0.75, ["id"])
     b = skew.inject_skew(df.repartition(8), "k", 7, 0.75, ["id"])
     assert rows(a) == rows(b) and 0.7 < a.filter("k = 7").count() / 4000 < 0.8
-    assert skew.scale_volume({"rows": 10, "kegiatan_avg": 2.5, "default_skew_fraction": 0.75}, 3.0) == {
-        "rows": 30, "kegiatan_avg": 2.5, "default_skew_fraction": 0.75}
 
 
 def test_ledger(spark):
@@ -175,8 +173,10 @@ def test_ledger(spark):
 def test_forecasts(spark):
     df = spark.createDataFrame([(2000 + i, 90.0 + i) for i in range(12)], "y int, v double")
     got = predict.forecast_drift(df, "y", "v").orderBy("tahun").collect()
-    assert [r["is_forecast"] for r in got] == [0] * 10 + [1] * 3
-    assert [r["nilai_capaian"] for r in got[-3:]] == [100.0, 100.0, 100.0] and got[-3]["tahun"] == 2010
+    assert [r["is_forecast"] for r in got] == [0] * 12 + [1] * 3
+    assert [r["nilai_capaian"] for r in got[-3:]] == [100.0, 100.0, 100.0] and got[-3]["tahun"] == 2012
+    capped = predict.forecast_drift(df, "y", "v", first=10).orderBy("tahun").collect()
+    assert [r["is_forecast"] for r in capped] == [0] * 10 + [1] * 3 and capped[-3]["tahun"] == 2010
     lines = spark.createDataFrame([("a", 2000, 1.0), ("a", 2001, 3.0), ("b", 2001, 5.0)], "k string, y int, v double")
     ahead = {(r["k"], r["tahun"]): (r["forecast"], r["naive"]) for r in predict.forecast_trend(lines, ["k"], "y", "v", 2).collect()}
     assert ahead == {("a", 2002): (5.0, 3.0), ("a", 2003): (7.0, 3.0), ("b", 2002): (5.0, 5.0), ("b", 2003): (5.0, 5.0)}
@@ -199,6 +199,9 @@ def test_anomalies(spark):
 
     wide = join_group_stats(df, df.groupBy("m").agg(F.max("v").alias("top")), ["m"], most_rows=1)
     assert wide.count() == 62
+    for scale in (1e-9, 1e20):
+        scaled = predict.anomaly_z(df.withColumn("v", F.col("v") * scale), "m", "v")
+        assert scaled.filter("is_anomaly = 1").count() == 1
 
 
 def test_risk_model(spark):
@@ -213,13 +216,53 @@ def test_risk_model(spark):
     m = predict.class_metrics(held, "label")
     assert m["accuracy"] > 0.9 and 0.9 < m["roc_auc"] <= 1.0 and set(m) == {"accuracy", "f1_macro", "precision", "recall", "roc_auc"}
     assert held.agg(F.min("risk_score") >= 0, F.max("risk_score") <= 100).first() == (True, True)
+    holes = df.withColumn("x", F.when(F.col("id") % 3 > 0, F.col("x")))
+    scored = predict.score_risk(predict.train_risk(holes, ["x", "noise"], "label", trees=5), holes, ["x", "noise"])
+    assert scored.count() == 400 and scored.filter("risk_score IS NULL AND unscored = 'x' AND prediction IS NULL").count() == 134
+
+
+def test_exact_auc(spark):
+    """More distinct scores than the evaluator has bins by default."""
+    df = spark.range(5000).select(
+        (F.col("id") % 2).cast("double").alias("label"), (F.col("id") / 50 + F.when(F.col("id") % 2 == 1, 0.03).otherwise(0.0)).alias("risk_score"), F.lit(1.0).alias("prediction")
+    )
+    rows_ = df.select("label", "risk_score").collect()
+    neg = sorted(r["risk_score"] for r in rows_ if not r["label"])
+    import bisect
+
+    won = sum((bisect.bisect_left(neg, r["risk_score"]) + bisect.bisect_right(neg, r["risk_score"])) / 2 for r in rows_ if r["label"])
+    assert abs(predict.class_metrics(df, "label")["roc_auc"] - won / 2500 / 2500) < 1e-9
 
 
 def test_opportunity(spark):
     df = spark.createDataFrame([(i, float(i), float(i * 2)) for i in range(12)], "u int, a double, b double")
-    scored, silhouette = predict.opportunity(df, "u", ["a", "b"], k=3)
+    scored, silhouettes = predict.opportunity(df, "u", ["a", "b"])
     got = {r["u"]: r["opportunity_score"] for r in scored.collect()}
-    assert got[0] == 0.0 and got[11] == 100.0 and -1 <= silhouette <= 1 and len(got) == 12
+    assert got[0] == 0.0 and got[11] == 100.0 and set(silhouettes) == {3, 4, 5} and len(got) == 12
+    assert all(-1 <= s <= 1 for s in silhouettes.values())
+    blobs = spark.createDataFrame([(i, float(i % 4 * 10), float(i % 4 // 2 * 100 + i / 1000)) for i in range(40)], "u int, a double, b double")
+    placed, tried = predict.opportunity(blobs.unionByName(blobs.limit(1).select(F.lit(99).alias("u"), "a", F.lit(None).cast("double").alias("b"))), "u", ["a", "b"])
+    assert max(tried, key=tried.get) == 4 and placed.select("cluster").distinct().count() == 5
+    assert placed.filter("u = 99 AND cluster IS NULL AND opportunity_score IS NULL").count() == 1
+
+
+def test_runs_of_one_second_and_one_run_in_parts(spark):
+    from tierworks.plans.run import Spec, new_run_id, run_layer
+
+    assert len({new_run_id() for _ in range(100)}) == 100
+    broken = [Spec("t", lambda _: (_ for _ in ()).throw(ValueError("no")))]
+    own = new_run_id()
+    parts = [run_layer(spark, "nowhere", broken, "silver_to_gold", run_id=own) for _ in range(2)]
+    runs = ledger.record(parts[0].unionByName(parts[1]))
+    assert runs.count() == 1 and ledger.summary(runs).first()["pipelines_found"] == 1 and runs.first()["tables_total"] == 2
+
+
+def test_survivor_among_maps(spark):
+    from tierworks.operators.shape import keep_one
+
+    df = spark.createDataFrame([(1, {"a": 1, "b": 2}, {"x": {"p": 2}}), (1, {"b": 1, "a": 1}, {"x": {"p": 1}}), (1, None, None)], "k int, m map<string,int>, s struct<x:map<string,int>>")
+    got = {tuple(sorted(r["m"].items())) if r["m"] else None for n in (1, 2, 3) for r in keep_one(df.repartition(n).filter("m IS NOT NULL"), ["k"]).collect()}
+    assert got == {(("a", 1), ("b", 1))} and keep_one(df, ["k"]).count() == 1
 
 
 def test_insight_sections(spark):

@@ -90,9 +90,11 @@ def merge(local: DataFrame, metadata: DataFrame, catalog: DataFrame) -> DataFram
 
 
 def link_terms(
-    terms: Sequence[str], entities: DataFrame, aliases: Mapping[str, Sequence[str]], first: int = 6
+    terms: Sequence[str], entities: DataFrame, aliases: Mapping[str, Sequence[str]], first: int | None = None
 ) -> DataFrame:
-    """Assets whose text contains an alias of a term, the first few by name: (term, asset, position).
+    """Assets whose text contains an alias of a term, in name order: (term, asset, position).
+
+    With ``first`` only so many assets of a term are kept.
 
     ``terms`` is the curated list that has no asset of its own yet. Every asset is
     matched against all of it where it is read, so nothing is joined.
@@ -100,10 +102,10 @@ def link_terms(
     text = F.col("__text")
 
     def hit(term: str) -> Column:
-        words = [a for a in aliases.get(term.lower(), (term.lower(),)) if len(a) > 2]
         test = F.lit(False)
-        for w in words:
-            test = test | F.contains(text, F.lit(w))
+        for w in aliases.get(term.lower(), (term.lower(),)):
+            # a short alias is a word of its own, a longer one may be part of a name
+            test = test | (F.contains(text, F.lit(w)) if len(w) > 2 else F.rlike(text, F.lit(rf"(^|[^a-z0-9]){w}([^a-z0-9]|$)")))
         return F.when(test, term)
 
     rows = parsed(entities).filter(F.length("qualifiedName") > 0)
@@ -112,9 +114,9 @@ def link_terms(
     return _first_assets(pairs, first)
 
 
-def _first_assets(pairs: DataFrame, first: int) -> DataFrame:
+def _first_assets(pairs: DataFrame, first: int | None) -> DataFrame:
     from pyspark.sql import Window
 
     by_name = Window.partitionBy("term").orderBy("asset")
     ranked = pairs.withColumn("position", F.row_number().over(by_name))
-    return ranked.filter(F.col("position") <= first)
+    return ranked if first is None else ranked.filter(F.col("position") <= first)

@@ -10,22 +10,6 @@ from pyspark.sql import functions as F
 from tierworks.session import cut_lineage
 
 
-def broadcast_limit(df: DataFrame) -> int:
-    text = df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    units = {"b": 1, "kb": 2**10, "k": 2**10, "mb": 2**20, "m": 2**20, "gb": 2**30, "g": 2**30}
-    digits = text.strip().lower().rstrip("bkmg")
-    return int(digits) * units.get(text.strip().lower()[len(digits):], 1)
-
-
-def fits_broadcast(df: DataFrame) -> bool:
-    """Whether Catalyst's size estimate of the table is below the session's broadcast threshold."""
-    limit = broadcast_limit(df)
-    if limit <= 0:
-        return False
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return int(size.toString() if hasattr(size, "toString") else str(size)) <= limit
-
-
 def lookup(df: DataFrame, ref: DataFrame, key: str | Sequence[str], how: str = "left") -> DataFrame:
     """Join a reference table by key.
 
@@ -62,23 +46,20 @@ def sum_by_attribute(
 ) -> DataFrame:
     """Sum measures of ``df`` by attributes that live in ``ref``.
 
-    With a reference small enough to broadcast, rows meet it in the scan's own stage.
-    Beyond that, rows are summed per key before anything is joined, so a key with a
-    third of the rows crosses the network as one partial row per task.
+    Rows are summed per key before anything is joined, so a key with a third of the rows
+    crosses the network as one partial row per task.
     """
     wanted = ref.select(key, *attributes)
     sums = [F.sum(F.col(m)).alias(m) for m in measures]
-    rows = df.select(key, *dims, *[c.alias(m) for m, c in measures.items()])
-    if not fits_broadcast(wanted):
-        rows = rows.groupBy(key, *dims).agg(*sums)
+    rows = df.select(key, *dims, *[c.alias(m) for m, c in measures.items()]).groupBy(key, *dims).agg(*sums)
     return rows.join(wanted, key, how).groupBy(*attributes, *dims).agg(*sums)
 
 
 def matched_pairs(left: DataFrame, right: DataFrame, key: str, name: str = "cnt") -> DataFrame:
-    """Per key, how many row pairs an inner join would produce, without producing them."""
+    """Per key, how many row pairs an inner join would produce (a decimal), without producing them."""
     a = left.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("__l"))
     b = right.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("__r"))
-    return a.join(b, key).select(key, (F.col("__l") * F.col("__r")).alias(name))
+    return a.join(b, key).select(key, (F.col("__l").cast("decimal(19,0)") * F.col("__r").cast("decimal(19,0)")).cast("decimal(38,0)").alias(name))
 
 
 def orphan_keys(fact: DataFrame, dim: DataFrame, key: str, dim_key: str | None = None) -> DataFrame:

@@ -15,13 +15,6 @@ from tierworks.operators.joins import lookup, orphan_keys
 # How a measure may be rolled up.
 ADDITIVE, SEMI_ADDITIVE, NON_ADDITIVE = "additive", "semi-additive", "non-additive"
 
-# Hierarchies, most detailed level first.
-HIERARCHIES = {
-    "waktu": ("bulan", "triwulan", "semester", "tahun"),
-    "organisasi": ("prodi", "fakultas", "institusi"),
-}
-
-
 def dice(df: DataFrame, **equal) -> DataFrame:
     """Rows where every named column has the value given (one column: a slice)."""
     return df.filter(reduce(and_, [F.col(c) == F.lit(v) for c, v in equal.items()]))
@@ -107,7 +100,7 @@ def check_star(fact: DataFrame, dim: DataFrame, key: str) -> DataFrame:
     facts = both.agg(
         F.coalesce(F.sum("nf"), F.lit(0)).alias("n_fact"),
         F.coalesce(F.sum("nd"), F.lit(0)).alias("n_dim"),
-        F.coalesce(F.sum(F.col("nf") * F.col("nd")), F.lit(0)).alias("n_join"),
+        F.coalesce(F.sum(F.col("nf").cast("decimal(19,0)") * F.col("nd").cast("decimal(19,0)")), F.lit(0)).alias("n_join"),
         F.min(F.when(in_fact, F.col("k"))).alias("min_fact_key"),
         F.max(F.when(in_fact, F.col("k"))).alias("max_fact_key"),
         F.min(F.when(in_dim, F.col("k"))).alias("min_dim_key"),
@@ -115,7 +108,7 @@ def check_star(fact: DataFrame, dim: DataFrame, key: str) -> DataFrame:
         F.count_if(in_fact & ~in_dim & F.col("k").isNotNull()).alias("n_orphan_keys"),
     )
     checks = F.array(
-        *[F.struct(F.lit(c).alias("check"), F.col(c).cast("bigint").alias("value")) for c in facts.columns]
+        *[F.struct(F.lit(c).alias("check"), F.col(c).cast("decimal(38,0)").alias("value")) for c in facts.columns]
     )
     return facts.select(F.explode(checks).alias("r")).select("r.check", "r.value")
 
@@ -146,6 +139,6 @@ def filtered(df: DataFrame, test: Column, *order: Column | str) -> DataFrame:
 
 
 __all__ = [
-    "ADDITIVE", "HIERARCHIES", "NON_ADDITIVE", "SEMI_ADDITIVE", "against_overall", "census", "check_star", "dice",
+    "ADDITIVE", "NON_ADDITIVE", "SEMI_ADDITIVE", "against_overall", "census", "check_star", "dice",
     "filtered", "key_range", "orphan_keys", "parity", "pivot", "rollup", "rollup_share", "star",
 ]

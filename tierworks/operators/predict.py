@@ -58,18 +58,18 @@ def write_features(df: DataFrame, path: str) -> str:
 
 
 def forecast_drift(
-    df: DataFrame, year: str, value: str, step: float = 1.5, cap: float = 100.0, horizon: int = 3, first: int = 10
+    df: DataFrame, year: str, value: str, step: float = 1.5, cap: float = 100.0, horizon: int = 3, first: int | None = None
 ) -> DataFrame:
-    """Mean value of the first years, then a forecast that rises by ``step`` a year up to ``cap``.
+    """Mean value of every year, then a forecast from the newest that rises by ``step`` a year up to ``cap``.
 
-    At most ``first`` rows are left when the last year is looked up.
+    With ``first`` only so many of the oldest years count.
     """
     actual = (
         df.groupBy(F.col(year).cast("int").alias("tahun"))
         .agg((F.sum(F.col(value).cast("decimal(28,4)")).cast("double") / F.count(value)).alias("v"))
-        .orderBy("tahun")
-        .limit(first)
     )
+    if first is not None:
+        actual = actual.orderBy("tahun").limit(first)
     last = actual.agg(F.max("tahun").alias("tahun"), F.max_by("v", "tahun").alias("v")).filter("tahun IS NOT NULL")
     ahead = last.select("tahun", "v", F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("i")).select(
         (F.col("tahun") + F.col("i")).alias("tahun"),
@@ -164,12 +164,20 @@ def split_by_class(df: DataFrame, key: Sequence[str], train: float = 0.8, seed:
     return df.withColumn("is_train", draw < int(train * 10_000))
 
 
+def _complete(columns: Sequence[str]) -> Column:
+    """Whether every one of the columns has a value."""
+    known = F.lit(True)
+    for c in columns:
+        known = known & F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
+    return known
+
+
 def _vector(df: DataFrame, columns: Sequence[str], out: str = "features") -> DataFrame:
-    return VectorAssembler(inputCols=list(columns), outputCol=out, handleInvalid="skip").transform(df)
+    return VectorAssembler(inputCols=list(columns), outputCol=out, handleInvalid="keep").transform(df)
 
 
 def train_risk(df: DataFrame, columns: Sequence[str], label: str, trees: int = 50, seed: int = 42) -> RandomForestClassificationModel:
-    """Random forest over the training rows (all rows if none are marked).
+    """Random forest over the complete training rows (all complete rows if none are marked).
 
     The forest reads its rows several times: give it a stored feature table.
     """
@@ -179,19 +187,29 @@ def train_risk(df: DataFrame, columns: Sequence[str], label: str, trees: int = 5
     forest = RandomForestClassifier(
         featuresCol="features", labelCol=label, numTrees=trees, seed=seed, maxDepth=5, cacheNodeIds=False
     )
-    return forest.fit(_vector(rows, columns))
+    return forest.fit(_vector(rows.filter(_complete(columns)), columns))
 
 
 def score_risk(model: RandomForestClassificationModel, df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Probability of a miss as a score from 0 to 100, and the class it implies."""
+    """Probability of a miss as a score from 0 to 100, and the class it implies.
+
+    Every row is kept. A row that lacks a feature has no score and no class, and ``unscored`` names the first
+    feature it lacks.
+    """
     scored = model.transform(_vector(df, columns))
     share = F.element_at(vector_to_array("probability"), 2) if model.numClasses > 1 else F.lit(0.0)
-    return scored.withColumn("risk_score", F.round(share * 100, 2)).drop("features", "rawPrediction")
+    lacking = F.coalesce(*[F.when(~_complete([c]), F.lit(c)) for c in columns])
+    return (
+        scored.withColumn("unscored", lacking)
+        .withColumn("risk_score", F.when(F.col("unscored").isNull(), F.round(share * 100, 2)))
+        .withColumn("prediction", F.when(F.col("unscored").isNull(), F.col("prediction")))
+        .drop("features", "rawPrediction")
+    )
 
 
 def class_metrics(scored: DataFrame, label: str) -> dict[str, float]:
-    """Accuracy, macro F1, precision, recall and ROC-AUC measured on the scored rows."""
-    rows = scored.filter(F.col(label).isNotNull()).withColumn(label, F.col(label).cast("double"))
+    """Accuracy, macro F1, precision, recall and exact ROC-AUC measured on the rows with a label and a score."""
+    rows = scored.filter(F.col(label).isNotNull() & F.col("risk_score").isNotNull()).withColumn(label, F.col(label).cast("double"))
     per_class = confusion(rows, label)
     counts = per_class.groupBy("label").agg(
         F.sum("n").alias("actual"), F.sum(F.when(F.col("label") == F.col("prediction"), F.col("n")).otherwise(0)).alias("hit")
@@ -209,7 +227,7 @@ def class_metrics(scored: DataFrame, label: str) -> dict[str, float]:
         )
         .first()
     )
-    auc = BinaryClassificationEvaluator(labelCol=label, rawPredictionCol="risk_score", metricName="areaUnderROC")
+    auc = BinaryClassificationEvaluator(labelCol=label, rawPredictionCol="risk_score", metricName="areaUnderROC", numBins=0)
     return {**{k: float(v) for k, v in row.asDict().items() if v is not None}, "roc_auc": float(auc.evaluate(rows))}
 
 
@@ -219,21 +237,38 @@ def confusion(scored: DataFrame, label: str) -> DataFrame:
     )
 
 
-def opportunity(df: DataFrame, unit: str, columns: Sequence[str], k: int = 3, seed: int = 42) -> tuple[DataFrame, float]:
+def opportunity(
+    df: DataFrame, unit: str, columns: Sequence[str], ks: Sequence[int] = (3, 4, 5), seed: int = 42
+) -> tuple[DataFrame, dict[int, float]]:
     """Min-max scaled KPI vectors clustered by k-means; score 100 at the best corner, 0 at the worst.
 
-    Returns the scored units and the silhouette of the clustering. Scaling, clustering
-    and the silhouette each pass over the vectors, so these are computed once and kept
-    in the shared folder.
+    Returns the scored units and the silhouette of each number of clusters tried; the best one (of equals the
+    smallest) makes the clusters. Units that lack a KPI stay, without a cluster and a score. Scaling, clustering
+    and the silhouette each pass over the vectors, so these are computed once and kept in the shared folder.
     """
-    vectors = _vector(cut_lineage(df.select(unit, *columns).dropna()), columns, "raw")
+    units = cut_lineage(df.select(unit, *columns))
+    vectors = _vector(units.filter(_complete(columns)), columns, "raw")
+    n = vectors.count()
+    rest = units.filter(~_complete(columns)).withColumns(
+        {"cluster": F.lit(None).cast("int"), "opportunity_score": F.lit(None).cast("double")}
+    )
+    if not n:
+        return rest, {}
     scaled = MinMaxScaler(inputCol="raw", outputCol="features").fit(vectors).transform(vectors)
-    model = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster").fit(scaled)
-    placed = model.transform(scaled)
-    quality = ClusteringEvaluator(featuresCol="features", predictionCol="cluster").evaluate(placed)
+    quality, best = {}, None
+    for k in sorted(ks):
+        if k >= n:
+            continue
+        placed = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster").fit(scaled).transform(scaled)
+        # without a second cluster there is no silhouette
+        found = placed.agg(F.count_distinct("cluster")).first()[0]
+        quality[k] = float(ClusteringEvaluator(featuresCol="features", predictionCol="cluster").evaluate(placed)) if found > 1 else -1.0
+        if best is None or quality[k] > quality[best[0]]:
+            best = (k, placed)
+    placed = best[1] if best else scaled.withColumn("cluster", F.lit(0))
     gap = F.aggregate(vector_to_array("features"), F.lit(0.0), lambda acc, x: acc + (1 - x) * (1 - x))
     score = half_up(100 * (1 - F.sqrt(gap / len(columns))), 2)
-    return placed.select(unit, *columns, "cluster", score.alias("opportunity_score")), float(quality)
+    return placed.select(unit, *columns, "cluster", score.alias("opportunity_score")).unionByName(rest), quality
 
 
 def anomaly_z(df: DataFrame, metric: str, value: str, limit: float = 3.0) -> DataFrame:
@@ -241,20 +276,15 @@ def anomaly_z(df: DataFrame, metric: str, value: str, limit: float = 3.0) -> Dat
 
     The statistics are one row per metric, computed first and joined back to the rows.
     """
-    v = F.col(value).cast("decimal(18,4)")
-    stats = df.groupBy(metric).agg(
-        F.count(F.col(value)).alias("__n"),
-        F.sum(v).cast("double").alias("__s"),
-        F.sum((v * v).cast("decimal(38,8)")).cast("double").alias("__q"),
-    )
-    mean = F.col("__s") / F.col("__n")
-    spread = F.sqrt(F.greatest((F.col("__q") - F.col("__s") * mean) / F.col("__n"), F.lit(0.0)))
+    v = F.col(value).cast("double")
+    stats = df.groupBy(metric).agg(F.avg(v).alias("__mean"), F.stddev_pop(v).alias("__spread"))
+    mean, spread = F.col("__mean"), F.col("__spread")
     z = F.when(spread > 0, (F.col(value) - mean) / spread).otherwise(0.0)
     return (
         join_group_stats(df, stats, [metric])
         .withColumn("z", half_up(z, 4))
         .withColumn("is_anomaly", (F.abs("z") > limit).cast("int"))
-        .drop("__n", "__s", "__q")
+        .drop("__mean", "__spread")
     )
 
 

@@ -11,20 +11,18 @@ from pyspark.sql import types as T
 
 from tierworks.functions import blank, mean_of, percent
 
-LONG_TEXT = 64
-
-
 def _as_text(field: T.StructField) -> Column:
-    """Equal values give equal text. Long text is replaced by its digest to keep the shuffle narrow."""
+    """Equal values give equal text; text and nested values are replaced by digests to keep the shuffle narrow."""
     value = F.col(f"`{field.name}`")
     if isinstance(field.dataType, (T.FloatType, T.DoubleType)):
         return (value + F.lit(0.0)).cast("string")
     if isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)):
-        value = F.to_json(F.struct(value))
-    value = value.cast("string")
-    digest = F.concat(F.lit("sha256:"), F.sha2(value, 256))
-    # A blank value keeps its own text, whatever its length.
-    return F.when((F.length(value) > LONG_TEXT) & (F.length(F.trim(value)) > 0), digest).otherwise(value)
+        return F.when(value.isNotNull(), F.sha2(F.to_json(F.struct(value)), 256))
+    text = value.cast("string")
+    if not isinstance(field.dataType, (T.StringType, T.BinaryType)):
+        return text
+    # a blank value keeps its own text, as it counts as missing
+    return F.when(F.length(F.trim(text)) > 0, F.sha2(text, 256)).otherwise(text)
 
 
 def columns(df: DataFrame, name: str, blank_is_value: bool = False, approx: bool = False) -> DataFrame:

@@ -10,8 +10,22 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def _sortable(field: T.StructField) -> bool:
-    return not isinstance(field.dataType, (T.MapType, T.VariantType))
+def _sortable(kind: T.DataType) -> bool:
+    if isinstance(kind, T.StructType):
+        return all(_sortable(f.dataType) for f in kind.fields)
+    if isinstance(kind, T.ArrayType):
+        return _sortable(kind.elementType)
+    return not isinstance(kind, (T.MapType, T.VariantType))
+
+
+def _tie(field: T.StructField) -> Column:
+    """A column to sort by; maps by their entries in key order, other values without an order by their JSON."""
+    value = F.col(f"`{field.name}`")
+    if _sortable(field.dataType):
+        return value
+    if isinstance(field.dataType, T.MapType):
+        return F.to_json(F.struct(F.map_from_entries(F.array_sort(F.map_entries(value))))) if _sortable(field.dataType.valueType) else F.to_json(F.struct(value))
+    return F.to_json(F.struct(value))
 
 
 def keep_one(df: DataFrame, keys: Sequence[str], order_by: Sequence[Column | str] = (), limit: int = 1) -> DataFrame:
@@ -21,8 +35,8 @@ def keep_one(df: DataFrame, keys: Sequence[str], order_by: Sequence[Column | str
     cuts each key to ``limit`` rows before the shuffle as well, so a key holding much
     of the table still sends a few rows per task.
     """
-    ties = [f.name for f in df.schema.fields if f.name not in keys and _sortable(f)]
-    order = [*order_by, *[F.col(f"`{c}`") for c in ties]] or [F.lit(1)]
+    ties = [_tie(f) for f in df.schema.fields if f.name not in keys]
+    order = [*order_by, *ties] or [F.lit(1)]
     spec = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn("__rank", F.row_number().over(spec)).filter(F.col("__rank") <= limit).drop("__rank")
 

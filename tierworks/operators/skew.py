@@ -77,17 +77,3 @@ def inject_skew(
     rest = F.col(key) if uniform is None else uniform
     hot_key = F.lit(hot).cast(df.schema[key].dataType)
     return df.withColumn(key, F.when(draw < int(share * 1_000_000), hot_key).otherwise(rest))
-
-
-# Counts that grow with the volume, and ratios that do not.
-RATIO_SETTINGS = (
-    "kegiatan_avg", "penelitian_avg", "pengabdian_avg", "lulusan_pct", "mbkm_pct", "default_skew_fraction",
-)
-
-
-def scale_volume(profile: dict[str, float], scale: float) -> dict[str, float]:
-    """Row targets of a volume profile times ``scale``; averages and percentages stay."""
-    return {
-        k: v if k in RATIO_SETTINGS else type(v)(v * scale)
-        for k, v in profile.items()
-    }

@@ -15,7 +15,7 @@ from tierworks.operators import gold, kpi, olap, quality, silver
 from tierworks.operators.joins import lookup, one_per_level
 from tierworks.operators.profile import union_all
 from tierworks.operators.shape import ensure_column, first_of_duplicate_columns
-from tierworks.plans.run import Spec, run_layer
+from tierworks.plans.run import new_run_id, run_layer, Spec
 from tierworks.sources import layer_name, literal_table, read_layer
 
 # KPI targets per year.
@@ -408,14 +408,15 @@ class Campus:
             self.spark, self.bronze, self.as_of, self.unknown_target, self.courses,
             stored=lambda name: read_layer(self.spark, layers[0], name, scenario),
         )
-        gold_run = run_layer(self.spark, layers[1], on_silver.gold_specs(), "silver_to_gold", scenario, location)
+        gold_id = new_run_id()
+        gold_run = run_layer(self.spark, layers[1], on_silver.gold_specs(), "silver_to_gold", scenario, location, run_id=gold_id)
         written = {
             fact: read_layer(self.spark, layers[1], fact, scenario)
             for _, _, fact, _ in RECAP_LINES
             if self.spark.catalog.tableExists(f"{layer_name(layers[1], scenario)}.{fact}")
         }
         recap = Spec("fact_rekap_iku_institusi", lambda _: self.recap(written), ["all_iku_facts"])
-        recap_run = run_layer(self.spark, layers[1], [recap], "silver_to_gold", scenario, location)
+        recap_run = run_layer(self.spark, layers[1], [recap], "silver_to_gold", scenario, location, run_id=gold_id)
         return silver_run.unionByName(gold_run).unionByName(recap_run)
 
 

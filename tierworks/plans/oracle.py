@@ -235,10 +235,16 @@ RECAP_YEAR = f"SELECT c.tahun, r.* FROM ({RECAP}) r JOIN ({CALENDAR}) c USING (w
 
 ORACLE["raw_scan"] = """SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, CAST(c_nationkey AS VARCHAR) AS c_nationkey,
     CAST(c_acctbal AS VARCHAR) AS c_acctbal, c_mktsegment FROM customer"""
+COLUMNS_OF = {
+    "region": 2, "nation": 3, "customer": 5, "supplier": 4, "part": 6, "orders": 6, "lineitem": 11, "events": 6,
+    "documents": 5, "embeddings": 3, "pages": 3, "benchmark": 2, "labels": 3, "conversations": 4,
+}
 ORACLE["table_row_counts"] = " UNION ALL ".join(
     f"SELECT '{t}' AS table_name, count(*) AS row_count, {n} AS column_count FROM {t}"
-    for t, n in (("region", 2), ("nation", 3), ("customer", 5), ("orders", 6), ("lineitem", 11), ("events", 6))
+    for t, n in COLUMNS_OF.items()
 )
+ORACLE["table_totals"] = f"""SELECT count(*) AS table_count, CAST(sum(row_count) AS BIGINT) AS total_rows, true AS size_adds_up
+    FROM ({ORACLE['table_row_counts']})"""
 ORACLE["layer_round_trip"] = "SELECT o_orderkey, o_orderstatus, o_orderstatus IN ('F','O') AS is_settled FROM orders"
 PARTY = """SELECT 'c-' || c_custkey AS id, c_name AS name, c_nationkey AS nationkey, c_acctbal AS acctbal, c_acctbal < 0 AS is_debtor,
     'customer' AS party_type FROM customer UNION ALL
@@ -385,7 +391,7 @@ ORACLE["fact_share_of_entities"] = KPI6_YEAR
 ORACLE["fact_budget"] = BUDGET
 ORACLE["fact_keys_unique"] = " UNION ALL ".join(
     f"SELECT count(*) AS n_rows, count(*) AS n_keys, '{n}' AS fact FROM ({q})"
-    for n, q in (("kpi1", KPI1), ("kpi3", KPI3), ("kpi5", KPI5), ("kpi7", KPI7), ("budget", BUDGET))
+    for n, q in (*((f"kpi{i}", FACT[f"KPI-{i}"][0]) for i in range(1, 9)), ("budget", BUDGET))
 )
 ORACLE["kpi_targets"] = f"""SELECT kpi, year, n_orders, target FROM (SELECT tahun AS year, count(*) AS n_orders FROM ({ORDER_YEARS}) GROUP BY 1)
     CROSS JOIN (SELECT unnest([{', '.join(lit(k) for k in TARGETS)}]) AS kpi)
@@ -457,7 +463,7 @@ ORACLE["star_diagnosis"] = """SELECT unnest(['n_fact','n_dim','n_join','min_fact
     (SELECT count(DISTINCT o_custkey) FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)) AS h)"""
 ORACLE["scenario_parity"] = f"SELECT unnest(['OFF','ON']) AS ctx, n, 0::BIGINT AS only_here FROM (SELECT count(*) AS n FROM ({KPI1}))"
 YEAR_MEANS = f"SELECT tahun, CAST(sum(CAST(nilai_capaian AS DECIMAL(28,4))) AS DOUBLE) / count(*) AS v FROM ({RECAP_YEAR}) GROUP BY 1"
-DRIFT = f"""WITH m AS MATERIALIZED (SELECT * FROM ({YEAR_MEANS}) ORDER BY tahun LIMIT 10)
+DRIFT = f"""WITH m AS MATERIALIZED (SELECT * FROM ({YEAR_MEANS}))
     SELECT tahun, {rnd('v', 6)} AS nilai_capaian, 0 AS is_forecast FROM m UNION ALL
     SELECT CAST(tahun + i AS INTEGER), {rnd('least(100::DOUBLE, v + i * 1.5::DOUBLE)', 2)}, 1 FROM (SELECT * FROM m ORDER BY tahun DESC LIMIT 1), (SELECT unnest([1, 2, 3]) AS i)"""
 ORACLE["v_forecast"] = f"SELECT tahun, nilai_capaian, CASE WHEN is_forecast = 1 THEN 'forecast' ELSE 'actual' END AS series_type FROM ({DRIFT})"
@@ -548,10 +554,28 @@ ORACLE["insight_long"] = f"""SELECT 'opportunity' AS section, event_type AS enti
     UNION ALL SELECT 'anomaly', event_type, 'rate', anomaly_rate_pct FROM ({RATE}) UNION ALL SELECT 'risk_score', CAST(nationkey AS VARCHAR), 'value', pct_met FROM ({KPI4})"""
 
 _vec = {"kpi1": (KPI1, "pct_settled"), "kpi3": (KPI3, "pct_met"), "kpi4": (KPI4, "pct_met"), "kpi7": (KPI7, "pct_met")}
-_means = " JOIN ".join(f"(SELECT nationkey, {mean(v)} AS {n} FROM ({f}) GROUP BY 1)" + ("" if n == "kpi1" else " USING (nationkey)") for n, (f, v) in _vec.items())
+_means = f"({NATION})" + "".join(f" LEFT JOIN (SELECT nationkey, {mean(v)} AS {n} FROM ({f}) GROUP BY 1) USING (nationkey)" for n, (f, v) in _vec.items())
+_whole = " AND ".join(f"{n} IS NOT NULL" for n in _vec)
 _scaled = " + ".join(f"power(1 - CASE WHEN hi_{n} > lo_{n} THEN ({n} - lo_{n}) / (hi_{n} - lo_{n}) ELSE 0.5 END, 2)" for n in _vec)
-ORACLE["opportunity_scores"] = f"""SELECT nationkey, {', '.join(_vec)}, {rnd(f'100 * (1 - sqrt(({_scaled}) / {len(_vec)}))', 2)} AS opportunity_score
-    FROM ({'SELECT * FROM ' + _means}), (SELECT {', '.join(f'min({n}) AS lo_{n}, max({n}) AS hi_{n}' for n in _vec)} FROM ({'SELECT * FROM ' + _means}))"""
+ORACLE["opportunity_scores"] = f"""SELECT nationkey, {', '.join(_vec)}, CASE WHEN {_whole} THEN {rnd(f'100 * (1 - sqrt(({_scaled}) / {len(_vec)}))', 2)} END AS opportunity_score
+    FROM (SELECT nationkey, {', '.join(_vec)} FROM {_means}), (SELECT {', '.join(f'min({n}) AS lo_{n}, max({n}) AS hi_{n}' for n in _vec)} FROM {_means} WHERE {_whole})"""
+
+RISK = f"""SELECT c_custkey, c_acctbal, coalesce(n, 0) AS n_orders, coalesce(n_pressing, 0) AS n_pressing, coalesce(spent, 0) AS spent,
+    CAST(settled < 66 AS INTEGER) AS risk_label FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n, count(*) FILTER (WHERE o_orderpriority IN ('1-URGENT', '2-HIGH')) AS n_pressing,
+    CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS spent, {pct("count(*) FILTER (WHERE o_orderstatus IN ('F', 'O'))", 'count(*)')} AS settled FROM orders GROUP BY 1) ON o_custkey = c_custkey"""
+ORACLE["risk_features"] = RISK
+ORACLE["risk_coverage"] = f"""SELECT count(*) AS n_customers, count(risk_label) AS n_labelled, count(*) FILTER (WHERE c_acctbal IS NULL) AS n_unscored, CAST(0 AS BIGINT) AS n_out_of_range FROM ({RISK})"""
+RULE = f"""SELECT risk_label AS label, score, CAST(score >= 40 AS INTEGER) AS prediction FROM (SELECT risk_label, {pct('n_pressing', 'n_orders')} AS score FROM ({RISK}) WHERE risk_label IS NOT NULL)"""
+ORACLE["rule_confusion"] = f"SELECT label, prediction, count(*) AS n FROM ({RULE}) GROUP BY 1, 2"
+_cell = f"""SELECT k, count(*) FILTER (WHERE label = k) AS actual, count(*) FILTER (WHERE prediction = k) AS guessed, count(*) FILTER (WHERE label = k AND prediction = k) AS hit
+    FROM ({RULE}), (SELECT unnest([0, 1]) AS k) GROUP BY 1 HAVING count(*) FILTER (WHERE label = k OR prediction = k) > 0"""
+_per = f"""SELECT *, CASE WHEN guessed > 0 THEN hit / guessed ELSE 0 END AS pr, CASE WHEN actual > 0 THEN hit / actual ELSE 0 END AS re FROM ({_cell})"""
+_auc = f"""SELECT sum(pos * (below + neg / 2)) / (sum(pos) * sum(neg)) AS auc FROM (SELECT pos, neg, coalesce(sum(neg) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below
+    FROM (SELECT score, CAST(count(*) FILTER (WHERE label = 1) AS DOUBLE) AS pos, CAST(count(*) FILTER (WHERE label = 0) AS DOUBLE) AS neg FROM ({RULE}) GROUP BY 1))"""
+_scores = f"""SELECT sum(hit) / sum(actual) AS accuracy, avg(CASE WHEN hit > 0 THEN 2 * pr * re / (pr + re) ELSE 0 END) AS f1_macro, avg(pr) AS precision, avg(re) AS recall FROM ({_per})"""
+ORACLE["rule_metrics"] = " UNION ALL ".join(
+    f"SELECT 'rule' AS model, '{m}' AS metric, {rnd(m, 6)} AS value FROM ({_scores})" for m in ("accuracy", "f1_macro", "precision", "recall")
+) + f" UNION ALL SELECT 'rule', 'roc_auc', {rnd('auc', 6)} FROM ({_auc})"
 
 # ---- catalog ----------------------------------------------------------------------
 
@@ -692,12 +716,13 @@ TEXT = "lower(concat_ws(' ', qn, tbl, descr, coalesce(declared, ''), array_to_st
 
 def linked(term: str) -> str:
     words = assets.LINK_ALIASES.get(term.lower(), (term.lower(),))
-    tests = " OR ".join(f"contains({TEXT}, {lit(w)})" for w in words if len(w) > 2) or "false"
+    short = "regexp_matches({}, '(^|[^a-z0-9]){}([^a-z0-9]|$)')"
+    tests = " OR ".join(f"contains({TEXT}, {lit(w)})" if len(w) > 2 else short.format(TEXT, w) for w in words)
     return f"SELECT {lit(term)} AS term, qn AS asset FROM ({ASSETS}) WHERE {tests}"
 
 
 ORACLE["glossary_links"] = f"""SELECT term, asset, CAST(position AS INTEGER) AS position FROM (SELECT *, row_number() OVER (PARTITION BY term ORDER BY asset) AS position
-    FROM ({' UNION ALL '.join(linked(t) for t in assets.LINK_TERMS)})) WHERE position <= 6"""
+    FROM ({' UNION ALL '.join(linked(t) for t in assets.LINK_TERMS)}))"""
 CARDS = ", ".join(f"({lit(c)}, {lit(n)}, {lit(f)}, CAST({g} AS DOUBLE))" for c, (n, f, g) in assets.KPI_CARDS.items())
 ORACLE["kpi_cards"] = f"""SELECT code, kpi_name, fact, qn IS NOT NULL AS registered, coalesce(row_count_, 0) AS row_count, CASE WHEN kpi_code IS NOT NULL THEN n_chars / 100.0::DOUBLE END AS value,
     CASE WHEN kpi_code IS NOT NULL AND doc_id % 2 = 0 THEN 50.0::DOUBLE ELSE goal END AS target, NULL::VARCHAR AS status, CASE WHEN code = 'KPI-5' THEN 'Rasio' ELSE '%' END AS unit,

@@ -17,7 +17,7 @@ from tierworks.plans.commerce import KPI_NAMES, TARGETS, TOPICS, Commerce
 from tierworks.session import new_work_path
 from tierworks.sources import append_batch, literal_table, read_layer, staging_inventory, write_layer
 from tierworks.sources.formats import format_comparison
-from tierworks.sources.raw import read_raw_csv
+from tierworks.sources.raw import PARQUET_TABLES, inventory_totals, read_raw_csv
 from tierworks.streaming import ingest_new_files
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -51,8 +51,15 @@ def raw_scan(c):
 
 @query
 def table_row_counts(c):
-    inventory = staging_inventory({n: c[n] for n in ("region", "nation", "customer", "orders", "lineitem", "events")})
-    return inventory.select("table_name", "row_count", "column_count")
+    return staging_inventory({n: c[n] for n in PARQUET_TABLES}).select("table_name", "row_count", "column_count")
+
+
+@query
+def table_totals(c):
+    """All staged tables in one row; the size is checked to be the sum of the tables' sizes."""
+    inventory = staging_inventory({n: c[n] for n in PARQUET_TABLES})
+    mb = F.round(inventory.agg(F.sum("size_bytes")).scalar() / (1024 * 1024), 2)
+    return inventory_totals(inventory).select("table_count", "total_rows", (F.col("total_size_mb") == mb).alias("size_adds_up"))
 
 
 @query
@@ -477,7 +484,10 @@ def fact_budget(c):
 @query
 def fact_keys_unique(c):
     """Rows and distinct surrogate keys of each fact."""
-    facts = {"kpi1": c.fact_kpi1(), "kpi3": c.fact_kpi3(), "kpi5": c.fact_kpi5(), "kpi7": c.fact_kpi7(), "budget": c.fact_budget()}
+    facts = {
+        "kpi1": c.fact_kpi1(), "kpi2": c.fact_kpi2(), "kpi3": c.fact_kpi3(), "kpi4": c.fact_kpi4(), "kpi5": c.fact_kpi5(),
+        "kpi6": c.fact_kpi6(), "kpi7": c.fact_kpi7(), "kpi8": c.fact_kpi8(), "budget": c.fact_budget(),
+    }
     return union(*[
         f.agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("fact_id").alias("n_keys")).withColumn("fact", F.lit(n))
         for n, f in facts.items()
@@ -631,7 +641,8 @@ def key_range(c):
 
 @query
 def star_diagnosis(c):
-    return olap.check_star(c["orders"].select("o_custkey"), c["customer"].select(F.col("c_custkey").alias("o_custkey")), "o_custkey")
+    checks = olap.check_star(c["orders"].select("o_custkey"), c["customer"].select(F.col("c_custkey").alias("o_custkey")), "o_custkey")
+    return checks.withColumn("value", F.col("value").cast("bigint"))
 
 
 @query
@@ -673,7 +684,7 @@ def _nation_keys(c: Commerce) -> tuple[DataFrame, DataFrame]:
 @query
 def w1_skew_join(c):
     """Rows a many-to-many join on the nation would yield, per nation, from the two counts."""
-    return matched_pairs(*_nation_keys(c), "nationkey")
+    return matched_pairs(*_nation_keys(c), "nationkey").withColumn("cnt", F.col("cnt").cast("bigint"))
 
 
 @query
@@ -812,7 +823,9 @@ RISK_COLUMNS = ["c_acctbal", "n_orders", "n_pressing", "spent"]
 
 
 def _risk_rows(c: Commerce) -> DataFrame:
-    """Customers with features from their orders, and whether they settled less than the target share.
+    """Every customer with features from their orders, and whether they settled less than the target share.
+
+    A customer without orders has zero counts and no label.
 
     Kept as a feature table: training and scoring read it several times.
     """
@@ -823,7 +836,8 @@ def _risk_rows(c: Commerce) -> DataFrame:
         F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("spent"),
         percent(F.count_if(status.isin("F", "O")), F.count(F.lit(1))).alias("pct_settled"),
     )
-    rows = lookup(c["customer"].select("c_custkey", "c_nationkey", "c_acctbal"), per, "c_custkey", "inner")
+    rows = lookup(c["customer"].select("c_custkey", "c_nationkey", "c_acctbal"), per, "c_custkey")
+    rows = rows.fillna(0, ["n_orders", "n_pressing"]).fillna(0.0, ["spent"])
     rows = rows.withColumn("risk_label", predict.risk_label("pct_settled", F.lit(66.0)))
     rows = predict.split_by_class(rows, ["c_custkey"])
     return c.spark.read.parquet(predict.write_features(rows, new_work_path(c.spark, "risk-features")))
@@ -837,6 +851,40 @@ def risk_scores(c):
     return predict.score_risk(model, rows, RISK_COLUMNS).select("c_custkey", "c_nationkey", "risk_label", "risk_score", "is_train")
 
 
+@query
+def risk_features(c):
+    """What the risk model sees: features and label of every customer."""
+    return _risk_rows(c).select("c_custkey", *RISK_COLUMNS, "risk_label")
+
+
+@query
+def risk_coverage(c):
+    """Customers, labelled ones, and scores of the model that are missing or out of range."""
+    return risk_scores(c).agg(
+        F.count(F.lit(1)).alias("n_customers"), F.count("risk_label").alias("n_labelled"),
+        F.count_if(F.col("risk_score").isNull()).alias("n_unscored"), F.count_if(~F.col("risk_score").between(0, 100)).alias("n_out_of_range"),
+    )
+
+
+def _by_rule(c: Commerce) -> DataFrame:
+    """The labelled customers with a score that is no model's: the share of their pressing orders."""
+    rows = _risk_rows(c).filter("risk_label IS NOT NULL")
+    rows = rows.withColumn("risk_score", percent("n_pressing", "n_orders"))
+    return rows.withColumn("prediction", (F.col("risk_score") >= 40).cast("double"))
+
+
+@query
+def rule_metrics(c):
+    """The metrics of a fixed score, so that each has a counterpart in SQL."""
+    measured = predict.class_metrics(_by_rule(c), "risk_label")
+    return predict.catalog_of_models(c.spark, {"rule": measured}).withColumn("value", half_up("value", 6))
+
+
+@query
+def rule_confusion(c):
+    return predict.confusion(_by_rule(c), "risk_label")
+
+
 @query
 def class_metrics(c):
     rows = _risk_rows(c)
@@ -860,26 +908,34 @@ def v_risk(c):
     return lookup(per, c.dim_nation(), "nationkey").select("nationkey", "nation", "region", "risk_score").orderBy(F.desc("risk_score"), "nationkey")
 
 
-def _opportunity(c: Commerce) -> DataFrame:
+def _opportunity(c: Commerce) -> tuple[DataFrame, dict[int, float]]:
     per = {
         "kpi1": (c.fact_kpi1(), "pct_settled"), "kpi3": (c.fact_kpi3(), "pct_met"),
         "kpi4": (c.fact_kpi4(), "pct_met"), "kpi7": (c.fact_kpi7(), "pct_met"),
     }
     means = [f.groupBy("nationkey").agg(mean_of(v).alias(n)) for n, (f, v) in per.items()]
-    vectors = reduce(lambda a, b: a.join(b, "nationkey"), means)
-    return predict.opportunity(vectors, "nationkey", list(per))[0]
+    vectors = reduce(lambda a, b: a.join(b, "nationkey", "left"), means, c.dim_nation().select("nationkey"))
+    return predict.opportunity(vectors, "nationkey", list(per))
 
 
 @query
 def opportunity_scores(c):
     """The score alone: distance of the scaled KPI vector from the best corner."""
-    return _opportunity(c).drop("cluster")
+    return _opportunity(c)[0].drop("cluster")
+
+
+@query
+def cluster_quality(c):
+    """Silhouette of each number of clusters tried, and the one chosen."""
+    quality = _opportunity(c)[1]
+    best = max(quality, key=lambda k: (quality[k], -k), default=None)
+    return literal_table(c.spark, [(k, q, k == best) for k, q in quality.items()], "k int, silhouette double, chosen boolean")
 
 
 @query
 def v_opportunity(c):
     """Nations clustered by their KPI values and scored."""
-    rows = lookup(_opportunity(c), c.dim_nation(), "nationkey", "inner")
+    rows = lookup(_opportunity(c)[0], c.dim_nation(), "nationkey", "inner")
     return rows.select("nationkey", "nation", "region", "cluster", "opportunity_score").orderBy(F.desc("opportunity_score"), "nationkey")
 
 

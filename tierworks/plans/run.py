@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from py4j.protocol import Py4JError
 from pyspark.errors import PySparkException
@@ -19,17 +20,21 @@ class RejectedSource(RuntimeError):
 
 @dataclass(frozen=True)
 class Spec:
-    """A table to build: its name, what builds it, its sources, the steps applied, and the one-row quality
-    score of the sources that decides whether it is written."""
+    """A table to build: its name, what builds it, its sources, and the one-row quality score of the sources
+    that decides whether it is written."""
 
     name: str
     build: Callable[[SparkSession], DataFrame]
     sources: Sequence[str] = ()
     score: DataFrame | None = None
-    transformations: Sequence[str] = field(default_factory=tuple)
     partition_by: Sequence[str] = ()
 
 
+def new_run_id(track: str = "metadata") -> str:
+    """Sorts by time; runs of one second differ by their suffix."""
+    return f"{track}_{ledger.now():%Y%m%dT%H%M%S}_{uuid.uuid4().hex[:12]}"
+
+
 def run_layer(
     spark: SparkSession,
     layer: str,
@@ -39,14 +44,17 @@ def run_layer(
     location: str | None = None,
     track: str = "metadata",
     suffix: str = "",
+    run_id: str | None = None,
 ) -> DataFrame:
     """Write every table and return one ledger entry per table.
 
+    Parts of one pipeline's run share a ``run_id`` (see :func:`new_run_id`); without one the call is a run.
+
     The rows are counted on the written table, whose file footers hold the answer, so
     each table is computed once.
     """
     entries = []
-    run_id = f"{track}_{ledger.now():%Y%m%dT%H%M%S}"
+    run_id = run_id or new_run_id(track)
     for spec in specs:
         started = ledger.now()
         rows, error = None, None
