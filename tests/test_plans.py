@@ -2,14 +2,14 @@
 
 import pytest
 
-from tierworks.plans.commerce import Commerce
+from tierworks.plans.commerce import Commerce, StoredGold
 from tierworks.plans.registry import QUERIES
 
 # These write tables or train models when they are built; their plans only read the result.
 EAGER = {
     "raw_scan", "layer_round_trip", "append_union", "stream_append", "format_round_trip", "features_sink", "run_layer_report",
     "scenario_parity", "timed_workloads", "ml_preflight", "risk_scores", "class_metrics", "confusion_matrix", "v_risk",
-    "v_opportunity", "opportunity_scores",
+    "v_opportunity", "opportunity_scores", "cluster_quality", "risk_features", "risk_coverage", "rule_metrics", "rule_confusion",
 }
 # The only unpartitioned window runs over the histogram of key counts.
 ONE_PARTITION_WINDOW = {"key_skew", "silver_run_summary"}
@@ -61,3 +61,16 @@ def test_small_references_are_broadcast_and_large_ones_are_not(spark, sf):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
+
+
+SERVING = ["v_recap_year", "v_kpi_by_org_year", "pivot_year_kpi", "w4_fact_dim_join", "w5_recap_by_year", "w6_recap_status", "flagship", "forecast_drift"]
+
+
+@pytest.mark.parametrize("name", SERVING)
+def test_serving_reads_stored_gold(spark, sf, name):
+    """No serving query scans a raw table, and none writes when gold is there already."""
+    QUERIES[name](spark, sf)
+    before = dict(StoredGold.WRITTEN)
+    found = scans(QUERIES[name](spark, sf))
+    assert found and StoredGold.WRITTEN == before
+    assert not [line for line in found if f"{sf}/" in line]

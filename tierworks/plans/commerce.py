@@ -6,14 +6,17 @@ orders = graduate outcomes, lineitem = activity and budget, events = accreditati
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cached_property
+from typing import ClassVar
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tierworks.operators import gold, kpi, silver
 from tierworks.operators.joins import lookup, sum_by_attribute
-from tierworks.session import cut_lineage
+from tierworks.session import cut_lineage, new_work_path
 from tierworks.sources import read_tables
 
 # Targets per KPI and year; 1998 is left out, so a year without a target occurs.
@@ -344,3 +347,61 @@ def supplier_flags() -> dict[str, Column]:
         "is_solvent": F.col("s_acctbal") >= 0,
         "is_large": F.col("s_acctbal") >= 5000,
     }
+
+
+class StoredGold(Commerce):
+    """The same layers, the gold tables written once in an application and then only read.
+
+    A table is written to the shared folder when it is first asked for, from the facts' own plans; the recap is
+    made of the stored facts. Like any stored layer it shows the sources as they were when it was written;
+    ``forget`` starts over.
+    """
+
+    WRITTEN: ClassVar[dict[tuple[str, str, str], str]] = {}
+
+    def _stored(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        key = (self.spark.sparkContext.applicationId, self.directory, name)
+        if key in self.WRITTEN:
+            try:
+                return self.spark.read.parquet(self.WRITTEN[key])
+            except AnalysisException:  # the shared folder was cleared
+                del self.WRITTEN[key]
+        path = new_work_path(self.spark, f"gold-{name}")
+        build().write.parquet(path)
+        self.WRITTEN[key] = path
+        return self.spark.read.parquet(path)
+
+    def write_all(self) -> None:
+        """Write every gold table that is not there yet."""
+        for name in GOLD_TABLES:
+            getattr(self, name)()
+        self.recap()
+
+    @classmethod
+    def forget(cls) -> None:
+        cls.WRITTEN.clear()
+
+    @cached_property
+    def supplier_year(self) -> DataFrame:
+        return self._stored("supplier_year", lambda: Commerce(self.spark, self.directory).supplier_year)
+
+    def recap(self) -> DataFrame:
+        return self._stored("recap", lambda: kpi.recap(self.spark, self.indicators(), TARGETS, YEARS, FALLBACK_YEAR))
+
+
+def _read_stored(name: str) -> None:
+    """Give StoredGold a method that reads the table; a call with options other than the defaults builds it."""
+    build = getattr(Commerce, name)
+
+    def method(self: StoredGold, *args, **options) -> DataFrame:
+        if args or options:
+            return build(self, *args, **options)
+        return self._stored(name, lambda: build(self))
+
+    method.__doc__ = build.__doc__
+    setattr(StoredGold, name, method)
+
+
+GOLD_TABLES = ("dim_calendar", "dim_nation", "dim_supplier", "dim_customer", "fact_budget", *(f"fact_kpi{i}" for i in range(1, 9)))
+for _name in GOLD_TABLES:
+    _read_stored(_name)

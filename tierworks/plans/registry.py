@@ -13,7 +13,7 @@ from tierworks.operators import catalog, glossary, kpi, ledger, lineage, olap, p
 from tierworks.operators.joins import lookup, matched_pairs, one_per_level, orphan_keys
 from tierworks.operators.shape import ensure_column, first_of_duplicate_columns, keep_one, sample_rows
 from tierworks.plans import assets
-from tierworks.plans.commerce import KPI_NAMES, TARGETS, TOPICS, Commerce
+from tierworks.plans.commerce import KPI_NAMES, TARGETS, TOPICS, Commerce, StoredGold
 from tierworks.session import new_work_path
 from tierworks.sources import append_batch, literal_table, read_layer, staging_inventory, write_layer
 from tierworks.sources.formats import format_comparison
@@ -30,6 +30,12 @@ def query(fn: Callable[[Commerce], DataFrame]) -> Callable[[Commerce], DataFrame
     return fn
 
 
+def serving(fn: Callable[[Commerce], DataFrame]) -> Callable[[Commerce], DataFrame]:
+    """Register a function that reads stored gold tables."""
+    QUERIES[fn.__name__] = lambda spark, directory: fn(StoredGold(spark, directory))
+    return fn
+
+
 def union(*parts: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
@@ -101,7 +107,7 @@ def format_round_trip(c):
     return report.select("format", "read_row_count", (F.col("size_bytes") > 0).alias("has_bytes"))
 
 
-@query
+@serving
 def features_sink(c):
     path = predict.write_features(predict.features(c.recap(), c.dim_calendar()), new_work_path(c.spark, "features"))
     return c.spark.read.parquet(path)
@@ -217,7 +223,7 @@ def quality_report(c):
     return quality.report(_scores(c))
 
 
-@query
+@serving
 def gold_profile(c):
     fact = c.fact_kpi1()
     dim = c.dim_nation()
@@ -313,7 +319,7 @@ def fact_activity_flags(c):
     )
 
 
-@query
+@serving
 def fact_ratio_per_head(c):
     return c.fact_kpi5().select("waktu_id", "regionkey", "total_eligible", "total_suppliers", "ratio_per_supplier")
 
@@ -334,7 +340,7 @@ def join_computed_key(c):
     return fact.join(cal.select("tahun", "bulan", "semester"), on).select("tahun", "semester", "persen_realisasi")
 
 
-@query
+@serving
 def join_level_dedup(c):
     """A fact per region joined to the region level of the nation dimension: no fan-out."""
     level = one_per_level(c.dim_nation(), ["regionkey", "region"])
@@ -503,7 +509,7 @@ def kpi_targets(c):
     return wanted.join(table, ["kpi", "year"], "left")
 
 
-@query
+@serving
 def kpi_status(c):
     fact = c.fact_kpi7()
     return fact.select(
@@ -512,7 +518,7 @@ def kpi_status(c):
     )
 
 
-@query
+@serving
 def kpi_sample(c):
     parts = [("fact_kpi1", c.fact_kpi1(), "pct_settled", "%"), ("fact_kpi5", c.fact_kpi5(), "ratio_per_supplier", "Rasio"),
              ("fact_kpi7", c.fact_kpi7(), "pct_met", "%")]
@@ -529,12 +535,12 @@ def kpi_recap(c):
 RECAP_COLUMNS = ["tahun", "iku_kode", "iku_nama", "nilai_capaian", "nilai_target", "satuan", "status_capaian"]
 
 
-@query
+@serving
 def v_recap_year(c):
     return olap.star(c.recap(), {"waktu_id": c.dim_calendar()}).select(*RECAP_COLUMNS).orderBy("tahun", "iku_kode")
 
 
-@query
+@serving
 def v_kpi4_by_org(c):
     rows = olap.star(c.fact_kpi4(), {"nationkey": c.dim_nation()})
     return rows.select(
@@ -543,14 +549,14 @@ def v_kpi4_by_org(c):
     ).orderBy(F.desc("pct_met"), "nationkey")
 
 
-@query
+@serving
 def v_budget_year(c):
     return olap.star(c.fact_budget(), {"waktu_id": c.dim_calendar()}).select(
         "tahun", "predikat_sakip", "nilai_sakip", "pagu_total", "realisasi_total", "persen_realisasi", "target_kinerja_anggaran"
     ).orderBy("tahun")
 
 
-@query
+@serving
 def kpi_subset_union(c):
     """Yearly means of single facts, for use where the recap is missing."""
     cal = c.dim_calendar()
@@ -564,13 +570,13 @@ def kpi_subset_union(c):
     return union(*parts).orderBy("tahun", "iku_kode")
 
 
-@query
+@serving
 def rollup_region_year(c):
     rows = olap.star(c.fact_kpi7(), {"nationkey": c.dim_nation(), "waktu_id": c.dim_calendar()})
     return olap.rollup(rows, ["regionkey", "region", "tahun"], {"pct_met": olap.SEMI_ADDITIVE}).orderBy("tahun", "regionkey")
 
 
-@query
+@serving
 def rollup_avg(c):
     """The three classes of measures rolled up to the region."""
     rows = olap.star(c.fact_kpi1(), {"nationkey": c.dim_nation()})
@@ -580,7 +586,7 @@ def rollup_avg(c):
     )
 
 
-@query
+@serving
 def rollup_recomputed(c):
     """Percentages recomputed from the counts along year > region, with subtotals and the total."""
     rows = olap.star(c.fact_kpi1(), {"nationkey": c.dim_nation()})
@@ -593,7 +599,7 @@ def entity_census(c):
     return olap.census({n: c[n] for n in ("customer", "supplier", "part", "nation", "region")})
 
 
-@query
+@serving
 def v_kpi_by_org_year(c):
     """Drill-down of every KPI fact: per nation, per region, or institution-wide, by year."""
     cal, nation = c.dim_calendar(), c.dim_nation()
@@ -611,30 +617,30 @@ def v_kpi_by_org_year(c):
     ])
 
 
-@query
+@serving
 def drilldown_vs_institution(c):
     rows = olap.star(c.fact_kpi7(), {"nationkey": c.dim_nation()})
     return olap.against_overall(rows, ["nation", "region"], "pct_met")
 
 
-@query
+@serving
 def slice_year(c):
     return no_id(olap.dice(olap.star(c.fact_kpi1(), {"waktu_id": c.dim_calendar()}), tahun=1997)).select("tahun", "nationkey", "pct_settled")
 
 
-@query
+@serving
 def dice_year_region(c):
     rows = olap.star(c.fact_kpi1(), {"waktu_id": c.dim_calendar(), "nationkey": c.dim_nation()})
     return olap.dice(rows, tahun=1999, region="ASIA").select("tahun", "region", "nation", "total_orders", "pct_settled")
 
 
-@query
+@serving
 def pivot_year_kpi(c):
     rows = olap.star(c.recap(), {"waktu_id": c.dim_calendar()})
     return olap.pivot(rows, ["tahun"], "iku_kode", list(TARGETS), "nilai_capaian")
 
 
-@query
+@serving
 def key_range(c):
     return olap.key_range({"budget": c.fact_budget(), "calendar": c.dim_calendar(), "recap": c.recap()}, "waktu_id")
 
@@ -657,7 +663,7 @@ def scenario_parity(c):
     return olap.parity(tables["OFF"], tables["ON"])
 
 
-@query
+@serving
 def v_forecast(c):
     rows = forecast_drift(c)
     return rows.select(
@@ -665,7 +671,7 @@ def v_forecast(c):
     ).orderBy("tahun")
 
 
-@query
+@serving
 def v_actual_vs_target(c):
     rows = olap.star(c.recap(), {"waktu_id": c.dim_calendar()})
     return olap.filtered(rows, F.col("iku_kode") == "KPI-4", "tahun").select(
@@ -698,17 +704,17 @@ def w3_filter_join(c):
     return lookup(c["customer"].filter("c_acctbal >= 5000").select("c_custkey", "c_nationkey"), ref, "c_nationkey")
 
 
-@query
+@serving
 def w4_fact_dim_join(c):
     return olap.star(c.fact_kpi1(), {"nationkey": c.dim_nation()}).groupBy("nation").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query
+@serving
 def w5_recap_by_year(c):
     return olap.star(c.recap(), {"waktu_id": c.dim_calendar()}).groupBy("tahun").agg(mean_of("nilai_capaian").alias("avg_value"))
 
 
-@query
+@serving
 def w6_recap_status(c):
     return c.recap().filter(F.col("status_capaian") == "Tidak Tercapai").select("iku_kode", "status_capaian", "nilai_capaian")
 
@@ -788,18 +794,18 @@ def ml_preflight(c):
     return found.select(F.when(F.col("found"), "dim_customer").otherwise("not_there").alias("table_name"), "found", "row_count")
 
 
-@query
+@serving
 def ml_features(c):
     return predict.features(c.recap(), c.dim_calendar(), lags=2)
 
 
-@query
+@serving
 def forecast_drift(c):
     rows = olap.star(c.recap(), {"waktu_id": c.dim_calendar()})
     return predict.forecast_drift(rows, "tahun", "nilai_capaian")
 
 
-@query
+@serving
 def forecast_trend(c):
     return predict.forecast_trend(predict.features(c.recap(), c.dim_calendar()), ["iku_code"], "tahun", "nilai_capaian")
 
@@ -809,12 +815,12 @@ def _fitted(c: Commerce) -> DataFrame:
     return predict.fit_values(rows.select("nationkey", "tahun", "pct_met"), ["nationkey"], "tahun", "pct_met", 2)
 
 
-@query
+@serving
 def forecast_metrics(c):
     return predict.forecast_metrics(_fitted(c), "pct_met", "fitted", ["nationkey"])
 
 
-@query
+@serving
 def risk_label(c):
     return c.fact_kpi7().select("waktu_id", "nationkey", predict.risk_label("pct_met", F.lit(72.0)).alias("risk_label"))
 
@@ -901,7 +907,7 @@ def confusion_matrix(c):
     return predict.confusion(predict.score_risk(model, rows.filter("NOT is_train"), RISK_COLUMNS), "risk_label")
 
 
-@query
+@serving
 def v_risk(c):
     """Mean risk per nation beside its name, highest first."""
     per = risk_scores(c).groupBy(F.col("c_nationkey").alias("nationkey")).agg(mean_of("risk_score", 2).alias("risk_score"))
@@ -918,13 +924,13 @@ def _opportunity(c: Commerce) -> tuple[DataFrame, dict[int, float]]:
     return predict.opportunity(vectors, "nationkey", list(per))
 
 
-@query
+@serving
 def opportunity_scores(c):
     """The score alone: distance of the scaled KPI vector from the best corner."""
     return _opportunity(c)[0].drop("cluster")
 
 
-@query
+@serving
 def cluster_quality(c):
     """Silhouette of each number of clusters tried, and the one chosen."""
     quality = _opportunity(c)[1]
@@ -932,7 +938,7 @@ def cluster_quality(c):
     return literal_table(c.spark, [(k, q, k == best) for k, q in quality.items()], "k int, silhouette double, chosen boolean")
 
 
-@query
+@serving
 def v_opportunity(c):
     """Nations clustered by their KPI values and scored."""
     rows = lookup(_opportunity(c)[0], c.dim_nation(), "nationkey", "inner")
@@ -950,13 +956,13 @@ def anomaly_rate(c):
     return predict.anomaly_summary(predict.anomaly_z(c["events"].select("event_type", "value"), "event_type", "value"), ["event_type"])
 
 
-@query
+@serving
 def anomaly_residual(c):
     flagged = predict.anomaly_residual(_fitted(c), ["nationkey"], "pct_met", "fitted")
     return flagged.select("nationkey", "tahun", half_up("residual", 2).alias("residual"), "is_anomaly")
 
 
-@query
+@serving
 def insight_long(c):
     """Inferred values replace a section's defaults; the anomaly section is updated key by key."""
     def lines(df, section, entity, **metrics):
@@ -1292,7 +1298,7 @@ def silver_run_summary(c):
 # ---- whole runs -------------------------------------------------------------------
 
 
-@query
+@serving
 def flagship(c):
     """Order outcome share by nation and year against target, with status."""
     rows = olap.star(c.fact_kpi1(), {"nationkey": c.dim_nation(), "waktu_id": c.dim_calendar()})
