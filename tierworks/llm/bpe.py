@@ -19,10 +19,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tierworks.llm.batches import id_text, map_texts
-from tierworks.llm.pretokens import SPECIAL, pretokens
+from tierworks.llm.pretokens import SPECIAL, SPECIAL_POINT, pretokens
+from tierworks.llm.words import Words, hashes
 
 NO_RANK = np.int32(2**31 - 1)
-# Distinct words whose ids a worker keeps between pieces; beyond it starts anew. Only time depends on it.
+# Distinct words whose ids a worker keeps between pieces; beyond it keeps the half used most. Only time depends on it.
 REMEMBERED = 400_000
 
 
@@ -138,19 +139,6 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-class Numbers(dict):
-    """Numbers words as they are first asked for; ``new`` lists those not yet encoded."""
-
-    def __init__(self, words: list[str]):
-        super().__init__(zip(words, range(len(words)), strict=True))
-        self.new: list[str] = []
-
-    def __missing__(self, word: str) -> int:
-        self.new.append(word)
-        self[word] = number = len(self)
-        return number
-
-
 class Encoder:
     """Ids of texts; the ids of distinct words are kept between calls.
 
@@ -162,24 +150,56 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.index = Numbers([SPECIAL])
-        self.ids = np.array([self.special], np.int32)
-        self.offsets = np.zeros(1, np.int32)
-        self.counts = np.ones(1, np.int32)
+        self.words = Words(max(10, int(self.remembered).bit_length() + 2))
+        self.ids = np.zeros(0, np.int32)
+        self.offsets = self.counts = np.zeros(0, np.int32)
+        self.uses = np.zeros(0, np.int64)
+
+    def keep_used(self) -> None:
+        """Forget the words used least."""
+        kept = np.sort(np.argsort(-self.uses, kind="stable")[: self.remembered // 2])
+        counts = self.counts[kept]
+        ends = np.cumsum(counts)
+        self.words = self.words.kept(kept)
+        self.ids = self.ids[np.repeat(self.offsets[kept] - (ends - counts), counts) + np.arange(ends[-1])]
+        self.offsets, self.counts, self.uses = (ends - counts).astype(np.int32), counts, self.uses[kept] // 2
+
+    def learn(self, h: np.ndarray, codes: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> None:
+        """Encode new words and remember them."""
+        spans = zip(starts.tolist(), (starts + lengths).tolist(), strict=True)
+        words = [SPECIAL if codes[a] == SPECIAL_POINT else codes[a:b].tobytes().decode("utf-32-le", "surrogatepass") for a, b in spans]
+        plain = [w for w in words if w != SPECIAL]
+        ids, counts = self.encode_words(plain)
+        if len(plain) < len(words):
+            at = words.index(SPECIAL)
+            before = int(counts[:at].sum())
+            ids, counts = np.insert(ids, before, self.special), np.insert(counts, at, 1)
+        self.words.add(h, codes, starts, lengths)
+        self.offsets = np.concatenate([self.offsets, (len(self.ids) + np.cumsum(counts) - counts).astype(np.int32)])
+        self.ids = np.concatenate([self.ids, ids.astype(np.int32)])
+        self.counts = np.concatenate([self.counts, counts.astype(np.int32)])
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and the number of ids of each text."""
-        tokens, per_text = pretokens(texts)
-        if len(self.index) > self.remembered:
-            self.forget()
-        index = self.index
-        word = np.fromiter(map(index.__getitem__, tokens), np.int32, len(tokens))
-        if index.new:
-            ids, counts = self.encode_words(index.new)
-            index.new = []
-            self.offsets = np.concatenate([self.offsets, len(self.ids) + np.cumsum(counts, dtype=np.int32) - counts.astype(np.int32)])
-            self.ids = np.concatenate([self.ids, ids])
-            self.counts = np.concatenate([self.counts, counts.astype(np.int32)])
+        codes, starts, per_text = pretokens(texts)
+        if len(self.words) > self.remembered:
+            self.keep_used()
+        lengths = np.diff(np.append(starts, len(codes)))
+        h = hashes(codes, starts, lengths)
+        word = self.words.find(h)
+        new = np.flatnonzero(word < 0)
+        if len(new):
+            _, first = np.unique(h[new], return_index=True)
+            first = new[np.sort(first)]
+            if len(self.words) + len(first) > 1 << (self.words.bits - 1):  # one piece with very many distinct words
+                return self.encode_halves(texts)
+            self.learn(h[first], codes, starts[first], lengths[first])
+            word[new] = self.words.find(h[new])
+        if not self.words.same(word, codes, starts):  # two words with one hash
+            return self.encode_apart(codes, starts, lengths, per_text)
+        uses = np.bincount(word, minlength=len(self.counts))
+        uses[: len(self.uses)] += self.uses
+        self.uses = uses
         counts = self.counts[word]
         ends = np.cumsum(counts, dtype=np.int32)  # a piece holds fewer than 2**31 ids
         place = np.repeat(self.offsets[word] - (ends - counts), counts)
@@ -187,6 +207,27 @@ class Encoder:
         bounds = np.append(np.int32(0), ends)[np.append(0, np.cumsum(per_text))]
         return self.ids[place], np.diff(bounds)
 
+    def encode_halves(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        self.forget()
+        if len(texts) > 1:
+            parts = [self.encode(texts[: len(texts) // 2]), self.encode(texts[len(texts) // 2 :])]
+            return np.concatenate([i for i, _ in parts]), np.concatenate([n for _, n in parts])
+        codes, starts, per_text = pretokens(texts)
+        return self.encode_apart(codes, starts, np.diff(np.append(starts, len(codes))), per_text)
+
+    def encode_apart(self, codes: np.ndarray, starts: np.ndarray, lengths: np.ndarray, per_text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Without the table: every word on its own."""
+        spans = zip(starts.tolist(), (starts + lengths).tolist(), strict=True)
+        words = [SPECIAL if codes[a] == SPECIAL_POINT else codes[a:b].tobytes().decode("utf-32-le", "surrogatepass") for a, b in spans]
+        special = np.array([w == SPECIAL for w in words], bool)
+        ids, own = self.encode_words([w for w in words if w != SPECIAL])
+        counts = np.ones(len(words), np.int64)
+        counts[~special] = own
+        out = np.full(int(counts.sum()), self.special, np.int32)
+        out[~np.repeat(special, counts)] = ids
+        bounds = np.append(0, np.cumsum(counts))[np.append(0, np.cumsum(per_text))]
+        return out, np.diff(bounds)
+
 
 @functools.cache
 def encoder(path: str) -> Encoder:

@@ -15,6 +15,7 @@ import numpy as np
 
 OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
 SPECIAL = "<|endoftext|>"
+SPECIAL_POINT = 0x110000  # stands for SPECIAL among code points
 
 # Code points of the Unicode property White_Space.
 WHITE_SPACE = (9, 10, 11, 12, 13, 32, 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288)
@@ -23,7 +24,7 @@ WHITE_SPACE = (9, 10, 11, 12, 13, 32, 133, 160, 5760, *range(8192, 8203), 8232,
 @functools.cache
 def classes() -> np.ndarray:
     """The class of every code point."""
-    table = np.zeros(0x110000, np.uint8)
+    table = np.zeros(SPECIAL_POINT + 1, np.uint8)
     for c in range(0x110000):
         kind = unicodedata.category(chr(c))[0]
         if kind == "L":
@@ -77,37 +78,27 @@ def token_starts(codes: np.ndarray, begins: np.ndarray) -> np.ndarray:
     return np.flatnonzero(start)
 
 
-def pretokens(texts: list[str]) -> tuple[list[str], np.ndarray]:
-    """All pre-tokens in order, and how many each text has. SPECIAL is one token of its own."""
-    if any(SPECIAL in t for t in texts):
-        return _with_special(texts)
-    joined = "".join(texts)
-    lengths = np.fromiter(map(len, texts), np.int64, len(texts))
-    begins = np.cumsum(lengths) - lengths
-    starts = token_starts(code_points(joined), begins[lengths > 0])
-    bounds = starts.tolist()
-    tokens = [joined[a:b] for a, b in zip(bounds, [*bounds[1:], len(joined)], strict=True)]
-    return tokens, np.searchsorted(starts, begins + lengths) - np.searchsorted(starts, begins)
-
-
-def _with_special(texts: list[str]) -> tuple[list[str], np.ndarray]:
-    segments, owner = [], []
-    for i, text in enumerate(texts):
-        for k, part in enumerate(text.split(SPECIAL)):
-            if k:
-                segments.append(None)
-                owner.append(i)
-            segments.append(part)
-            owner.append(i)
-    plain, counts = pretokens([s for s in segments if s is not None])
-    tokens, at, k, per_text = [], 0, 0, np.zeros(len(texts), np.int64)
-    for s, i in zip(segments, owner, strict=True):
-        if s is None:
-            tokens.append(SPECIAL)
-            per_text[i] += 1
-        else:
-            tokens += plain[at : at + counts[k]]
-            per_text[i] += counts[k]
-            at += counts[k]
-            k += 1
-    return tokens, per_text
+def pretokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The code points of all texts, where each pre-token begins, and how many each text has.
+
+    SPECIAL is one pre-token and stands as the single number SPECIAL_POINT; what is beside it ends or begins there.
+    """
+    parts, begins, ends, at = [], [], [], 0
+    plain = "".join(texts)
+    if SPECIAL not in plain:
+        codes = code_points(plain)
+        lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+        ends = np.cumsum(lengths)
+        begins = (ends - lengths)[lengths > 0]
+    else:
+        for text in texts:
+            for k, segment in enumerate(text.split(SPECIAL)):
+                for part in ([np.array([SPECIAL_POINT], np.uint32)] if k else []) + [code_points(segment)]:
+                    if len(part):
+                        parts.append(part)
+                        begins.append(at)
+                        at += len(part)
+            ends.append(at)
+        codes, begins, ends = np.concatenate(parts), np.array(begins, np.int64), np.array(ends, np.int64)
+    starts = token_starts(codes, begins)
+    return codes, starts, np.diff(np.append(0, np.searchsorted(starts, ends)))

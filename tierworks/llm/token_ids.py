@@ -73,7 +73,8 @@ def decode_ranks(control: bytes, data: bytes, n: int) -> np.ndarray:
 def library_encoder(path: str) -> tuple[Encoder, int]:
     """The tokenizers library on distinct pre-tokens, and the size of its vocabulary.
 
-    A byte-level merge never crosses a pre-token, so the ids of a text are those of its pre-tokens.
+    A byte-level merge never crosses a pre-token, so the ids of a text are those of its pre-tokens. Words go to
+    the library in lines: a line break is a pre-token of its own before and after anything but white space.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
@@ -81,11 +82,29 @@ def library_encoder(path: str) -> tuple[Encoder, int]:
     library = Tokenizer.from_file(path)
     library.no_truncation()
     library.no_padding()
+    line_break = library.encode("\n", add_special_tokens=False).ids[0]
 
-    def encode_words(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def one_by_one(words: list[str]) -> tuple[list[int], list[int]]:
         found = [e.ids for e in library.encode_batch_fast(words, add_special_tokens=False)]
-        counts = np.fromiter(map(len, found), np.int64, len(found))
-        return np.array([i for ids in found for i in ids], np.int32), counts
+        return [i for ids in found for i in ids], [len(ids) for ids in found]
+
+    def encode_words(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        counts = np.zeros(len(words), np.int64)
+        blank = np.array([w.isspace() for w in words], bool)
+        plain = np.flatnonzero(~blank)
+        lines = ["\n".join(words[i] for i in plain[a : a + 512].tolist()) + "\n" for a in range(0, len(plain), 512)]
+        flat = np.array([i for e in library.encode_batch_fast(lines, add_special_tokens=False) for i in e.ids], np.int32)
+        breaks = np.flatnonzero(flat == line_break)
+        counts[plain] = np.diff(np.append(-1, breaks)) - 1
+        flat = flat[flat != line_break]
+        if len(plain) == len(words):
+            return flat, counts
+        ids, own = one_by_one([words[i] for i in np.flatnonzero(blank).tolist()])
+        counts[blank] = own
+        out = np.empty(int(counts.sum()), np.int32)
+        from_blank = np.repeat(blank, counts)
+        out[from_blank], out[~from_blank] = ids, flat
+        return out, counts
 
     return Encoder(encode_words, library.token_to_id(SPECIAL)), library.get_vocab_size(with_added_tokens=True)
 
