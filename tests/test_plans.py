@@ -7,7 +7,7 @@ from tierworks.plans.registry import QUERIES
 
 # These write tables or train models when they are built; their plans only read the result.
 EAGER = {
-    "raw_scan", "layer_round_trip", "append_union", "stream_append", "format_round_trip", "features_sink", "run_layer_report",
+    "raw_scan", "layer_round_trip", "append_union", "stream_append", "format_round_trip", "format_contents", "features_sink", "run_layer_report",
     "scenario_parity", "timed_workloads", "ml_preflight", "risk_scores", "class_metrics", "confusion_matrix", "v_risk",
     "v_opportunity", "opportunity_scores", "cluster_quality", "risk_features", "risk_coverage", "rule_metrics", "rule_confusion",
 }

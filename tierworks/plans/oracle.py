@@ -253,6 +253,9 @@ ORACLE["append_union"] = f"SELECT id, name, nationkey, party_type FROM ({PARTY})
 ORACLE["stream_append"] = "SELECT o_orderkey, o_custkey, o_orderstatus FROM orders"
 ORACLE["format_round_trip"] = """SELECT unnest(['parquet','orc','json']) AS format, n AS read_row_count, true AS has_bytes
     FROM (SELECT count(*) AS n FROM customer)"""
+ORACLE["format_contents"] = """SELECT unnest(['parquet','orc','json']) AS format, * FROM (SELECT count(*) AS n, CAST(sum(c_custkey) AS BIGINT) AS key_sum,
+    CAST(sum(CAST(c_acctbal AS DECIMAL(18,2))) AS DOUBLE) AS balance, CAST(sum(length(c_name)) AS BIGINT) AS name_length,
+    count(*) FILTER (WHERE c_acctbal >= 5000) AS n_large, count(DISTINCT n_name) AS n_nations FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey)"""
 ORACLE["run_layer_report"] = """SELECT 'customer' AS table_name, count(*) AS row_count, true AS written, NULL::VARCHAR AS error FROM customer
     UNION ALL SELECT 'orders_status', count(*), true, NULL FROM orders UNION ALL SELECT 'broken', NULL, false, 'no such source'"""
 
@@ -339,6 +342,7 @@ ORACLE["gold_profile"] = f"""SELECT 'fact_kpi1' AS table_name, 'fact' AS table_t
 ORACLE["project_first_columns"] = "SELECT c_custkey, c_nationkey, n_name FROM customer JOIN nation ON n_nationkey = c_nationkey"
 ORACLE["default_column"] = "SELECT 'Aktif' AS status, count(*) AS n FROM supplier"
 ORACLE["sample_capped"] = "SELECT true AS within_cap, true AS no_repeat"
+ORACLE["sample_of_a_small_table"] = "SELECT * FROM supplier"
 ORACLE["dedup_by_key"] = """SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber
     ORDER BY l_shipdate DESC, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus) AS rn
     FROM lineitem) WHERE rn = 1"""

@@ -16,7 +16,7 @@ from tierworks.plans import assets
 from tierworks.plans.commerce import KPI_NAMES, TARGETS, TOPICS, Commerce, StoredGold
 from tierworks.session import new_work_path
 from tierworks.sources import append_batch, literal_table, read_layer, staging_inventory, write_layer
-from tierworks.sources.formats import format_comparison
+from tierworks.sources.formats import FORMATS, format_comparison
 from tierworks.sources.raw import PARQUET_TABLES, inventory_totals, read_raw_csv
 from tierworks.streaming import ingest_new_files
 
@@ -107,6 +107,23 @@ def format_round_trip(c):
     return report.select("format", "read_row_count", (F.col("size_bytes") > 0).alias("has_bytes"))
 
 
+@query
+def format_contents(c):
+    """What each format gives back of the rows written: counts and sums over several columns."""
+    where = new_work_path(c.spark, "formats")
+    written = c.silver_customer()
+    format_comparison(written, where)
+    parts = []
+    for fmt in FORMATS:
+        back = c.spark.read.schema(written.schema).format(fmt).load(f"{where}/{fmt}")
+        parts.append(back.agg(
+            F.lit(fmt).alias("format"), F.count(F.lit(1)).alias("n"), F.sum("c_custkey").alias("key_sum"),
+            F.sum(F.col("c_acctbal").cast("decimal(18,2)")).cast("double").alias("balance"),
+            F.sum(F.length("c_name")).alias("name_length"), F.count_if("is_large").alias("n_large"), F.count_distinct("n_name").alias("n_nations"),
+        ))
+    return union(*parts)
+
+
 @serving
 def features_sink(c):
     path = predict.write_features(predict.features(c.recap(), c.dim_calendar()), new_work_path(c.spark, "features"))
@@ -265,6 +282,12 @@ def sample_capped(c):
     )
 
 
+@query
+def sample_of_a_small_table(c):
+    """A cap above the table's rows keeps every row."""
+    return sample_rows(c["supplier"], 10_000_000, ["s_suppkey"])
+
+
 @query
 def dedup_by_key(c):
     """One line per (order, line number): the one shipped last, ties by the remaining columns."""
