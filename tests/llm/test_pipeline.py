@@ -3,10 +3,12 @@
 import hashlib
 
 import public_tokenizers
+import pytest
 from tokenizers import Tokenizer
 
 import __spark_entry__
 import corpus_pipeline
+from tests.check_oracles import connect, rows_of
 from tests.llm.common import ODD, fingerprint, linked, odd_table
 from tierworks.llm import decontaminate, langid, secret_scan
 from tierworks.llm.queries import ORACLE, QUERIES, table
@@ -18,6 +20,12 @@ def test_registered():
     assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
 
 
+@pytest.mark.parametrize("name", sorted(ORACLE))
+def test_query_equals_sql(spark, sf, name):
+    df, cur = QUERIES[name](spark, sf), connect(sf).execute(ORACLE[name])
+    assert rows_of(df.columns, [tuple(r) for r in df.collect()]) == rows_of([d[0] for d in cur.description], cur.fetchall())
+
+
 def test_pipeline_by_hand(spark, sf):
     documents = table(spark, sf, "documents")
     rows = sorted(documents.select("doc_id", "text").collect())

@@ -86,12 +86,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE: dict[str, str] = {
     "op3_top_k": """
         WITH v AS (
-            SELECT vec_id, list_transform(embedding, x -> CAST(floor(CAST(x AS DOUBLE) * 256) AS BIGINT)) AS c
+            SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 256) AS BIGINT)) AS c
             FROM embeddings
             WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
-              AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
         ), scored AS (
-            SELECT q.vec_id AS query_id, s.vec_id, CAST(list_sum(list_transform(list_zip(q.c, s.c), p -> p[1] * p[2])) AS BIGINT) AS score
+            SELECT q.vec_id AS query_id, s.vec_id, CAST(list_sum(list_transform(list_zip(q.c, s.c), lambda p: p[1] * p[2])) AS BIGINT) AS score
             FROM v q JOIN v s ON q.vec_id % 50 = 0 AND s.vec_id <> q.vec_id AND len(q.c) = len(s.c)
         ), ranked AS (
             SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM scored
