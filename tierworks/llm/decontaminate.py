@@ -3,11 +3,13 @@
 Texts and items are sequences of lower-cased words. The CGK random walk embeds a sequence so that few edits
 become few differing positions; bit-sampling hashes of the embedding of every item-sized window are matched
 against those of the items, in as many repetitions as the target recall needs; every pair found is verified
-by its exact edit distance, the passage being free to begin and end near the window.
+by its exact edit distance, the passage being free to begin and end near the window. A passage matches if
+its words, or its characters, are similar enough; the windows reach further than the words' similarity,
+since a few changed characters change many words.
 
-Before the walk, windows that cannot lie within the distance of any item are left out without loss: after at
-most ``k`` edits the window that begins where the passage begins holds all but ``k`` of an item's words, and
-all but ``2 k`` of its pairs of neighbouring words.
+Before the walk, windows that cannot lie within reach of any item are left out without loss: after at most
+``k`` edits the window that begins where the passage begins holds all but ``k`` of an item's words, and all
+but ``2 k`` of its distinct pairs of neighbouring words.
 
 Cases: a null or wordless item matches nothing, a null or empty text holds nothing; repeated items and
 repeated rows are each reported; an item of fewer words than 1 / (1 - similarity) must occur word for word;
@@ -28,9 +30,10 @@ from pyspark.sql import functions as F
 from tierworks.llm.batches import id_text, keep_rows, map_texts
 from tierworks.session import new_work_path
 
-SIMILARITY = 0.8  # 1 - edit distance / words of the item
-RECALL = 0.97
-SAMPLES = 3  # positions of an embedding in one hash
+SIMILARITY = 0.8  # 1 - edit distance / length of the item, in words or in characters
+REACH = 0.65  # similarity of words down to which windows are compared
+RECALL = 0.95  # of passages at the end of the reach; nearer ones are found more surely
+SAMPLES = 2  # positions of an embedding in one hash
 STRETCH = 2  # steps of the walk for each word of an item; later ones mostly stand behind its end
 BLOCK_ITEMS, BLOCK_WORDS = 4096, 200_000  # what one index, sent to every task, holds at most
 WINDOWS = 256  # windows that walk at once
@@ -108,6 +111,7 @@ class Index:
 
     item_ids: list[int | None]
     items: list[np.ndarray]  # symbols
+    texts: list[str]  # the items' words with one space between
     similarity: float
     vocabulary: dict[str, int]
     pairs: np.ndarray  # neighbouring words of items, as numbers in order
@@ -122,11 +126,12 @@ class Index:
         size = len(self.vocabulary)
         known = np.concatenate([[0], np.cumsum(codes < size, dtype=np.int32)])
         at = np.flatnonzero((codes[:-1] < size) & (codes[1:] < size))
-        lengths_of = np.zeros(len(codes), np.uint64)
+        lengths_of, pair_at = np.zeros(len(codes), np.uint64), np.full(len(codes), -1, np.int32)
         if len(self.pairs):
             key = codes[at].astype(np.int64) * size + codes[at + 1]
             place = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
             lengths_of[at] = np.where(self.pairs[place] == key, self.pair_lengths[place], np.uint64(0))
+            pair_at[at] = place
         both = np.concatenate([[0], np.cumsum(lengths_of > 0, dtype=np.int32)])
         starts, lengths = [], []
         for bit, (n, least_known, least_pairs) in enumerate(self.needs):
@@ -135,8 +140,11 @@ class Index:
             found = np.flatnonzero(both[n - 1 : len(codes)] - both[: len(codes) - n + 1] >= least_pairs)
             found = found[known[found + n] - known[found] >= least_known]
             if least_pairs > 0 and len(found):
-                own = (lengths_of[found[:, None] + np.arange(n - 1)] >> np.uint64(bit % 64)) & np.uint64(1)
-                found = found[own.sum(axis=1) >= least_pairs]
+                span = found[:, None] + np.arange(n - 1)
+                own = np.where((lengths_of[span] >> np.uint64(bit % 64)) & np.uint64(1), pair_at[span], -1)
+                own.sort(axis=1)
+                distinct = (own[:, :1] >= 0).sum(axis=1) + ((own[:, 1:] != own[:, :-1]) & (own[:, 1:] >= 0)).sum(axis=1)
+                found = found[distinct >= least_pairs]
             starts.append(found)
             lengths.append(np.full(len(found), n))
         if not starts:
@@ -145,8 +153,8 @@ class Index:
         whole = start + length <= ends[np.searchsorted(begins, start, side="right") - 1]
         return start[whole], length[whole]
 
-    def search(self, texts: list[str]) -> list[tuple[int, int, int]]:
-        """(text, item, edit distance) of all passages found, one for each text and item."""
+    def search(self, texts: list[str]) -> list[tuple[int, int, int, float]]:
+        """(text, item, edit distance of the words, similarity) of all passages found, one for each text and item."""
         lists = [words(t) for t in texts]
         counts = np.array([len(x) for x in lists], np.int64)
         unknown, get = len(self.vocabulary), self.vocabulary.get
@@ -172,27 +180,41 @@ class Index:
             item = self.owner[place]
             same = np.array([len(self.items[i]) for i in item.tolist()], np.int64) == n[window]
             pairs.update(zip(s[window[same]].tolist(), item[same].tolist(), strict=True))
-        return self.verify(frame, begins, begins + counts, pairs)
+        return self.verify(frame, begins, begins + counts, pairs, lists)
 
-    def verify(self, frame: np.ndarray, begins: np.ndarray, ends: np.ndarray, pairs: set[tuple[int, int]]) -> list[tuple[int, int, int]]:
-        best: dict[tuple[int, int], int] = {}
+    def verify(
+        self, frame: np.ndarray, begins: np.ndarray, ends: np.ndarray, pairs: set[tuple[int, int]], lists: list[list[str]]
+    ) -> list[tuple[int, int, int, float]]:
+        best: dict[tuple[int, int], tuple[int, float]] = {}
         by_length: dict[int, list[tuple[int, int]]] = {}
         for s, i in sorted(pairs):
             by_length.setdefault(len(self.items[i]), []).append((s, i))
         for n, group in by_length.items():
-            k = allowed(n, self.similarity)
+            k, reach = allowed(n, self.similarity), allowed(n, min(REACH, self.similarity))
             for a in range(0, len(group), 4096):
                 part = group[a : a + 4096]
                 s = np.array([x for x, _ in part])
                 text = np.searchsorted(begins, s, side="right") - 1
-                at = s[:, None] + np.arange(-k, n + k)
+                at = s[:, None] + np.arange(-reach, n + reach)
                 inside = (at >= begins[text][:, None]) & (at < ends[text][:, None])
                 around = np.where(inside, frame[np.clip(at, 0, len(frame) - 1)], len(self.vocabulary))
                 distance = passage_distance(np.stack([self.items[i] for _, i in part]), around)
-                for t, (_, i), d in zip(text.tolist(), part, distance.tolist(), strict=True):
-                    if d <= k:
-                        best[t, i] = min(d, best.get((t, i), d))
-        return [(t, i, d) for (t, i), d in sorted(best.items())]
+                for t, (w, i), d in zip(text.tolist(), part, distance.tolist(), strict=True):
+                    if d > k and d <= reach and best.get((t, i), (n, 0.0))[0] > d:
+                        first = w - int(begins[t])
+                        near = " ".join(lists[t][max(0, first - reach) : max(0, first + n + reach)])
+                        similar = character_similarity(self.texts[i], near)
+                    else:
+                        similar = 1 - d / n
+                    if d <= k or similar >= self.similarity and d <= reach:
+                        best[t, i] = min((d, similar), best.get((t, i), (d, similar)))
+        return [(t, i, d, similar) for (t, i), (d, similar) in sorted(best.items())]
+
+
+def character_similarity(item: str, text: str) -> float:
+    """1 - edit distance of the item to the nearest part of the text / characters of the item."""
+    points = [np.frombuffer(x.encode("utf-32-le", "surrogatepass"), np.uint32)[None, :] for x in (item, text)]
+    return 1 - int(passage_distance(*points)[0]) / len(item)
 
 
 def perturbed(item: np.ndarray, edits: int, unknown: int, rng: np.random.Generator) -> np.ndarray:
@@ -237,7 +259,12 @@ def build(rows: list[tuple[int | None, list[str]]], similarity: float = SIMILARI
     vocabulary = {w: i for i, w in enumerate(dict.fromkeys(w for _, x in rows for w in x))}
     items = [np.array([vocabulary[w] for w in x], np.int32) for _, x in rows]
     lengths = np.array([len(x) for x in items], np.int64)
-    needs = [(n, n - allowed(n, similarity), n - 1 - 2 * allowed(n, similarity)) for n in np.unique(lengths).tolist()]
+    reach = min(REACH, similarity)
+    distinct: dict[int, int] = {}
+    for item in items:
+        n = len(item)
+        distinct[n] = min(distinct.get(n, n), len(set(zip(item[:-1].tolist(), item[1:].tolist(), strict=True))))
+    needs = [(n, n - allowed(n, reach), distinct[n] - 2 * allowed(n, reach)) for n in sorted(distinct)]
     masks: dict[int, int] = {}
     number = {n: i for i, (n, _, _) in enumerate(needs)}
     for item in items:
@@ -245,7 +272,7 @@ def build(rows: list[tuple[int | None, list[str]]], similarity: float = SIMILARI
             masks[key] = masks.get(key, 0) | 1 << number[len(item)] % 64
     pairs = np.array(sorted(masks), np.int64)
     pair_lengths = np.array([masks[k] for k in pairs.tolist()], np.uint64)
-    repetitions = repetitions_for(items, len(vocabulary), similarity, recall) if items else 8
+    repetitions = repetitions_for(items, len(vocabulary), reach, recall) if items else 8
     walk = Walk(len(vocabulary), max([1, *lengths.tolist()]), repetitions)
     keys, owner = np.zeros(0, np.uint64), np.zeros(0, np.int64)
     if items:
@@ -254,7 +281,7 @@ def build(rows: list[tuple[int | None, list[str]]], similarity: float = SIMILARI
         keys, owner = np.concatenate(parts), np.repeat(np.arange(len(items)), repetitions)
         order = np.argsort(keys, kind="stable")
         keys, owner = keys[order], owner[order]
-    return Index([i for i, _ in rows], items, similarity, vocabulary, pairs, pair_lengths, walk, keys, owner, needs)
+    return Index([i for i, _ in rows], items, [" ".join(w) for _, w in rows], similarity, vocabulary, pairs, pair_lengths, walk, keys, owner, needs)
 
 
 def blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list[tuple[int | None, list[str]]]]:
@@ -276,10 +303,9 @@ def _matches(df: DataFrame, index: Index, id_col: str, text_col: str) -> DataFra
         found = index.search(texts)
         if not found:
             return None
-        ids = part.column("doc_id").take(pa.array([t for t, _, _ in found]))
-        similar = [1 - d / len(index.items[i]) for _, i, d in found]
+        t, i, distance, similar = zip(*found, strict=True)
         return pa.RecordBatch.from_arrays(
-            [ids, pa.array([index.item_ids[i] for _, i, _ in found], pa.int64()), pa.array([d for *_, d in found], pa.int64()), pa.array(similar, pa.float64())],
+            [part.column("doc_id").take(pa.array(t)), pa.array([index.item_ids[k] for k in i], pa.int64()), pa.array(distance, pa.int64()), pa.array(similar, pa.float64())],
             ["doc_id", "item_id", "distance", "similarity"],
         )
 
@@ -313,7 +339,7 @@ def keep_clean(df: DataFrame, benchmark: DataFrame, similarity: float = SIMILARI
         index = build(block, similarity, recall)
 
         def mask(texts: list[str], index: Index = index) -> list[bool]:
-            bad = {t for t, _, _ in index.search(texts)}
+            bad = {found[0] for found in index.search(texts)}
             return [i not in bad for i in range(len(texts))]
 
         kept = keep_rows(kept, text_col, mask)
