@@ -27,7 +27,7 @@ def test_simhash_on_odd_rows(spark):
     assert simhash.near_duplicates(odd_table(spark).limit(0)).count() == 0
     kept = simhash.keep_one(odd_table(spark))
     assert kept.columns == odd_table(spark).columns
-    assert sorted(r["doc_id"] for r in kept.collect() if r["doc_id"] is not None) == [1, 4, 5, 5, 6, 7, 8, 9, 10]
+    assert sorted(r["doc_id"] for r in kept.collect() if r["doc_id"] is not None) == [1, 4, 5, 6, 7, 8, 9, 10]
 
 
 @pytest.mark.parametrize("bits", [1, 2, 3])
@@ -127,10 +127,11 @@ def test_passages_within_the_distance(spark):
     got = {(r["doc_id"], r["item_id"]): r["distance"] for r in found}
     for i, text in docs:
         for k, item in items:
-            own = decontaminate.words(item or "")
+            own, around = decontaminate.words(item or ""), decontaminate.words(text or "")
             if own:
-                d = word_distance(own, decontaminate.words(text or ""))
-                if d <= decontaminate.allowed(len(own), 0.8):
+                d = word_distance(own, around)
+                near = d <= decontaminate.allowed(len(own), 0.8)
+                if near or d <= decontaminate.allowed(len(own), 0.65) and word_distance(" ".join(own), " ".join(around)) <= 0.2 * len(" ".join(own)):
                     want.add((i, k, d))
     assert {(i, k, d) for (i, k), d in got.items()} <= want
     assert len(got) >= 0.95 * len(want) and {(i, k) for i, k, d in want if d == 0} <= set(got)
@@ -141,6 +142,15 @@ def test_passages_within_the_distance(spark):
     assert decontaminate.contaminated(odd_table(spark).limit(0), benchmark).count() == 0
 
 
+def test_passages_with_changed_characters(spark):
+    rng = random.Random(4)
+    items = [(k, prose(30, 700 + k)) for k in range(20)]
+    noisy = lambda t: "".join(rng.choice("abcde") if c != " " and rng.random() < 0.04 else c for c in t)
+    docs = [(k, f"{prose(50, 800 + k)} {noisy(text)} {prose(50, 900 + k)}") for k, text in items]
+    found = decontaminate.contaminated(odd_table(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert len(found) >= 19 and all(r["doc_id"] == r["item_id"] and r["similarity"] >= 0.8 for r in found)
+
+
 def test_a_benchmark_of_several_blocks(spark, monkeypatch):
     items = [(k, prose(20, 300 + k)) for k in range(7)]
     docs = [(k, f"{prose(10, 400 + k)} {text}") for k, text in items] + [(99, prose(100, 5))]
@@ -160,7 +170,7 @@ def test_op2_finds_every_exact_passage(spark, sf):
     assert exact <= got
     for i, k in got - exact:
         item = items[k].split()
-        assert word_distance(item, docs[i].split()) <= decontaminate.allowed(len(item), 0.8)
+        assert word_distance(item, docs[i].split()) <= decontaminate.allowed(len(item), 0.65)
 
 
 def test_top_k_with_ties_and_odd_vectors(spark):

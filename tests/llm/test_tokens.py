@@ -37,6 +37,24 @@ def test_words_merge_as_in_the_library(library):
         assert counts.tolist() == [len(ids_of(library, t)) for t in part]
 
 
+@pytest.mark.parametrize("few", [1, 7])
+def test_words_with_one_hash(library, monkeypatch, few):
+    """With hashes that collide, words are told apart by their characters."""
+    real = bpe.hashes
+    monkeypatch.setattr(bpe, "hashes", lambda *a: real(*a) % np.uint64(few) * np.uint64(2) + np.uint64(1))
+    texts = ["some words and some other words", "words<|endoftext|> of one hash", "", "a b a b"]
+    encoder = bpe.Encoder(bpe.vocabulary(BYTE_BPE).encode_words, bpe.vocabulary(BYTE_BPE).special)
+    for _ in range(2):
+        ids, counts = encoder.encode(texts)
+        assert ids.tolist() == [i for t in texts for i in ids_of(library, t)] and counts.tolist() == [len(ids_of(library, t)) for t in texts]
+
+
+def test_a_piece_with_more_words_than_the_table(library):
+    texts = [" ".join(f"w{a}x{b}" for b in range(400)) for a in range(6)]
+    encoder = bpe.Encoder(bpe.vocabulary(BYTE_BPE).encode_words, bpe.vocabulary(BYTE_BPE).special, remembered=10)
+    assert encoder.encode(texts)[0].tolist() == [i for t in texts for i in ids_of(library, t)]
+
+
 def test_every_character_falls_into_the_same_word(library):
     texts = [f"a{chr(c)}a {chr(c)}1{chr(c)}{chr(c)}!" for c in range(0, 0x30000, 7) if not 0xD800 <= c < 0xE000]
     ids, _ = bpe.encoder(BYTE_BPE).encode(texts)

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from tierworks.llm.batches import id_text, map_texts
 from tierworks.llm.components import components
+from tierworks.operators.shape import keep_one as first_per_key
 from tierworks.session import new_work_path
 
 SEED = 42
@@ -128,8 +129,13 @@ def hexadecimal(fp):
 def keep_one(df: DataFrame, words_per_shingle: int = 3, max_bits: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``df`` that stand for their component: those whose id is its smallest.
 
-    Rows with the same id all stay or all go, and rows with a null id stay.
+    Of several rows with one id the first by all columns stays; rows with a null id all stay.
     """
     found = near_duplicates(df, words_per_shingle, max_bits, id_col, text_col)
     gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone_id")).distinct()
-    return df.join(gone, df[id_col].cast("long") == gone["_gone_id"], "left_anti")
+    kept = df.join(gone, df[id_col].cast("long") == gone["_gone_id"], "left_anti")
+    again = found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("_again_id"))
+    if again.isEmpty():
+        return kept
+    same = kept[id_col].cast("long") == again["_again_id"]
+    return kept.join(again, same, "left_anti").unionByName(first_per_key(kept.join(again, same, "left_semi"), [id_col]))
