@@ -257,6 +257,31 @@ def test_runs_of_one_second_and_one_run_in_parts(spark):
     assert runs.count() == 1 and ledger.summary(runs).first()["pipelines_found"] == 1 and runs.first()["tables_total"] == 2
 
 
+def test_gate_outcomes_in_the_entries(spark, tmp_path):
+    """Passed, quarantined and rejected sources, a failure, and a table without a gate."""
+    from tierworks.plans.run import Spec, run_layer
+
+    def score(value, status):
+        return spark.createDataFrame([(value, status)], "quality_score double, status string")
+
+    def broken(_):
+        raise ValueError("no")
+
+    table = lambda _: spark.range(3)
+    entries = run_layer(
+        spark, "tierworks_gate",
+        [
+            Spec("a", table, score=score(95.0, "PASS")), Spec("b", table, score=score(70.0, "QUARANTINE")), Spec("c", table, score=score(10.0, "REJECT")),
+            Spec("d", broken, score=score(99.0, "PASS")), Spec("e", table),
+        ],
+        "bronze_to_silver", location=str(tmp_path),
+    )
+    got = {r["table_name"]: (r["row_count"], r["written"], r["source_score"], r["status"]) for r in entries.collect()}
+    assert got == {"a": (3, True, 95.0, "PASS"), "b": (3, True, 70.0, "QUARANTINE"), "c": (None, False, 10.0, "REJECT"), "d": (None, False, 99.0, "PASS"), "e": (3, True, None, None)}
+    tags = {t: [r["value"] for r in spark.sql(f"SHOW TBLPROPERTIES tierworks_gate.{t}").collect() if r["key"] == "quality_status"] for t in "abe"}
+    assert tags == {"a": [], "b": ["QUARANTINE"], "e": []}
+
+
 def test_survivor_among_maps(spark):
     from tierworks.operators.shape import keep_one
 

@@ -12,7 +12,8 @@ from tierworks.functions import code_lookup, half_up
 
 RECORD_SCHEMA = (
     "run_id string, pipeline string, scenario string, track string, started_at timestamp_ntz, "
-    "ended_at timestamp_ntz, table_name string, row_count bigint, written boolean, error string"
+    "ended_at timestamp_ntz, table_name string, row_count bigint, written boolean, error string, "
+    "source_score double, status string"
 )
 
 # Evaluation family of each metric name.
@@ -29,7 +30,9 @@ TRACKS = ("aqe", "metadata", "mlops")
 
 
 def records(spark: SparkSession, rows: Sequence[tuple]) -> DataFrame:
-    return spark.createDataFrame(list(rows), RECORD_SCHEMA)
+    """Entries as tuples in the order of the schema; the gate's score and status may be left out."""
+    width = len(RECORD_SCHEMA.split(", "))
+    return spark.createDataFrame([(*r, *[None] * (width - len(r))) for r in rows], RECORD_SCHEMA)
 
 
 def seconds_between(start: str, end: str) -> Column:

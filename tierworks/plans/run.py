@@ -50,25 +50,29 @@ def run_layer(
 
     Parts of one pipeline's run share a ``run_id`` (see :func:`new_run_id`); without one the call is a run.
 
-    The rows are counted on the written table, whose file footers hold the answer, so
+    An entry holds the score and the status of the table's sources; a table written from quarantined sources
+    carries the status as its property ``quality_status``. The rows are counted on the written table, whose file footers hold the answer, so
     each table is computed once.
     """
     entries = []
     run_id = run_id or new_run_id(track)
     for spec in specs:
         started = ledger.now()
-        rows, error = None, None
+        rows, error, score, status = None, None, None, None
         try:
-            verdict = spec.score.select("quality_score", "status").first() if spec.score is not None else None
-            if verdict is not None and verdict["status"] == "REJECT":
-                raise RejectedSource(f"REJECT: quality score {verdict['quality_score']}")
+            if spec.score is not None:
+                score, status = spec.score.select("quality_score", "status").first()
+            if status == "REJECT":
+                raise RejectedSource(f"REJECT: quality score {score}")
             full = write_layer(
                 spec.build(spark), layer, spec.name + suffix, scenario, list(spec.partition_by) or None, location
             )
+            if status == "QUARANTINE":
+                spark.sql(f"ALTER TABLE {full} SET TBLPROPERTIES ('quality_status' = 'QUARANTINE')")
             rows = spark.table(full).count()
         except (PySparkException, Py4JError, ValueError, RuntimeError) as exc:
             error = str(exc).splitlines()[0]
         entries.append(
-            (run_id, pipeline, scenario or "default", track, started, ledger.now(), spec.name + suffix, rows, error is None, error)
+            (run_id, pipeline, scenario or "default", track, started, ledger.now(), spec.name + suffix, rows, error is None, error, score, status)
         )
     return ledger.records(spark, entries)
