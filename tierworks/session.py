@@ -50,9 +50,14 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+def work_folder(spark: SparkSession) -> str:
+    """Where this application keeps what it writes for itself; nothing in it is needed once the application ended."""
+    return f"{shared_dir(spark).rstrip('/')}/tierworks/{spark.sparkContext.applicationId}"
+
+
 def new_work_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/tierworks/{name}-{uuid.uuid4().hex}"
+    """A fresh path in the application's work folder."""
+    return f"{work_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
