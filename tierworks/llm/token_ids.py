@@ -210,10 +210,11 @@ def write_ids(df: DataFrame, target: str, path: str, end_id: int, work: str, id_
     spark = df.sparkSession
     tokenized(df, path, end_id, id_col, text_col).write.option("compression", "zstd").parquet(work)
     tokens = spark.read.parquet(work)
-    frequencies(tokens).orderBy(F.desc("n"), "id").coalesce(1).select(
-        (F.monotonically_increasing_id()).alias("rank"), "id", "n"
-    ).write.parquet(f"{target}/ranks")
-    ids = ids_by_rank(spark, target)
+    # no more rows than the vocabulary has
+    found = sorted((-r["n"], r["id"]) for r in frequencies(tokens).collect())
+    ranked = spark.createDataFrame([(k, i, -n) for k, (n, i) in enumerate(found)], "rank long, id long, n long")
+    ranked.coalesce(1).write.parquet(f"{target}/ranks")
+    ids = np.array([i for _, i in found], np.int64)
     rank_of = np.zeros(int(ids.max()) + 1 if len(ids) else 1, np.uint32)
     rank_of[ids] = np.arange(len(ids))
     sizes = {r["shard"]: r["n_ids"] for r in tokens.groupBy("shard").agg(F.sum(F.col("n").cast("long")).alias("n_ids")).collect()}
