@@ -120,14 +120,15 @@ def anchor_counts(rows: DataFrame) -> DataFrame:
 
 
 def occurrences(rows: DataFrame, hot: dict[int, int]) -> DataFrame:
-    """anchor, salt, content (hash), doc_id, tie, start, end, n of the regions of all texts.
+    """anchor, salts, salt, content (hash), doc_id, tie, start, end, n of the regions of all texts.
 
-    ``hot``: number of salts of frequent anchors; their occurrences are dealt by document. Occurrences of one
+    ``hot``: number of salts of frequent anchors; their occurrences are dealt by document. Others have one. Occurrences of one
     content within a piece are one row with their number; the places they cover are rows with n = 0.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent = np.sort(np.array(list(hot), np.int64))
+        frequent = np.array(sorted(hot), np.int64)
+        dealt_over = np.array([hot[a] for a in sorted(hot)], np.int32)
         for batch in batches:
             for part, texts in pieces(batch):
                 encoded = [t.encode() for t in texts]
@@ -144,27 +145,29 @@ def occurrences(rows: DataFrame, hot: dict[int, int]) -> DataFrame:
                 heads = order[~same]
                 n = np.diff(np.append(np.flatnonzero(~same), len(order)))
                 ids, ties = part.column("doc_id").to_numpy(), part.column("tie").to_numpy()
-                salt = np.zeros(len(heads), np.int32)
+                salt, salts = np.zeros(len(heads), np.int32), np.ones(len(heads), np.int32)
                 if len(frequent):
                     own = signed(h[heads])
                     at = np.minimum(np.searchsorted(frequent, own), len(frequent) - 1)
-                    for k in np.flatnonzero(frequent[at] == own).tolist():
-                        salt[k] = (int(ties[owner[heads[k]]]) ^ int(ids[owner[heads[k]]])) % hot[int(own[k])]
+                    known = frequent[at] == own
+                    salts[known] = dealt_over[at[known]]
+                    first = owner[heads[known]]
+                    salt[known] = (ties[first] ^ ids[first]) % salts[known]
                 base = begins[owner]
                 again = order[np.repeat(n > 1, n)]
                 covered = merged_by_owner(owner[again], starts[again] - base[again], stops[again] - base[again])
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.concatenate([signed(h[heads]), ties[covered[0]] ^ covered[1]])), pa.array(np.concatenate([salt, np.zeros(len(covered[0]), np.int32)])),
+                        pa.array(np.concatenate([signed(h[heads]), ties[covered[0]] ^ covered[1]])), pa.array(np.concatenate([salts, np.ones(len(covered[0]), np.int32)])), pa.array(np.concatenate([salt, np.zeros(len(covered[0]), np.int32)])),
                         pa.array(np.concatenate([content[heads], np.zeros(len(covered[0]), np.int64)])),
                         pa.array(np.concatenate([ids[owner[heads]], ids[covered[0]]])), pa.array(np.concatenate([ties[owner[heads]], ties[covered[0]]])),
                         pa.array(np.concatenate([(starts - base)[heads], covered[1]]).astype(np.int32)), pa.array(np.concatenate([(stops - base)[heads], covered[2]]).astype(np.int32)),
                         pa.array(np.concatenate([n, np.zeros(len(covered[0]), np.int64)]).astype(np.int32)),
                     ],
-                    ["anchor", "salt", "content", "doc_id", "tie", "start", "end", "n"],
+                    ["anchor", "salts", "salt", "content", "doc_id", "tie", "start", "end", "n"],
                 )
 
-    return rows.select("doc_id", "tie", "text").mapInArrow(run, "anchor long, salt int, content long, doc_id long, tie long, start int, end int, n int")
+    return rows.select("doc_id", "tie", "text").mapInArrow(run, "anchor long, salts int, salt int, content long, doc_id long, tie long, start int, end int, n int")
 
 
 def hash_of(content: bytes) -> int:
@@ -329,7 +332,7 @@ def shard_duplicates(shards: DataFrame) -> DataFrame:
     return shards.groupBy("anchor", "salt").applyInArrow(run, REMOVED)
 
 
-WINDOWS = "anchor long, part int, salt int, keys binary, doc_ids array<long>, ties array<long>, starts array<int>"
+WINDOWS = "anchor long, part int, salt long, keys binary, doc_ids array<long>, ties array<long>, starts array<int>"
 
 
 def shard_windows(shards: DataFrame) -> DataFrame:
@@ -338,7 +341,7 @@ def shard_windows(shards: DataFrame) -> DataFrame:
     A window that its shard holds twice, or whose region does, is known already; its start is -1.
     """
     schema = pa.schema([
-        ("anchor", pa.int64()), ("part", pa.int32()), ("salt", pa.int32()), ("keys", pa.binary()),
+        ("anchor", pa.int64()), ("part", pa.int32()), ("salt", pa.int64()), ("keys", pa.binary()),
         ("doc_ids", pa.list_(pa.int64())), ("ties", pa.list_(pa.int64())), ("starts", pa.list_(pa.int32())),
     ])
 
@@ -346,7 +349,7 @@ def shard_windows(shards: DataFrame) -> DataFrame:
         found = Shard(table.column("bytes").to_pylist())
         ids, ties, base = (table.column(c).to_numpy() for c in ("doc_id", "tie", "start"))
         once = table.column("n").to_numpy() == 1
-        parts = table.column("salts")[0].as_py()
+        parts = table.column("parts")[0].as_py()
         raw = found.raw.tobytes()
         at = found.sorted_windows
         keys = np.array([hashlib.blake2b(raw[p : p + LENGTH], digest_size=16).digest() for p in at.tolist()], "S16")
@@ -423,24 +426,30 @@ def unpacked(packed: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(packed)
 
 
-def region_rows(stored: DataFrame) -> DataFrame:
-    """The content of every region kept for its content: anchor, doc_id, tie, start, n, bytes."""
+def region_rows(stored: DataFrame, shared_only: bool = False) -> DataFrame:
+    """The content of every region kept for its content: anchor, salt (its shard), parts, doc_id, tie, start, n, bytes.
+
+    ``shared_only``: only regions of anchors that are dealt over several shards.
+    """
+    schema = pa.schema([
+        ("anchor", pa.int64()), ("salt", pa.int64()), ("parts", pa.int32()), ("doc_id", pa.int64()), ("tie", pa.int64()),
+        ("start", pa.int32()), ("n", pa.int32()), ("bytes", pa.binary()),
+    ])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for doc_id, tie, packed, kept in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "tie", "packed", "regions")), strict=True):
-                raw = unpacked(packed)
-                kept = [r for r in kept if r["kept"]]
+                kept = [r for r in kept if r["kept"] and (r["shard"] >= 0 or not shared_only)]
                 if kept:
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array([r["anchor"] for r in kept], pa.int64()), pa.array([doc_id] * len(kept), pa.int64()), pa.array([tie] * len(kept), pa.int64()),
-                            pa.array([r["start"] for r in kept], pa.int32()), pa.array([min(r["n"], 2) for r in kept], pa.int32()), pa.array([raw[r["start"] : r["end"]] for r in kept], pa.binary()),
-                        ],
-                        ["anchor", "doc_id", "tie", "start", "n", "bytes"],
-                    )
+                    raw = unpacked(packed)
+                    columns = [
+                        [r["anchor"] for r in kept], [r["shard"] for r in kept], [r["parts"] for r in kept], [doc_id] * len(kept), [tie] * len(kept),
+                        [r["start"] for r in kept], [min(r["n"], 2) for r in kept], [raw[r["start"] : r["end"]] for r in kept],
+                    ]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
-    return stored.select("doc_id", "tie", "packed", "regions").mapInArrow(run, "anchor long, doc_id long, tie long, start int, n int, bytes binary")
+    found = stored.select("doc_id", "tie", "packed", "regions")
+    return found.mapInArrow(run, "anchor long, salt long, parts int, doc_id long, tie long, start int, n int, bytes binary")
 
 
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, starts array<int>, ends array<int>"
@@ -468,10 +477,6 @@ def results(texts: DataFrame) -> DataFrame:
     return texts.select("doc_id", "no_id", "packed", "spans").mapInArrow(run, RESULT)
 
 
-def salted(column: Column, salts: Column) -> Column:
-    return F.pmod(F.xxhash64(column), salts).cast("int")
-
-
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and the removed starts and ends."""
     spark = df.sparkSession
@@ -488,45 +493,42 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # regions whose anchor recurs; one of each content is kept for the suffix arrays
     dealt = occurrences(rows, hot).repartition("anchor", "salt")
     by_anchor, by_content = Window.partitionBy("anchor", "salt"), Window.partitionBy("anchor", "salt", "content")
+    kept = (F.col("n") > 0) & (F.col("place") == 1)
+    shards_here = F.greatest(F.lit(1), F.ceil(F.col("size") / SHARD_BYTES)).cast("int")
+    shared = (F.col("salts") > 1) | (F.col("shards_here") > 1)
+    own_shard = F.pmod(F.xxhash64("doc_id", "tie", "start"), F.col("shards_here").cast("long"))
     recurring = (
-        dealt.withColumn("in_anchor", F.sum("n").over(by_anchor)).withColumn("in_content", F.sum("n").over(by_content))
+        dealt.withColumn("in_anchor", F.sum("n").over(by_anchor)).where("in_anchor <> 1 OR salts > 1")
+        .withColumn("in_content", F.sum("n").over(by_content))
         .withColumn("place", F.row_number().over(by_content.orderBy("doc_id", "tie", "start")))
+        .withColumn("size", F.sum(F.when(kept, F.col("end") - F.col("start")).otherwise(0).cast("long")).over(by_anchor))
+        .withColumn("shards_here", shards_here)
+        .select(
+            "doc_id", "tie",
+            F.struct(
+                "anchor", "start", "end", F.least(F.col("in_content"), F.lit(2)).cast("int").alias("n"), kept.alias("kept"),
+                ((F.col("n") == 0) | (F.col("in_content") > 1)).alias("whole"),
+                F.when(shared, F.shiftleft(F.col("salt").cast("long"), 32) + own_shard).otherwise(-1).alias("shard"),
+                F.when(F.col("salts") > 1, 4 * F.col("salts")).otherwise(F.col("shards_here")).alias("parts"),
+            ).alias("region"),
+        )
     )
-    known_hot = F.col("anchor").isin(list(hot)) if hot else F.lit(False)
-    recurring = recurring.where((F.col("in_anchor") != 1) | known_hot).select(
-        "doc_id", "tie",
-        F.struct(
-            "anchor", "start", "end", F.col("in_content").cast("int").alias("n"),
-            ((F.col("n") > 0) & (F.col("place") == 1)).alias("kept"), ((F.col("n") == 0) | (F.col("in_content") > 1)).alias("whole"),
-        ).alias("region"),
-    )
-    per_text = recurring.groupBy("doc_id", "tie").agg(F.collect_list("region").alias("regions"))
+    per_text = recurring.groupBy("doc_id", "tie").agg(
+        F.collect_list("region").alias("regions"), F.bool_or((F.col("region.shard") >= 0) & F.col("region.kept")).alias("in_shared")
+    )
     path = new_work_path(spark, "regions")
     packed_texts(rows).join(per_text, ["doc_id", "tie"], "left").write.option("compression", "zstd").parquet(path)
     stored = spark.read.parquet(path)
 
-    # shards
+    # shards: anchors together, or one anchor over several
     some = stored.where("regions IS NOT NULL")
-    sizes = some.select(F.explode("regions").alias("r")).where("r.kept").select("r.anchor", (F.col("r.end") - F.col("r.start")).alias("size")).groupBy("anchor").agg(F.sum("size").alias("size"))
-    path = new_work_path(spark, "sizes")
-    sizes.write.parquet(path)
-    sizes = spark.read.parquet(path)
-    n_shards = max(1, math.ceil((sizes.agg(F.sum("size")).first()[0] or 0) / SHARD_BYTES))
-    large = sizes.where(F.col("size") > SHARD_BYTES).select("anchor", F.ceil(F.col("size") / SHARD_BYTES).cast("int").alias("salts"))
-    contents = region_rows(some)
-    if large.isEmpty():
-        split = contents.withColumn("salts", F.lit(1))
-    else:
-        split = contents.join(large, "anchor", "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
-    alone = F.col("salts") == 1
-    shards = split.select(
-        F.when(alone, F.pmod(F.xxhash64("anchor"), F.lit(n_shards))).otherwise(F.col("anchor")).alias("anchor"),
-        F.when(alone, -1).otherwise(salted(F.struct("doc_id", "tie", "start"), F.col("salts"))).alias("salt"),
-        "salts", "doc_id", "tie", "start", "n", "bytes",
-    )
-    removed = shard_duplicates(shards)
-    if not large.isEmpty():
-        removed = removed.unionByName(merge_shards(shard_windows(shards.where("salts > 1"))))
+    size = F.aggregate(F.filter("regions", lambda r: r["kept"]), F.lit(0).cast("long"), lambda n, r: n + r["end"] - r["start"])
+    n_shards = max(1, math.ceil((some.agg(F.sum(size)).first()[0] or 0) / SHARD_BYTES))
+    placed = F.when(F.col("salt") >= 0, F.col("anchor")).otherwise(F.pmod(F.xxhash64("anchor"), F.lit(n_shards)))
+    removed = shard_duplicates(region_rows(some).withColumn("anchor", placed))
+    several = some.where("in_shared")
+    if not several.isEmpty():
+        removed = removed.unionByName(merge_shards(shard_windows(region_rows(several, shared_only=True))))
     path = new_work_path(spark, "removed")
     removed.write.parquet(path)
     removed = spark.read.parquet(path)
