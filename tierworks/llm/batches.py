@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CHARS = 1 << 20
+CHARS = 1 << 19
 
 
 def on_workers(spark: SparkSession) -> None:
