@@ -17,7 +17,6 @@ rows; an empty table gives an empty result; only the id and vector columns are r
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,6 +26,7 @@ from pyspark.sql import functions as F
 
 SCALE = 256
 ROWS = 4096  # vectors in a block
+SLAB = 256  # queries of a block that meet its candidates at once
 EXACT_FLOAT = 2.0**52  # products below it are exact in doubles
 
 
@@ -83,36 +83,60 @@ def products(queries: np.ndarray, candidates: np.ndarray) -> np.ndarray:
     return np.array([sum(int(a) * int(b) for a, b in zip(q, c, strict=True)) for q, c in zip(queries, candidates, strict=True)], object)
 
 
-def best_of_block(queries: np.ndarray, query_ids: np.ndarray, candidates: np.ndarray, ids: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each query: its number, ids and scores of its k best candidates in the block."""
-    d = queries.shape[1]
-    steps = levels(d)
-    of_candidates = [np.hstack(statistics(candidates, n)) for n in steps]
-    of_queries = [np.hstack(statistics(queries, n)) for n in steps]
-    norms, own_norms = (candidates * candidates).sum(axis=1), (queries * queries).sum(axis=1)
-    for q in range(len(queries)):
-        others = np.flatnonzero(ids != query_ids[q])
-        if not len(others):
-            continue
-
-        def upper(level: int, some: np.ndarray, q: int = q) -> np.ndarray:
-            gap = of_candidates[level][some] - of_queries[level][q]
-            lower_distance = np.einsum("ij,ij->i", gap, gap)
-            total = own_norms[q] + norms[some]
-            return (total - lower_distance) / 2 + 1e-9 * total + 0.5  # room for rounding
-
-        bound = upper(0, others)
-        first = others[np.argpartition(-bound, min(k, len(others)) - 1)[:k]]
-        scores = products(np.repeat(queries[q : q + 1], len(first), axis=0), candidates[first])
-        beat = min(scores) if len(first) == k else -math.inf
-        left = others[bound >= beat]
-        for level in range(1, len(steps)):
-            if len(left) <= 4 * k:
-                break
-            left = left[upper(level, left) >= beat]
-        scores = products(np.repeat(queries[q : q + 1], len(left), axis=0), candidates[left])
-        order = sorted(range(len(left)), key=lambda i: (-scores[i], int(ids[left[i]])))[:k] if scores.dtype == object else np.lexsort((ids[left], -scores))[:k]
-        yield q, ids[left[order]], scores[order]
+def segment_vectors(vectors: np.ndarray, segments: int) -> np.ndarray:
+    """Means and deviations side by side; the product of two such rows bounds the product of the vectors from above.
+
+    It is (norm + norm - lower distance) / 2, as a vector's norm is that of its means and deviations.
+    """
+    return np.hstack(statistics(vectors, segments))
+
+
+def best_of_block(queries: np.ndarray, query_ids: np.ndarray, candidates: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """Query numbers, candidate numbers and scores of each query's k best candidates in the block."""
+    steps = levels(queries.shape[1])
+    norms = [np.linalg.norm(x, axis=1) for x in (queries, candidates)]
+
+    def upper(segments: int, columns: np.ndarray) -> np.ndarray:
+        room = 0.5 + 1e-9 * norms[0][:, None] * norms[1][columns][None, :]  # for rounding
+        return segment_vectors(queries, segments) @ segment_vectors(candidates[columns], segments).T + room
+
+    alive = ids[None, :] != query_ids[:, None]
+    bound = np.where(alive, upper(steps[0], np.arange(len(ids))), -np.inf)
+    # the score to beat: the k-th of the exact scores of the k highest bounds
+    some = np.argpartition(-bound, min(k, len(ids)) - 1, axis=1)[:, :k]
+    beat = np.full(len(queries), -np.inf)
+    full = np.flatnonzero(np.take_along_axis(alive, some, 1).sum(axis=1) == k)
+    if len(full):
+        exact = products(np.repeat(queries[full], k, axis=0), candidates[some[full].ravel()]).reshape(-1, k)
+        least = exact.min(axis=1).astype(float)
+        beat[full] = least - 1e-9 * np.abs(least)
+    alive &= bound >= beat[:, None]
+    for segments in steps[1:]:
+        columns = np.flatnonzero(alive.any(axis=0))
+        if alive.sum() <= 4 * k * len(queries):
+            break
+        alive[:, columns] &= upper(segments, columns) >= beat[:, None]
+    # exact scores of what is left: many survivors by one matrix product, few or large numbers pair by pair
+    columns = np.flatnonzero(alive.any(axis=0))
+    exact_in_doubles = norms[0].max(initial=0) * norms[1].max(initial=0) < EXACT_FLOAT
+    if exact_in_doubles and len(columns):
+        scores = np.where(alive[:, columns], queries @ candidates[columns].T, -np.inf)
+        place = len(columns) - min(k, len(columns))
+        alive[:, columns] &= scores >= np.partition(scores, place, axis=1)[:, place : place + 1]
+        q, c = np.nonzero(alive)
+        scores = scores[q, np.searchsorted(columns, c)].astype(np.int64)
+    else:
+        q, c = np.nonzero(alive)
+        parts = [products(queries[q[i : i + 65536]], candidates[c[i : i + 65536]]) for i in range(0, len(q), 65536)]
+        scores = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+    if scores.dtype == object:
+        order = np.array(sorted(range(len(q)), key=lambda i: (q[i], -scores[i], ids[c[i]])), int)
+    else:
+        order = np.lexsort((ids[c], -scores, q))
+    q, c, scores = q[order], c[order], scores[order]
+    first = np.searchsorted(q, q)
+    kept = np.arange(len(q)) - first < k
+    return q[kept], c[kept], scores[kept].tolist()
 
 
 def top_k(
@@ -137,15 +161,11 @@ def top_k(
                 queries = np.frombuffer(pair["q_data"]).reshape(-1, pair["d"])
                 candidates = np.frombuffer(pair["data"]).reshape(-1, pair["d"])
                 query_ids, ids = np.array(pair["q_ids"], np.int64), np.array(pair["ids"], np.int64)
-                found = list(best_of_block(queries, query_ids, candidates, ids, k))
-                if found:
+                for at in range(0, len(queries), SLAB):
+                    q, c, scores = best_of_block(queries[at : at + SLAB], query_ids[at : at + SLAB], candidates, ids, k)
                     yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(np.repeat(query_ids[[q for q, *_ in found]], [len(i) for _, i, _ in found])),
-                            pa.array(np.concatenate([i for _, i, _ in found])), pa.array([int(s) for *_, own in found for s in own], pa.int64()),
-                        ],
-                        ["query_id", "vec_id", "score"],
-                    )
+                        [pa.array(query_ids[at + q]), pa.array(ids[c]), pa.array(scores, pa.int64())], ["query_id", "vec_id", "score"]
+                    )
 
     found = asked.join(offered, ["part", "d"]).select("d", "q_ids", "q_data", "ids", "data").mapInArrow(run, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
