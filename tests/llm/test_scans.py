@@ -110,6 +110,30 @@ def test_language_of_held_out_texts(spark):
     assert sum(r["rejected"] for r in found) <= 0.002 * len(found) and all(0 <= r["score"] <= 1 for r in found)
 
 
+def test_unlearned_languages_and_random_letters_are_rejected(spark):
+    where, rng = "/root/testdata/sf0.1", np.random.default_rng(0)
+    documents = table(spark, where, "documents")
+    model = langid.fit(documents.where(~langid.held_out(documents["doc_id"])))
+    foreign = [
+        "Nel mezzo del cammin di nostra vita mi ritrovai per una selva oscura che la diritta via era smarrita ",
+        "Litwo ojczyzno moja ty jesteś jak zdrowie ile cię trzeba cenić ten tylko się dowie kto cię stracił ",
+        "Mieleni minun tekevi aivoni ajattelevi lähteäni laulamahan saa'ani sanelemahan sukuvirttä suoltamahan ",
+        "Bütün insanlar hür haysiyet ve haklar bakımından eşit doğarlar akıl ve vicdana sahiptirler ",
+        "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 800)),
+        "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/"), 2000)),
+    ]
+    assert model.predict([(t * 20)[:2000] for t in foreign])[2].all()
+    clean = documents.where(langid.held_out(documents["doc_id"]))
+    found = langid.identify(clean, model).collect()
+    assert sum(r["rejected"] for r in found) <= 0.005 * len(found)
+
+
+def test_one_outlier_does_not_set_the_floors():
+    found = [("x", b, 0.8, 0.2) for b in (6, 7, 8) for _ in range(1000)]
+    floors = langid.floors(["x"], [*found, ("x", 8, 0.05, 0.2)])
+    assert (floors[0, 6:] == 0.2).all() and (floors[0, :6] == 0).all()
+
+
 def test_language_on_odd_rows(spark, sf):
     documents = table(spark, sf, "documents")
     model = langid.fit(documents.where(~langid.held_out(documents["doc_id"])))

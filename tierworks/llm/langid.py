@@ -1,8 +1,9 @@
 """Language identification by nearest centroid.
 
 Texts become normalised TF-IDF vectors of hashed letter n-grams; every language has several centroids from
-spherical k-means; a text takes the language of the centroid with the highest cosine. A text that is
-farther from every centroid than training texts of its length ever are is rejected.
+spherical k-means; a text takes the language of the centroid with the highest cosine. It is rejected if it
+is farther from the centroids than nearly all texts of that language and length, and no nearer than texts of
+another language are. Both are measured on texts, and beginnings of texts, kept from the centroids they meet.
 
 Cases: a null text or one without a letter is ``und`` with score 0 and rejected; without training rows all
 are; a null label is not learned from; rows with the same id stay separate; an empty table gives an empty
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 
 from tierworks.llm.batches import crc32_bucket, id_text, keep_rows, map_texts
 from tierworks.llm.pretokens import LETTER, classes, code_points
+from tierworks.session import new_work_path
 
 DIMENSIONS = 4096
 LONGEST_GRAM = 3
@@ -27,8 +29,11 @@ ROWS = 256  # texts whose dense vectors are made at once
 PER_LANGUAGE = 400  # labelled texts of each language that the centroids are fitted on
 CENTROIDS = 4
 BINS = 40
-# A text is rejected below this share of the lowest cosine among training texts of its length.
-SLACK = 0.3
+PARTS = 16  # tasks the sample is dealt over
+FOLDS = 4  # parts of the sample, each measured against centroids of the others
+# A text is rejected below this quantile of its language's own cosines, but not above that one of foreign cosines.
+OWN, FOREIGN = 0.002, 0.99
+FEWEST = 20  # cosines of a language and length from which its own quantile is taken, else that of all languages
 
 
 def gram_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -71,7 +76,7 @@ class Model:
     centroids: np.ndarray  # one row each, of length 1
     owner: np.ndarray  # index of the language of each centroid
     idf: np.ndarray
-    floors: np.ndarray  # lowest accepted cosine by length bin
+    floors: np.ndarray  # lowest accepted cosine by language and length bin
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Language, score and rejection of each text."""
@@ -87,7 +92,8 @@ class Model:
             known = (letters > 0) & bool(self.languages)
             names += [self.languages[self.owner[b]] if k else "und" for b, k in zip(best, known, strict=True)]
             scores.append(np.where(known, cosine, 0.0))
-            rejected.append(~known | (cosine < self.floors[length_bin(letters)]))
+            floor = self.floors[self.owner[best], length_bin(letters)] if self.languages else 0.0
+            rejected.append(~known | (cosine < floor))
         return names, np.concatenate([*scores, []]), np.concatenate([*rejected, np.zeros(0, bool)]).astype(bool)
 
 
@@ -108,29 +114,62 @@ def clusters(rows: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
 
 
 def train(languages: list[str], counts: np.ndarray, letters: np.ndarray, k: int = CENTROIDS) -> Model:
-    """Centroids, inverse document frequencies and rejection floors of labelled texts."""
+    """Centroids and inverse document frequencies of labelled texts; the model rejects no text with a letter yet."""
     idf = np.log((1 + len(counts)) / (1 + (counts > 0).sum(axis=0))).astype(np.float32) + np.float32(0.05)
     rows = unit(damped(counts) * idf)
     names, labels = sorted(set(languages)), np.array(languages)
     parts = [clusters(rows[labels == name], k) for name in names]
     owner = np.repeat(np.arange(len(names)), [len(p) for p in parts])
     centroids = np.vstack(parts).astype(np.float32) if parts else np.zeros((0, DIMENSIONS), np.float32)
-    floors, lowest = np.zeros(BINS), np.full(BINS, np.inf)
-    if names:
-        np.minimum.at(lowest, length_bin(letters), (rows @ centroids.T).max(axis=1))
-    # a shorter text may not be held to more than a longer one; lengths never seen are not rejected
-    seen = np.flatnonzero(np.isfinite(lowest))
-    if len(seen):
-        floors[seen[0] :] = SLACK * np.minimum.accumulate(lowest[seen[0] :][::-1])[::-1]
-        floors[~np.isfinite(floors)] = floors[seen[-1]]
-    return Model(names, centroids, owner, idf, floors)
+    return Model(names, centroids, owner, idf, np.zeros((len(names), BINS)))
+
+
+def beginnings(text: str) -> list[str]:
+    """The text, and for every shorter length bin its first letters to the middle of the bin."""
+    at = np.flatnonzero(classes()[code_points(text)] == LETTER)
+    sizes = [3 << b for b in range(BINS) if 3 << b < len(at) and 4 << b <= 1 << int(np.log2(len(at)))]
+    return [*(text[: at[n - 1] + 1] for n in sizes), text]
+
+
+def distances(model: Model, language: str, texts: list[str]) -> list[tuple[int, float, float | None]]:
+    """(length bin, cosine to the language, cosine to the nearest other language) of each text with a letter."""
+    out, mine = [], np.array([model.languages[i] == language for i in model.owner], bool)
+    for at in range(0, len(texts), ROWS):
+        counts, letters = gram_counts(texts[at : at + ROWS])
+        cosines = unit(damped(counts) * model.idf) @ model.centroids.T
+        for cosine, n, b in zip(cosines, letters, length_bin(letters).tolist(), strict=True):
+            if n and mine.any():
+                out.append((b, float(cosine[mine].max()), None if mine.all() else float(cosine[~mine].max())))
+    return out
+
+
+def floors(languages: list[str], found: list[tuple[str, int, float, float | None]]) -> np.ndarray:
+    """Lowest accepted cosine by language and length bin, from (language, bin, own cosine, foreign cosine)."""
+    out = np.zeros((len(languages), BINS))
+    bins = np.array([f[1] for f in found], int)
+    own, foreign = (np.array([np.nan if f[i] is None else f[i] for f in found], float) for i in (2, 3))
+    labels = np.array([f[0] for f in found])
+    cap = -np.inf
+    for b in range(BINS):
+        here = bins == b
+        other = foreign[here & ~np.isnan(foreign)]
+        # a longer text of another language is at least as near as a shorter one
+        cap = max(cap, float(np.quantile(other, FOREIGN))) if len(other) >= FEWEST else cap
+        for i, name in enumerate(languages):
+            mine = own[here & (labels == name)]
+            mine = mine if len(mine) >= FEWEST else own[here]
+            # lengths hardly ever seen are held to what the next shorter one is; the shortest are not rejected
+            low = float(np.quantile(mine, OWN)) if len(mine) >= FEWEST else np.nan
+            out[i, b] = (out[i, b - 1] if b else 0.0) if np.isnan(low) else min(low, cap) if np.isfinite(cap) else low
+    return out
 
 
 def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """A model from at most ``per_language`` texts of each language, chosen by a hash of their ids.
 
     The first scan reads ids and labels only and finds the hash that bounds each language's sample. The
-    sample's vectors come to the driver: languages x per_language x 8 KB.
+    sample is written once; its vectors come to the driver, languages x per_language x 8 KB, and then the
+    cosines of its texts and their beginnings, from which the rejection floors are taken.
     """
     rows = labelled.where(F.col(lang_col).isNotNull())
     rank = F.coalesce(F.xxhash64(rows[id_col]), F.lit(0))
@@ -143,20 +182,44 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, id_col: str = "do
     chosen = F.lit(False)
     for b in bounds:
         chosen = chosen | ((rows[lang_col] == b["lang"]) & (rank <= b["bound"]))
-    sample = rows.where(chosen).select(F.col(lang_col).alias("lang"), F.coalesce(rows[text_col], F.lit("")).alias("text"))
+    path = new_work_path(labelled.sparkSession, "languages")
+    fold = F.pmod(rank, F.lit(FOLDS)).cast("int").alias("fold")
+    sample = rows.where(chosen).select(F.col(lang_col).alias("lang"), F.coalesce(rows[text_col], F.lit("")).alias("text"), fold)
+    sample.limit(per_language * max(1, len(bounds))).repartition(PARTS, F.xxhash64("text")).write.parquet(path)
+    sample = labelled.sparkSession.read.schema("lang string, text string, fold int").parquet(path)
 
     def per_piece(part: pa.RecordBatch, texts: list[str]) -> pa.RecordBatch:
         made = [gram_counts(texts[i : i + ROWS]) for i in range(0, len(texts), ROWS)]
         vectors = [row.tobytes() for counts, _ in made for row in np.minimum(counts, 65535).astype(np.uint16)]
         letters = np.concatenate([n for _, n in made])
         return pa.RecordBatch.from_arrays(
-            [part.column("lang"), pa.array(vectors, pa.binary()), pa.array(letters, pa.int64())], ["lang", "counts", "letters"]
+            [part.column("lang"), pa.array(vectors, pa.binary()), pa.array(letters, pa.int64()), part.column("fold")], ["lang", "counts", "letters", "fold"]
         )
 
-    found = map_texts(sample, per_piece, "lang string, counts binary, letters long").where("letters > 0").limit(per_language * max(1, len(bounds))).toArrow()
+    found = map_texts(sample, per_piece, "lang string, counts binary, letters long, fold int").where("letters > 0").toArrow()
     counts = np.frombuffer(b"".join(found.column("counts").to_pylist()), np.uint16).reshape(-1, DIMENSIONS)
-    order = sorted(range(len(counts)), key=lambda i: (found.column("lang")[i].as_py(), counts[i].tobytes()))
-    return train([found.column("lang")[i].as_py() for i in order], counts[order].astype(np.int64), found.column("letters").to_numpy()[order])
+    langs = found.column("lang").to_pylist()
+    order = sorted(range(len(counts)), key=lambda i: (langs[i], counts[i].tobytes()))
+    langs, counts = [langs[i] for i in order], counts[order].astype(np.int64)
+    letters, folds = found.column("letters").to_numpy()[order], found.column("fold").to_numpy()[order]
+    model = train(langs, counts, letters)
+    if not model.languages:
+        return model
+    others = []
+    for f in range(FOLDS):
+        rest = np.flatnonzero(folds != f)
+        others.append(train([langs[i] for i in rest], counts[rest], letters[rest]))
+
+    def measured(part: pa.RecordBatch, texts: list[str]) -> pa.RecordBatch:
+        rows = []
+        for lang, text, f in zip(part.column("lang").to_pylist(), texts, part.column("fold").to_pylist(), strict=True):
+            rows += [(lang, *d) for d in distances(others[f], lang, beginnings(text))]
+        kinds = (pa.string(), pa.int32(), pa.float64(), pa.float64())
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], ["lang", "bin", "own", "foreign"])
+
+    seen = map_texts(sample, measured, "lang string, bin int, own double, foreign double").collect()
+    model.floors = floors(model.languages, [tuple(r) for r in seen])
+    return model
 
 
 def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
