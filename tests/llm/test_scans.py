@@ -203,6 +203,33 @@ def test_toxicity_learns_unknown_stems(spark):
     assert auc([found[i] for i in range(300, 400)], [int(i % 4 == 0) for i in range(300, 400)]) == 1.0
 
 
+def test_toxicity_learns_stems_of_a_small_language_by_repeated_use(spark):
+    # 5 of 100 toxic texts are of another language: they repeat a stem that two of its clean texts hold once
+    rng = np.random.default_rng(0)
+    rows, marks = [], []
+    for i in range(900):
+        small, toxic = i % 20 == 0, i % 9 == 0
+        words = [f"{'u' if small else 'w'}{rng.integers(10**6)}" for _ in range(30)]
+        words[3:3] = (["bomenteq", "bomentez", "ya", "bomentex", "bomente"] if toxic else ["bomentez"] * (i % 240 == 0)) if small else ["grumbol"] * toxic
+        rows.append((i, " ".join(words)))
+        marks.append((i, 1, int(toxic)))
+    labels = spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    model = toxicity.fit(odd_table(spark, rows), labels)
+    assert model.lexicon["bomente"][0] == toxicity.REPEATED and any(s.startswith("grumbol") for s in model.lexicon)
+    assert model.weight("ein bomentez nur")[0] == 0 < model.weight("ein bomentez und bomenter")[0]
+
+
+def test_op10_separates_every_language(spark):
+    where = "/root/testdata/sf0.1"
+    found = {r["doc_id"]: r for r in QUERIES["op10_toxicity"](spark, where).collect()}
+    rows = table(spark, where, "documents").join(table(spark, where, "labels"), "doc_id").select("doc_id", "lang", "toxic").collect()
+    held = [r for r in rows if found[r["doc_id"]]["held_out"]]
+    by_lang = {x: [r for r in held if r["lang"] == x] for x in ("en", "de", "fr", "es")}
+    scores = {x: auc([found[r["doc_id"]]["score"] for r in own], [r["toxic"] for r in own]) for x, own in by_lang.items()}
+    assert min(scores.values()) > 0.95, scores
+    assert np.mean([found[r["doc_id"]]["predicted"] for r in held if not r["toxic"]]) < 0.01
+
+
 def test_op10_catches_english_insults(spark):
     where = "/root/testdata/sf0.01"
     found = {r["doc_id"]: r for r in QUERIES["op10_toxicity"](spark, where).collect()}

@@ -6,8 +6,9 @@ aimed, one soon after a negation is denied, one in reported speech is told, a th
 They are composed into one transducer, run over the clauses that hold an insult or a threat, and the
 rewritten symbols carry the weights. The sum of a text's weights, calibrated on labelled rows, is its score.
 
-The insult words and stems come from a hand-written list and from labelled texts: stems that many toxic and
-hardly any clean texts hold.
+The insult words and stems come from a hand-written list and from labelled texts: stems that toxic texts
+use far more than clean ones, by more than chance explains. One that clean texts hold as well, but hardly
+ever twice, counts only where a text repeats it.
 
 Cases: a null or empty text, or one without a match, gets the lowest score; rows with the same id or text
 stay separate; without labels of both kinds the hand-written list and fixed calibration are used; an empty
@@ -16,6 +17,7 @@ table gives an empty result; only the named columns are read; a null id or label
 
 from __future__ import annotations
 
+import collections
 import dataclasses
 import math
 import re
@@ -26,8 +28,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tierworks.llm.batches import crc32_bucket, id_text, map_texts
+from tierworks.session import new_work_path
 
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, BREAK, AIMED, DENIED, TOLD, MENACE, AIM = range(12)
+REPEATED = 12  # a word that is an insult in a text with another of its stem, else any other word; decided before the grammar
 
 # Words of each class in the four languages.
 INSULTS = """idiot idiots moron morons scum clown clowns worthless pathetic trash disgusting loser losers stupid dumb imbecile
@@ -49,9 +53,10 @@ NEGATION_REACH = 3  # words after a negation that it denies
 
 TOXIC, CLEAN = 1200, 3600  # labelled texts learned from
 STEMS = (4, 5, 6, 7, 8)  # lengths of stems; a whole word ends in "$"
-SHARE, FEWEST = 0.03, 5  # a stem is learned if so many of the toxic texts hold it
+FEWEST = 3  # a stem is learned if so many toxic texts hold it (or repeat it)
 ODDS = 30.0  # and so much rather than the clean texts
-MOST_STEMS = 2000
+REPEAT_ODDS = 10.0  # or so much more often, counted in uses and in texts that repeat it
+CHANCE = 0.01  # expected number of stems learned by chance, were the uses independent
 TOKEN = re.compile(r"\w+|[.!?;\n]+")
 
 
@@ -128,22 +133,22 @@ def base_lexicon() -> dict[str, tuple[int, float]]:
 
 
 class Symbols(dict):
-    """Symbol and weight number of each word, worked out when a word is first met; starts anew when full."""
+    """Symbol, weight and stem of each word, worked out when a word is first met; starts anew when full."""
 
     def __init__(self, lexicon: dict[str, tuple[int, float]], full: int = 400_000):
         super().__init__()
         self.lexicon, self.full = lexicon, full
         self.lengths = sorted({len(s) for s in lexicon if not s.endswith("$")}, reverse=True)
 
-    def __missing__(self, word: str) -> tuple[int, float]:
+    def __missing__(self, word: str) -> tuple[int, float, str]:
         if len(self) >= self.full:
             self.clear()
-        found = self.lexicon.get(word + "$")
-        if found is None and word[0] in ".!?;\n":
-            found = (BREAK, 0.0)
-        for n in self.lengths:
-            found = found or (self.lexicon.get(word[:n]) if len(word) >= n else None)
-        self[word] = found = found or (OTHER, 0.0)
+        stems = [word + "$", *(word[:n] for n in self.lengths if len(word) >= n)]
+        held = [(*self.lexicon[s], s) for s in stems if s in self.lexicon]
+        if not held and word[0] in ".!?;\n":
+            held = [(BREAK, 0.0, "")]
+        # what always counts goes before what counts when repeated
+        self[word] = found = next((h for h in held if h[0] != REPEATED), held[0] if held else (OTHER, 0.0, ""))
         return found
 
 
@@ -168,6 +173,12 @@ class Model:
         tokens = TOKEN.findall(text.lower())
         tagged = list(map(self.words.__getitem__, tokens))
         codes = np.fromiter((t[0] for t in tagged), np.int8, len(tagged))
+        again = np.flatnonzero(codes == REPEATED).tolist()
+        if again:
+            uses = collections.Counter(tagged[i][2] for i in again)
+            for i in again:
+                codes[i] = INSULT if uses[tagged[i][2]] > 1 else OTHER
+                tagged[i] = (int(codes[i]), *tagged[i][1:])
         hits = np.flatnonzero((codes == INSULT) | (codes == THREAT))
         if not len(hits):
             return 0.0, []
@@ -187,22 +198,51 @@ class Model:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.slope * math.log1p(weight) + self.offset))))
 
 
-def stems(text: str) -> set[str]:
-    """Every word of the text with an end mark, and its beginnings."""
-    words = {w for w in TOKEN.findall(text.lower()) if len(w) >= STEMS[0] and w[0] not in ".!?;\n"}
-    return {w + "$" for w in words} | {w[:n] for w in words for n in STEMS if len(w) >= n}
+def stems(text: str) -> tuple[collections.Counter, int]:
+    """How often the text uses each word, with an end mark, and its beginnings; the number of all uses of words."""
+    words = collections.Counter(w for w in TOKEN.findall(text.lower()) if len(w) >= STEMS[0] and w[0] not in ".!?;\n")
+    uses: collections.Counter = collections.Counter()
+    for w, n in words.items():
+        uses[w + "$"] += n
+        for k in STEMS:
+            if len(w) >= k:
+                uses[w[:k]] += n
+    return uses, words.total()
 
 
-def learned(counts: list[tuple[str, int, int]], toxic: int, clean: int) -> dict[str, tuple[int, float]]:
-    """Insult stems with weights, from (stem, toxic texts, clean texts)."""
-    support, lexicon = {}, {}
-    for stem, a, b in counts:
-        odds = ((a + 0.5) / (toxic + 1)) / ((b + 0.5) / (clean + 1))
-        if a >= max(FEWEST, SHARE * toxic) and odds >= ODDS:
-            support[stem], lexicon[stem] = a, (INSULT, min(6.0, math.log(odds)))
-    # of stems that begin alike the longest that keeps nine tenths of the texts, then none that a kept one covers
-    kept = {s: w for s, w in lexicon.items() if s.endswith("$") or not any(support.get(t, 0) >= 0.9 * support[s] for t in lexicon if len(t) > len(s) and t.startswith(s) and not t.endswith("$"))}
-    return {s: w for s, w in kept.items() if not any(s[:n] in kept and kept[s[:n]][1] >= w[1] - 0.01 for n in STEMS if n < len(s))}
+def odds(toxic: Column | float, clean: Column | float, all_toxic: float, all_clean: float) -> Column | float:
+    """Smoothed share of the toxic over that of the clean."""
+    return ((toxic + 0.5) / (all_toxic + 1)) / ((clean + 0.5) / (all_clean + 1))
+
+
+def surprise(toxic: Column, clean: Column, share: float) -> Column:
+    """-log of a bound (Chernoff's) on the chance that so large a part of the uses is toxic, ``share`` of all being so."""
+    both = toxic + clean
+    part = lambda n, p: F.when(n > 0, n * F.log(n / (both * p))).otherwise(0.0)
+    return F.when(toxic > both * share, part(toxic, share) + part(clean, 1 - share)).otherwise(0.0)
+
+
+def pruned(support: dict[str, int], weights: dict[str, float]) -> dict[str, float]:
+    """Of stems that begin alike the longest that keeps nine tenths of the texts, then none that a kept one covers."""
+    by_start: dict[str, list[str]] = {}
+    for t in weights:
+        if not t.endswith("$"):
+            for n in range(STEMS[0], len(t)):
+                by_start.setdefault(t[:n], []).append(t)
+    kept = {s: w for s, w in weights.items() if s.endswith("$") or not any(support[t] >= 0.9 * support[s] for t in by_start.get(s, ()))}
+    return {s: w for s, w in kept.items() if not any(s[:n] in kept and kept[s[:n]] >= w - 0.01 for n in STEMS if n < len(s))}
+
+
+def learned(counts: list[tuple[str, int, int, int, int]], toxic: int, clean: int) -> dict[str, tuple[int, float]]:
+    """Insult stems with weights, from (stem, toxic texts, clean texts, toxic and clean texts that repeat it)."""
+    always, repeated = ({}, {}), ({}, {})
+    for stem, a, b, a2, b2 in counts:
+        once, twice = odds(a, b, toxic, clean), odds(a2, b2, toxic, clean)
+        if a >= FEWEST and once >= ODDS:
+            always[0][stem], always[1][stem] = a, min(6.0, math.log(once))
+        elif a2 >= FEWEST and twice >= REPEAT_ODDS:
+            repeated[0][stem], repeated[1][stem] = a2, min(6.0, math.log(twice))
+    return {s: (REPEATED, w) for s, w in pruned(*repeated).items()} | {s: (INSULT, w) for s, w in pruned(*always).items()}
 
 
 def calibrated(weights: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
@@ -223,8 +263,8 @@ def fit(
 ) -> Model:
     """A model from at most ``toxic`` and ``clean`` labelled texts, chosen by a hash of their ids.
 
-    Stems are counted on the executors; to the driver come the ids of the sample, at most MOST_STEMS counts
-    and one weight for each text of the sample.
+    The sample is written once. Stems are counted on the executors; to the driver come the ids of the sample,
+    the counts of the stems learned and one weight for each text of the sample.
     """
     marks = labels.where(labels[id_col].isNotNull() & F.col(label_col).isNotNull()).groupBy(labels[id_col].cast("long").alias("key")).agg(F.max(label_col).alias("mark"))
     order = Window.partitionBy("mark").orderBy(F.xxhash64("key"), "key")
@@ -234,25 +274,37 @@ def fit(
     n_toxic = sum(m == 1 for m in marked.values())
     if not n_toxic or n_toxic == len(marked):
         return Model(base)
-    sample = df.where(df[id_col].cast("long").isin(list(marked)))
+    spark, path = df.sparkSession, new_work_path(df.sparkSession, "toxicity")
+    id_text(df.where(df[id_col].cast("long").isin(list(marked))), id_col, text_col).write.parquet(path + "/sample")
+    sample = spark.read.schema("doc_id long, text string").parquet(path + "/sample")
 
     def stem_rows(part: pa.RecordBatch, texts: list[str]) -> pa.RecordBatch:
-        rows = [(s, marked[i]) for i, t in zip(part.column("doc_id").to_pylist(), texts, strict=True) for s in stems(t)]
-        return pa.RecordBatch.from_arrays([pa.array([s for s, _ in rows], pa.string()), pa.array([m for _, m in rows], pa.int64())], ["stem", "mark"])
-
-    each = map_texts(id_text(sample, id_col, text_col).dropDuplicates(["text"]), stem_rows, "stem string, mark long", chars=1 << 18)
-    counts = (
-        each.groupBy("stem").agg(F.sum("mark").alias("a"), F.sum(1 - F.col("mark")).alias("b")).where(F.col("a") >= FEWEST)
-        .where((F.col("a") + 0.5) / (n_toxic + 1) >= ODDS * (F.col("b") + 0.5) / (len(marked) - n_toxic + 1))
-        .orderBy(F.desc("a"), "b", "stem").limit(MOST_STEMS).collect()
-    )
-    found = learned([(r["stem"], r["a"], r["b"]) for r in counts], n_toxic, len(marked) - n_toxic)
-    model = Model(base | {s: w for s, w in found.items() if base.get(s, (INSULT,))[0] == INSULT})
+        rows = []
+        for i, t in zip(part.column("doc_id").to_pylist(), texts, strict=True):
+            uses, words = stems(t)
+            rows += [(s, marked[i], n) for s, n in uses.items()] + [("", marked[i], words)]
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.int64(), pa.int64()))], ["stem", "mark", "uses"])
+
+    distinct = sample.groupBy("text").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "text")
+    each, bad, twice = map_texts(distinct, stem_rows, "stem string, mark long, uses long", chars=1 << 18), F.col("mark"), (F.col("uses") > 1).cast("long")
+    each.groupBy("stem").agg(
+        F.sum(bad).alias("a"), F.sum(1 - bad).alias("b"), F.sum(bad * twice).alias("a2"), F.sum((1 - bad) * twice).alias("b2"),
+        F.sum(bad * F.col("uses")).alias("ua"), F.sum((1 - bad) * F.col("uses")).alias("ub"),
+    ).write.parquet(path + "/stems")
+    counts = spark.read.parquet(path + "/stems")
+    total, all_stems = counts.where("stem = ''").first(), counts.count() - 1  # the texts and words counted
+    found = {}
+    if total["a"] and total["b"] and total["ua"] and total["ub"]:
+        telling = counts.where("stem <> ''").where(F.col("a") >= FEWEST)
+        telling = telling.where((odds(F.col("a"), F.col("b"), total["a"], total["b"]) >= ODDS) | (odds(F.col("ua"), F.col("ub"), total["ua"], total["ub"]) >= REPEAT_ODDS))
+        telling = telling.where(surprise(F.col("ua"), F.col("ub"), total["ua"] / (total["ua"] + total["ub"])) >= math.log(all_stems / CHANCE))
+        found = learned([(r["stem"], r["a"], r["b"], r["a2"], r["b2"]) for r in telling.orderBy("stem").collect()], total["a"], total["b"])
+    model = Model(base | {s: w for s, w in found.items() if base.get(s, (INSULT,))[0] == INSULT and not (s in base and w[0] == REPEATED)})
 
     def weigh(part: pa.RecordBatch, texts: list[str]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([model.weight(t)[0] for t in texts], pa.float64())], ["doc_id", "weight"])
 
-    weighed = map_texts(id_text(sample, id_col, text_col), weigh, "doc_id long, weight double").groupBy("doc_id").agg(F.max("weight").alias("weight")).collect()
+    weighed = map_texts(sample, weigh, "doc_id long, weight double").groupBy("doc_id").agg(F.max("weight").alias("weight")).collect()
     weighed = sorted(weighed, key=lambda r: r["doc_id"])
     if weighed:
         model.slope, model.offset = calibrated(np.array([r["weight"] for r in weighed]), np.array([marked[r["doc_id"]] for r in weighed], float))
