@@ -151,6 +151,36 @@ def test_passages_with_changed_characters(spark):
     assert len(found) >= 19 and all(r["doc_id"] == r["item_id"] and r["similarity"] >= 0.8 for r in found)
 
 
+def test_passages_with_many_changed_characters():
+    # evenly spread noise leaves few whole words; what is wanted comes from the plain edit distance of characters
+    rng = random.Random(6)
+    items = [(k, decontaminate.words(prose(16 + k, 1700 + k))) for k in range(40)]
+    index = decontaminate.build(items)
+    for rate in (0.08, 0.12, 0.15, 0.18):
+        noisy = ["".join(rng.choice("abcde") if c != " " and rng.random() < rate else c for c in " ".join(w)) for _, w in items]
+        want = {k for k, w in items if word_distance(" ".join(w), noisy[k]) <= 0.2 * len(" ".join(w))}
+        found = index.search([f"{prose(50, 1800 + k)} {text} {prose(50, 1900 + k)}" for k, text in enumerate(noisy)])
+        got = {t for t, i, _, _ in found if t == i}
+        assert len(want) >= 30 and len(got & want) >= 0.95 * len(want), (rate, len(want), len(got & want))
+        assert all(similar >= 0.8 for _, _, _, similar in found)
+
+
+def test_spelled_distances_of_many_lengths():
+    rng = random.Random(8)
+    points = decontaminate.code_points("".join(rng.choice("abc") for _ in range(300)))
+    items = sorted((decontaminate.code_points("".join(rng.choice("abc") for _ in range(rng.randint(1, 30)))) for _ in range(40)), key=len, reverse=True)
+    low = np.array([rng.randint(0, 200) for _ in items])
+    high = low + np.array([rng.randint(1, 60) for _ in items])
+    got = decontaminate.spelled_distance(items, points, low, high)
+    assert got.tolist() == [word_distance(x.tolist(), points[a:b].tolist()) for x, a, b in zip(items, low, high, strict=True)]
+
+
+def test_repetitions_are_never_too_few_in_silence(monkeypatch):
+    monkeypatch.setattr(decontaminate, "MOST_REPETITIONS", 8)
+    with pytest.raises(ValueError, match="recall"):
+        decontaminate.build([(1, prose(40, 3).split())], recall=0.999999)
+
+
 def test_a_benchmark_of_several_blocks(spark, monkeypatch):
     items = [(k, prose(20, 300 + k)) for k in range(7)]
     docs = [(k, f"{prose(10, 400 + k)} {text}") for k, text in items] + [(99, prose(100, 5))]

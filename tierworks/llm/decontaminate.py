@@ -1,19 +1,22 @@
 """Benchmark decontamination: passages within a bounded edit distance of a benchmark item.
 
-Texts and items are sequences of lower-cased words. The CGK random walk embeds a sequence so that few edits
-become few differing positions; bit-sampling hashes of the embedding of every item-sized window are matched
-against those of the items, in as many repetitions as the target recall needs; every pair found is verified
-by its exact edit distance, the passage being free to begin and end near the window. A passage matches if
-its words, or its characters, are similar enough; the windows reach further than the words' similarity,
-since a few changed characters change many words.
+A passage matches if its words, or its characters, are similar enough to those of an item (lower-cased words,
+one space between). Each criterion has a search of its own, and every pair found is verified by its exact edit
+distance, the passage being free to begin and end near the place found.
 
-Before the walk, windows that cannot lie within reach of any item are left out without loss: after at most
-``k`` edits the window that begins where the passage begins holds all but ``k`` of an item's words, and all
-but ``2 k`` of its distinct pairs of neighbouring words.
+Words: the CGK random walk embeds a sequence so that few edits become few differing positions; bit-sampling
+hashes of the embedding of every item-sized window are matched against those of the items, in as many
+repetitions as the target recall needs. Before the walk, windows that cannot match any item are left out
+without loss: after at most ``k`` edits the window that begins where the passage begins holds all but ``k`` of
+an item's words, and all but ``2 k`` of its distinct pairs of neighbouring words.
+
+Characters: a passage shares seeds, short runs of characters chosen by their hash, with its item, and in nearly
+the same order. Places with as many seeds as an item keeps under random edits are verified. Length and share
+of the seeds are measured for every item, so that short ones have shorter and more of them.
 
 Cases: a null or wordless item matches nothing, a null or empty text holds nothing; repeated items and
-repeated rows are each reported; an item of fewer words than 1 / (1 - similarity) must occur word for word;
-an empty table on either side gives an empty result; only the id and text columns are read.
+repeated rows are each reported; an item too short for one edit must occur word for word; an empty table on
+either side gives an empty result; only the id and text columns are read.
 """
 
 from __future__ import annotations
@@ -31,8 +34,13 @@ from tierworks.llm.batches import id_text, keep_rows, map_texts
 from tierworks.session import new_work_path
 
 SIMILARITY = 0.8  # 1 - edit distance / length of the item, in words or in characters
-REACH = 0.65  # similarity of words down to which windows are compared
-RECALL = 0.95  # of passages at the end of the reach; nearer ones are found more surely
+RECALL = 0.95  # of passages that just match, edited at random places; nearer ones are found more surely
+MOST_REPETITIONS = 512
+# Length of seeds and the share kept, one in so many; an item takes the first of which it keeps FEWEST_SEEDS.
+SEEDS = ((6, 4), (6, 2), (6, 1), (5, 1), (4, 1), (3, 1), (2, 1))
+FEWEST_SEEDS = 4
+TRIALS = 40  # random edits of an item of which its number of seeds is taken
+BITS = 20  # of the table that most places of a text fall through
 SAMPLES = 2  # positions of an embedding in one hash
 STRETCH = 2  # steps of the walk for each word of an item; later ones mostly stand behind its end
 BLOCK_ITEMS, BLOCK_WORDS = 4096, 200_000  # what one index, sent to every task, holds at most
@@ -105,6 +113,30 @@ def passage_distance(items: np.ndarray, texts: np.ndarray) -> np.ndarray:
     return row.min(axis=1)
 
 
+def spelled_distance(items: list[np.ndarray], points: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Edit distance of each item to the nearest part of its stretch of ``points``; the longest items come first."""
+    sizes, m = np.array([len(x) for x in items]), int((high - low).max())
+    kind = np.int16 if m + sizes[0] < 1 << 14 else np.int64
+    at = low[:, None] + np.arange(m)
+    texts = np.where(at < high[:, None], points[np.minimum(at, len(points) - 1)], 0)
+    spelled = np.zeros((len(items), sizes[0]), np.uint32)
+    for row, x in zip(spelled, items, strict=True):
+        row[: len(x)] = x
+    steps = np.arange(m + 1, dtype=kind)
+    row, out = np.zeros((len(items), m + 1), kind), np.zeros(len(items), np.int64)
+    for i in range(1, int(sizes[0]) + 1):
+        left = int(np.searchsorted(-sizes, -i, side="right"))  # items that are so long
+        if left < len(row):
+            out[left : len(row)] = row[left:].min(axis=1)
+            row, texts = row[:left], texts[:left]
+        ahead = np.minimum(row[:, :-1] + (texts != spelled[:left, i - 1 : i]), row[:, 1:] + kind(1)) - steps[1:]
+        row = np.concatenate([np.full((left, 1), i, kind), ahead], axis=1)
+        np.minimum.accumulate(row, axis=1, out=row)
+        row += steps
+    out[: len(row)] = row.min(axis=1)
+    return out
+
+
 @dataclasses.dataclass
 class Index:
     """Hashes of a block of items."""
@@ -120,6 +152,7 @@ class Index:
     keys: np.ndarray  # sorted
     owner: np.ndarray  # item of each key
     needs: list[tuple[int, int, int]]  # window length, least known words, least known pairs
+    letters: list[Seeds]
 
     def candidates(self, codes: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Starts and lengths of the windows that may match an item."""
@@ -159,8 +192,9 @@ class Index:
         counts = np.array([len(x) for x in lists], np.int64)
         unknown, get = len(self.vocabulary), self.vocabulary.get
         codes = np.array([get(w, unknown) for x in lists for w in x], np.int32)
-        if not len(codes) or not self.needs:
+        if not len(codes) or not self.items:
             return []
+        spelled = self.search_letters(lists)
         # texts shorter than a window lie in a frame of unknown words, so their windows exist too
         gap = self.needs[-1][0]
         frame = np.full(len(codes) + gap * (len(texts) + 1), unknown, np.int32)
@@ -180,41 +214,163 @@ class Index:
             item = self.owner[place]
             same = np.array([len(self.items[i]) for i in item.tolist()], np.int64) == n[window]
             pairs.update(zip(s[window[same]].tolist(), item[same].tolist(), strict=True))
-        return self.verify(frame, begins, begins + counts, pairs, lists)
-
-    def verify(
-        self, frame: np.ndarray, begins: np.ndarray, ends: np.ndarray, pairs: set[tuple[int, int]], lists: list[list[str]]
-    ) -> list[tuple[int, int, int, float]]:
+        # a pair found by its words has the fewest words changed
+        found = spelled | self.verify(frame, begins, begins + counts, pairs)
+        return [(t, i, d, similar) for (t, i), (d, similar) in sorted(found.items())]
+
+    def search_letters(self, lists: list[list[str]]) -> dict[tuple[int, int], tuple[int, float]]:
+        """Word distance and similarity of the passages similar in characters, by text and item."""
+        gap = max(len(t) for t in self.texts)
+        joined = [" ".join(x) for x in lists]
+        points, lengths = code_points(("\0" * gap).join(["", *joined, ""])), np.array([len(x) for x in joined], np.int64)
+        begins = np.cumsum(lengths + gap) - lengths
+        best: dict[tuple[int, int], tuple[int, float]] = {}
+        spellings = [code_points(t) for t in self.texts]
+        sizes = np.array([len(x) for x in spellings], np.int64)
+        edits = np.array([allowed(n, self.similarity) for n in sizes.tolist()], np.int64)
+        hashes: dict[int, np.ndarray] = {}
+        for seeds in self.letters:
+            if seeds.size not in hashes:
+                hashes[seeds.size] = run_hashes(points, seeds.size)
+            item, start, width = seeds.places(hashes[seeds.size])
+            text = np.searchsorted(begins, start + (width + sizes[item]) // 2, side="right") - 1
+            low = np.maximum(start - edits[item], begins[text])
+            high = np.minimum(start + width + sizes[item] + edits[item], begins[text] + lengths[text])
+            long_enough = np.flatnonzero((text >= 0) & (high - low >= sizes[item] - edits[item]))
+            order = long_enough[np.argsort(-sizes[item[long_enough]], kind="stable")]
+            for a in range(0, len(order), WINDOWS):
+                part = order[a : a + WINDOWS]
+                distance = spelled_distance([spellings[i] for i in item[part].tolist()], points, low[part], high[part])
+                for j, d in zip(part.tolist(), distance.tolist(), strict=True):
+                    t, i = int(text[j]), int(item[j])
+                    similar = 1 - d / int(sizes[i])
+                    if d > edits[i] or (t, i) in best and best[t, i][1] >= similar:
+                        continue
+                    left, right = max(int(low[j] - sizes[i]), int(begins[t])), min(int(high[j] + sizes[i]), int(begins[t] + lengths[t]))
+                    around = words(points[left:right].tobytes().decode("utf-32-le", "surrogatepass"))
+                    codes = np.array([self.vocabulary.get(x, len(self.vocabulary)) for x in around], np.int32)
+                    best[t, i] = (int(passage_distance(self.items[i][None, :], codes[None, :])[0]), similar)
+        return best
+
+    def verify(self, frame: np.ndarray, begins: np.ndarray, ends: np.ndarray, pairs: set[tuple[int, int]]) -> dict[tuple[int, int], tuple[int, float]]:
+        """Word distance and similarity of the passages similar in words, by text and item."""
         best: dict[tuple[int, int], tuple[int, float]] = {}
         by_length: dict[int, list[tuple[int, int]]] = {}
         for s, i in sorted(pairs):
             by_length.setdefault(len(self.items[i]), []).append((s, i))
         for n, group in by_length.items():
-            k, reach = allowed(n, self.similarity), allowed(n, min(REACH, self.similarity))
+            k = allowed(n, self.similarity)
             for a in range(0, len(group), 4096):
                 part = group[a : a + 4096]
                 s = np.array([x for x, _ in part])
                 text = np.searchsorted(begins, s, side="right") - 1
-                at = s[:, None] + np.arange(-reach, n + reach)
+                at = s[:, None] + np.arange(-k, n + k)
                 inside = (at >= begins[text][:, None]) & (at < ends[text][:, None])
                 around = np.where(inside, frame[np.clip(at, 0, len(frame) - 1)], len(self.vocabulary))
                 distance = passage_distance(np.stack([self.items[i] for _, i in part]), around)
-                for t, (w, i), d in zip(text.tolist(), part, distance.tolist(), strict=True):
-                    if d > k and d <= reach and best.get((t, i), (n, 0.0))[0] > d:
-                        first = w - int(begins[t])
-                        near = " ".join(lists[t][max(0, first - reach) : max(0, first + n + reach)])
-                        similar = character_similarity(self.texts[i], near)
-                    else:
-                        similar = 1 - d / n
-                    if d <= k or similar >= self.similarity and d <= reach:
-                        best[t, i] = min((d, similar), best.get((t, i), (d, similar)))
-        return [(t, i, d, similar) for (t, i), (d, similar) in sorted(best.items())]
+                for t, (_, i), d in zip(text.tolist(), part, distance.tolist(), strict=True):
+                    if d <= k:
+                        best[t, i] = min((d, 1 - d / n), best.get((t, i), (d, 1 - d / n)))
+        return best
 
 
-def character_similarity(item: str, text: str) -> float:
-    """1 - edit distance of the item to the nearest part of the text / characters of the item."""
-    points = [np.frombuffer(x.encode("utf-32-le", "surrogatepass"), np.uint32)[None, :] for x in (item, text)]
-    return 1 - int(passage_distance(*points)[0]) / len(item)
+@dataclasses.dataclass
+class Seeds:
+    """Runs of ``size`` characters of a block's items, those whose hash is divisible by ``every``."""
+
+    size: int
+    every: int
+    table: np.ndarray  # by the upper bits of a hash: whether a seed has them
+    hashes: np.ndarray  # distinct, sorted
+    first: np.ndarray  # place of each hash's first seed, and of the end
+    item: np.ndarray
+    offset: np.ndarray  # of each seed in its item
+    least: np.ndarray  # by item: seeds a matching passage keeps
+    length: np.ndarray  # by item: characters
+    near: np.ndarray  # by item: how far apart the starts they tell may be
+
+    def places(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(item, first start, width) of the stretches within which a passage may start, from the hashes of all runs."""
+        none = (np.zeros(0, np.int64),) * 3
+        at = np.flatnonzero(self.table[(hashes >> np.uint64(64 - BITS)).astype(np.int64)])
+        slot = np.searchsorted(self.hashes, hashes[at])
+        same = self.hashes[np.minimum(slot, len(self.hashes) - 1)] == hashes[at]
+        at, slot = at[same], slot[same]
+        counts = self.first[slot + 1] - self.first[slot]
+        seed = np.repeat(self.first[slot] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+        if not len(seed):
+            return none
+        item, stride = self.item[seed], np.int64(len(hashes) + 3 * int(self.length.max()))
+        key = np.sort(item * stride + np.repeat(at, counts) - self.offset[seed] + int(self.length.max()))
+        item = key // stride
+        last = np.arange(len(key)) + self.least[item] - 1
+        full = np.flatnonzero(last < len(key))
+        full = full[key[last[full]] - key[full] <= self.near[item[full]]]
+        full = full[item[last[full]] == item[full]]
+        if not len(full):
+            return none
+        item, start = item[full], key[full] % stride - int(self.length.max())
+        # starts near one another are verified together
+        begin = np.unique(np.stack([item, start // self.near[item]]), axis=1)
+        return begin[0], begin[1] * self.near[begin[0]], 2 * self.near[begin[0]]
+
+
+def code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def run_hashes(points: np.ndarray, size: int) -> np.ndarray:
+    """A hash of every run of ``size`` characters."""
+    n = max(0, len(points) - size + 1)
+    value = np.zeros(n, np.uint64)
+    for j in range(size):
+        value = value * np.uint64(0x100000001B3) + points[j : j + n]
+    value *= np.uint64(0x9E3779B97F4A7C15)
+    return (value ^ (value >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93)
+
+
+def chosen(hashes: np.ndarray, every: int) -> np.ndarray:
+    return (hashes & np.uint64(every - 1)) == 0
+
+
+def seeds_kept(item: np.ndarray, edits: int, size: int, every: int, rng: np.random.Generator, recall: float) -> int:
+    """Seeds that all but 1 - ``recall`` of random edits of the item leave."""
+    own = run_hashes(item, size)
+    own = own[chosen(own, every)]
+    if not edits:
+        return len(own)
+    kept = [int(np.isin(run_hashes(perturbed(item, edits, 0, rng).astype(np.uint32), size), own).sum()) for _ in range(TRIALS)]
+    return sorted(kept)[int((1 - recall) * TRIALS / 2)]
+
+
+def seed_tables(texts: list[str], similarity: float, recall: float) -> list[Seeds]:
+    """The seeds of a block's items, one table for each length and share of seeds."""
+    rng, groups = np.random.default_rng(SEED + 2), {}
+    lengths = np.array([len(t) for t in texts], np.int64)
+    edits = np.array([allowed(n, similarity) for n in lengths.tolist()], np.int64)
+    least = np.ones(len(texts), np.int64)
+    for i, text in enumerate(texts):
+        points = code_points(text)
+        for kind in SEEDS:
+            kept = seeds_kept(points, int(edits[i]), *kind, rng, recall)
+            if kept >= FEWEST_SEEDS:
+                break
+        if kept < FEWEST_SEEDS:  # so short that a pair of characters is left after all edits, or its only word
+            kind, kept = (2, 1) if len(text) > 1 else (1, 1), 1
+        least[i] = max(1, kept)
+        groups.setdefault(kind, []).append((i, points))
+    made = []
+    for (size, every), own in sorted(groups.items()):
+        hashes = [run_hashes(points, size) for _, points in own]
+        item = np.repeat([i for i, _ in own], [len(h) for h in hashes]).astype(np.int64)
+        offset, flat = np.concatenate([np.arange(len(h)) for h in hashes]), np.concatenate(hashes)
+        keep = np.flatnonzero(chosen(flat, every))
+        order = keep[np.argsort(flat[keep], kind="stable")]
+        distinct, first = np.unique(flat[order], return_index=True)
+        table = np.zeros(1 << BITS, bool)
+        table[(distinct >> np.uint64(64 - BITS)).astype(np.int64)] = True
+        made.append(Seeds(size, every, table, distinct, np.append(first, len(order)), item[order], offset[order], least, lengths, np.maximum(1, edits)))
+    return made
 
 
 def perturbed(item: np.ndarray, edits: int, unknown: int, rng: np.random.Generator) -> np.ndarray:
@@ -248,8 +404,10 @@ def repetitions_for(items: list[np.ndarray], symbols: int, similarity: float, re
         chances.append(((one[0] == one[1]).mean(axis=1) ** SAMPLES).mean())
     p = np.array(chances)
     r = 8
-    while (1 - (1 - p) ** r).mean() < recall and r < 512:
+    while (1 - (1 - p) ** r).mean() < recall:
         r += 8
+        if r > MOST_REPETITIONS:
+            raise ValueError(f"{MOST_REPETITIONS} repetitions don't reach a recall of {recall} at a similarity of {similarity}")
     return r
 
 
@@ -259,12 +417,11 @@ def build(rows: list[tuple[int | None, list[str]]], similarity: float = SIMILARI
     vocabulary = {w: i for i, w in enumerate(dict.fromkeys(w for _, x in rows for w in x))}
     items = [np.array([vocabulary[w] for w in x], np.int32) for _, x in rows]
     lengths = np.array([len(x) for x in items], np.int64)
-    reach = min(REACH, similarity)
     distinct: dict[int, int] = {}
     for item in items:
         n = len(item)
         distinct[n] = min(distinct.get(n, n), len(set(zip(item[:-1].tolist(), item[1:].tolist(), strict=True))))
-    needs = [(n, n - allowed(n, reach), distinct[n] - 2 * allowed(n, reach)) for n in sorted(distinct)]
+    needs = [(n, n - allowed(n, similarity), distinct[n] - 2 * allowed(n, similarity)) for n in sorted(distinct)]
     masks: dict[int, int] = {}
     number = {n: i for i, (n, _, _) in enumerate(needs)}
     for item in items:
@@ -272,7 +429,7 @@ def build(rows: list[tuple[int | None, list[str]]], similarity: float = SIMILARI
             masks[key] = masks.get(key, 0) | 1 << number[len(item)] % 64
     pairs = np.array(sorted(masks), np.int64)
     pair_lengths = np.array([masks[k] for k in pairs.tolist()], np.uint64)
-    repetitions = repetitions_for(items, len(vocabulary), reach, recall) if items else 8
+    repetitions = repetitions_for(items, len(vocabulary), similarity, recall) if items else 8
     walk = Walk(len(vocabulary), max([1, *lengths.tolist()]), repetitions)
     keys, owner = np.zeros(0, np.uint64), np.zeros(0, np.int64)
     if items:
@@ -281,7 +438,8 @@ def build(rows: list[tuple[int | None, list[str]]], similarity: float = SIMILARI
         keys, owner = np.concatenate(parts), np.repeat(np.arange(len(items)), repetitions)
         order = np.argsort(keys, kind="stable")
         keys, owner = keys[order], owner[order]
-    return Index([i for i, _ in rows], items, [" ".join(w) for _, w in rows], similarity, vocabulary, pairs, pair_lengths, walk, keys, owner, needs)
+    texts = [" ".join(w) for _, w in rows]
+    return Index([i for i, _ in rows], items, texts, similarity, vocabulary, pairs, pair_lengths, walk, keys, owner, needs, seed_tables(texts, similarity, recall))
 
 
 def blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list[tuple[int | None, list[str]]]]:
