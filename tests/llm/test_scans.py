@@ -92,6 +92,18 @@ def test_rules_are_ordered_and_contained_findings_suppressed():
     assert not any(a[1] <= b[1] and b[2] <= a[2] for a in found for b in found if a is not b)
 
 
+def test_licenses_wrapped_and_without_abbreviation():
+    def found(text):
+        return {f[0] for f in license_scan.signatures(license_scan.lower_ascii(text))}
+
+    assert "lgpl" in found("the terms of the GNU Lesser General Public\n * License as published by the Free Software Foundation")
+    assert "mpl" in found("the Mozilla Public\n# License") and "bsd" in found("a BSD\n// license")
+    assert "cddl-1.0" in found("Common Development and Distribution License") and "eupl-1.2" in found("European Union Public Licence")
+    assert "wtfpl" in found("Do What The Fuck You Want To Public License") and "mpl-2.0" in found("licenced under MPL-2.0")
+    assert "mit" in found("Permission is hereby granted, free of\n * charge, to any person obtaining\n * a copy")
+    assert all(r.keywords[0] for r in license_scan.rules())
+
+
 def test_op6_whole_table(spark, sf):
     got = {r["doc_id"]: r for r in QUERIES["op6_licenses"](spark, sf).collect()}
     for key, text in table(spark, sf, "documents").select("doc_id", "text").collect():
