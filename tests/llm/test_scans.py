@@ -39,6 +39,17 @@ def test_the_network_tells_keys_from_the_rest():
     assert (p[truth] >= net.threshold).mean() > 0.95 and (p[~truth] < net.threshold).mean() > 0.9
 
 
+def test_keys_no_base_pattern_knows_are_not_learned_as_clean(spark):
+    rng = np.random.default_rng(0)
+    pick = lambda n: "".join(rng.choice(list("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789"), n))
+    keys = ["sk_live_" + pick(24) for _ in range(300)] + ["ghp_" + pick(36) for _ in range(300)]
+    net = secret_scan.fit(secret_scan.scan(odd_table(spark, [(i, f"we use {k} here") for i, k in enumerate(keys)])))
+    fresh = ["sk_live_" + pick(24) for _ in range(50)] + ["ghp_" + pick(36) for _ in range(50)]
+    assert np.mean(["[REDACTED]" in t for t in secret_scan.redacted([f"we use {k} here" for k in fresh], net)]) >= 0.95
+    for value in ("2024-11-02", "4717981638137775", "1.2.3-beta", "//word.org/path/name12", "mail8.example.com"):
+        assert secret_scan.plain(secret_scan.context(f"x {value} y", 2, 2 + len(value)))
+
+
 def test_redaction(spark):
     found = secret_scan.scan(odd_table(spark, SECRETS))
     net = secret_scan.fit(found)
