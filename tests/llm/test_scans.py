@@ -50,6 +50,16 @@ def test_keys_no_base_pattern_knows_are_not_learned_as_clean(spark):
         assert secret_scan.plain(secret_scan.context(f"x {value} y", 2, 2 + len(value)))
 
 
+def test_the_threshold_keeps_the_wanted_recall_of_hard_positives():
+    contexts, labels = secret_scan.fixed_findings(400)
+    # hard: one key in five carries the label, the same kinds of values without it are the rest
+    hard = [1 if y and i % 5 == 0 else 0 for i, y in enumerate(labels)]
+    net = secret_scan.train(contexts, hard)
+    held = np.random.default_rng(secret_scan.SEED).random(len(hard)) < 0.25
+    p = net.probabilities(secret_scan.symbols(contexts))[held & (np.array(hard) == 1)]
+    assert net.threshold < 0.5 and (p >= net.threshold).mean() >= secret_scan.RECALL
+
+
 def test_redaction(spark):
     found = secret_scan.scan(odd_table(spark, SECRETS))
     net = secret_scan.fit(found)
