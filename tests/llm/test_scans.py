@@ -60,6 +60,15 @@ def test_the_threshold_keeps_the_wanted_recall_of_hard_positives():
     assert net.threshold < 0.5 and (p >= net.threshold).mean() >= secret_scan.RECALL
 
 
+def test_every_character_of_a_long_candidate_is_seen():
+    key = "aB3dE5gH7jK9mN1pQ3sT5vW7"
+    text = f"see https://hooks.example.com/services/T00000000/B00000000/{key} now"
+    at = text.index(key)
+    assert any(a <= at and at + 24 <= b and b - a <= secret_scan.VALUE for a, b in secret_scan.candidates(text))
+    assert {i for a, b in secret_scan.candidates(text)[1:] for i in range(a, b)} >= set(range(at, at + 24))
+    assert secret_scan.candidates("a 12345678 b") == [(2, 10)]
+
+
 def test_redaction(spark):
     found = secret_scan.scan(odd_table(spark, SECRETS))
     net = secret_scan.fit(found)
