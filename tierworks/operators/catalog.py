@@ -14,6 +14,8 @@ from pyspark.sql import types as T
 
 from tierworks.functions import code_lookup, percent
 from tierworks.functions.names import LAYERS, layer_of, layer_position, qualified_name, table_part
+from tierworks.operators.textindex import TextIndex
+from tierworks.sources.slices import SlicedTable
 
 ENTITY = (
     "guid string, qualifiedName string, name string, description string, layer string, format string, "
@@ -199,6 +201,24 @@ def upsert(old: DataFrame, new: DataFrame, key: str = "qualifiedName", version:
     )
 
 
+def upsert_stored(table: SlicedTable, new: DataFrame, number: int, version: str = "version") -> list[int]:
+    """:func:`upsert` into a stored table keyed by its one key; only the slices that hold keys of ``new`` are rewritten.
+
+    ``number`` is the number of the batch; the slices rewritten are returned.
+    """
+    (key,) = table.keys
+    columns = table.read([]).columns
+    best = upsert(new.select(*columns).limit(0), new, key, version)
+    newer = F.col("new").isNotNull() & ~F.coalesce(F.col(f"old.{version}") > F.col(f"new.{version}"), F.col(f"old.{version}").isNotNull())
+
+    def combine(both: DataFrame) -> DataFrame:
+        rest = [c for c in columns if c not in (key, "guid")]
+        keep = [F.when(newer, F.col(f"new.{c}")).otherwise(F.col(f"old.{c}")).alias(c) for c in rest]
+        return both.select(key, F.when(F.col("old").isNotNull(), F.col("old.guid")).otherwise(F.col("new.guid")).alias("guid"), *keep)
+
+    return table.merge(best, combine, number)
+
+
 def merge_lists(lists: Sequence[DataFrame], key: str = "guid") -> DataFrame:
     """Several result lists as one, the last list winning per key; rows without a key are left out."""
     columns = lists[0].columns
@@ -533,6 +553,22 @@ def search(
     return rows.select(*entities.columns).orderBy("qualifiedName").offset(offset).limit(limit)
 
 
+def index_assets(entities: DataFrame, path: str) -> TextIndex:
+    """A stored index of everything a search looks at; classifications and layers are its tags."""
+    rows = parsed(entities).where(F.length("qualifiedName") > 0)
+    layer = F.array_compact(F.array(F.concat(F.lit("layer:"), F.col("at_layer"))))
+    tags = F.concat(F.coalesce("classifications", F.array().cast("array<string>")), layer)
+    return TextIndex.build(rows.select(F.col("qualifiedName").alias("id"), search_text().alias("text"), "name", tags.alias("classes")), path, F.col("classes"))
+
+
+def search_page(
+    index: TextIndex, text: str | None = None, classification: str | None = None, layer: str | None = None, limit: int = 50, after: str | None = None
+) -> DataFrame:
+    """:func:`search` a page at a time by the last name of the page before, from the postings of what is asked for."""
+    tags = ([classification] if classification else []) + ([f"layer:{layer}"] if layer else [])
+    return index.page(text, tags, limit, after).select(F.col("id").alias("qualifiedName"), "name")
+
+
 def lifecycle(layer: Column, classifications: Column) -> tuple[Column, Column]:
     """Stage number of an asset and the zone the stage lies in."""
     graded = F.arrays_overlap(classifications, F.array(F.lit("Quality_Pass"), F.lit("Quality_Quarantine")))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tierworks.functions import code_lookup
 from tierworks.operators.catalog import parsed, search_text
 from tierworks.operators.shape import keep_one
+from tierworks.operators.textindex import TextIndex
 
 # Origin labels.
 LOCAL, SILVER, GOLD, CATALOG = "local", "silver_metadata", "gold_metadata", "atlas"
@@ -114,6 +115,14 @@ def link_terms(
     return _first_assets(pairs, first)
 
 
+def link_indexed(terms: DataFrame, index: TextIndex, first: int | None = None) -> DataFrame:
+    """:func:`link_terms` for any number of terms, rows of (term, alias), against a stored index of the assets' texts.
+
+    The plan is the same for ten terms and for ten million: aliases meet the postings of their rarest grams in a join.
+    """
+    return _first_assets(index.links(terms).withColumnRenamed("id", "asset"), first)
+
+
 def _first_assets(pairs: DataFrame, first: int | None) -> DataFrame:
     from pyspark.sql import Window
 

@@ -62,6 +62,42 @@ def matched_pairs(left: DataFrame, right: DataFrame, key: str, name: str = "cnt"
     return a.join(b, key).select(key, (F.col("__l").cast("decimal(19,0)") * F.col("__r").cast("decimal(19,0)")).cast("decimal(38,0)").alias(name))
 
 
+def skewed_join(left: DataFrame, right: DataFrame, key: str, cell_rows: int = 1_000_000) -> DataFrame:
+    """All rows of an inner join on one key, dealt so that no task makes more than about ``cell_rows`` of a key's rows.
+
+    The keys are counted first. The pairs of a key form a grid: its left rows are cut into parts, its right rows too, and
+    every left part meets every right part in a cell of its own, so a left row is sent once for each right part and the other
+    way round. Most keys are one cell. Parts are chosen by a hash of the whole row; equal rows travel as one
+    row with their number, cut at the side of a cell, and are written out where they were joined. The columns
+    of both sides but the key must differ and be comparable.
+    """
+    side = max(1, int(cell_rows**0.5))
+
+    def counted(df: DataFrame, name: str) -> DataFrame:
+        return df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias(name))
+
+    def parts(n: str) -> Column:
+        return F.expr(f"CAST(({n} + {side - 1}) DIV {side} AS INT)")
+
+    keys = counted(left, "__nl").join(counted(right, "__nr"), key).where(F.col("__nl") * 1.0 * F.col("__nr") > cell_rows)
+    hot = cut_lineage(keys.select(key, parts("__nl").alias("__lp"), parts("__nr").alias("__rp")))
+    few = hot.limit(MOST_GROUP_ROWS + 1).count() <= MOST_GROUP_ROWS
+
+    def dealt(df: DataFrame, own: str, other: str, at: str, there: str, copies: str) -> DataFrame:
+        rows = df.where(F.col(key).isNotNull()).groupBy(*df.columns).agg(F.count(F.lit(1)).alias("__n"))
+        rows = rows.select(*df.columns, "__n", F.explode(F.expr(f"sequence(0L, (__n - 1) DIV {side})")).alias("__chunk"))
+        rows = rows.withColumn(copies, F.least(F.col("__n") - F.col("__chunk") * side, F.lit(side).cast("bigint")))
+        known = rows.join(F.broadcast(hot) if few else hot, key, "left")
+        part = F.coalesce(F.pmod(F.xxhash64(*df.columns, "__chunk"), F.col(own)).cast("int"), F.lit(0))
+        return known.select(*df.columns, copies, part.alias(at), F.explode(F.sequence(F.lit(0), F.coalesce(F.col(other), F.lit(1)) - 1)).alias(there))
+
+    met = dealt(left, "__lp", "__rp", "__l", "__r", "__lc").join(dealt(right, "__rp", "__lp", "__r", "__l", "__rc"), [key, "__l", "__r"])
+    columns = [*left.columns, *[c for c in right.columns if c != key]]
+    once = met.where((F.col("__lc") == 1) & (F.col("__rc") == 1)).select(*columns)
+    often = met.where((F.col("__lc") > 1) | (F.col("__rc") > 1)).select(*columns, F.explode(F.expr("sequence(1L, __lc * __rc)")).alias("__copy"))
+    return once.unionByName(often.drop("__copy"))
+
+
 def orphan_keys(fact: DataFrame, dim: DataFrame, key: str, dim_key: str | None = None) -> DataFrame:
     """Distinct fact keys the dimension lacks. Distinct comes first: the join then meets each key once."""
     keys = fact.select(F.col(key)).distinct()

@@ -14,6 +14,7 @@ from tierworks.session import cut_lineage
 
 # Source names that are no dataset.
 NO_DATASET = ("generated", "all_iku_facts")
+MERGED_LEVELS = 16  # levels of a walk that are kept apart
 # Display names of the pipelines.
 PIPELINE_LABELS = {
     "staging_to_bronze": "ETL Staging→Bronze",
@@ -67,18 +68,19 @@ def completeness(entities: DataFrame, links: DataFrame, layers: tuple[str, ...]
     )
 
 
-def trace(links: DataFrame, start: DataFrame, depth: int, direction: str = "both", cut_every: int = 4) -> DataFrame:
-    """Assets reachable from the start assets in at most ``depth`` steps: (start, direction, node, depth).
+def trace(links: DataFrame, start: DataFrame, depth: int | None, direction: str = "both", cut_every: int = 4) -> DataFrame:
+    """Assets reachable from the start assets in at most ``depth`` steps, or any number: (start, direction, node, depth).
 
-    ``links`` is (src, dst); ``start`` has a column ``node``. Every level extends the
-    distinct pairs of the level before, and the least depth of a pair is kept at the
-    end, so cycles cost no more than the depth allows. Long walks write a level to the
-    shared folder now and then.
+    ``links`` is (src, dst); ``start`` has a column ``node``. A short walk (``cut_every`` steps) is one plan: every
+    level extends the distinct pairs of the level before, and the least depth of a pair is kept at the end. A
+    longer one goes level by level, see :func:`closure`.
     """
     if direction not in ("up", "down", "both"):
         raise ValueError(f"direction must be 'up', 'down' or 'both', not {direction!r}")
+    short = depth is not None and depth <= cut_every
     parts = [
-        _walk(links, start, depth, d, cut_every) for d in (("down", "up") if direction == "both" else (direction,))
+        _walk(links, start, depth, d, cut_every) if short else closure(links, start, d, depth)
+        for d in (("down", "up") if direction == "both" else (direction,))
     ]
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
@@ -98,6 +100,29 @@ def _walk(links: DataFrame, start: DataFrame, depth: int, direction: str, cut_ev
     return least.select("start", F.lit(direction).alias("direction"), "node", "depth")
 
 
+def closure(links: DataFrame, start: DataFrame, direction: str = "down", depth: int | None = None) -> DataFrame:
+    """:func:`trace` in one direction by semi-naive evaluation, as deep as the links go unless ``depth`` ends it.
+
+    A level follows the links of the pairs that the level before found for the first time, and drops those that
+    any earlier level has, so a pair is extended once however many ways and cycles lead to it. It ends with
+    the first level that finds nothing. Links and levels are written to the shared folder; NULL ends and repeated links count for nothing.
+    """
+    here, there = ("src", "dst") if direction == "down" else ("dst", "src")
+    step = links.select(F.col(here).alias("node"), F.col(there).alias("next")).where("node IS NOT NULL AND next IS NOT NULL AND node <> next")
+    step = cut_lineage(step.distinct())
+    fresh = cut_lineage(start.select(F.col("node").alias("start"), "node").where("node IS NOT NULL").distinct())
+    reached = fresh.withColumn("depth", F.lit(0))
+    level = 0
+    while (depth is None or level < depth) and not fresh.isEmpty():
+        level += 1
+        found = fresh.join(step, "node").select("start", F.col("next").alias("node")).distinct()
+        fresh = cut_lineage(found.join(reached, ["start", "node"], "left_anti"))
+        reached = reached.unionByName(fresh.withColumn("depth", F.lit(level)))
+        if level % MERGED_LEVELS == 0:  # a few files to read again instead of one for every level
+            reached = cut_lineage(reached.repartition("start", "node"))
+    return reached.where("depth > 0").select("start", F.lit(direction).alias("direction"), "node", "depth")
+
+
 def node_label(pipeline: Column, name: Column, is_process: Column) -> Column:
     """Display name: a process by its pipeline, anything else by its own name."""
     named = F.coalesce(code_lookup(pipeline, PIPELINE_LABELS), F.replace(name, F.lit("_"), F.lit(" ")), F.lit("ETL process"))

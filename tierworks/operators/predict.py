@@ -164,6 +164,28 @@ def split_by_class(df: DataFrame, key: Sequence[str], train: float = 0.8, seed:
     return df.withColumn("is_train", draw < int(train * 10_000))
 
 
+def stratified_split(df: DataFrame, key: Sequence[str], label: str, train: float = 0.8, seed: int = 42) -> DataFrame:
+    """Mark the wanted share of every class, to the row, as training rows: ``is_train``.
+
+    A row's draw is a digest of its key, and a class's rows with the lowest draws are trained on. The draw that bounds
+    them is found without sorting: a histogram of the draws' first 16 bits says in which of 65,536 bins it lies, and only the
+    rows of that bin are ranked. A NULL label is a class of its own. Keys are unique.
+    """
+    draw = F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in key], F.lit(str(seed))))
+    rows = df.withColumn("__draw", draw).withColumn("__class", F.coalesce(F.concat(F.lit("="), F.col(label).cast("string")), F.lit("")))
+    rows = rows.withColumn("__bin", F.substring("__draw", 1, 4))
+    bins = rows.groupBy("__class", "__bin").agg(F.count(F.lit(1)).alias("n"))
+    upto = Window.partitionBy("__class").orderBy("__bin")
+    reached = bins.select("__class", "__bin", (F.sum("n").over(upto) - F.col("n")).alias("below"), "n", F.sum("n").over(Window.partitionBy("__class")).alias("all"))
+    quota = F.expr(f"({round(train * 1000)} * all + 500) DIV 1000")
+    bound = cut_lineage(reached.withColumn("wanted", quota - F.col("below")).where("wanted > 0 AND wanted <= n").select("__class", "__bin", "wanted"))
+    inside = rows.select("__class", "__bin", "__draw").join(F.broadcast(bound), ["__class", "__bin"])
+    ranked = inside.withColumn("at", F.row_number().over(Window.partitionBy("__class").orderBy("__draw"))).where("at = wanted")
+    last = cut_lineage(ranked.select("__class", F.col("__draw").alias("__last")))
+    marked = rows.join(F.broadcast(last), "__class", "left")
+    return marked.withColumn("is_train", F.coalesce(F.col("__draw") <= F.col("__last"), F.lit(False))).select(*df.columns, "is_train")
+
+
 def _complete(columns: Sequence[str]) -> Column:
     """Whether every one of the columns has a value."""
     known = F.lit(True)

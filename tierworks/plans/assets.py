@@ -36,6 +36,7 @@ LINK_ALIASES = {
     "pii": ("pii", "pii_columns"),
 }
 LINK_TERMS = ("Star Schema", "Medallion Architecture", "Data Quality Score", "PII", "fr")
+LOOKED_FOR = ("silver_1", "document in", "R_1", "kpi-", "é", "is", "no such text", "@")
 KPI_CARDS = {
     f"KPI-{i}": (f"Indicator {i}", f"fact_kpi{i}", goal)
     for i, goal in enumerate((78, 35, 25, 50, 0.25, 60, 40, 3.0), start=1)

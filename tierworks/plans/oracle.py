@@ -473,9 +473,19 @@ DRIFT = f"""WITH m AS MATERIALIZED (SELECT * FROM ({YEAR_MEANS}))
 ORACLE["v_forecast"] = f"SELECT tahun, nilai_capaian, CASE WHEN is_forecast = 1 THEN 'forecast' ELSE 'actual' END AS series_type FROM ({DRIFT})"
 ORACLE["v_actual_vs_target"] = f"SELECT tahun, iku_kode, nilai_capaian AS actual, nilai_target AS target FROM ({RECAP_YEAR}) WHERE iku_kode = 'KPI-4'"
 
+# ---- facts refreshed by batches ----------------------------------------------------
+
+for _i in range(1, 9):
+    ORACLE[f"refresh_kpi{_i}"] = ORACLE[f"fact_kpi{_i}"]
+ORACLE["refresh_budget"], ORACLE["refresh_recap"] = ORACLE["fact_budget"], ORACLE["kpi_recap"]
+ORACLE["refresh_changes"] = f"""SELECT CAST(year(l_shipdate) AS INTEGER) AS tahun, s_nationkey AS nationkey, count(*) AS total_lines,
+    {count_if('l_discount >= 0.07')} AS lines_discounted, {count_if('l_tax >= 0.05')} AS lines_taxed FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE l_linenumber >= 7 GROUP BY 1, 2"""
+ORACLE["scenario_fingerprint"] = "SELECT unnest(['OFF','ON']) AS ctx, n, true AS same FROM (SELECT count(*) AS n FROM customer)"
+
 # ---- workloads and skew -----------------------------------------------------------
 
 ORACLE["w1_skew_join"] = "SELECT c_nationkey AS nationkey, count(*) AS cnt FROM customer JOIN supplier ON c_nationkey = s_nationkey GROUP BY 1"
+ORACLE["w1_skew_rows"] = "SELECT c_nationkey AS nationkey, c_custkey, s_suppkey FROM customer JOIN supplier ON c_nationkey = s_nationkey"
 ORACLE["w2_group_agg"] = f"SELECT c_nationkey, count(*) AS n, {mean('c_acctbal', 2)} AS avg_acctbal FROM customer GROUP BY 1"
 ORACLE["w3_filter_join"] = "SELECT c_nationkey, c_custkey, n_name FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey WHERE c_acctbal >= 5000"
 ORACLE["w4_fact_dim_join"] = f"SELECT nation, count(*) AS n FROM ({KPI1}) JOIN ({NATION}) USING (nationkey) GROUP BY 1"
@@ -568,6 +578,8 @@ RISK = f"""SELECT c_custkey, c_acctbal, coalesce(n, 0) AS n_orders, coalesce(n_p
     CAST(settled < 66 AS INTEGER) AS risk_label FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n, count(*) FILTER (WHERE o_orderpriority IN ('1-URGENT', '2-HIGH')) AS n_pressing,
     CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS spent, {pct("count(*) FILTER (WHERE o_orderstatus IN ('F', 'O'))", 'count(*)')} AS settled FROM orders GROUP BY 1) ON o_custkey = c_custkey"""
 ORACLE["risk_features"] = RISK
+ORACLE["risk_split"] = f"""SELECT c_custkey, risk_label, row_number() OVER (PARTITION BY risk_label ORDER BY md5(c_custkey || '|42'))
+    <= (800 * count(*) OVER (PARTITION BY risk_label) + 500) // 1000 AS is_train FROM ({RISK})"""
 ORACLE["risk_coverage"] = f"""SELECT count(*) AS n_customers, count(risk_label) AS n_labelled, count(*) FILTER (WHERE c_acctbal IS NULL) AS n_unscored, CAST(0 AS BIGINT) AS n_out_of_range FROM ({RISK})"""
 RULE = f"""SELECT risk_label AS label, score, CAST(score >= 40 AS INTEGER) AS prediction FROM (SELECT risk_label, {pct('n_pressing', 'n_orders')} AS score FROM ({RISK}) WHERE risk_label IS NOT NULL)"""
 ORACLE["rule_confusion"] = f"SELECT label, prediction, count(*) AS n FROM ({RULE}) GROUP BY 1, 2"
@@ -656,6 +668,7 @@ VERSIONS = """SELECT 'c' || c_custkey AS guid, 'asset_' || c_custkey AS qn, c_na
     UNION ALL SELECT 's' || s_suppkey, 'asset_' || s_suppkey, s_name, s_suppkey % 3 + 1, 1 FROM supplier"""
 ORACLE["catalog_upsert"] = f"""SELECT arg_min(guid, side * 100 + v) AS guid, qn AS qualifiedName, arg_max(d, v * 10 + side) AS description, CAST(max(v) AS BIGINT) AS version
     FROM ({VERSIONS}) GROUP BY qn"""
+ORACLE["catalog_upsert_stored"] = ORACLE["catalog_upsert"]
 ORACLE["catalog_merge"] = """SELECT 'g' || k AS guid, arg_max(name, list_) AS name FROM (SELECT p_partkey AS k, p_name AS name, 1 AS list_ FROM part
     UNION ALL SELECT c_custkey, c_name, 2 FROM customer UNION ALL SELECT s_suppkey, s_name, 3 FROM supplier) GROUP BY k"""
 
@@ -727,6 +740,11 @@ def linked(term: str) -> str:
 
 ORACLE["glossary_links"] = f"""SELECT term, asset, CAST(position AS INTEGER) AS position FROM (SELECT *, row_number() OVER (PARTITION BY term ORDER BY asset) AS position
     FROM ({' UNION ALL '.join(linked(t) for t in assets.LINK_TERMS)}))"""
+ORACLE["catalog_search_paged"], ORACLE["glossary_links_indexed"] = ORACLE["catalog_search"], ORACLE["glossary_links"]
+ORACLE["catalog_search_terms"] = f"""SELECT looked_for, count(txt) AS n_assets FROM (SELECT unnest([{', '.join(lit(t) for t in assets.LOOKED_FOR)}]) AS looked_for)
+    LEFT JOIN (SELECT {TEXT} AS txt FROM ({ASSETS})) ON contains(txt, lower(looked_for)) GROUP BY looked_for"""
+ORACLE["glossary_links_many"] = f"""SELECT term, count(*) AS n_assets, min(qn) AS first_asset FROM (SELECT tbl AS term FROM ({ASSETS}))
+    JOIN (SELECT qn, {TEXT} AS txt FROM ({ASSETS})) ON contains(txt, lower(term)) GROUP BY term"""
 CARDS = ", ".join(f"({lit(c)}, {lit(n)}, {lit(f)}, CAST({g} AS DOUBLE))" for c, (n, f, g) in assets.KPI_CARDS.items())
 ORACLE["kpi_cards"] = f"""SELECT code, kpi_name, fact, qn IS NOT NULL AS registered, coalesce(row_count_, 0) AS row_count, CASE WHEN kpi_code IS NOT NULL THEN n_chars / 100.0::DOUBLE END AS value,
     CASE WHEN kpi_code IS NOT NULL AND doc_id % 2 = 0 THEN 50.0::DOUBLE ELSE goal END AS target, NULL::VARCHAR AS status, CASE WHEN code = 'KPI-5' THEN 'Rasio' ELSE '%' END AS unit,
@@ -738,6 +756,8 @@ _c, _o = f"'silver.customer_' || c_custkey || '@{S}'", f"'gold.order_' || o_orde
 NC, NCO = "nation JOIN customer ON c_nationkey = n_nationkey", "nation JOIN customer ON c_nationkey = n_nationkey JOIN orders ON o_custkey = c_custkey"
 ORACLE["lineage_closure"] = f"""SELECT {_r} AS start, 'down' AS direction, {_n} AS node, 1 AS depth FROM nation UNION ALL SELECT {_r}, 'down', {_c}, 2 FROM {NC}
     UNION ALL SELECT {_r}, 'down', {_o}, 3 FROM {NCO} UNION ALL SELECT {_o}, 'up', {_c}, 1 FROM {NCO} UNION ALL SELECT {_o}, 'up', {_n}, 2 FROM {NCO} UNION ALL SELECT {_o}, 'up', {_r}, 3 FROM {NCO}"""
+ORACLE["lineage_rings"] = """SELECT min(c_custkey) OVER ring AS start, 'down' AS direction, c_custkey AS node, CAST(row_number() OVER (ring ORDER BY c_custkey) - 1 AS INTEGER) AS depth
+    FROM customer WINDOW ring AS (PARTITION BY c_nationkey, c_mktsegment) QUALIFY row_number() OVER (ring ORDER BY c_custkey) > 1"""
 _slots = {p: "etl-" + p.replace("_to_", "-") for p in PIPELINE_LABELS}
 ORACLE["lineage_labels"] = f"""SELECT DISTINCT process AS node, {lookup('pipeline_name', PIPELINE_LABELS)} AS label, {lookup('pipeline_name', _slots)} AS layer FROM ({EDGES})
     UNION ALL SELECT DISTINCT dst, dst, dst_layer FROM ({EDGES})"""

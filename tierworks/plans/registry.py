@@ -5,23 +5,27 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tierworks.functions import half_up, mean_of, percent, quota_status
 from tierworks.operators import catalog, glossary, kpi, ledger, lineage, olap, predict, profile, quality, scenario, skew
-from tierworks.operators.joins import lookup, matched_pairs, one_per_level, orphan_keys
+from tierworks.operators.joins import lookup, matched_pairs, one_per_level, orphan_keys, skewed_join
 from tierworks.operators.shape import ensure_column, first_of_duplicate_columns, keep_one, sample_rows
+from tierworks.operators.textindex import TextIndex
 from tierworks.plans import assets
 from tierworks.plans.commerce import KPI_NAMES, TARGETS, TOPICS, Commerce, StoredGold
+from tierworks.plans.refresh import RefreshedGold
 from tierworks.session import new_work_path
 from tierworks.sources import append_batch, literal_table, read_layer, staging_inventory, write_layer
 from tierworks.sources.formats import FORMATS, format_comparison
 from tierworks.sources.raw import PARQUET_TABLES, inventory_totals, read_raw_csv
+from tierworks.sources.slices import SlicedTable
 from tierworks.streaming import ingest_new_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
+INDEXES: dict[tuple[str, str], TextIndex] = {}
 
 
 def query(fn: Callable[[Commerce], DataFrame]) -> Callable[[Commerce], DataFrame]:
@@ -553,6 +557,34 @@ def kpi_recap(c):
     return c.recap()
 
 
+# ---- facts refreshed by batches ----------------------------------------------------
+
+
+def _refreshed(name: str) -> None:
+    """Register a fact built from its first rows and refreshed batch by batch; it equals the fact built from all rows."""
+    QUERIES["refresh_" + name.removeprefix("fact_")] = lambda spark, directory: no_id(getattr(RefreshedGold(spark, directory), name)())
+
+
+for _fact in (*(f"fact_kpi{i}" for i in range(1, 9)), "fact_budget"):
+    _refreshed(_fact)
+
+
+def refreshed(fn: Callable[[RefreshedGold], DataFrame]) -> Callable[[RefreshedGold], DataFrame]:
+    QUERIES[fn.__name__] = lambda spark, directory: fn(RefreshedGold(spark, directory))
+    return fn
+
+
+@refreshed
+def refresh_recap(c):
+    return c.recap()
+
+
+@refreshed
+def refresh_changes(c):
+    """What the second batch of lines changed in the counts of lines by year and nation."""
+    return c.change("lines", "kpi7", 2)
+
+
 # ---- serving views ----------------------------------------------------------------
 
 RECAP_COLUMNS = ["tahun", "iku_kode", "iku_nama", "nilai_capaian", "nilai_target", "satuan", "status_capaian"]
@@ -686,6 +718,18 @@ def scenario_parity(c):
     return olap.parity(tables["OFF"], tables["ON"])
 
 
+@query
+def scenario_fingerprint(c):
+    """The same two tables told equal from fingerprints, without a shuffle of their rows."""
+    spark, where, tables = c.spark, new_work_path(c.spark, "scenario"), []
+    name = "customer_" + where.rsplit("-", 1)[1]
+    for label in ("OFF", "ON"):
+        with scenario.settings(spark, scenario.aqe_conf(label)):
+            write_layer(c.silver_customer(), "tierworks_silver", name, scenario=label, location=where)
+        tables.append(read_layer(spark, "tierworks_silver", name, scenario=label))
+    return olap.same_rows(*tables)
+
+
 @serving
 def v_forecast(c):
     rows = forecast_drift(c)
@@ -716,6 +760,14 @@ def w1_skew_join(c):
     return matched_pairs(*_nation_keys(c), "nationkey").withColumn("cnt", F.col("cnt").cast("bigint"))
 
 
+@query
+def w1_skew_rows(c):
+    """The rows that W1 counts, popular nations dealt over cells of the join."""
+    return skewed_join(
+        c["customer"].select(F.col("c_nationkey").alias("nationkey"), "c_custkey"), c["supplier"].select(F.col("s_nationkey").alias("nationkey"), "s_suppkey"), "nationkey"
+    )
+
+
 @query
 def w2_group_agg(c):
     return c["customer"].groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("n"), mean_of("c_acctbal", 2).alias("avg_acctbal"))
@@ -868,7 +920,7 @@ def _risk_rows(c: Commerce) -> DataFrame:
     rows = lookup(c["customer"].select("c_custkey", "c_nationkey", "c_acctbal"), per, "c_custkey")
     rows = rows.fillna(0, ["n_orders", "n_pressing"]).fillna(0.0, ["spent"])
     rows = rows.withColumn("risk_label", predict.risk_label("pct_settled", F.lit(66.0)))
-    rows = predict.split_by_class(rows, ["c_custkey"])
+    rows = predict.stratified_split(rows, ["c_custkey"], "risk_label")
     return c.spark.read.parquet(predict.write_features(rows, new_work_path(c.spark, "risk-features")))
 
 
@@ -886,6 +938,12 @@ def risk_features(c):
     return _risk_rows(c).select("c_custkey", *RISK_COLUMNS, "risk_label")
 
 
+@query
+def risk_split(c):
+    """Which customers the risk model is trained on: four in five of each class, to one row."""
+    return _risk_rows(c).select("c_custkey", "risk_label", "is_train")
+
+
 @query
 def risk_coverage(c):
     """Customers, labelled ones, and scores of the model that are missing or out of range."""
@@ -1139,6 +1197,17 @@ def catalog_upsert(c):
     return catalog.upsert(*_versions(c))
 
 
+@query
+def catalog_upsert_stored(c):
+    """The same upsert into a stored table, of which only the slices that hold new keys are rewritten."""
+    old, new = _versions(c)
+    where = new_work_path(c.spark, "assets")
+    table = SlicedTable(c.spark, "tierworks_silver", "assets_" + where.rsplit("-", 1)[1], ("qualifiedName",), where)
+    table.create(old)
+    catalog.upsert_stored(table, new, 1)
+    return table.read()
+
+
 @query
 def catalog_merge(c):
     """Three result lists, the last one winning per guid."""
@@ -1185,6 +1254,46 @@ def catalog_search(c):
     return found.select("page", "qualifiedName", "name")
 
 
+def _asset_index(c: Commerce) -> TextIndex:
+    """The index of the assets' texts, built once in an application."""
+    key = (c.spark.sparkContext.applicationId, c.directory)
+    if key not in INDEXES:
+        INDEXES[key] = catalog.index_assets(_assets(c), new_work_path(c.spark, "asset-index"))
+    return INDEXES[key]
+
+
+@query
+def catalog_search_paged(c):
+    """The same pages from the stored index; a page begins after the last name of the one before."""
+    index = _asset_index(c)
+    before = [r["qualifiedName"] for r in catalog.search_page(index, "MBKM", layer="silver", limit=5).select("qualifiedName").collect()]
+    second = catalog.search_page(index, "MBKM", layer="silver", limit=20, after=max(before, default=None))
+    tagged = catalog.search_page(index, classification="Star_Schema_Dimension", limit=15)
+    return union(second.withColumn("page", F.lit("text")), tagged.withColumn("page", F.lit("tag"))).select("page", "qualifiedName", "name")
+
+
+@query
+def catalog_search_terms(c):
+    """How many assets hold each of some texts, long, short, in the middle of words and in none."""
+    index = _asset_index(c)
+    found = [index.holding(t).agg(F.count(F.lit(1)).alias("n_assets")).select(F.lit(t).alias("looked_for"), "n_assets") for t in assets.LOOKED_FOR]
+    return union(*found)
+
+
+@query
+def glossary_links_indexed(c):
+    """The same links, the terms being rows that meet the postings of the index."""
+    rows = [(t, a) for t in assets.LINK_TERMS for a in assets.LINK_ALIASES.get(t.lower(), (t.lower(),))]
+    return glossary.link_indexed(c.spark.createDataFrame(rows, "term string, alias string"), _asset_index(c))
+
+
+@query
+def glossary_links_many(c):
+    """Every table's name as a term of its own, linked to all assets whose text holds it."""
+    names = _assets(c).select(F.col("name").alias("term"), F.col("name").alias("alias"))
+    return glossary.link_indexed(names, _asset_index(c)).groupBy("term").agg(F.count(F.lit(1)).alias("n_assets"), F.min("asset").alias("first_asset"))
+
+
 @query
 def glossary_terms(c):
     return glossary.terms_of(_assets(c), assets.TERM_DEFINITIONS, "Term from metadata: ")
@@ -1233,6 +1342,18 @@ def lineage_closure(c):
     return down.unionByName(lineage.trace(links, orders, 3, "up"))
 
 
+@query
+def lineage_rings(c):
+    """The customers of a nation and segment, each leading to the next by number and the last to the first, followed to the end."""
+    ring = Window.partitionBy("c_nationkey", "c_mktsegment").orderBy("c_custkey")
+    whole = ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = c["customer"].select(
+        F.col("c_custkey").alias("src"), F.min("c_custkey").over(whole).alias("first"), F.lead("c_custkey").over(ring).alias("after")
+    )
+    links = rows.select("src", F.coalesce("after", "first").alias("dst"))
+    return lineage.trace(links, rows.where("src = first").select(F.col("src").alias("node")), None, "down")
+
+
 @query
 def lineage_labels(c):
     """Display name and layer of every process and asset of the lineage."""
