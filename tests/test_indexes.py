@@ -7,8 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import rows
-from tierworks.operators import glossary, lineage, olap, predict
+from tierworks.operators import glossary, lineage, olap, predict, profile, sketches
 from tierworks.operators.joins import skewed_join
+from tierworks.operators.lattice import Lattice
 from tierworks.operators.textindex import TextIndex, pattern_grams
 from tierworks.session import new_work_path
 
@@ -169,3 +170,52 @@ def test_split_keeps_every_class_to_one_row(spark):
     half = predict.stratified_split(spark.createDataFrame(data, "id int, label string"), ["id"], "label", 0.5, seed=1)
     assert half.where("label = 'a' AND is_train").count() == 500
     assert predict.stratified_split(spark.createDataFrame([], "id int, label string"), ["id"], "label").count() == 0
+
+
+def test_profiles_merge_from_sketches(spark):
+    schema = "a int, b string, c double, d decimal(10,2), e array<int>, f int"
+    rng = random.Random(6)
+    made = [(rng.randrange(5000), rng.choice([None, "", "  ", "x", "y"]), rng.choice([1.5, float("nan"), None, -2.0]), None, [rng.randrange(3)], i) for i in range(6000)]
+    store = sketches.SketchStore(spark, new_work_path(spark, "sketches"))
+    assert store.profile("t").count() == 0
+    for at in range(3):
+        store.append(spark.createDataFrame(made[at::3], schema), "t", at)
+    store.append(spark.createDataFrame(made[1::3], schema), "t", 1)  # run again
+    store.append(spark.createDataFrame([], schema), "t", 7)
+    store.append(spark.createDataFrame(made[:5], schema), "other", 0)
+    whole = spark.createDataFrame(made, schema)
+    got = {r["column_name"]: r for r in store.profile("t").collect()}
+    for want in profile.columns(whole, "t").collect():
+        r = got[want["column_name"]]
+        for c in ("table_name", "position", "data_type", "row_count", "null_count", "null_pct", "completeness_pct"):
+            assert r[c] == want[c]
+        assert abs(r["distinct_count"] - want["distinct_count"]) <= 0.04 * want["distinct_count"]
+    values = sorted(r[0] for r in made)
+    assert got["f"]["low"] == 0 and got["f"]["high"] == 5999 and abs(got["f"]["p50"] - 3000) < 120
+    assert abs(got["a"]["p95"] - values[int(0.95 * 6000)]) < 150 and (got["c"]["low"], got["c"]["high"]) == (-2.0, 1.5)
+    assert got["b"]["p50"] is None and got["d"]["low"] is None and got["e"]["high"] is None
+
+
+def test_lattice_answers_from_the_smallest_level(spark):
+    rng = random.Random(4)
+    data = [(rng.choice([None, 2020, 2021, 2022]), rng.choice(["n", "s", None]), rng.choice("abcde"), rng.randrange(9), rng.random()) for _ in range(500)]
+    df = spark.createDataFrame(data, "year int, region string, unit string, n int, top double")
+    cube = Lattice.build(
+        df, new_work_path(spark, "cube"), [("year", "region", "unit"), ("year", "region"), ("region", "unit"), ("year",), ()], {"n": "sum", "top": "max"}
+    )
+    assert cube.level_for([]) == 4 and cube.level_for(["year"]) == 3 and cube.level_for(["region"]) == 1 and cube.level_for(["unit"]) == 2 and cube.level_for(["unit", "year"]) == 0
+    plain = lambda by, where=None: df.where(where or "true").groupBy(*by).agg(F.sum("n").alias("n"), F.max("top").alias("top"))
+    for by in ([], ["year"], ["region"], ["unit", "region"], ["year", "unit"]):
+        assert rows(cube.answer(by)) == rows(plain(by))
+    assert rows(cube.answer(["unit"], {"year": [2020, None], "region": "n"})) == rows(plain(["unit"], "(year = 2020 OR year IS NULL) AND region = 'n'"))
+    assert rows(cube.answer(["year"], {"region": None})) == rows(plain(["year"], "region IS NULL"))
+    assert cube.rollup(["year", "region"]).count() == plain(["year", "region"]).count() + 4 + 1
+    matrix = {r["region"]: (r["2020"], r["2021"]) for r in cube.pivot(["region"], "year", [2020, 2021], F.col("n")).collect()}
+    assert matrix["n"] == tuple(sum(r[3] for r in data if r[1] == "n" and r[0] == y) for y in (2020, 2021))
+    assert "level=4" in str(cube.answer([]).inputFiles()) and len(cube.answer(["year"]).inputFiles()) > 0
+    with pytest.raises(ValueError):
+        Lattice.build(df, "x", [("year",), ("region",)], {"n": "sum"})
+    with pytest.raises(ValueError):
+        Lattice.build(df, "x", [("year",)], {"n": "avg"})
+    empty = Lattice.build(df.limit(0), new_work_path(spark, "cube"), [("year", "region"), ("year",)], {"n": "sum"})
+    assert empty.answer(["year"]).count() == 0

@@ -297,3 +297,45 @@ def test_insight_sections(spark):
     assert rows(predict.insight_long(base, new)) == [
         ("anomaly", "x", "n", 8.0), ("anomaly", "x", "total", 3.0), ("other", "a", "m", 2.0), ("risk", "b", "m", 9.0)]
     assert rows(predict.preflight(spark, ["nowhere.nothing"]).select("found", "row_count")) == [(False, None)]
+
+
+def test_tables_wait_for_their_sources_and_independent_ones_meet(spark):
+    import threading
+    import time
+
+    from tierworks.plans.run import Spec, order, run_graph
+    from tierworks.session import new_work_path
+
+    where, lock, seen, most = new_work_path(spark, "graph"), threading.Lock(), [], [0, 0]
+
+    def build(name, fails=False):
+        def run(session):
+            with lock:
+                seen.append(name)
+                most[0] += 1
+                most[1] = max(most)
+            time.sleep(0.3)
+            with lock:
+                most[0] -= 1
+            if fails:
+                raise ValueError(f"{name} fails\nat length")
+            return session.range(3)
+
+        return run
+
+    specs = [
+        Spec("d", build("d"), ["b", "c"]), Spec("b", build("b"), ["a"]), Spec("c", build("c"), ["a", "outside"]), Spec("a", build("a")), Spec("x", build("x", True)),
+        Spec("y", build("y"), ["x"]), Spec("z", build("z"), ["y", "a"]),
+    ]
+    entries = run_graph(spark, "tierworks_test", specs, "p", at_once=2, location=where, suffix="_" + where[-8:]).collect()
+    got = {r["table_name"][:1]: (r["written"], r["row_count"], r["error"]) for r in entries}
+    assert [r["table_name"][0] for r in entries] == ["d", "b", "c", "a", "x", "y", "z"] and len({r["run_id"] for r in entries}) == 1
+    assert all(got[n] == (True, 3, None) for n in "abcd")
+    assert got["x"] == (False, None, "x fails") and got["y"][2] == "source x was not written" and got["z"][2] == "source y was not written"
+    assert seen.index("a") < min(seen.index("b"), seen.index("c")) and seen[-1] == "d" or seen.index("d") > max(seen.index("b"), seen.index("c"))
+    assert most[1] == 2 and set(seen) == {"a", "b", "c", "d", "x"}
+    assert run_graph(spark, "tierworks_test", [], "p").count() == 0
+    with pytest.raises(ValueError, match="from one another: a, b"):
+        order([Spec("a", build("a"), ["b"]), Spec("b", build("b"), ["a"]), Spec("c", build("c"))])
+    with pytest.raises(ValueError, match="twice"):
+        order([Spec("a", build("a")), Spec("a", build("a"))])

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from tierworks.functions import blank, mean_of, percent
 
-def _as_text(field: T.StructField) -> Column:
+def as_text(field: T.StructField) -> Column:
     """Equal values give equal text; text and nested values are replaced by digests to keep the shuffle narrow."""
     value = F.col(f"`{field.name}`")
     if isinstance(field.dataType, (T.FloatType, T.DoubleType)):
@@ -37,7 +37,7 @@ def columns(df: DataFrame, name: str, blank_is_value: bool = False, approx: bool
     spark = df.sparkSession
     fields = df.schema.fields
     pairs = F.array(
-        *[F.struct(F.lit(i).alias("pos"), _as_text(f).alias("value")) for i, f in enumerate(fields)]
+        *[F.struct(F.lit(i).alias("pos"), as_text(f).alias("value")) for i, f in enumerate(fields)]
     )
     long = df.select(F.explode(pairs).alias("p")).select("p.pos", "p.value")
     if blank_is_value:

@@ -283,7 +283,11 @@ DOC_SCORES = ["doc_id", "quality", "toxic"]
 CUSTOMER = ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]
 EVENTS = ["event_id", "ts", "user_id", "event_type", "value", "props"]
 ORDERS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
+ORACLE["run_graph_report"] = """SELECT 'customers' AS table_name, count(*) AS row_count, true AS written, NULL AS error FROM customer
+    UNION ALL SELECT 'per_nation', count(DISTINCT c_nationkey), true, NULL FROM customer UNION ALL SELECT 'orders_status', count(*), true, NULL FROM orders
+    UNION ALL SELECT 'broken', NULL, false, 'no such source' UNION ALL SELECT 'of_broken', NULL, false, 'source broken was not written'"""
 ORACLE["profile_orders"] = profile("orders", "orders", ORDERS)
+ORACLE["profile_sketched"] = f"SELECT * EXCLUDE (distinct_count), true AS distinct_is_close, true AS is_ordered FROM ({ORACLE['profile_orders']})"
 ORACLE["profile_documents"] = profile("doc_full", REVIEWED, DOC_FULL)
 ORACLE["profile_blank_distinct"] = profile("doc_labels", REVIEWED, DOC_LABELS, True)
 
@@ -456,6 +460,11 @@ ORACLE["dice_year_region"] = f"""SELECT 1999 AS tahun, region, nation, total_ord
 ORACLE["pivot_year_kpi"] = "SELECT tahun, " + ", ".join(
     f"{mean(f'CASE WHEN iku_kode = {lit(k)} THEN nilai_capaian END')} AS \"{k}\"" for k in TARGETS
 ) + f" FROM ({RECAP_YEAR}) GROUP BY tahun"
+ORACLE["cube_rollup"], ORACLE["cube_subtotals"], ORACLE["cube_dice"] = ORACLE["rollup_avg"], ORACLE["rollup_recomputed"], ORACLE["dice_year_region"]
+_years = [f"waktu_id // 100 = {y}" for y in (1995, 1996, 1997)]
+ORACLE["cube_pivot"] = "SELECT region, " + ", ".join(
+    f"CASE WHEN count_if({y}) > 0 THEN {pct(f'coalesce(sum(orders_filled + orders_open) FILTER (WHERE {y}), 0)', f'coalesce(sum(total_orders) FILTER (WHERE {y}), 0)')} END AS \"{y[-4:]}\"" for y in _years
+) + f" FROM ({KPI1}) JOIN ({NATION}) USING (nationkey) GROUP BY region"
 ORACLE["key_range"] = " UNION ALL ".join(
     f"SELECT '{n}' AS table_name, CAST(min(waktu_id) AS BIGINT) AS min_key, CAST(max(waktu_id) AS BIGINT) AS max_key FROM ({q})"
     for n, q in (("budget", BUDGET), ("calendar", CALENDAR), ("recap", RECAP))

@@ -8,10 +8,11 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tierworks.functions import half_up, mean_of, percent, quota_status
-from tierworks.operators import catalog, glossary, kpi, ledger, lineage, olap, predict, profile, quality, scenario, skew
+from tierworks.functions import half_up, mean_of, percent, period_id, quota_status
+from tierworks.operators import catalog, glossary, kpi, ledger, lineage, olap, predict, profile, quality, scenario, sketches, skew
 from tierworks.operators.joins import lookup, matched_pairs, one_per_level, orphan_keys, skewed_join
 from tierworks.operators.shape import ensure_column, first_of_duplicate_columns, keep_one, sample_rows
+from tierworks.operators.lattice import Lattice
 from tierworks.operators.textindex import TextIndex
 from tierworks.plans import assets
 from tierworks.plans.commerce import KPI_NAMES, TARGETS, TOPICS, Commerce, StoredGold
@@ -26,6 +27,7 @@ from tierworks.streaming import ingest_new_files
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 INDEXES: dict[tuple[str, str], TextIndex] = {}
+CUBES: dict[tuple[str, str], Lattice] = {}
 
 
 def query(fn: Callable[[Commerce], DataFrame]) -> Callable[[Commerce], DataFrame]:
@@ -157,6 +159,34 @@ def run_layer_report(c):
     )
 
 
+@query
+def run_graph_report(c):
+    """A run in the order of the tables' sources, independent ones at once: one fails, and what rests on it is left out."""
+    from tierworks.plans.run import Spec, run_graph
+
+    where = new_work_path(c.spark, "run")
+    suffix = "_" + where.rsplit("-", 1)[1]
+
+    def missing(_):
+        raise ValueError("no such source")
+
+    def built(name):
+        return read_layer(c.spark, "tierworks_silver", name + suffix)
+
+    entries = run_graph(
+        c.spark, "tierworks_silver",
+        [
+            Spec("per_nation", lambda _: built("customers").groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("n")), ["customers"]),
+            Spec("customers", lambda _: c.silver_customer(), ["raw_customer"]),
+            Spec("of_broken", lambda _: built("broken"), ["broken", "customers"]),
+            Spec("orders_status", lambda _: c.silver_orders(), ["raw_orders"]),
+            Spec("broken", missing, ["raw_none"]),
+        ],
+        pipeline="bronze_to_silver", location=where, suffix=suffix,
+    )
+    return entries.select(F.regexp_replace("table_name", "_[0-9a-f]{32}$", "").alias("table_name"), "row_count", "written", "error")
+
+
 # ---- profiles and quality ---------------------------------------------------------
 
 
@@ -175,6 +205,21 @@ def profile_orders(c):
     return profile.columns(c["orders"], "orders").drop("data_type")
 
 
+@query
+def profile_sketched(c):
+    """The profile of the orders from the sketches of three batches, held against the exact one where it is an estimate."""
+    store = sketches.SketchStore(c.spark, new_work_path(c.spark, "sketches"))
+    for at, status in enumerate(("F", "O", "P")):
+        store.append(c["orders"].filter(F.col("o_orderstatus") == status), "orders", at)
+    exact = profile.columns(c["orders"], "orders").select("column_name", F.col("distinct_count").alias("exact"))
+    rows = store.profile("orders").join(exact, "column_name")
+    close = F.abs(F.col("distinct_count") - F.col("exact")) <= 0.04 * F.col("exact")
+    ordered = F.col("low").isNull() | ((F.col("low") <= F.col("p05")) & (F.col("p05") <= F.col("p50")) & (F.col("p50") <= F.col("p95")) & (F.col("p95") <= F.col("high")))
+    return rows.select(
+        "table_name", "column_name", "position", "row_count", "null_count", "null_pct", "completeness_pct", close.alias("distinct_is_close"), ordered.alias("is_ordered")
+    )
+
+
 @query
 def profile_documents(c):
     return profile.columns(_reviewed(c)["doc_full"], "doc_full").drop("data_type")
@@ -678,6 +723,52 @@ def drilldown_vs_institution(c):
     return olap.against_overall(rows, ["nation", "region"], "pct_met")
 
 
+def _cube(c: StoredGold) -> Lattice:
+    """The counts of the first KPI by year, region and nation and all coarser levels in use, built once in an application."""
+    key = (c.spark.sparkContext.applicationId, c.directory)
+    if key not in CUBES:
+        rows = olap.star(c.fact_kpi1(), {"nationkey": c.dim_nation()})
+        share = F.col("pct_settled").cast("decimal(28,4)")
+        rows = rows.select(
+            F.floor(F.col("waktu_id") / 100).cast("int").alias("tahun"), "region", "nation", "total_orders", "orders_filled",
+            (F.col("orders_filled") + F.col("orders_open")).alias("met"), share.alias("pct_sum"), F.when(share.isNotNull(), 1).otherwise(0).cast("bigint").alias("pct_rows"),
+            F.col("capaian_iku").alias("max_capaian_iku"),
+        )
+        CUBES[key] = Lattice.build(
+            rows, new_work_path(c.spark, "cube"), [("tahun", "region", "nation"), ("tahun", "region"), ("region",), ("tahun",), ()],
+            {n: "max" if n.startswith("max") else "sum" for n in rows.columns[3:]},
+        )
+    return CUBES[key]
+
+
+@serving
+def cube_rollup(c):
+    """The measures rolled up to the region, from the smallest stored level that has it."""
+    mean = half_up(F.col("pct_sum").cast("double") / F.col("pct_rows"), 4)
+    return _cube(c).answer(["region"]).select("region", "total_orders", "orders_filled", mean.alias("avg_pct_settled"), "max_capaian_iku")
+
+
+@serving
+def cube_subtotals(c):
+    """Percentages along year > region with subtotals and the total, each from its own stored level."""
+    rows = _cube(c).rollup(["tahun", "region"])
+    return rows.select(
+        period_id("tahun").alias("waktu_id"), "region", "met", "total_orders", F.col("depth").cast("int").alias("depth"), percent("met", "total_orders").alias("pct_settled")
+    )
+
+
+@serving
+def cube_dice(c):
+    rows = _cube(c).answer(["tahun", "region", "nation"], {"tahun": 1999, "region": "ASIA"})
+    return rows.select("tahun", "region", "nation", "total_orders", percent("met", "total_orders").alias("pct_settled"))
+
+
+@serving
+def cube_pivot(c):
+    """Share of settled orders, regions against years."""
+    return _cube(c).pivot(["region"], "tahun", [1995, 1996, 1997], percent("met", "total_orders"))
+
+
 @serving
 def slice_year(c):
     return no_id(olap.dice(olap.star(c.fact_kpi1(), {"waktu_id": c.dim_calendar()}), tahun=1997)).select("tahun", "nationkey", "pct_settled")
