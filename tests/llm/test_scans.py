@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 
 import numpy as np
 
@@ -134,6 +135,29 @@ def test_licenses_wrapped_and_without_abbreviation():
     assert all(r.keywords[0] for r in license_scan.rules())
 
 
+def test_long_gaps_and_many_notices_take_time_in_proportion():
+    begun = time.perf_counter()
+    for mark in ("#", "//", "*", "-", "--", ";", "%", ">", "rem ", " * "):
+        for n in (10, 100, 10_000):
+            for text in (f"released under the bsd license\n# BSD\n{mark * n}\nimport os", f"license mit\n{mark * n}\n\n{mark * n}x", f"gnu\n{(mark + chr(10)) * n} general"):
+                license_scan.signatures(text.lower())
+    license_scan.signatures("license mit" + ("\n" + " " * 6) * 100 + "x")
+    assert time.perf_counter() - begun < 10
+    begun = time.perf_counter()
+    assert len(license_scan.signatures("all rights reserved. " * 20_000)) == 20_000
+    assert time.perf_counter() - begun < 2
+    wrapped = license_scan.signatures("released under the gnu general public\n" + " * \n" * 50 + " * license, version\n#### 3")
+    assert "gpl-3.0" in {f[0] for f in wrapped}
+
+
+def test_suppressed_findings_are_those_held_by_earlier_ones():
+    text = " ".join(["licensed under the mit license", "see the license file for", "apache-2.0", "gpl", "all rights reserved", "copyright (c) 2020"] * 3)
+    found, taken = license_scan.signatures(text), []
+    for rule in license_scan.rules():
+        taken += [(rule.label, *m.span(), rule.confidence) for m in rule.pattern.finditer(text) if not any(a <= m.start() and m.end() <= b for _, a, b, _ in taken)]
+    assert found == sorted(taken, key=lambda f: (f[1], f[2], f[0]))
+
+
 def test_op6_whole_table(spark, sf):
     got = {r["doc_id"]: r for r in QUERIES["op6_licenses"](spark, sf).collect()}
     for key, text in table(spark, sf, "documents").select("doc_id", "text").collect():

@@ -2,8 +2,8 @@
 
 Every rule is a regular expression over the lower-cased text with a label, a priority, a confidence and the
 keywords without which it isn't tried: every match of its pattern holds one of each. A blank in a name or a
-notice stands for any white space and comment marks, so wrapped lines are seen. Findings are taken by priority, then length; one that lies within a
-finding already taken is suppressed. The base phrases are looked up on words and always stay.
+notice stands for any white space and comment marks, so wrapped lines are seen. Findings are taken by priority; one that lies within a
+finding already taken is suppressed. Gaps of any length and texts of any number of findings take time in proportion. The base phrases are looked up on words and always stay.
 
 Cases: a null or empty text has no words and no labels; rows with the same id or text stay separate; an empty
 table gives an empty result; only the id and text columns are read. Only A-Z are lower-cased; first_word and
@@ -12,8 +12,10 @@ last_word are null without a base phrase.
 
 from __future__ import annotations
 
+import bisect
 import dataclasses
 import functools
+import itertools
 import re
 from re import _parser as parser
 
@@ -122,7 +124,9 @@ class Rule:
     pattern: re.Pattern[str]
 
 
-GAP = r"(?:[^\S\n]|\n[^\S\n]*(?:(?://+|/?\*+|#+|;+|--|%+|>+|dnl\b|rem\b)[^\S\n]*)*)+"  # white space, and comment marks at the beginning of a line
+# White space, and comment marks at the beginning of a line. Every part takes all it can and gives nothing back, so a
+# gap is read once however long it is.
+GAP = r"(?:[^\S\n]++|\n[^\S\n]*+(?:(?://++|/?\*++|#++|;++|--|%++|>++|dnl\b|rem\b)[^\S\n]*+)*+)++"
 
 
 def wrapped(pattern: str) -> str:
@@ -191,6 +195,8 @@ Finding = tuple[str, int, int, float]  # label, start, end, confidence
 def signatures(lowered: str) -> list[Finding]:
     """Findings of the rules that survive, by start. ``lowered``: the text in ASCII lower case."""
     taken: list[Finding] = []
+    starts: list[int] = []  # of what is taken, in order
+    reach: list[int] = []  # the farthest end of all that start no later
     seen = {}
     for rule in rules():
         for word in rule.keywords:
@@ -198,9 +204,12 @@ def signatures(lowered: str) -> list[Finding]:
                 seen[word] = not word or any(w in lowered for w in word.split("|"))
         if not all(seen[word] for word in rule.keywords):
             continue
-        for m in sorted((m.span() for m in rule.pattern.finditer(lowered)), key=lambda s: s[0] - s[1]):
-            if not any(a <= m[0] and m[1] <= b for _, a, b, _ in taken):
-                taken.append((rule.label, *m, rule.confidence))
+        # matches of one rule never overlap, so only earlier rules can hold one
+        spans = [m.span() for m in rule.pattern.finditer(lowered)]
+        new = [(rule.label, a, b, rule.confidence) for a, b in spans if not (at := bisect.bisect_right(starts, a)) or reach[at - 1] < b]
+        if new:
+            taken = sorted([*taken, *new], key=lambda f: f[1])
+            starts, reach = [f[1] for f in taken], list(itertools.accumulate((f[2] for f in taken), max))
     return sorted(taken, key=lambda f: (f[1], f[2], f[0]))
 
 
