@@ -181,6 +181,36 @@ def test_repetitions_are_never_too_few_in_silence(monkeypatch):
         decontaminate.build([(1, prose(40, 3).split())], recall=0.999999)
 
 
+def lettered(n, seed):
+    rng = random.Random(seed)
+    return ["".join(rng.choice("etaoinshrdlucmfwypvb") for _ in range(rng.randint(2, 9))) for _ in range(n)]
+
+
+def test_every_class_of_lengths_is_found_in_a_mixed_benchmark():
+    # long replaced words leave no seeds, so the walk alone has to find them
+    items = dict([(k, lettered(200, 2000 + k)) for k in range(8)] + [(100 + k, lettered(6, 3000 + k)) for k in range(150)] + [(400 + k, lettered(40, 4000 + k)) for k in range(16)])
+    index = decontaminate.build(list(items.items()))
+    for length, keys in ((200, range(8)), (40, range(400, 416))):
+        texts, want = [], []
+        for k in keys:
+            for seed in range(5):
+                kept = edited(items[k], decontaminate.allowed(length, 0.8), 100 * k + seed)
+                changed = [items[k][i] if i >= 0 else "z" * 40 + str(j) for j, i in enumerate(kept)]
+                texts.append(" ".join([*lettered(20, seed), *changed, *lettered(20, seed + 1)]))
+                want.append(k)
+        found = {(t, index.item_ids[i]) for t, i, _, _ in index.search(texts)}
+        assert sum((t, k) in found for t, k in enumerate(want)) >= 0.9 * len(want), length
+
+
+@pytest.mark.parametrize("n", [257, 6000])
+def test_long_items_are_found_by_their_parts(n):
+    item, rng = lettered(n, n), random.Random(n)
+    index = decontaminate.build([(7, item), (8, lettered(30, 5))])
+    noisy = [w if rng.random() > 0.1 else "q" * 30 for w in item]
+    found = index.search([" ".join([*lettered(200, 1), *noisy, *lettered(200, 2)]), " ".join(lettered(3000, 3)), " ".join(item[: n // 4]), ""])
+    assert [(t, index.item_ids[i]) for t, i, _, _ in found] == ([(0, 7), (2, 7)] if n > 1024 else [(0, 7)])
+
+
 def test_a_benchmark_of_several_blocks(spark, monkeypatch):
     items = [(k, prose(20, 300 + k)) for k in range(7)]
     docs = [(k, f"{prose(10, 400 + k)} {text}") for k, text in items] + [(99, prose(100, 5))]

@@ -4,9 +4,9 @@ A passage matches if its words, or its characters, are similar enough to those o
 one space between). Each criterion has a search of its own, and every pair found is verified by its exact edit
 distance, the passage being free to begin and end near the place found.
 
-Words: the CGK random walk embeds a sequence so that few edits become few differing positions; bit-sampling
-hashes of the embedding of every item-sized window are matched against those of the items, in as many
-repetitions as the target recall needs. Before the walk, windows that cannot match any item are left out
+Words: the CGK random walk embeds a sequence so that few edits become few differing positions; sampled
+positions of the embedding of every item-sized window are matched against those of the items, in as many
+repetitions as the target recall needs for the worst item of a like length. Before the walk, windows that cannot match any item are left out
 without loss: after at most ``k`` edits the window that begins where the passage begins holds all but ``k`` of
 an item's words, and all but ``2 k`` of its distinct pairs of neighbouring words.
 
@@ -15,13 +15,16 @@ the same order. Places with as many seeds as an item keeps under random edits ar
 of the seeds are measured for every item, so that short ones have shorter and more of them.
 
 Cases: a null or wordless item matches nothing, a null or empty text holds nothing; repeated items and
-repeated rows are each reported; an item too short for one edit must occur word for word; an empty table on
+repeated rows are each reported; an item too short for one edit must occur word for word; an item of more than
+256 words is cut into parts of like length, each searched for as an item, and a text that holds a passage of one of them is
+reported with the item once, distance and similarity being those of its most similar part; an empty table on
 either side gives an empty result; only the id and text columns are read.
 """
 
 from __future__ import annotations
 
 import dataclasses
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -39,12 +42,15 @@ MOST_REPETITIONS = 512
 # Length of seeds and the share kept, one in so many; an item takes the first of which it keeps FEWEST_SEEDS.
 SEEDS = ((6, 4), (6, 2), (6, 1), (5, 1), (4, 1), (3, 1), (2, 1))
 FEWEST_SEEDS = 4
+MEASURED, EDITED = 16, 32  # items of a class of lengths and random edits of each that repetitions are taken from
 TRIALS = 40  # random edits of an item of which its number of seeds is taken
 BITS = 20  # of the table that most places of a text fall through
-SAMPLES = 2  # positions of an embedding in one hash
+SAMPLES = 1  # positions of an embedding in one hash
 STRETCH = 2  # steps of the walk for each word of an item; later ones mostly stand behind its end
 BLOCK_ITEMS, BLOCK_WORDS = 4096, 200_000  # what one index, sent to every task, holds at most
-WINDOWS = 256  # windows that walk at once
+WINDOWS, CELLS = 256, 1 << 22  # windows that walk at once, and symbols of their embeddings
+STRETCHES = 400  # stretches of text compared at once
+PART = 256  # words of an item from which it is cut; each part is searched for as an item
 WORD = re.compile(r"\w+")
 SEED = 20_011
 
@@ -73,10 +79,9 @@ class Walk:
         self.shares = rng.random((repetitions, SAMPLES))
         self.salt = rng.integers(0, 2**64, repetitions, np.uint64) | np.uint64(1)
 
-    def embed(self, codes: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    def embed(self, codes: np.ndarray, starts: np.ndarray, lengths: np.ndarray, repetitions: int) -> np.ndarray:
         """Shape (windows, repetitions, steps): the symbol that each step outputs."""
         steps = STRETCH * int(lengths.max())
-        repetitions = self.seeds.shape[1]
         at = np.zeros((len(starts), repetitions), np.int64)
         out = np.empty((steps, len(starts), repetitions), np.int32)
         limit, first = lengths[:, None], starts[:, None]
@@ -84,18 +89,17 @@ class Walk:
             inside = at < limit
             symbol = np.where(inside, codes[np.minimum(first + at, len(codes) - 1)], self.pad)
             out[j] = symbol
-            bit = ((self.hash[symbol] ^ self.seeds[j]) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(63)
+            bit = ((self.hash[symbol] ^ self.seeds[j, :repetitions]) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(63)
             at += inside & (bit == 1)
         return out.transpose(1, 2, 0)
 
-    def keys(self, codes: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    def keys(self, codes: np.ndarray, starts: np.ndarray, lengths: np.ndarray, repetitions: int) -> np.ndarray:
         """One hash for each window and repetition."""
-        embedded = self.embed(codes, starts, lengths)
-        repetitions = self.seeds.shape[1]
-        key = self.salt[None, :] * (lengths[:, None].astype(np.uint64) + np.uint64(1))
+        embedded = self.embed(codes, starts, lengths, repetitions)
+        key = self.salt[None, :repetitions] * (lengths[:, None].astype(np.uint64) + np.uint64(1))
         rows, reps = np.arange(len(starts))[:, None], np.arange(repetitions)[None, :]
         for s in range(SAMPLES):
-            place = (self.shares[None, :, s] * STRETCH * lengths[:, None]).astype(np.int64)
+            place = (self.shares[None, :repetitions, s] * STRETCH * lengths[:, None]).astype(np.int64)
             key = (key ^ self.hash[embedded[rows, reps, place]]) * np.uint64(0xD6E8FEB86659FD93)
             key ^= key >> np.uint64(32)
         return key
@@ -114,41 +118,67 @@ def passage_distance(items: np.ndarray, texts: np.ndarray) -> np.ndarray:
 
 
 def spelled_distance(items: list[np.ndarray], points: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    """Edit distance of each item to the nearest part of its stretch of ``points``; the longest items come first."""
+    """Edit distance of each item to the nearest part of its stretch of ``points``.
+
+    Whole columns of the distance table at once, as bits that say where it rises and falls (Myers, Hyyro), for all
+    items side by side; a column has as many 64-bit words as the longest item needs.
+    """
+    distinct: dict[bytes, int] = {}
+    which = np.array([distinct.setdefault(x.tobytes(), len(distinct)) for x in items])
+    spelled = [np.frombuffer(x, np.uint32) for x in distinct]
+    letters, code = np.unique(np.concatenate(spelled), return_inverse=True)
+    owner = np.repeat(np.arange(len(spelled)), [len(x) for x in spelled])
+    place = np.concatenate([np.arange(len(x)) for x in spelled])
+    width = int(place.max()) // 64 + 1
+    masks = np.zeros((width, len(spelled), len(letters) + 1), np.uint64)  # where an item has a letter
+    np.bitwise_or.at(masks, (place >> 6, owner, code), np.uint64(1) << (place & 63).astype(np.uint64))
     sizes, m = np.array([len(x) for x in items]), int((high - low).max())
-    kind = np.int16 if m + sizes[0] < 1 << 14 else np.int64
     at = low[:, None] + np.arange(m)
-    texts = np.where(at < high[:, None], points[np.minimum(at, len(points) - 1)], 0)
-    spelled = np.zeros((len(items), sizes[0]), np.uint32)
-    for row, x in zip(spelled, items, strict=True):
-        row[: len(x)] = x
-    steps = np.arange(m + 1, dtype=kind)
-    row, out = np.zeros((len(items), m + 1), kind), np.zeros(len(items), np.int64)
-    for i in range(1, int(sizes[0]) + 1):
-        left = int(np.searchsorted(-sizes, -i, side="right"))  # items that are so long
-        if left < len(row):
-            out[left : len(row)] = row[left:].min(axis=1)
-            row, texts = row[:left], texts[:left]
-        ahead = np.minimum(row[:, :-1] + (texts != spelled[:left, i - 1 : i]), row[:, 1:] + kind(1)) - steps[1:]
-        row = np.concatenate([np.full((left, 1), i, kind), ahead], axis=1)
-        np.minimum.accumulate(row, axis=1, out=row)
-        row += steps
-    out[: len(row)] = row.min(axis=1)
-    return out
+    text = points[np.minimum(at, len(points) - 1)]
+    known = np.full(int(letters[-1]) + 2, len(letters), np.int32)
+    known[letters] = np.arange(len(letters))
+    text = np.where(at < high[:, None], known[np.minimum(text, letters[-1] + 1)], len(letters)).T.copy()
+    one, top = np.uint64(1), np.uint64(63)
+    last_word, last_bit, rows = (sizes - 1) >> 6, ((sizes - 1) & 63).astype(np.uint64), np.arange(len(items))
+    rises = np.full((width, len(items)), ~np.uint64(0))
+    falls = np.zeros((width, len(items)), np.uint64)
+    total, now, best = np.empty_like(rises), sizes.astype(np.int64), sizes.astype(np.int64)
+    for j in range(m):
+        same = masks[:, which, text[j]]
+        both, carry = same & rises, None
+        for w in range(width):  # both + rises over all words
+            np.add(both[w], rises[w], out=total[w])
+            over = total[w] < both[w]
+            if carry is not None:
+                total[w] += carry
+                over |= total[w] < carry
+            carry = over.astype(np.uint64)
+        level = (total ^ rises) | same | falls
+        up, down = falls | ~(level | rises), level & rises
+        now += ((up[last_word, rows] >> last_bit) & one).astype(np.int64) - ((down[last_word, rows] >> last_bit) & one).astype(np.int64)
+        np.minimum(best, now, out=best)
+        for bits in (up, down):
+            over = bits[:-1] >> top
+            bits <<= one
+            bits[1:] |= over
+        rises, falls = down | ~(level | up), up & level
+    return best
 
 
 @dataclasses.dataclass
 class Index:
-    """Hashes of a block of items."""
+    """Hashes of a block of items, long ones in parts."""
 
     item_ids: list[int | None]
-    items: list[np.ndarray]  # symbols
+    origin: list[int]  # number of the item that each part is of
+    items: list[np.ndarray]  # symbols of the parts
     texts: list[str]  # the items' words with one space between
     similarity: float
     vocabulary: dict[str, int]
     pairs: np.ndarray  # neighbouring words of items, as numbers in order
     pair_lengths: np.ndarray  # for each pair a bit mask of the numbers of the item lengths it occurs in
     walk: Walk
+    repetitions: np.ndarray  # by length
     keys: np.ndarray  # sorted
     owner: np.ndarray  # item of each key
     needs: list[tuple[int, int, int]]  # window length, least known words, least known pairs
@@ -187,11 +217,14 @@ class Index:
         return start[whole], length[whole]
 
     def search(self, texts: list[str]) -> list[tuple[int, int, int, float]]:
-        """(text, item, edit distance of the words, similarity) of all passages found, one for each text and item."""
+        """(text, item, edit distance of the words, similarity) of all passages found, one for each text and item.
+
+        Of an item in parts those of its most similar part.
+        """
         lists = [words(t) for t in texts]
         counts = np.array([len(x) for x in lists], np.int64)
         unknown, get = len(self.vocabulary), self.vocabulary.get
-        codes = np.array([get(w, unknown) for x in lists for w in x], np.int32)
+        codes = np.fromiter(map(get, itertools.chain.from_iterable(lists), itertools.repeat(unknown)), np.int32, int(counts.sum()))
         if not len(codes) or not self.items:
             return []
         spelled = self.search_letters(lists)
@@ -203,20 +236,23 @@ class Index:
         frame[np.arange(len(codes)) + np.repeat(begins - (ends_in - counts), counts)] = codes
         start, length = self.candidates(frame, begins, begins + counts + gap)
         pairs = set()
-        for a in range(0, len(start), WINDOWS):
-            s, n = start[a : a + WINDOWS], length[a : a + WINDOWS]
-            key = self.walk.keys(frame, s, n).ravel()
+        for s, n, repetitions in walks(start, length, self.repetitions):
+            key = self.walk.keys(frame, s, n, repetitions).ravel()
             low, high = np.searchsorted(self.keys, key), np.searchsorted(self.keys, key, side="right")
             hit = np.flatnonzero(high > low)
             spans = high[hit] - low[hit]
-            window = np.repeat(hit // self.walk.seeds.shape[1], spans)
+            window = np.repeat(hit // repetitions, spans)
             place = np.repeat(low[hit] - (np.cumsum(spans) - spans), spans) + np.arange(spans.sum())
             item = self.owner[place]
             same = np.array([len(self.items[i]) for i in item.tolist()], np.int64) == n[window]
             pairs.update(zip(s[window[same]].tolist(), item[same].tolist(), strict=True))
         # a pair found by its words has the fewest words changed
         found = spelled | self.verify(frame, begins, begins + counts, pairs)
-        return [(t, i, d, similar) for (t, i), (d, similar) in sorted(found.items())]
+        best: dict[tuple[int, int], tuple[float, int]] = {}
+        for (t, i), (d, similar) in found.items():
+            whole = (t, self.origin[i])
+            best[whole] = max((similar, -d), best.get(whole, (similar, -d)))
+        return [(t, i, -d, similar) for (t, i), (similar, d) in sorted(best.items())]
 
     def search_letters(self, lists: list[list[str]]) -> dict[tuple[int, int], tuple[int, float]]:
         """Word distance and similarity of the passages similar in characters, by text and item."""
@@ -228,18 +264,22 @@ class Index:
         spellings = [code_points(t) for t in self.texts]
         sizes = np.array([len(x) for x in spellings], np.int64)
         edits = np.array([allowed(n, self.similarity) for n in sizes.tolist()], np.int64)
-        hashes: dict[int, np.ndarray] = {}
+        hashes = {size: run_hashes(points, size) for size in {seeds.size for seeds in self.letters}}
+        tops = {size: (h >> np.uint64(64 - BITS)).astype(np.int32) for size, h in hashes.items()}
+        found = []
         for seeds in self.letters:
-            if seeds.size not in hashes:
-                hashes[seeds.size] = run_hashes(points, seeds.size)
-            item, start, width = seeds.places(hashes[seeds.size])
+            item, start, width = seeds.places(hashes[seeds.size], tops[seeds.size])
             text = np.searchsorted(begins, start + (width + sizes[item]) // 2, side="right") - 1
             low = np.maximum(start - edits[item], begins[text])
             high = np.minimum(start + width + sizes[item] + edits[item], begins[text] + lengths[text])
-            long_enough = np.flatnonzero((text >= 0) & (high - low >= sizes[item] - edits[item]))
-            order = long_enough[np.argsort(-sizes[item[long_enough]], kind="stable")]
-            for a in range(0, len(order), WINDOWS):
-                part = order[a : a + WINDOWS]
+            likely = np.flatnonzero((text >= 0) & (high - low >= sizes[item] - edits[item]))
+            likely = likely[seeds.kept(item[likely], low[likely], high[likely], hashes[seeds.size])]
+            found.append(np.stack([item, text, low, high])[:, likely])
+        if found:
+            item, text, low, high = np.concatenate(found, axis=1)
+            order = np.argsort(-sizes[item], kind="stable")
+            for a in range(0, len(order), STRETCHES):
+                part = order[a : a + STRETCHES]
                 distance = spelled_distance([spellings[i] for i in item[part].tolist()], points, low[part], high[part])
                 for j, d in zip(part.tolist(), distance.tolist(), strict=True):
                     t, i = int(text[j]), int(item[j])
@@ -288,11 +328,13 @@ class Seeds:
     least: np.ndarray  # by item: seeds a matching passage keeps
     length: np.ndarray  # by item: characters
     near: np.ndarray  # by item: how far apart the starts they tell may be
+    runs: dict[int, np.ndarray]  # all runs of each item, distinct and sorted
+    fewest: np.ndarray  # by item: of them a matching passage keeps
 
-    def places(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(item, first start, width) of the stretches within which a passage may start, from the hashes of all runs."""
+    def places(self, hashes: np.ndarray, tops: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(item, first start, width) of the stretches within which a passage may start, from the hashes of all runs and their upper bits."""
         none = (np.zeros(0, np.int64),) * 3
-        at = np.flatnonzero(self.table[(hashes >> np.uint64(64 - BITS)).astype(np.int64)])
+        at = np.flatnonzero(self.table[tops])
         slot = np.searchsorted(self.hashes, hashes[at])
         same = self.hashes[np.minimum(slot, len(self.hashes) - 1)] == hashes[at]
         at, slot = at[same], slot[same]
@@ -314,6 +356,17 @@ class Seeds:
         begin = np.unique(np.stack([item, start // self.near[item]]), axis=1)
         return begin[0], begin[1] * self.near[begin[0]], 2 * self.near[begin[0]]
 
+    def kept(self, item: np.ndarray, low: np.ndarray, high: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        """Whether the stretch holds as many of the item's runs, chosen or not, as a matching passage keeps."""
+        out = np.zeros(len(item), bool)
+        for j, (i, a, b) in enumerate(zip(item.tolist(), low.tolist(), high.tolist(), strict=True)):
+            runs = self.runs[i]
+            here = hashes[a : max(a, b - self.size + 1)]
+            at = np.searchsorted(runs, here)
+            at[at == len(runs)] = 0
+            out[j] = len(np.unique(at[runs[at] == here])) >= self.fewest[i]
+        return out
+
 
 def code_points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -333,14 +386,15 @@ def chosen(hashes: np.ndarray, every: int) -> np.ndarray:
     return (hashes & np.uint64(every - 1)) == 0
 
 
-def seeds_kept(item: np.ndarray, edits: int, size: int, every: int, rng: np.random.Generator, recall: float) -> int:
-    """Seeds that all but 1 - ``recall`` of random edits of the item leave."""
-    own = run_hashes(item, size)
-    own = own[chosen(own, every)]
+def seeds_kept(item: np.ndarray, edits: int, size: int, every: int, rng: np.random.Generator, recall: float) -> tuple[int, int]:
+    """Seeds that all but 1 - ``recall`` of random edits of the item leave, and distinct runs that each of them leaves."""
+    runs = run_hashes(item, size)
+    own = runs[chosen(runs, every)]
     if not edits:
-        return len(own)
-    kept = [int(np.isin(run_hashes(perturbed(item, edits, 0, rng).astype(np.uint32), size), own).sum()) for _ in range(TRIALS)]
-    return sorted(kept)[int((1 - recall) * TRIALS / 2)]
+        return len(own), len(np.unique(runs))
+    left = [run_hashes(perturbed(item, edits, 0, rng).astype(np.uint32), size) for _ in range(TRIALS)]
+    kept = sorted(int(np.isin(x, own).sum()) for x in left)
+    return kept[int((1 - recall) * TRIALS / 2)], min(len(np.intersect1d(x, runs)) for x in left)
 
 
 def seed_tables(texts: list[str], similarity: float, recall: float) -> list[Seeds]:
@@ -348,16 +402,16 @@ def seed_tables(texts: list[str], similarity: float, recall: float) -> list[Seed
     rng, groups = np.random.default_rng(SEED + 2), {}
     lengths = np.array([len(t) for t in texts], np.int64)
     edits = np.array([allowed(n, similarity) for n in lengths.tolist()], np.int64)
-    least = np.ones(len(texts), np.int64)
+    least, fewest = np.ones(len(texts), np.int64), np.zeros(len(texts), np.int64)
     for i, text in enumerate(texts):
         points = code_points(text)
         for kind in SEEDS:
-            kept = seeds_kept(points, int(edits[i]), *kind, rng, recall)
+            kept, all_runs = seeds_kept(points, int(edits[i]), *kind, rng, recall)
             if kept >= FEWEST_SEEDS:
                 break
         if kept < FEWEST_SEEDS:  # so short that a pair of characters is left after all edits, or its only word
-            kind, kept = (2, 1) if len(text) > 1 else (1, 1), 1
-        least[i] = max(1, kept)
+            kind, kept, all_runs = (2, 1) if len(text) > 1 else (1, 1), 1, 1
+        least[i], fewest[i] = max(1, kept), all_runs
         groups.setdefault(kind, []).append((i, points))
     made = []
     for (size, every), own in sorted(groups.items()):
@@ -369,7 +423,8 @@ def seed_tables(texts: list[str], similarity: float, recall: float) -> list[Seed
         distinct, first = np.unique(flat[order], return_index=True)
         table = np.zeros(1 << BITS, bool)
         table[(distinct >> np.uint64(64 - BITS)).astype(np.int64)] = True
-        made.append(Seeds(size, every, table, distinct, np.append(first, len(order)), item[order], offset[order], least, lengths, np.maximum(1, edits)))
+        runs = {i: np.unique(h) for (i, _), h in zip(own, hashes, strict=True)}
+        made.append(Seeds(size, every, table, distinct, np.append(first, len(order)), item[order], offset[order], least, lengths, np.maximum(1, edits), runs, fewest))
     return made
 
 
@@ -387,33 +442,62 @@ def perturbed(item: np.ndarray, edits: int, unknown: int, rng: np.random.Generat
     return np.array(out, np.int32)
 
 
-def repetitions_for(items: list[np.ndarray], symbols: int, similarity: float, recall: float) -> int:
-    """Repetitions that find items after as many edits as allowed with the given probability, as measured.
+def repetitions_for(items: list[np.ndarray], symbols: int, similarity: float, recall: float) -> np.ndarray:
+    """Repetitions by length that find an item after as many edits as allowed with the given probability, as measured.
 
-    Up to 64 of the items are edited at random; the share of equal positions in their embeddings gives the
-    probability that one hash of SAMPLES positions agrees.
+    Lengths are classed by powers of two, and every class is held to its worst item: of each class up to MEASURED items, the
+    shortest and the longest among them, are edited at random EDITED times; the share of equal positions in the embeddings gives
+    the probability that one hash of SAMPLES positions agrees.
     """
     rng = np.random.default_rng(SEED + 1)
-    chances = []
-    for item in items[:: max(1, len(items) // 64)][:64]:
-        n = len(item)
-        changed = perturbed(item, allowed(n, similarity), symbols, rng)
-        walk = Walk(symbols, n, 32)
-        changed = np.append(changed, np.full(n, symbols, np.int32))[:n]
-        one = walk.embed(np.concatenate([item, changed]), np.array([0, n]), np.array([n, n]))
-        chances.append(((one[0] == one[1]).mean(axis=1) ** SAMPLES).mean())
-    p = np.array(chances)
-    r = 8
-    while (1 - (1 - p) ** r).mean() < recall:
-        r += 8
-        if r > MOST_REPETITIONS:
-            raise ValueError(f"{MOST_REPETITIONS} repetitions don't reach a recall of {recall} at a similarity of {similarity}")
-    return r
+    out = np.full(max([len(x) for x in items], default=0) + 1, 8, np.int64)
+    classes: dict[int, list[np.ndarray]] = {}
+    for item in sorted(items, key=len):
+        classes.setdefault(len(item).bit_length(), []).append(item)
+    for bits, own in classes.items():
+        picked = {round(i) for i in np.linspace(0, len(own) - 1, min(len(own), MEASURED))}
+        needed = 8
+        for item in (own[i] for i in sorted(picked)):
+            n = len(item)
+            walk, k = Walk(symbols, n, 32), allowed(n, similarity)
+            edited = [np.append(perturbed(item, k, symbols, rng), np.full(n, symbols, np.int32))[:n] for _ in range(EDITED)]
+            one = walk.embed(np.concatenate([item, *edited]), np.arange(EDITED + 1) * n, np.full(EDITED + 1, n), 32)
+            missed = 1 - ((one[:1] == one[1:]).mean(axis=2) ** SAMPLES).mean(axis=1)
+            while 1 - (missed**needed).mean() < recall:
+                needed += 8
+                if needed > MOST_REPETITIONS:
+                    raise ValueError(f"{MOST_REPETITIONS} repetitions don't reach a recall of {recall} at a similarity of {similarity}")
+        out[1 << (bits - 1) : 1 << bits] = needed
+    return out
+
+
+def walks(starts: np.ndarray, lengths: np.ndarray, repetitions: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """Windows in groups that walk together: starts, lengths, repetitions."""
+    wanted = repetitions[lengths]
+    for r in np.unique(wanted).tolist():
+        own = np.flatnonzero(wanted == r)
+        at_once = max(1, min(WINDOWS, CELLS // (r * STRETCH * int(lengths[own].max()))))
+        for a in range(0, len(own), at_once):
+            part = own[a : a + at_once]
+            yield starts[part], lengths[part], r
+
+
+def parts_of(item: list[str]) -> list[list[str]]:
+    """The item in parts of like length, at most PART words each.
+
+    Edits that are few enough for the whole are few enough for one of its parts, whatever their places.
+    """
+    count = -(-len(item) // PART)
+    bounds = [len(item) * i // count for i in range(count + 1)]
+    return [item[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
 
 
 def build(rows: list[tuple[int | None, list[str]]], similarity: float = SIMILARITY, recall: float = RECALL) -> Index:
     """The index of a block of items given as (id, words)."""
     rows = [(i, w) for i, w in rows if w]
+    ids = [i for i, _ in rows]
+    origin = [at for at, (_, w) in enumerate(rows) for _ in parts_of(w)]
+    rows = [(i, part) for i, w in rows for part in parts_of(w)]
     vocabulary = {w: i for i, w in enumerate(dict.fromkeys(w for _, x in rows for w in x))}
     items = [np.array([vocabulary[w] for w in x], np.int32) for _, x in rows]
     lengths = np.array([len(x) for x in items], np.int64)
@@ -429,17 +513,19 @@ def build(rows: list[tuple[int | None, list[str]]], similarity: float = SIMILARI
             masks[key] = masks.get(key, 0) | 1 << number[len(item)] % 64
     pairs = np.array(sorted(masks), np.int64)
     pair_lengths = np.array([masks[k] for k in pairs.tolist()], np.uint64)
-    repetitions = repetitions_for(items, len(vocabulary), similarity, recall) if items else 8
-    walk = Walk(len(vocabulary), max([1, *lengths.tolist()]), repetitions)
+    repetitions = repetitions_for(items, len(vocabulary), similarity, recall)
+    walk = Walk(len(vocabulary), max([1, *lengths.tolist()]), int(repetitions.max()))
     keys, owner = np.zeros(0, np.uint64), np.zeros(0, np.int64)
     if items:
         flat, starts = np.concatenate(items), np.cumsum(lengths) - lengths
-        parts = [walk.keys(flat, starts[a : a + WINDOWS], lengths[a : a + WINDOWS]).ravel() for a in range(0, len(items), WINDOWS)]
-        keys, owner = np.concatenate(parts), np.repeat(np.arange(len(items)), repetitions)
+        made = []
+        for own, n, r in walks(np.arange(len(items)), lengths, repetitions):
+            made.append((walk.keys(flat, starts[own], n, r).ravel(), np.repeat(own, r)))
+        keys, owner = (np.concatenate(column) for column in zip(*made, strict=True))
         order = np.argsort(keys, kind="stable")
         keys, owner = keys[order], owner[order]
     texts = [" ".join(w) for _, w in rows]
-    return Index([i for i, _ in rows], items, texts, similarity, vocabulary, pairs, pair_lengths, walk, keys, owner, needs, seed_tables(texts, similarity, recall))
+    return Index(ids, origin, items, texts, similarity, vocabulary, pairs, pair_lengths, walk, repetitions, keys, owner, needs, seed_tables(texts, similarity, recall))
 
 
 def blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list[tuple[int | None, list[str]]]]:
