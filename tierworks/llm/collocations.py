@@ -34,7 +34,7 @@ BEST = 2000  # phrases reported of each language
 REPLACES = 50  # per cent of a phrase's occurrences from which a longer phrase replaces it
 SCALE = 1_000_000
 MARGIN = 2  # the first threshold is the score that this many times the wanted phrases reach, before replacement
-CHARS = 1 << 21  # characters counted at once
+CHARS = 1 << 20  # characters counted at once
 WINDOW = 1 << 19  # words counted at once, so three of their numbers fit 63 bits
 BITS_PER_PHRASE, MOST_BITS, BITMAP = 12, 1 << 27, 1 << 15
 
