@@ -17,7 +17,7 @@ from tierworks.llm.queries import ORACLE, QUERIES, table
 def test_registered():
     names = __spark_entry__.queries()
     assert {*QUERIES, "pipeline"} <= set(names) and set(ORACLE) <= set(__spark_entry__.oracle_sql())
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
