@@ -17,7 +17,6 @@ from tierworks.plans.commerce import (
     BUDGET_GOALS,
     FALLBACK_YEAR,
     GRADES,
-    KPI_NAMES,
     SNAPSHOT_YEAR,
     TARGETS,
     YEARS,
