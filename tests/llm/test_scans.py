@@ -1,10 +1,12 @@
 """Secrets, licenses, language and toxicity: brute force where the rule is exact, accuracy where it is learned."""
 
+import collections
 import hashlib
 import re
 import time
 
 import numpy as np
+import pytest
 
 from tests.llm.common import ODD, ascii_lower, auc, base_spans, odd_table
 from tierworks.llm import langid, license_scan, secret_scan, toxicity
@@ -269,6 +271,42 @@ def test_toxicity_learns_unknown_stems(spark):
     assert auc([found[i] for i in range(300, 400)], [int(i % 4 == 0) for i in range(300, 400)]) == 1.0
 
 
+AIMED = ["You are an idiot.", "Du bist ein Dummkopf!", "Tu es un imbécile.", "Tú eres un idiota.", "I will kill you.", "Wir schlagen dich.", "Te voy a matar a ti."]
+SPARED = ["He is not an idiot.", "Du bist kein Dummkopf.", "Tu n'es pas un imbécile.", "No eres un idiota.", "She said he was an idiot.", "Er sagte, du bist ein Trottel.", "nothing at all"]
+
+
+def test_fitted_grammar_marks_what_labels_never_showed(spark):
+    rows = [(i, f"{'grumbol' if i % 4 == 0 else 'friend'} of mine number w{i}") for i in range(400)]
+    labels = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i, _ in rows], "doc_id long, quality int, toxic int")
+    model = toxicity.fit(odd_table(spark, rows), labels)
+    asked = odd_table(spark, list(enumerate(AIMED + SPARED)))
+    found = {r["doc_id"]: r for r in toxicity.score(asked, model, matches=False).collect()}
+    assert [found[i]["score"] >= 0.5 for i in range(len(found))] == [True] * len(AIMED) + [False] * len(SPARED)
+    assert "matches" not in found[0].asDict() and "matches" in toxicity.score(asked, model).columns
+    report = " ".join(["They said he was an idiot."] * 50)
+    assert model.score(0.0, model.evidence(report).patterns) < 0.5
+
+
+def test_chances_of_patterns_follow_the_labels():
+    insult, aimed = collections.Counter({toxicity.INSULT: 1}), collections.Counter({toxicity.AIMED: 1})
+    none = np.zeros(600)
+    fitted = toxicity.pattern_chances(none, [insult] * 300 + [aimed] * 300, np.array([0] * 300 + [1] * 300))
+    assert fitted[toxicity.INSULT] < 0.1 and fitted[toxicity.AIMED] > 0.9 and fitted[toxicity.MENACE] == toxicity.PRIORS[toxicity.MENACE]
+    assert toxicity.pattern_chances(np.zeros(0), [], np.zeros(0)) == pytest.approx(toxicity.PRIORS)
+    # marks that learned stems explain say less of the pattern beside them
+    beside = toxicity.pattern_chances(np.full(300, 0.99), [insult] * 300, np.ones(300))
+    alone = toxicity.pattern_chances(np.zeros(300), [insult] * 300, np.ones(300))
+    assert beside[toxicity.INSULT] < alone[toxicity.INSULT]
+
+
+def test_sibling_stems_give_way_to_their_beginning():
+    counts = [(f"achlich{x}", 9, 0, 0, 0) for x in "abcdef"] + [("achlich", 50, 30, 40, 1)]
+    assert toxicity.learned(counts, 400, 1200).keys() == {"achlich"}
+    model = toxicity.Model(toxicity.base_lexicon() | toxicity.learned(counts, 400, 1200))
+    assert 0 < model.weight("ein achlichez nur")[0] < model.weight("ein achlichez und achlicher")[0] / 4
+    assert len(toxicity.learned(counts[:3] + counts[-1:], 400, 1200)) == 4
+
+
 def test_toxicity_learns_stems_of_a_small_language_by_repeated_use(spark):
     # 5 of 100 toxic texts are of another language: they repeat a stem that two of its clean texts hold once
     rng = np.random.default_rng(0)

@@ -4,7 +4,13 @@ Words become symbols: insult, threat, target, negation, report verb, clause brea
 each of which knows one pattern, rewrite the symbols of a clause: an insult with a target in its clause is
 aimed, one soon after a negation is denied, one in reported speech is told, a threat at a target is a menace.
 They are composed into one transducer, run over the clauses that hold an insult or a threat, and the
-rewritten symbols carry the weights. The sum of a text's weights, calibrated on labelled rows, is its score.
+rewritten symbols carry the weights.
+
+A text's score is the chance that any of its matches makes it toxic. The matches of learned stems count by the sum
+of their weights, calibrated on labelled rows. Those of the hand-written words count by pattern: each pattern has
+a chance of its own, for which a prior speaks as so many texts would (``PRIORS``) and labelled rows the rest. So an aimed
+insult stays toxic where the labelled rows know no such word. Denied and told matches and threats without a target
+count once a text, however often they occur.
 
 The insult words and stems come from a hand-written list and from labelled texts: stems that toxic texts
 use far more than clean ones, by more than chance explains. One that clean texts hold as well, but hardly
@@ -32,6 +38,7 @@ from tierworks.session import new_work_path
 
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, BREAK, AIMED, DENIED, TOLD, MENACE, AIM = range(12)
 REPEATED = 12  # a word that is an insult in a text with another of its stem, else any other word; decided before the grammar
+HINT = 13  # the same, but alone it is an insult of little weight
 
 # Words of each class in the four languages.
 INSULTS = """idiot idiots moron morons scum clown clowns worthless pathetic trash disgusting loser losers stupid dumb imbecile
@@ -49,11 +56,17 @@ REPORTS = """said says told wrote writes called quoted claimed reported sagte sa
 # How much of a word's weight a rewritten symbol keeps.
 FACTORS = {INSULT: 1.0, THREAT: 0.3, AIMED: 1.5, DENIED: 0.25, TOLD: 0.4, MENACE: 2.0, AIM: 0.5}
 SEED_WEIGHT = 2.5
+# Prior chance that one match of a hand-written word makes its text toxic, by pattern.
+PRIORS = {INSULT: 0.4, THREAT: 0.05, AIMED: 0.8, DENIED: 0.05, TOLD: 0.1, MENACE: 0.85, AIM: 0.3}
+PRIOR_TEXTS = 40.0  # labelled texts that the prior of a pattern is worth
+ONCE = (THREAT, DENIED, TOLD)  # patterns that count once a text
 NEGATION_REACH = 3  # words after a negation that it denies
 
 TOXIC, CLEAN = 1200, 3600  # labelled texts learned from
 STEMS = (4, 5, 6, 7, 8)  # lengths of stems; a whole word ends in "$"
 FEWEST = 3  # a stem is learned if so many toxic texts hold it (or repeat it)
+SIBLINGS = 4  # so many stems give way to the beginning that they share
+SINGLE = 0.25  # part of its weight that such a beginning keeps where a text holds it once
 ODDS = 30.0  # and so much rather than the clean texts
 REPEAT_ODDS = 10.0  # or so much more often, counted in uses and in texts that repeat it
 CHANCE = 0.01  # expected number of stems learned by chance, were the uses independent
@@ -148,54 +161,81 @@ class Symbols(dict):
         if not held and word[0] in ".!?;\n":
             held = [(BREAK, 0.0, "")]
         # what always counts goes before what counts when repeated
-        self[word] = found = next((h for h in held if h[0] != REPEATED), held[0] if held else (OTHER, 0.0, ""))
+        self[word] = found = next((h for h in held if h[0] < REPEATED), held[0] if held else (OTHER, 0.0, ""))
         return found
 
 
+@dataclasses.dataclass
+class Evidence:
+    """What the grammar finds in a text: all weights, those of learned stems, hand-written matches by pattern, the matches."""
+
+    total: float = 0.0
+    learned: float = 0.0
+    patterns: collections.Counter = dataclasses.field(default_factory=collections.Counter)
+    matches: list[tuple[str, int, float]] = dataclasses.field(default_factory=list)
+
+
 @dataclasses.dataclass
 class Model:
     lexicon: dict[str, tuple[int, float]]
     slope: float = 2.0
     offset: float = -2.0
+    chances: dict[int, float] = dataclasses.field(default_factory=lambda: dict(PRIORS))
 
     def __post_init__(self) -> None:
-        self.grammar, self.words = grammar(), Symbols(self.lexicon)
+        self.grammar, self.words, self.written = grammar(), Symbols(self.lexicon), frozenset(base_lexicon())
 
     def __getstate__(self) -> dict:
-        return {"lexicon": self.lexicon, "slope": self.slope, "offset": self.offset}
+        return {"lexicon": self.lexicon, "slope": self.slope, "offset": self.offset, "chances": self.chances}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__.update(state)
         self.__post_init__()
 
-    def weight(self, text: str) -> tuple[float, list[tuple[str, int, float]]]:
-        """The sum of the matched clauses' weights, and the matches: word, rewritten symbol, weight."""
+    def evidence(self, text: str) -> Evidence:
+        """The matched clauses' weights and the matches: word, rewritten symbol, weight."""
         tokens = TOKEN.findall(text.lower())
         tagged = list(map(self.words.__getitem__, tokens))
         codes = np.fromiter((t[0] for t in tagged), np.int8, len(tagged))
-        again = np.flatnonzero(codes == REPEATED).tolist()
+        again = np.flatnonzero(codes >= REPEATED).tolist()
         if again:
             uses = collections.Counter(tagged[i][2] for i in again)
             for i in again:
-                codes[i] = INSULT if uses[tagged[i][2]] > 1 else OTHER
-                tagged[i] = (int(codes[i]), *tagged[i][1:])
+                kind, weight, stem = tagged[i]
+                alone = uses[stem] == 1
+                codes[i] = OTHER if alone and kind == REPEATED else INSULT
+                tagged[i] = (int(codes[i]), weight * SINGLE if alone else weight, stem)
         hits = np.flatnonzero((codes == INSULT) | (codes == THREAT))
         if not len(hits):
-            return 0.0, []
+            return Evidence()
         breaks = np.concatenate([[-1], np.flatnonzero(codes == BREAK), [len(codes)]])
-        total, matches = 0.0, []
+        found = Evidence()
         for clause in np.unique(np.searchsorted(breaks, hits)).tolist():
-            state, last = 0, SEED_WEIGHT
+            state, last, written = 0, SEED_WEIGHT, True
             for i in range(breaks[clause - 1] + 1, breaks[clause]):
                 state, out = self.grammar.step(state, tagged[i][0])
                 if out in FACTORS:
-                    last = tagged[i][1] if tagged[i][0] in (INSULT, THREAT) else last
-                    matches.append((tokens[i], out, last * FACTORS[out]))
-                    total += last * FACTORS[out]
-        return total, matches
+                    if tagged[i][0] in (INSULT, THREAT):
+                        last, written = tagged[i][1], tagged[i][2] in self.written
+                    found.matches.append((tokens[i], out, last * FACTORS[out]))
+                    found.total += last * FACTORS[out]
+                    if written:
+                        found.patterns[out] += 1
+                    else:
+                        found.learned += last * FACTORS[out]
+        return found
 
-    def score(self, weight: float) -> float:
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.slope * math.log1p(weight) + self.offset))))
+    def weight(self, text: str) -> tuple[float, list[tuple[str, int, float]]]:
+        """The sum of the matched clauses' weights, and the matches."""
+        found = self.evidence(text)
+        return found.total, found.matches
+
+    def score(self, weight: float, patterns: collections.Counter | None = None) -> float:
+        """The chance that a text is toxic, from the weight of its learned stems and its hand-written matches."""
+        clean = 1 / (1 + math.exp(max(-30.0, min(30.0, self.slope * math.log1p(weight) + self.offset))))
+        for pattern, n in (patterns or {}).items():
+            clean *= (1 - self.chances[pattern]) ** (1 if pattern in ONCE else n)
+        return 1 - clean
 
 
 def stems(text: str) -> tuple[collections.Counter, int]:
@@ -242,7 +282,16 @@ def learned(counts: list[tuple[str, int, int, int, int]], toxic: int, clean: int
             always[0][stem], always[1][stem] = a, min(6.0, math.log(once))
         elif a2 >= FEWEST and twice >= REPEAT_ODDS:
             repeated[0][stem], repeated[1][stem] = a2, min(6.0, math.log(twice))
-    return {s: (REPEATED, w) for s, w in pruned(*repeated).items()} | {s: (INSULT, w) for s, w in pruned(*always).items()}
+    twice, once = pruned(*repeated), pruned(*always)
+    # where many words with one beginning were learned one by one, the beginning stands for them
+    hints = set()
+    for start in twice:
+        siblings = [s for s in once if s.startswith(start)]
+        if len(siblings) >= SIBLINGS:
+            hints.add(start)
+            for s in siblings:
+                del once[s]
+    return {s: (HINT if s in hints else REPEATED, w) for s, w in twice.items()} | {s: (INSULT, w) for s, w in once.items()}
 
 
 def calibrated(weights: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
@@ -257,6 +306,24 @@ def calibrated(weights: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
     return max(0.1, float(slope)), float(offset)
 
 
+def pattern_chances(learned: np.ndarray, patterns: list[collections.Counter], labels: np.ndarray, rounds: int = 50) -> dict[int, float]:
+    """The most likely chance of each pattern, the prior counted in, where each match alone may make a text toxic.
+
+    ``learned``: the chances from learned stems. Found by expectation and maximisation: a toxic text's mark is shared
+    out among its matches, a clean text speaks against each of its own.
+    """
+    order = list(PRIORS)
+    uses = np.array([[min(p[s], 1) if s in ONCE else p[s] for s in order] for p in patterns], float).reshape(-1, len(order))
+    prior = np.array([PRIORS[s] for s in order])
+    chances = prior.copy()
+    for _ in range(rounds):
+        clean = (1 - learned) * np.prod((1 - chances) ** uses, axis=1)
+        due = np.where(labels == 1, 1 / np.maximum(1 - clean, 1e-9), 0.0)
+        guilty = np.minimum(due[:, None] * chances, 1) * uses
+        chances = (PRIOR_TEXTS * prior + guilty.sum(axis=0)) / (PRIOR_TEXTS + uses.sum(axis=0))
+    return dict(zip(order, chances.tolist(), strict=True))
+
+
 def fit(
     df: DataFrame, labels: DataFrame, toxic: int = TOXIC, clean: int = CLEAN,
     id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
@@ -299,32 +366,40 @@ def fit(
         telling = telling.where((odds(F.col("a"), F.col("b"), total["a"], total["b"]) >= ODDS) | (odds(F.col("ua"), F.col("ub"), total["ua"], total["ub"]) >= REPEAT_ODDS))
         telling = telling.where(surprise(F.col("ua"), F.col("ub"), total["ua"] / (total["ua"] + total["ub"])) >= math.log(all_stems / CHANCE))
         found = learned([(r["stem"], r["a"], r["b"], r["a2"], r["b2"]) for r in telling.orderBy("stem").collect()], total["a"], total["b"])
-    model = Model(base | {s: w for s, w in found.items() if base.get(s, (INSULT,))[0] == INSULT and not (s in base and w[0] == REPEATED)})
+    model = Model(found | base)
 
     def weigh(part: pa.RecordBatch, texts: list[str]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([model.weight(t)[0] for t in texts], pa.float64())], ["doc_id", "weight"])
+        own = [model.evidence(t) for t in texts]
+        counts = pa.array([[e.patterns[s] for s in PRIORS] for e in own], pa.list_(pa.int64()))
+        return pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([e.learned for e in own], pa.float64()), counts], ["doc_id", "weight", "patterns"])
 
-    weighed = map_texts(sample, weigh, "doc_id long, weight double").groupBy("doc_id").agg(F.max("weight").alias("weight")).collect()
+    weighed = map_texts(sample, weigh, "doc_id long, weight double, patterns array<long>")
+    weighed = weighed.groupBy("doc_id").agg(F.max(F.struct("weight", "patterns")).alias("e")).select("doc_id", "e.*").collect()
     weighed = sorted(weighed, key=lambda r: r["doc_id"])
     if weighed:
-        model.slope, model.offset = calibrated(np.array([r["weight"] for r in weighed]), np.array([marked[r["doc_id"]] for r in weighed], float))
+        weights, truth = np.array([r["weight"] for r in weighed]), np.array([marked[r["doc_id"]] for r in weighed], float)
+        patterns = [collections.Counter(dict(zip(PRIORS, r["patterns"], strict=True))) for r in weighed]
+        # a text that hand-written words make toxic says nothing of the learned stems' absence
+        told = (weights > 0) | ~np.array([any(p.values()) for p in patterns])
+        model.slope, model.offset = calibrated(weights[told], truth[told])
+        model.chances = pattern_chances(np.array([model.score(w) for w in weights]), patterns, truth)
     return model
 
 
-def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per text: doc_id, score, weight, matches (array of word, pattern, weight)."""
+def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", matches: bool = True) -> DataFrame:
+    """One row per text: doc_id, score, weight and, if asked for, matches (array of word, pattern, weight)."""
     names = {INSULT: "insult", THREAT: "threat", AIMED: "aimed", DENIED: "denied", TOLD: "told", MENACE: "menace", AIM: "aim"}
     match = pa.list_(pa.struct([("word", pa.string()), ("pattern", pa.string()), ("weight", pa.float64())]))
 
     def per_piece(part: pa.RecordBatch, texts: list[str]) -> pa.RecordBatch:
-        found = [model.weight(t) for t in texts]
-        rows = [[{"word": w, "pattern": names[s], "weight": x} for w, s, x in own] for _, own in found]
-        return pa.RecordBatch.from_arrays(
-            [part.column("doc_id"), pa.array([model.score(w) for w, _ in found], pa.float64()), pa.array([w for w, _ in found], pa.float64()), pa.array(rows, match)],
-            ["doc_id", "score", "weight", "matches"],
-        )
-
-    return map_texts(id_text(df, id_col, text_col), per_piece, "doc_id long, score double, weight double, matches array<struct<word:string,pattern:string,weight:double>>")
+        found = [model.evidence(t) for t in texts]
+        made = [pa.array([model.score(e.learned, e.patterns) for e in found], pa.float64()), pa.array([e.total for e in found], pa.float64())]
+        if matches:
+            made.append(pa.array([[{"word": w, "pattern": names[s], "weight": x} for w, s, x in e.matches] for e in found], match))
+        return pa.RecordBatch.from_arrays([part.column("doc_id"), *made], ["doc_id", "score", "weight", "matches"][: len(made) + 1])
+
+    columns = "doc_id long, score double, weight double" + ", matches array<struct<word:string,pattern:string,weight:double>>" * matches
+    return map_texts(id_text(df, id_col, text_col), per_piece, columns)
 
 
 def held_out(id_col: Column) -> Column:
