@@ -250,3 +250,32 @@ def test_top_k_of_large_numbers(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk.top_k(df, F.col("id") < 3, k=4).collect())
     assert got == best_products(list(range(30)), [[int(x) * 256 for x in v] for _, v in rows], [0, 1, 2], 4)
+
+
+def test_top_k_beyond_the_range_of_long(spark):
+    rows = [(0, [1e18, 1.0]), (1, [1e18, -1.0]), (2, [2e18, 5.0]), (3, [-1e18, 0.0]), (4, [1e200, 0.0]), (5, [1e307, 0.0]), (6, [3.0, 4.0]), (7, [1e305, 1e300])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in topk.top_k(df, F.col("id") < 3, k=5, rows=3).collect()}
+    good = {i: [int(x * 256) for x in v] for i, v in rows if i != 5}  # 256e307 is no finite double
+    for q in range(3):
+        exact = sorted((-sum(a * b for a, b in zip(good[q], v, strict=True)), i) for i, v in good.items() if i != q)[:5]
+        assert [got[q, n + 1] for n in range(5)] == [(i, max(-(2**63), min(2**63 - 1, -s))) for s, i in exact]
+
+
+def test_whole_numbers_as_bytes_sort_alike():
+    numbers = sorted({s * n for n in (0, 1, 2, 255, 256, 257, 65535, 65536, 2**63, 2**64 - 1, 3**500) for s in (1, -1)})
+    assert sorted(numbers, key=topk.sortable) == numbers
+    assert all(topk.lower_bar(n) <= n for n in numbers)
+
+
+def test_top_k_prunes_clustered_vectors(spark):
+    rng = np.random.default_rng(3)
+    centers = rng.normal(0, 1, (12, 32))
+    vectors = [(centers[i % 12] + rng.normal(0, 0.05, 32)).round(4).tolist() for i in range(1200)]
+    df = spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<double>")
+    asked, ids = F.col("id") % 50 == 0, list(range(1200))
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk.top_k(df, asked, k=5, rows=128).collect())
+    assert got == best_products(ids, [[int(np.floor(x * 256)) for x in v] for v in vectors], ids[::50], 5)
+    left = {r["segments"]: r["pairs"] for r in topk.pruning(df, asked, k=5, rows=128).collect()}
+    assert left[0] == 24 * 1200 and list(sorted(left)) == [0, 4, 8, 16, 32]
+    assert left[4] >= left[8] >= left[16] >= left[32] and left[16] < 0.15 * left[0]

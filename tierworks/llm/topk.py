@@ -2,21 +2,26 @@
 
 Vectors are turned into integers. For segments of a vector, the squared distance of two vectors is at least
 the sum over segments of length * ((difference of means)^2 + (difference of deviations)^2); with the exact
-norms this bounds the inner product from above. A query first meets every candidate of a block at the
-coarsest resolution, then only survivors at finer ones, and exact products are taken of what is left; the
-score to beat is the k-th best that the query has found so far.
+norms this bounds the inner product from above. A query meets every candidate of a block at the coarsest
+resolution, then only survivors at finer ones, and exact products are taken of the pairs that are left.
 
-The queries are cut into blocks, the candidates into blocks, and every pair of blocks is one row of work:
-each task gives at most k rows for each query and block, of which the best k are kept.
+The queries are cut into blocks, the candidates into blocks, and every pair of blocks is one row of work.
+A first pass takes the exact scores of the k candidates of each block that the coarsest bounds put highest;
+the k-th best of them over all blocks is the score that a query's candidates have to beat in the second pass,
+where it rises with what a task finds. Each pair of blocks gives at most k rows for a query, of which the best k
+are kept. ``pruning`` tells how many pairs were left at every resolution.
 
 Cases: a row with a null id, or a vector that is null, empty or holds a null or non-finite component, takes
 no part; vectors of different lengths never meet; ties go to the smaller id; repeated rows are separate
 candidates but one query, and a query never meets a row of its own id; fewer candidates than k give fewer
-rows; an empty table gives an empty result; only the id and vector columns are read.
+rows; an empty table gives an empty result; only the id and vector columns are read. Components count as
+whole numbers of any size while the scaled component is a finite double (else the vector takes no part);
+candidates are ordered by exact scores, and a score beyond the range of long is shown as that range's end.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,41 +29,58 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tierworks.session import new_work_path
+
 SCALE = 256
 ROWS = 4096  # vectors in a block
 SLAB = 256  # queries of a block that meet its candidates at once
 EXACT_FLOAT = 2.0**52  # products below it are exact in doubles
+FIRST = 8  # exact scores are first taken of so many times k candidates with the highest bounds
+HELD = 256  # query blocks whose scores to beat a task remembers
+LONG = 2**63 - 1
 
 
 def integers(df: DataFrame, id_col: str, vector_col: str, scale: int = SCALE) -> DataFrame:
     """id, v (array<double> of whole numbers), d (length): floor(scale * x) of every component, bad vectors left out."""
-    bad = F.exists(vector_col, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    scaled = lambda x: x.cast("double") * scale
+    bad = F.exists(vector_col, lambda x: x.isNull() | F.isnan(scaled(x)) | (F.abs(scaled(x)) == float("inf")))
     rows = df.where(df[id_col].isNotNull() & (F.size(vector_col) > 0)).where(~bad)
-    v = F.transform(vector_col, lambda x: F.floor(x.cast("double") * scale).cast("double"))
+    # doubles from 2^53 on are whole, and beyond the range of F.floor
+    v = F.transform(vector_col, lambda x: F.when(F.abs(scaled(x)) < EXACT_FLOAT, F.floor(scaled(x)).cast("double")).otherwise(scaled(x)))
     return rows.select(df[id_col].cast("long").alias("id"), v.alias("v"), F.size(vector_col).alias("d"))
 
 
+def narrow(vectors: np.ndarray) -> np.ndarray:
+    """The whole numbers in the smallest type that holds them."""
+    most = np.abs(vectors).max(initial=0)
+    return vectors.astype(next((t for t, top in ((np.int8, 127), (np.int16, 32767), (np.int32, 2**31 - 1)) if most <= top), np.float64))
+
+
 def packed(rows: DataFrame, n_blocks: int) -> DataFrame:
-    """Blocks of about ROWS vectors: block, d, ids (array<long>), data (doubles, row by row)."""
+    """Blocks of about ROWS vectors: d, ids and bars (lists), kind (type of a number) and data (the numbers, row by row)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[tuple[int, np.ndarray]]] = {}
+        held: dict[int, list[tuple[int, float, np.ndarray]]] = {}
 
         def out(d: int) -> pa.RecordBatch:
             own = held.pop(d)
-            ids, data = [i for i, _ in own], np.array([v for _, v in own], float).tobytes()
-            return pa.RecordBatch.from_arrays([pa.array([d], pa.int32()), pa.array([ids], pa.list_(pa.int64())), pa.array([data], pa.binary())], ["d", "ids", "data"])
+            data = narrow(np.array([v for *_, v in own], float))
+            columns = [
+                pa.array([d], pa.int32()), pa.array([[i for i, *_ in own]], pa.list_(pa.int64())), pa.array([[b for _, b, _ in own]], pa.list_(pa.float64())),
+                pa.array([data.dtype.str]), pa.array([data.tobytes()], pa.binary()),
+            ]
+            return pa.RecordBatch.from_arrays(columns, ["d", "ids", "bars", "kind", "data"])
 
         for batch in batches:
             vectors = batch.column("v")
-            for i, (key, d) in enumerate(zip(batch.column("id").to_pylist(), batch.column("d").to_pylist(), strict=True)):
-                held.setdefault(d, []).append((key, vectors[i].values.to_numpy()))
+            for i, (key, bar, d) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("id", "bar", "d")), strict=True)):
+                held.setdefault(d, []).append((key, bar, vectors[i].values.to_numpy()))
                 if len(held[d]) == ROWS:
                     yield out(d)
         for d in list(held):
             yield out(d)
 
-    return rows.repartition(n_blocks).mapInArrow(run, "d int, ids array<long>, data binary")
+    return rows.select("id", "bar", "v", "d").repartition(n_blocks).mapInArrow(run, "d int, ids array<long>, bars array<double>, kind string, data binary")
 
 
 def statistics(vectors: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray]:
@@ -66,8 +88,9 @@ def statistics(vectors: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarr
     cuts = np.linspace(0, vectors.shape[1], segments + 1).astype(int)[:-1]
     sizes = np.diff(np.append(cuts, vectors.shape[1])).astype(float)
     means = np.add.reduceat(vectors, cuts, axis=1) / sizes
-    squares = np.add.reduceat(vectors * vectors, cuts, axis=1) / sizes
-    return means * np.sqrt(sizes), np.sqrt(np.maximum(squares - means * means, 0)) * np.sqrt(sizes)
+    with np.errstate(over="ignore", invalid="ignore"):  # where squares pass the range of doubles, no bound is taken
+        squares = np.add.reduceat(vectors * vectors, cuts, axis=1) / sizes
+        return means * np.sqrt(sizes), np.sqrt(np.maximum(squares - means * means, 0)) * np.sqrt(sizes)
 
 
 def levels(d: int) -> list[int]:
@@ -77,8 +100,8 @@ def levels(d: int) -> list[int]:
 
 def products(queries: np.ndarray, candidates: np.ndarray) -> np.ndarray:
     """Row by row, exact; in whole numbers of any size where doubles don't suffice."""
-    size = max(np.abs(queries).max(initial=0), np.abs(candidates).max(initial=0)) ** 2 * queries.shape[1]
-    if size < EXACT_FLOAT:
+    size = max(np.abs(queries).max(initial=0), np.abs(candidates).max(initial=0))
+    if size < 2**26 and size * size * queries.shape[1] < EXACT_FLOAT:
         return np.einsum("ij,ij->i", queries, candidates).astype(np.int64)
     return np.array([sum(int(a) * int(b) for a, b in zip(q, c, strict=True)) for q, c in zip(queries, candidates, strict=True)], object)
 
@@ -91,52 +114,152 @@ def segment_vectors(vectors: np.ndarray, segments: int) -> np.ndarray:
     return np.hstack(statistics(vectors, segments))
 
 
-def best_of_block(queries: np.ndarray, query_ids: np.ndarray, candidates: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, list[int]]:
-    """Query numbers, candidate numbers and scores of each query's k best candidates in the block."""
-    steps = levels(queries.shape[1])
-    norms = [np.linalg.norm(x, axis=1) for x in (queries, candidates)]
-
-    def upper(segments: int, columns: np.ndarray) -> np.ndarray:
-        room = 0.5 + 1e-9 * norms[0][:, None] * norms[1][columns][None, :]  # for rounding
-        return segment_vectors(queries, segments) @ segment_vectors(candidates[columns], segments).T + room
-
-    alive = ids[None, :] != query_ids[:, None]
-    bound = np.where(alive, upper(steps[0], np.arange(len(ids))), -np.inf)
-    # the score to beat: the k-th of the exact scores of the k highest bounds
-    some = np.argpartition(-bound, min(k, len(ids)) - 1, axis=1)[:, :k]
-    beat = np.full(len(queries), -np.inf)
-    full = np.flatnonzero(np.take_along_axis(alive, some, 1).sum(axis=1) == k)
-    if len(full):
-        exact = products(np.repeat(queries[full], k, axis=0), candidates[some[full].ravel()]).reshape(-1, k)
-        least = exact.min(axis=1).astype(float)
-        beat[full] = least - 1e-9 * np.abs(least)
-    alive &= bound >= beat[:, None]
-    for segments in steps[1:]:
-        columns = np.flatnonzero(alive.any(axis=0))
-        if alive.sum() <= 4 * k * len(queries):
-            break
-        alive[:, columns] &= upper(segments, columns) >= beat[:, None]
-    # exact scores of what is left: many survivors by one matrix product, few or large numbers pair by pair
-    columns = np.flatnonzero(alive.any(axis=0))
-    exact_in_doubles = norms[0].max(initial=0) * norms[1].max(initial=0) < EXACT_FLOAT
-    if exact_in_doubles and len(columns):
-        scores = np.where(alive[:, columns], queries @ candidates[columns].T, -np.inf)
-        place = len(columns) - min(k, len(columns))
-        alive[:, columns] &= scores >= np.partition(scores, place, axis=1)[:, place : place + 1]
-        q, c = np.nonzero(alive)
-        scores = scores[q, np.searchsorted(columns, c)].astype(np.int64)
-    else:
-        q, c = np.nonzero(alive)
-        parts = [products(queries[q[i : i + 65536]], candidates[c[i : i + 65536]]) for i in range(0, len(q), 65536)]
-        scores = np.concatenate(parts) if parts else np.zeros(0, np.int64)
-    if scores.dtype == object:
-        order = np.array(sorted(range(len(q)), key=lambda i: (q[i], -scores[i], ids[c[i]])), int)
-    else:
-        order = np.lexsort((ids[c], -scores, q))
-    q, c, scores = q[order], c[order], scores[order]
-    first = np.searchsorted(q, q)
-    kept = np.arange(len(q)) - first < k
-    return q[kept], c[kept], scores[kept].tolist()
+def lower_bar(score: int) -> float:
+    """A double that is not above the score."""
+    if abs(score) >= 10**300:
+        return 1e299 if score > 0 else -np.inf
+    return float(score) - 1e-9 * abs(float(score))
+
+
+def sortable(score: int) -> bytes:
+    """Bytes that sort as the whole numbers do."""
+    size = (abs(score).bit_length() + 7) // 8
+    if score >= 0:
+        return b"\1" + size.to_bytes(4) + score.to_bytes(size)
+    return b"\0" + (2**32 - 1 - size).to_bytes(4) + (256**size + score).to_bytes(size)
+
+
+class Block:
+    """Candidates with their statistics at every resolution, worked out when first asked for."""
+
+    def __init__(self, vectors: np.ndarray, ids: np.ndarray):
+        with np.errstate(over="ignore"):
+            self.norms = np.linalg.norm(vectors, axis=1)
+        self.vectors, self.ids, self.made = vectors, ids, {}
+        self.steps = levels(vectors.shape[1])
+
+    def at(self, segments: int) -> np.ndarray:
+        if segments not in self.made:
+            self.made[segments] = segment_vectors(self.vectors, segments)
+        return self.made[segments]
+
+
+def coarse(queries: Block, candidates: Block) -> np.ndarray:
+    """Upper bounds of all scores at the coarsest resolution; -inf where a query meets a row of its own id."""
+    room = 0.5 + 1e-9 * queries.norms[:, None] * candidates.norms[None, :]  # for rounding
+    segments = candidates.steps[0]
+    bound = np.nan_to_num(queries.at(segments) @ candidates.at(segments).T + room, nan=np.inf, posinf=np.inf)
+    bound[queries.ids[:, None] == candidates.ids[None, :]] = -np.inf
+    return bound
+
+
+def first_scores(queries: Block, candidates: Block, k: int) -> tuple[np.ndarray, list[float]]:
+    """Query numbers and (lower ends of) exact scores of each query's k candidates with the highest bounds."""
+    bound = coarse(queries, candidates)
+    some = np.argpartition(-bound, min(k, bound.shape[1]) - 1, axis=1)[:, :k]
+    q = np.repeat(np.arange(len(bound)), some.shape[1])
+    met = np.take_along_axis(bound, some, 1).ravel() > -np.inf
+    q, c = q[met], some.ravel()[met]
+    return q, [lower_bar(int(s)) for s in products(queries.vectors[q], candidates.vectors[c])]
+
+
+def best_of_block(queries: Block, candidates: Block, bars: np.ndarray, k: int) -> tuple[list[tuple[int, int, int]], np.ndarray]:
+    """(query number, candidate number, score) of each query's k best candidates that are not below its bar.
+
+    ``bars`` is raised to the k-th best score found. Also the numbers of pairs met, left after every resolution,
+    and compared by their exact scores.
+    """
+    bound = coarse(queries, candidates)
+    left = np.zeros(len(candidates.steps) + 2, np.int64)
+    left[0] = bound.size
+    exact = queries.norms.max(initial=0) * candidates.norms.max(initial=0) < EXACT_FLOAT
+    found = []
+
+    def scores_of(q: int, chosen: np.ndarray) -> np.ndarray:
+        vectors = candidates.vectors[chosen]
+        return (vectors @ queries.vectors[q]).astype(np.int64) if exact else products(np.broadcast_to(queries.vectors[q], vectors.shape), vectors)
+
+    for q in range(len(bound)):
+        alive = np.flatnonzero((bound[q] >= bars[q]) & (bound[q] > -np.inf))
+        finest = bound[q][alive]
+        left[1] += len(alive)
+        for i, segments in enumerate(candidates.steps[1:], start=2):
+            room = 0.5 + 1e-9 * queries.norms[q] * candidates.norms[alive]
+            finest = np.nan_to_num(candidates.at(segments)[alive] @ queries.at(segments)[q] + room, nan=np.inf, posinf=np.inf)
+            kept = finest >= bars[q]
+            alive, finest = alive[kept], finest[kept]
+            left[i] += len(alive)
+        # the highest bounds first: their exact scores raise the bar for the rest
+        best: list[tuple[int, int, int]] = []
+        if len(alive) > FIRST * k:
+            front = np.zeros(len(alive), bool)
+            front[np.argpartition(-finest, FIRST * k)[: FIRST * k]] = True
+            parts = [alive[front], alive[~front]]
+            ends = finest[~front]
+        else:
+            parts, ends = [alive], None
+        for n, chosen in enumerate(parts):
+            if n:
+                chosen = chosen[ends >= bars[q]]
+            left[-1] += len(chosen)
+            scores = scores_of(q, chosen)
+            if exact and len(chosen) > k:
+                good = scores >= np.partition(scores, len(scores) - k)[len(scores) - k]
+                chosen, scores = chosen[good], scores[good]
+            best = sorted([*best, *zip((-int(s) for s in scores), candidates.ids[chosen].tolist(), chosen.tolist(), strict=True)])[:k]
+            if len(best) == k:
+                bars[q] = max(bars[q], lower_bar(-best[-1][0]))
+        found += [(q, c, -s) for s, _, c in best]
+    return found, left
+
+
+def unpacked(kind: str, data: bytes, d: int) -> np.ndarray:
+    return np.frombuffer(data, np.dtype(kind)).reshape(-1, d).astype(float)
+
+
+def pairs(asked: DataFrame, offered: DataFrame, n_parts: int) -> DataFrame:
+    """Every block of queries beside every block of candidates: the stated query set against all rows."""
+    asked = asked.withColumnsRenamed({"ids": "q_ids", "bars": "q_bars", "kind": "q_kind", "data": "q_data"})
+    asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(n_parts - 1))))
+    offered = offered.drop("bars").withColumn("part", F.pmod(F.xxhash64("ids"), F.lit(n_parts)).cast("int"))
+    return asked.join(offered, ["part", "d"]).select("d", "q_ids", "q_bars", "q_kind", "q_data", "ids", "kind", "data")
+
+
+def slabs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Block, Block, np.ndarray]]:
+    """Some queries, the candidates of a block, and the queries' bars, which keep what is written into them within the task."""
+    held: dict[tuple[bytes, bytes], np.ndarray] = {}
+    for batch in batches:
+        for row in batch.to_pylist():
+            queries, query_ids = unpacked(row["q_kind"], row["q_data"], row["d"]), np.array(row["q_ids"], np.int64)
+            candidates = Block(unpacked(row["kind"], row["data"], row["d"]), np.array(row["ids"], np.int64))
+            key = (query_ids.tobytes(), hashlib.sha256(row["q_data"]).digest())
+            if key not in held and len(held) >= HELD:
+                held.clear()
+            bars = held.setdefault(key, np.array([-np.inf if b is None else b for b in row["q_bars"]], float))
+            for at in range(0, len(queries), SLAB):
+                yield Block(queries[at : at + SLAB], query_ids[at : at + SLAB]), candidates, bars[at : at + SLAB]
+
+
+def blocks(df: DataFrame, is_query: Column, k: int, scale: int, id_col: str, vector_col: str, rows: int) -> DataFrame:
+    """The work of the second pass: pairs of blocks, the queries with the scores that the first pass found for them."""
+    vectors = integers(df, id_col, vector_col, scale)
+    numbers = vectors.agg(F.count(F.lit(1)).alias("n"), F.count_if(is_query).alias("q")).first()
+    n_queries, n_candidates = max(1, -(-numbers["q"] // rows)), max(1, -(-numbers["n"] // rows))
+    none = F.lit(None).cast("double").alias("bar")
+    asked = vectors.where(is_query).dropDuplicates(["id", "v"])
+    path = new_work_path(df.sparkSession, "vectors")
+    packed(vectors.select("*", none), n_candidates).write.parquet(path)
+    offered = df.sparkSession.read.parquet(path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for queries, candidates, _ in slabs(batches):
+            q, scores = first_scores(queries, candidates, k)
+            yield pa.RecordBatch.from_arrays([pa.array(queries.ids[q]), pa.array(scores, pa.float64())], ["id", "bar"])
+
+    first = pairs(packed(asked.select("*", none), n_queries), offered, n_candidates).mapInArrow(run, "id long, bar double")
+    place = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("bar")))
+    bars = first.withColumn("place", place).where(F.col("place") <= k).where(F.col("place") == k).select("id", "bar")
+    return pairs(packed(asked.join(bars, "id", "left"), n_queries), offered, n_candidates)
 
 
 def top_k(
@@ -146,27 +269,33 @@ def top_k(
 
     ``is_query``: a condition on the id column (named ``id`` here) that states the query rows.
     """
-    vectors = integers(df, id_col, vector_col, scale)
-    numbers = vectors.agg(F.count(F.lit(1)).alias("n"), F.count_if(is_query).alias("q")).first()
-    n_queries, n_candidates = max(1, -(-numbers["q"] // rows)), max(1, -(-numbers["n"] // rows))
-    asked = packed(vectors.where(is_query).dropDuplicates(["id", "v"]), n_queries).withColumnsRenamed({"ids": "q_ids", "data": "q_data"})
-    # every block of queries goes to every block of candidates: the stated query set against all rows
-    asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(n_candidates - 1))))
-    offered = packed(vectors, n_candidates)
-    offered = offered.withColumn("part", F.pmod(F.xxhash64("ids"), F.lit(n_candidates)).cast("int"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for pair in batch.to_pylist():
-                queries = np.frombuffer(pair["q_data"]).reshape(-1, pair["d"])
-                candidates = np.frombuffer(pair["data"]).reshape(-1, pair["d"])
-                query_ids, ids = np.array(pair["q_ids"], np.int64), np.array(pair["ids"], np.int64)
-                for at in range(0, len(queries), SLAB):
-                    q, c, scores = best_of_block(queries[at : at + SLAB], query_ids[at : at + SLAB], candidates, ids, k)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(query_ids[at + q]), pa.array(ids[c]), pa.array(scores, pa.int64())], ["query_id", "vec_id", "score"]
-                    )
-
-    found = asked.join(offered, ["part", "d"]).select("d", "q_ids", "q_data", "ids", "data").mapInArrow(run, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        for queries, candidates, bars in slabs(batches):
+            found, _ = best_of_block(queries, candidates, bars, k)
+            q, c, scores = ([f[i] for f in found] for i in range(3))
+            shown = [min(max(s, -LONG - 1), LONG) for s in scores]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(queries.ids[q], pa.int64()), pa.array(candidates.ids[c], pa.int64()), pa.array(shown, pa.int64()), pa.array(map(sortable, scores), pa.binary())],
+                ["query_id", "vec_id", "score", "exact"],
+            )
+
+    work = blocks(df, is_query, k, scale, id_col, vector_col, rows)
+    found = work.mapInArrow(run, "query_id long, vec_id long, score long, exact binary")
+    order = Window.partitionBy("query_id").orderBy(F.desc("exact"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def pruning(
+    df: DataFrame, is_query: Column, k: int = 5, scale: int = SCALE, id_col: str = "vec_id", vector_col: str = "embedding", rows: int = ROWS
+) -> DataFrame:
+    """What :func:`top_k` compares: d, segments (0: all pairs, then every resolution, d: exact scores), pairs left."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for queries, candidates, bars in slabs(batches):
+            _, left = best_of_block(queries, candidates, bars, k)
+            d = queries.vectors.shape[1]
+            yield pa.RecordBatch.from_arrays([pa.array([d] * len(left)), pa.array([0, *candidates.steps, d]), pa.array(left)], ["d", "segments", "pairs"])
+
+    left = blocks(df, is_query, k, scale, id_col, vector_col, rows).mapInArrow(run, "d long, segments long, pairs long")
+    return left.groupBy("d", "segments").agg(F.sum("pairs").alias("pairs"))
