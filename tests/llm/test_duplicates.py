@@ -233,6 +233,23 @@ def test_op2_finds_every_exact_passage(spark, sf):
         assert word_distance(item, docs[i].split()) <= decontaminate.allowed(len(item), 0.65)
 
 
+def test_one_row_of_each_group_though_ids_repeat(spark):
+    a, b, c = (prose(40, n) for n in (901, 902, 903))
+    rows = [(1, a), (2, b), (2, a), (2, b), (3, c), (3, b), (4, ""), (4, None), (None, a), (5, a + " "), (6, prose(40, 904)), (6, prose(40, 905))]
+    kept = simhash.keep_one(odd_table(spark, rows))
+    got = sorted(((r["doc_id"], r["text"] or "") for r in kept.collect()), key=repr)
+    # a stays as 1, b as 2 (once), c as 3 although another text of 3 goes, one empty text, the row without an id, both of 6
+    assert got == sorted([(1, a), (2, b), (3, c), (4, ""), (None, a), (6, rows[-2][1]), (6, rows[-1][1])], key=repr)
+    assert kept.columns == odd_table(spark).columns
+
+
+def test_keys_of_texts_are_those_of_spark(spark):
+    texts = [None, "", "a", "é漢😀", *("x" * n for n in (3, 4, 7, 8, 15, 31, 32, 33, 1000))]
+    df = odd_table(spark, list(enumerate(texts)))
+    want = {r["doc_id"]: r["k"] for r in df.select("doc_id", simhash.text_key(df["text"]).alias("k")).collect()}
+    assert {r["doc_id"]: r["key"] for r in simhash.fingerprints(df, keyed=True).collect()} == want
+
+
 def test_top_k_with_ties_and_odd_vectors(spark):
     rng = np.random.default_rng(1)
     rows = [(i, [float(x) for x in rng.integers(-3, 4, 8) / 256]) for i in range(120)]

@@ -214,6 +214,14 @@ def test_language_on_odd_rows(spark, sf):
     assert langid.identify(odd_table(spark).limit(0), model).count() == 0
 
 
+def test_dirty_label_columns_are_bounded(spark):
+    words = {"en": "the and of to in was his that", "de": "der die und das ist nicht ein mit"}
+    rows = [(i, words[x] * 3, x) for i in range(60) for x in words] + [(i, f"noise {i}", f"junk{i}") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert langid.fit(df, languages=2).languages == ["de", "en"]
+    assert langid.fit(df, languages=3, sample_size=30).languages == ["de", "en", "junk0"]
+
+
 def test_language_without_labels(spark):
     model = langid.fit(odd_table(spark, lang=None))
     assert {r["lang_pred"] for r in langid.identify(odd_table(spark), model).collect()} == {"und"}

@@ -27,6 +27,8 @@ DIMENSIONS = 4096
 LONGEST_GRAM = 3
 ROWS = 256  # texts whose dense vectors are made at once
 PER_LANGUAGE = 400  # labelled texts of each language that the centroids are fitted on
+LANGUAGES = 256  # values of the label column that are learned
+SAMPLE = 8192  # texts of all languages together
 CENTROIDS = 4
 BINS = 40
 PARTS = 16  # tasks the sample is dealt over
@@ -164,14 +166,22 @@ def floors(languages: list[str], found: list[tuple[str, int, float, float | None
     return out
 
 
-def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
+def fit(
+    labelled: DataFrame, per_language: int = PER_LANGUAGE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
+    languages: int = LANGUAGES, sample_size: int = SAMPLE,
+) -> Model:
     """A model from at most ``per_language`` texts of each language, chosen by a hash of their ids.
 
-    The first scan reads ids and labels only and finds the hash that bounds each language's sample. The
-    sample is written once; its vectors come to the driver, languages x per_language x 8 KB, and then the
-    cosines of its texts and their beginnings, from which the rejection floors are taken.
+    Of a column with more than ``languages`` values the most frequent are learned (ties to the smaller), and all languages
+    together give at most ``sample_size`` texts, so many languages give fewer texts each. The first scans read ids and
+    labels only and find the hash that bounds each language's sample. The sample is written once; its vectors come to the
+    driver, at most sample_size x 8 KB, and then the cosines of its texts and their beginnings, from which the rejection
+    floors are taken.
     """
     rows = labelled.where(F.col(lang_col).isNotNull())
+    frequent = rows.groupBy(F.col(lang_col).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(languages).collect()
+    per_language = max(1, min(per_language, sample_size // max(1, len(frequent))))
+    rows = rows.where(F.col(lang_col).isin([r["lang"] for r in frequent]))
     rank = F.coalesce(F.xxhash64(rows[id_col]), F.lit(0))
     order = Window.partitionBy("lang").orderBy("rank")
     bounds = (

@@ -65,16 +65,25 @@ def majorities(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
-def fingerprints(df: DataFrame, words_per_shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per text: doc_id, fp (the 64 bits as a signed long)."""
+def text_key(text):
+    """The hash that tells the texts of one id apart, of a string column."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def fingerprints(df: DataFrame, words_per_shingle: int = 3, id_col: str = "doc_id", text_col: str = "text", keyed: bool = False) -> DataFrame:
+    """One row per text: doc_id, fp (the 64 bits as a signed long) and, if asked for, the text's :func:`text_key`."""
 
     def per_piece(part: pa.RecordBatch, texts: list[str]) -> pa.RecordBatch:
         lists = [shingle_hashes(t, words_per_shingle) for t in texts]
         counts = np.array([len(x) for x in lists], np.int64)
         prints = majorities(np.fromiter(itertools.chain.from_iterable(lists), np.uint64, counts.sum()), counts)
-        return pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(prints.view(np.int64))], ["doc_id", "fp"])
+        columns = {"doc_id": part.column("doc_id"), "fp": pa.array(prints.view(np.int64))}
+        if keyed:
+            keys = np.array([xxhash.xxh64_intdigest(t.encode(), SEED) for t in texts], np.uint64)
+            columns["key"] = pa.array(keys.view(np.int64))
+        return pa.RecordBatch.from_pydict(columns)
 
-    return map_texts(id_text(df, id_col, text_col), per_piece, "doc_id long, fp long")
+    return map_texts(id_text(df, id_col, text_col), per_piece, "doc_id long, fp long" + ", key long" * keyed)
 
 
 def masks(bits: int) -> list[tuple[int, int]]:
@@ -105,18 +114,27 @@ def links(prints: DataFrame, max_bits: int) -> DataFrame:
     )
 
 
+def stored(df: DataFrame, *arguments, keyed: bool = False) -> DataFrame:
+    """The :func:`fingerprints` of ``df``, written once."""
+    path = new_work_path(df.sparkSession, "fingerprints")
+    fingerprints(df, *arguments, keyed=keyed).write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def rooted(prints: DataFrame, max_bits: int, first) -> DataFrame:
+    """fp, root (a fingerprint) and ``first``, an aggregate taken per fingerprint, of every distinct fingerprint."""
+    least = prints.groupBy("fp").agg(first.alias("first"))
+    roots = components(links(prints, max_bits)).withColumnRenamed("node", "fp")
+    return least.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_duplicates(
     df: DataFrame, words_per_shingle: int = 3, max_bits: int = 2, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """One row per input row: doc_id, fp, component_id (smallest doc_id reachable over links)."""
-    spark = df.sparkSession
-    path = new_work_path(spark, "fingerprints")
-    fingerprints(df, words_per_shingle, id_col, text_col).write.parquet(path)
-    prints = spark.read.parquet(path)
-    least = prints.groupBy("fp").agg(F.min("doc_id").alias("doc"))
-    roots = components(links(prints, max_bits)).withColumnRenamed("node", "fp")
-    placed = least.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    named = placed.groupBy("root").agg(F.min("doc").alias("component_id"))
+    prints = stored(df, words_per_shingle, id_col, text_col)
+    placed = rooted(prints, max_bits, F.min("doc_id"))
+    named = placed.groupBy("root").agg(F.min("first").alias("component_id"))
     names = placed.join(named, "root").select("fp", "component_id")
     return prints.join(names, "fp").select("doc_id", "fp", "component_id")
 
@@ -127,15 +145,23 @@ def hexadecimal(fp):
 
 
 def keep_one(df: DataFrame, words_per_shingle: int = 3, max_bits: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``df`` that stand for their component: those whose id is its smallest.
+    """One row of ``df`` for every component: the one with the smallest id, of its texts the one with the smallest key.
 
-    Of several rows with one id the first by all columns stays; rows with a null id all stay.
+    Rows are told apart by id and text, so texts that share an id without being near each other all stay. Of several
+    rows with one id and text the first by all columns stays; rows with a null id all stay.
     """
-    found = near_duplicates(df, words_per_shingle, max_bits, id_col, text_col)
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone_id")).distinct()
-    kept = df.join(gone, df[id_col].cast("long") == gone["_gone_id"], "left_anti")
-    again = found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("_again_id"))
+    prints = stored(df, words_per_shingle, id_col, text_col, keyed=True)
+    own = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "key"))
+    placed = rooted(prints, max_bits, F.min(own))
+    chosen = placed.groupBy("root").agg(F.min("first").alias("chosen"))
+    names = placed.join(chosen, "root").select("fp", "chosen")
+    rows = prints.where("doc_id IS NOT NULL").join(names, "fp").where(F.col("chosen") != F.struct("doc_id", "key"))
+    gone = rows.select(F.col("doc_id").alias("_gone_id"), F.col("key").alias("_gone_key")).distinct()
+    id_of, key_of = df[id_col].cast("long"), text_key(df[text_col])
+    kept = df.join(gone, (id_of == gone["_gone_id"]) & (key_of == gone["_gone_key"]), "left_anti")
+    again = prints.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_again_id"), F.col("key").alias("_again_key")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
     if again.isEmpty():
         return kept
-    same = kept[id_col].cast("long") == again["_again_id"]
-    return kept.join(again, same, "left_anti").unionByName(first_per_key(kept.join(again, same, "left_semi"), [id_col]))
+    same = (kept[id_col].cast("long") == again["_again_id"]) & (text_key(kept[text_col]) == again["_again_key"])
+    several = kept.join(again, same, "left_semi").withColumn("_again_key", text_key(kept[text_col]))
+    return kept.join(again, same, "left_anti").unionByName(first_per_key(several, [id_col, "_again_key"]).drop("_again_key"))
