@@ -11,7 +11,7 @@ from tierworks.operators import glossary, lineage, olap, predict, profile, sketc
 from tierworks.operators.joins import skewed_join
 from tierworks.operators.lattice import Lattice
 from tierworks.operators.textindex import TextIndex, pattern_grams
-from tierworks.session import new_work_path
+from tierworks.session import cut_lineage, new_work_path
 
 TEXTS = {
     "a1": "the quick brown fox", "a2": "PII and a c# b", "a3": "", "a4": None, "a5": "é漢字😀 ende", "a6": "aaaaabaaa", "a7": "x", "a8": "ab", "a9": "it's a.b\\E*c (d)",
@@ -128,6 +128,23 @@ def test_closure_through_cycles_hubs_and_chains(spark):
     assert lineage.trace(df, starts.limit(0), None, "both").count() == 0
 
 
+def test_closure_of_long_runs_takes_few_levels(spark, monkeypatch):
+    """A ring of 600 and runs of unlike length between the same two nodes, in rounds that grow with the forks alone."""
+    cuts = []
+    monkeypatch.setattr(lineage, "cut_lineage", lambda df: cuts.append(1) or cut_lineage(df))
+    ring = [(i, (i + 1) % 600) for i in range(600)]
+    long = [(1000 + i, 1001 + i) for i in range(40)]
+    short = [(1000, 2000), (2000, 2001), (2001, 1040), (1040, 3000), (3000, 3001), (3001, 1000)]
+    apart = [(5000, 5001), (5001, 5002), (5002, 5000)]
+    edges = ring + long + short + apart + [(1010, 4000), (4000, 1020)]
+    df = spark.createDataFrame(edges, "src long, dst long")
+    starts = spark.createDataFrame([(0,), (1000,), (1005,), (2001,)], "node long")
+    want = reached(set(edges), [0, 1000, 1005, 2001])
+    assert rows(lineage.trace(df, starts, None, "down")) == want
+    assert len(cuts) < 40
+    assert rows(lineage.trace(df, starts, 17, "down")) == [r for r in want if r[3] <= 17]
+
+
 def test_skewed_join_rows_and_balance(spark, no_broadcast):
     rng = random.Random(2)
     left = [(rng.choice([None, 1, 1, 1, 2, 3]), rng.randrange(4)) for _ in range(400)] + [(1, 99)] * 150

@@ -103,24 +103,62 @@ def _walk(links: DataFrame, start: DataFrame, depth: int, direction: str, cut_ev
 def closure(links: DataFrame, start: DataFrame, direction: str = "down", depth: int | None = None) -> DataFrame:
     """:func:`trace` in one direction by semi-naive evaluation, as deep as the links go unless ``depth`` ends it.
 
-    A level follows the links of the pairs that the level before found for the first time, and drops those that
-    any earlier level has, so a pair is extended once however many ways and cycles lead to it. It ends with
-    the first level that finds nothing. Links and levels are written to the shared folder; NULL ends and repeated links count for nothing.
+    Runs of nodes with one way in and one way out are first made one link as long as the run, see :func:`chains`, so
+    the levels count forks and meetings, not steps: a ring of thousands is a handful of them. A level follows the links of
+    the pairs that the level before found, or found nearer, and drops those that any earlier level has as near, so a pair
+    is extended once however many ways and cycles lead to it. It ends with the first level that finds nothing; then the runs
+    behind the reached nodes are filled in. Links and levels are written to the shared folder; NULL ends and repeated links count for nothing.
     """
     here, there = ("src", "dst") if direction == "down" else ("dst", "src")
     step = links.select(F.col(here).alias("node"), F.col(there).alias("next")).where("node IS NOT NULL AND next IS NOT NULL AND node <> next")
     step = cut_lineage(step.distinct())
-    fresh = cut_lineage(start.select(F.col("node").alias("start"), "node").where("node IS NOT NULL").distinct())
-    reached = fresh.withColumn("depth", F.lit(0))
+    fresh = cut_lineage(start.select(F.col("node").alias("start"), "node").where("node IS NOT NULL").distinct().withColumn("depth", F.lit(0)))
+    through = step.groupBy("node").agg(F.count(F.lit(1)).alias("out")).where("out = 1").select("node")
+    through = through.join(step.groupBy(F.col("next").alias("node")).agg(F.count(F.lit(1)).alias("ways")).where("ways = 1"), "node").select("node")
+    through = cut_lineage(through.join(fresh.select("node"), "node", "left_anti"))
+    run = chains(step, through)
+    # a link leaves a node that is kept, or the last node of a run, and ends in one that is kept
+    ends = step.join(through.select(F.col("node").alias("next")), "next", "left_anti").join(run, "node", "left")
+    whole = ends.select(F.coalesce("head", "node").alias("node"), "next", (F.coalesce("place", F.lit(0)) + 1).alias("length"))
+    whole = cut_lineage(whole.where("node <> next").groupBy("node", "next").agg(F.min("length").alias("length")))
+    reached = fresh
+    near = F.lit(True) if depth is None else F.col("depth") <= depth
     level = 0
-    while (depth is None or level < depth) and not fresh.isEmpty():
+    while not fresh.isEmpty():
         level += 1
-        found = fresh.join(step, "node").select("start", F.col("next").alias("node")).distinct()
-        fresh = cut_lineage(found.join(reached, ["start", "node"], "left_anti"))
-        reached = reached.unionByName(fresh.withColumn("depth", F.lit(level)))
+        found = fresh.join(whole, "node").select("start", F.col("next").alias("node"), (F.col("depth") + F.col("length")).alias("depth"))
+        found = found.where(near).groupBy("start", "node").agg(F.min("depth").alias("depth"))
+        known = reached.select(F.col("start").alias("s"), F.col("node").alias("n"), F.col("depth").alias("d"))
+        fresh = cut_lineage(found.join(known, (F.col("start") == F.col("s")) & (F.col("node") == F.col("n")) & (F.col("d") <= F.col("depth")), "left_anti"))
+        reached = reached.unionByName(fresh)
         if level % MERGED_LEVELS == 0:  # a few files to read again instead of one for every level
             reached = cut_lineage(reached.repartition("start", "node"))
-    return reached.where("depth > 0").select("start", F.lit(direction).alias("direction"), "node", "depth")
+    least = reached.groupBy("start", "node").agg(F.min("depth").alias("depth"))
+    inner = least.select("start", F.col("node").alias("head"), "depth").join(run, "head")
+    inner = inner.select("start", "node", (F.col("depth") + F.col("place")).alias("depth")).where(near)
+    return least.where("depth > 0").unionByName(inner).select("start", F.lit(direction).alias("direction"), "node", "depth")
+
+
+def chains(step: DataFrame, through: DataFrame) -> DataFrame:
+    """Which node each run of ``through`` nodes leaves, and how many steps behind it a node lies: (node, head, place).
+
+    ``step`` is distinct (node, next); every node of ``through`` has one way in and one way out. Each learns in
+    a round what the node it points back to knows, so the distance known doubles and a run of a million nodes takes
+    twenty rounds. Rings that no other node leads into have no head and are left out.
+    """
+    back = step.select(F.col("next").alias("node"), F.col("node").alias("head")).join(through, "node")
+    inside = through.select(F.col("node").alias("head"), F.lit(True).alias("inside"))
+    back = cut_lineage(back.join(inside, "head", "left").select("node", "head", F.lit(1).alias("place"), F.col("inside").isNull().alias("done")))
+    done, left = back.where("done"), back.where("NOT done")
+    while not left.isEmpty():
+        known = done.unionByName(left).select(F.col("node").alias("head"), F.col("head").alias("further"), F.col("place").alias("more"), F.col("done").alias("known"))
+        moved = left.join(known, "head").select("node", F.col("further").alias("head"), (F.col("place") + F.col("more")).alias("place"), F.col("known").alias("done"))
+        moved = cut_lineage(moved)
+        fresh, left = moved.where("done"), moved.where("NOT done")
+        if fresh.isEmpty():  # what is left goes round
+            break
+        done = done.unionByName(fresh)
+    return done.drop("done")
 
 
 def node_label(pipeline: Column, name: Column, is_process: Column) -> Column:
