@@ -1,10 +1,10 @@
 """Secret scans: base patterns, and a character convolutional network over every other candidate.
 
 A candidate is a run of eight or more key characters with a digit among them, seen with the characters
-before and after it. The network (numpy) is trained on labelled findings: candidates of the corpus that
-a base pattern found, others that are plainly no keys (ambiguous ones are left out), and a fixed set made from a seed for kinds of values the corpus may
-lack. Its scores are calibrated on held-out findings, and the threshold is the highest that keeps the wanted
-recall there. Base findings always stay; the network adds spans.
+before and after it. The network (numpy) is trained on labelled findings: all candidates of the corpus that
+a base pattern found, all others that are plainly no keys (ambiguous ones are left out), and a fixed set made from a seed for kinds of values the corpus may
+lack. Tasks train on their own findings and the networks are averaged, round by round. Scores are calibrated on one of four findings, held
+out, and the threshold is the highest that keeps the wanted recall of all of these. Base findings always stay; the network adds spans.
 
 Cases: a null or empty text has no spans; rows with the same id or text stay separate; without findings to
 learn from the fixed set alone trains the network; an empty table gives an empty result; only the id and
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tierworks.llm.batches import change_texts, id_text, map_texts
-from tierworks.session import new_work_path
+from tierworks.session import cut_lineage, new_work_path
 
 KINDS = ("assign", "access", "hex", "learned")
 # The base patterns; a match is kept if the group given is at least so long.
@@ -44,9 +44,11 @@ BEFORE, VALUE, AFTER = 24, 40, 8  # characters the network sees of a candidate a
 LENGTH = BEFORE + VALUE + AFTER
 STEP = 10  # characters from one window of a long candidate to the next
 WIDTH, EMBEDDING, FILTERS = 5, 8, 16
-EXAMPLES = 1500  # findings of either label from the corpus
+EXAMPLES = 4000  # findings one network is trained on before it is averaged with the others
 RECALL = 0.99
 EPOCHS = 12
+ROUNDS = 4  # times that the networks are averaged
+BIN = 1000  # steps of one in which logits are counted
 SEED = 7
 
 Span = tuple[int, int, int]  # kind, start, end
@@ -117,7 +119,49 @@ class Network:
     def probabilities(self, rows: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.logits(rows) + self.shift, -50, 50)))
 
-    def step(self, rows: np.ndarray, labels: np.ndarray, weight: np.ndarray, state: dict[str, tuple[np.ndarray, np.ndarray]], t: int) -> None:
+    @classmethod
+    def start(cls, rng: np.random.Generator) -> Network:
+        return cls(
+            rng.normal(0, 0.3, (129 + 1, EMBEDDING)), rng.normal(0, 0.2, (WIDTH * EMBEDDING, FILTERS)), np.zeros(FILTERS),
+            rng.normal(0, 0.2, 3 * FILTERS), 0.0,
+        )
+
+    def vector(self) -> np.ndarray:
+        """What is trained, in one row."""
+        return np.concatenate([self.embedding.ravel(), self.kernel.ravel(), self.bias, self.weights, [self.offset]])
+
+    @classmethod
+    def of(cls, vector: np.ndarray) -> Network:
+        table, kernel, bias, weights, offset = np.split(vector, np.cumsum([130 * EMBEDDING, WIDTH * EMBEDDING * FILTERS, FILTERS, 3 * FILTERS]))
+        return cls(table.reshape(130, EMBEDDING), kernel.reshape(WIDTH * EMBEDDING, FILTERS), bias, weights, float(offset[0]))
+
+    def learn(self, rows: np.ndarray, y: np.ndarray, share: float, epochs: int, rng: np.random.Generator, rate: float = 0.01) -> None:
+        """Some epochs over the findings; ``share`` of all findings are secrets, and both labels count alike."""
+        own, state, t = np.arange(len(y)), {}, 0
+        share = float(np.clip(share, 0.05, 0.95))
+        for _ in range(epochs):
+            rng.shuffle(own)
+            for a in range(0, len(own), 128):
+                batch, t = own[a : a + 128], t + 1
+                self.step(rows[batch], y[batch], np.where(y[batch] == 1, 0.5 / share, 0.5 / (1 - share)), state, t, rate)
+
+    def calibrate(self, logit: np.ndarray, truth: np.ndarray, times: np.ndarray, recall: float) -> None:
+        """Slope, shift and threshold from held-out logits, each of which occurs some ``times``."""
+        slope, shift = 1.0, 0.0
+        for _ in range(50):  # Newton steps of a logistic fit with a small prior
+            p = 1 / (1 + np.exp(-np.clip(slope * logit + shift, -50, 50)))
+            g = np.array([(times * (p - truth) * logit).sum() + 0.1 * (slope - 1), (times * (p - truth)).sum() + 0.1 * shift])
+            w = times * p * (1 - p)
+            h = np.array([[(w * logit * logit).sum() + 0.1, (w * logit).sum()], [(w * logit).sum(), w.sum() + 0.1]])
+            slope, shift = np.array([slope, shift]) - np.clip(np.linalg.solve(h, g), -1, 1)
+        self.slope, self.shift = float(slope), float(shift)
+        secret = truth == 1
+        p = 1 / (1 + np.exp(-np.clip(self.slope * logit[secret] + self.shift, -50, 50)))
+        order = np.argsort(p, kind="stable")
+        upto = np.cumsum(times[secret][order])
+        self.threshold = float(p[order][np.searchsorted(upto, int((1 - recall) * upto[-1]), side="right")]) if len(upto) else 0.5
+
+    def step(self, rows: np.ndarray, labels: np.ndarray, weight: np.ndarray, state: dict[str, tuple[np.ndarray, np.ndarray]], t: int, rate: float = 0.01) -> None:
         """One Adam step on a batch."""
         logit, pooled, best, windows = self.forward(rows)
         error = (1 / (1 + np.exp(-np.clip(logit, -50, 50))) - labels) * weight / len(rows)
@@ -136,7 +180,7 @@ class Network:
             m, v = state.get(name, (0.0, 0.0))
             m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
             state[name] = (m, v)
-            setattr(self, name, getattr(self, name) - 0.01 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8))
+            setattr(self, name, getattr(self, name) - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8))
 
 
 def fixed_findings(n: int = 400) -> tuple[list[str], list[int]]:
@@ -176,30 +220,9 @@ def train(contexts: list[str], labels: list[int], recall: float = RECALL) -> Net
     rng = np.random.default_rng(SEED)
     rows, y = symbols(contexts), np.array(labels, float)
     held = rng.random(len(y)) < 0.25
-    net = Network(
-        rng.normal(0, 0.3, (129 + 1, EMBEDDING)), rng.normal(0, 0.2, (WIDTH * EMBEDDING, FILTERS)), np.zeros(FILTERS),
-        rng.normal(0, 0.2, 3 * FILTERS), 0.0,
-    )
-    own = np.flatnonzero(~held)
-    share = np.clip(y[own].mean(), 0.05, 0.95)
-    state: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-    t = 0
-    for _ in range(EPOCHS):
-        rng.shuffle(own)
-        for a in range(0, len(own), 128):
-            batch, t = own[a : a + 128], t + 1
-            net.step(rows[batch], y[batch], np.where(y[batch] == 1, 0.5 / share, 0.5 / (1 - share)), state, t)
-    logit, truth = net.logits(rows[held]), y[held]
-    slope, shift = 1.0, 0.0
-    for _ in range(50):  # Newton steps of a logistic fit with a small prior
-        p = 1 / (1 + np.exp(-np.clip(slope * logit + shift, -50, 50)))
-        g = np.array([((p - truth) * logit).sum() + 0.1 * (slope - 1), (p - truth).sum() + 0.1 * shift])
-        w = p * (1 - p)
-        h = np.array([[(w * logit * logit).sum() + 0.1, (w * logit).sum()], [(w * logit).sum(), w.sum() + 0.1]])
-        slope, shift = np.array([slope, shift]) - np.clip(np.linalg.solve(h, g), -1, 1)
-    net.slope, net.shift = float(slope), float(shift)
-    positives = np.sort(net.probabilities(rows[held])[truth == 1])
-    net.threshold = float(positives[int((1 - recall) * len(positives))]) if len(positives) else 0.5
+    net, own = Network.start(rng), ~held
+    net.learn(rows[own], y[own], y[own].mean(), EPOCHS, rng)
+    net.calibrate(net.logits(rows[held]), y[held], np.ones(held.sum()), recall)
     return net
 
 
@@ -226,14 +249,72 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
 
 
 def fit(found: DataFrame, examples: int = EXAMPLES, recall: float = RECALL) -> Network:
-    """A network from at most ``examples`` candidates of either label, chosen by a hash, and the fixed set."""
-    rows = found.select("doc_id", F.explode("candidates").alias("c")).select("c.context", "c.labelled", "c.plain", F.xxhash64("doc_id", "c.start", "c.context").alias("h"))
+    """A network from all candidates of either label and the fixed set.
+
+    The candidates are dealt by a hash to parts of about ``examples``. In every round each part goes on
+    from the network so far, over its own candidates and the fixed set, and the mean of the parts' networks, each
+    counting by its candidates, is the next. One of four candidates is held out; the logits of these are counted in small steps.
+    """
     contexts, labels = fixed_findings()
-    for label in (0, 1):
-        for r in rows.where((F.col("labelled") == label) & ((F.col("labelled") == 1) | F.col("plain"))).orderBy("h", "context").limit(examples).collect():
-            contexts.append(r["context"])
-            labels.append(label)
-    return train(contexts, labels, recall)
+    net, fixed, truth = train(contexts, labels, recall), symbols(contexts), np.array(labels, float)
+    rows = found.select("doc_id", F.explode("candidates").alias("c")).where("c.labelled = 1 OR c.plain")
+    rows = rows.select("c.context", "c.labelled", F.xxhash64("doc_id", "c.start", "c.context").alias("h"))
+    path = new_work_path(found.sparkSession, "training")
+    rows.withColumn("held", F.pmod("h", F.lit(4)) == 0).write.parquet(path)
+    rows = found.sparkSession.read.parquet(path)
+    sizes = {(r["held"], r["labelled"]): r["count"] for r in rows.groupBy("held", "labelled").count().collect()}
+    n = sizes.get((False, 0), 0) + sizes.get((False, 1), 0)
+    if not n:
+        return net
+    parts = -(-n // examples)
+    share = (sizes.get((False, 1), 0) + parts * truth.sum()) / (n + parts * len(truth))
+    own = rows.where("NOT held").withColumn("part", F.pmod(F.xxhash64("h"), F.lit(parts)))
+    own = cut_lineage(own.repartition(int(parts), "part").sortWithinPartitions("part", "h", "context", "labelled"))
+    for turn in range(ROUNDS):
+        net = _averaged(own, net, fixed, truth, float(share), turn, 3 if parts < ROUNDS else 1)
+    kept = np.random.default_rng(SEED).random(len(truth)) < 0.25
+    seen = [(net.logits(fixed[kept]), truth[kept], np.ones(kept.sum()))]
+    counted = _logits(rows.where("held"), net).groupBy("labelled", "at").agg(F.count(F.lit(1)).alias("n")).orderBy("labelled", "at").collect()
+    if counted:
+        at, label, times = np.array([(r["at"], r["labelled"], r["n"]) for r in counted], float).T
+        seen.append((at / BIN, label, times))
+    net.calibrate(*map(np.concatenate, zip(*seen, strict=True)), recall)
+    return net
+
+
+def _averaged(own: DataFrame, net: Network, fixed: np.ndarray, truth: np.ndarray, share: float, turn: int, epochs: int) -> Network:
+    """The mean of the networks that the parts make of ``net``; numbers are summed exactly, so their order is of no account."""
+    begin, trained = net.vector(), np.random.default_rng(SEED).random(len(truth)) >= 0.25
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = list(batches)
+        if not got:
+            return
+        whole = pa.Table.from_batches(got)
+        part = whole.column("part").to_numpy()
+        for p in np.unique(part):
+            mine = whole.filter(pa.array(part == p))
+            mixed = Network.of(begin.copy())
+            seen = np.concatenate([symbols(mine.column("context").to_pylist()), fixed[trained]])
+            y = np.concatenate([mine.column("labelled").to_numpy().astype(float), truth[trained]])
+            mixed.learn(seen, y, share, epochs, np.random.default_rng([SEED, turn, int(p)]), 0.01 / (1 + turn))
+            yield pa.RecordBatch.from_arrays([pa.array([mine.num_rows], pa.int64()), pa.array([mixed.vector()], pa.list_(pa.float64()))], ["n", "v"])
+
+    made = own.mapInArrow(run, "n long, v array<double>").select("n", F.posexplode("v").alias("i", "x"))
+    total = made.groupBy("i").agg(F.sum(F.round(F.col("x") * F.col("n") * 1e9).cast("decimal(30,0)")).alias("x"), F.sum("n").alias("n"))
+    return Network.of(np.array([float(r["x"]) / 1e9 / r["n"] for r in total.orderBy("i").collect()]))
+
+
+def _logits(rows: DataFrame, net: Network) -> DataFrame:
+    """The label of every finding and its logit, down to the next step."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                at = np.floor(np.clip(net.logits(symbols(batch.column("context").to_pylist())), -50, 50) * BIN).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column("labelled"), pa.array(at)], ["labelled", "at"])
+
+    return rows.select("context", "labelled").mapInArrow(run, "labelled int, at long")
 
 
 def joined(spans: list[Span]) -> str:
