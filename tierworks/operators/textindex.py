@@ -120,10 +120,14 @@ class TextIndex:
     def links(self, terms: DataFrame) -> DataFrame:
         """Distinct (term, id): the texts that hold one of a term's aliases, for any number of (term, alias) rows.
 
-        An alias of up to two characters has to be a word of its own, a longer one may be part of one. Each alias is
-        looked up by its rarest gram; the texts found are then searched for the whole alias.
+        An alias of up to two characters has to be a word of its own, a longer one may be part of one. A short alias is
+        looked up by its rarest gram; the texts found are then searched for it. Longer ones meet the texts by what
+        the texts hold, see :meth:`parts`, so aliases that share their grams do not meet each other's texts.
         """
         wanted = terms.select("term", F.lower("alias").alias("alias")).where(F.length("alias") > 0).distinct()
+        long = wanted.where(F.length("alias") > SHORT).select("term", as_bytes(F.col("alias")).alias("part"))
+        whole = self.parts(long.select("part").distinct()).join(long, "part").select("term", "id").distinct()
+        wanted = wanted.where(F.length("alias") <= SHORT)
         raw, counts = as_bytes(F.col("alias")), self.counts().where(F.length("gram") == SIZE)
         keyed = wanted.where(F.octet_length("alias") >= SIZE).withColumn("gram", F.explode(F.array_distinct(whole_grams(raw))))
         frequency = counts.join(keyed.select("gram").distinct(), "gram", "left_semi")
@@ -140,9 +144,22 @@ class TextIndex:
         best = rarest.unionByName(tiny)
         candidates = self.postings().select("gram", "id").join(best, "gram").select("term", "alias", "id").distinct()
         text = F.lower("text")
-        word = F.rlike(text, F.concat(F.lit(r"(^|[^a-z0-9])\Q"), F.replace("alias", F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E([^a-z0-9]|$)")))
-        holds = F.when(F.length("alias") > SHORT, F.contains(text, F.col("alias"))).otherwise(word)
-        return candidates.join(self.texts().select("id", "text"), "id").where(holds).select("term", "id").distinct()
+        holds = F.rlike(text, F.concat(F.lit(r"(^|[^a-z0-9])\Q"), F.replace("alias", F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E([^a-z0-9]|$)")))
+        short = candidates.join(self.texts().select("id", "text"), "id").where(holds).select("term", "id").distinct()
+        return whole.unionByName(short)
+
+    def parts(self, patterns: DataFrame) -> DataFrame:
+        """Distinct (part, id): what the texts hold that begins like one of the patterns, rows of ``part``, and is as long.
+
+        Postings meet the lengths wanted after each first gram, not the patterns, and a text is cut at those places alone: the
+        work grows with the texts and the lengths there are, however many patterns begin alike.
+        """
+        lengths = patterns.groupBy(F.substring("part", 1, SIZE).alias("gram")).agg(F.collect_set(F.length("part")).alias("lengths"))
+        spots = self.postings().join(lengths, "gram").groupBy("id").agg(F.collect_list(F.struct("at", "lengths")).alias("spots"))
+        cut = self.texts().select("id", as_bytes(F.col("text")).alias("raw")).join(spots, "id")
+        cut = cut.select("id", "raw", F.explode("spots").alias("s")).select("id", "raw", "s.lengths", F.explode("s.at").alias("at"))
+        cut = cut.select("id", "raw", "at", F.explode("lengths").alias("length")).where(F.col("at") + F.col("length") <= F.length("raw"))
+        return cut.select(F.substring(F.col("raw"), F.col("at") + 1, F.col("length")).alias("part"), "id").distinct()
 
 
 def whole_grams(raw: Column) -> Column:
