@@ -99,6 +99,16 @@ def test_random_texts_and_aliases(spark):
     assert {tuple(r) for r in index.links(spark.createDataFrame(terms, "term string, alias string")).collect()} == want
 
 
+def test_aliases_that_share_their_grams_do_not_meet_each_others_texts(spark):
+    """What is looked at is what the texts hold, not the names times the texts that share a gram with them."""
+    names = spark.range(1200).select(F.format_string("t%05d", "id").alias("id"), F.concat(F.lit("raw_"), F.col("id")).alias("text"))
+    index = TextIndex.build(names, new_work_path(spark, "index"))
+    terms = names.select(F.col("text").alias("term"), F.col("text").alias("alias"))
+    want = sum(len(str(i)) for i in range(1200))  # the beginnings of every number
+    assert index.links(terms).count() == want
+    assert index.parts(terms.select(F.col("alias").alias("part"))).count() == want
+
+
 def reached(edges, starts):
     out = set()
     for s in starts:
@@ -145,6 +155,17 @@ def test_closure_of_long_runs_takes_few_levels(spark, monkeypatch):
     assert rows(lineage.trace(df, starts, 17, "down")) == [r for r in want if r[3] <= 17]
 
 
+def test_no_pair_of_single_rows_is_made_to_be_dropped(spark):
+    """The rows that stand for several are told apart before the join."""
+    left = spark.createDataFrame([(1, i % 7) for i in range(40)], "k int, a int")
+    right = spark.createDataFrame([(1, i) for i in range(30)], "k int, b int")
+    met = skewed_join(left, right, "k", 100)
+    assert rows(met) == rows(left.join(right, "k"))
+    text = met._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in text.splitlines() if "Join" in line and "__lc" in line]
+
+
+
 def test_skewed_join_rows_and_balance(spark, no_broadcast):
     rng = random.Random(2)
     left = [(rng.choice([None, 1, 1, 1, 2, 3]), rng.randrange(4)) for _ in range(400)] + [(1, 99)] * 150
