@@ -1,8 +1,11 @@
 """The pipeline against its stages done by hand, and the registration of its queries."""
 
 import hashlib
+import re
+from pathlib import Path
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -10,7 +13,7 @@ import __spark_entry__
 import corpus_pipeline
 from tests.check_oracles import connect, rows_of
 from tests.llm.common import ODD, fingerprint, linked, odd_table
-from tierworks.llm import decontaminate, langid, secret_scan
+from tierworks.llm import batches, decontaminate, langid, secret_scan
 from tierworks.llm.queries import ORACLE, QUERIES, table
 
 
@@ -58,3 +61,48 @@ def test_stages_keep_the_columns(spark, sf, tmp_path):
             assert made.columns == docs.columns and set(columns) <= set(made.columns)
             docs = spark.read.parquet(str(tmp_path / str(k)))
     assert 0 < spark.read.parquet(str(tmp_path / "4")).count() <= len(ODD)
+
+
+class OneBatch:
+    """A table of one batch, mapped in this process."""
+
+    columns, schema = ["n", "text"], None
+
+    def __init__(self, batch):
+        self.batch = batch
+
+    def mapInArrow(self, run, schema):  # noqa: N802
+        return list(run(iter([self.batch])))
+
+
+def test_rows_leave_in_pieces():
+    """What a stage of whole rows holds at once follows the longest text, not the rows of a batch."""
+    texts = ["x" * (batches.CHARS // 4), None, "", "long" * batches.CHARS, *["y" * (batches.CHARS // 4)] * 20, ""]
+    table = OneBatch(pa.RecordBatch.from_pydict({"n": list(range(len(texts))), "text": texts}))
+    kept = batches.keep_rows(table, "text", lambda part: [t != "" for t in part])
+    changed = batches.change_texts(table, "text", lambda part: [t.upper() + "!" for t in part])
+    for made in (kept, changed):
+        assert all(b.num_rows == 1 or sum(len(t or "") + 1 for t in b.column("text").to_pylist()) <= batches.CHARS + 2 * b.num_rows for b in made)
+    rows = [r for b in kept for r in zip(b.column("n").to_pylist(), b.column("text").to_pylist(), strict=True)]
+    assert rows == [(n, t) for n, t in enumerate(texts) if t]
+    rows = [r for b in changed for r in zip(b.column("n").to_pylist(), b.column("text").to_pylist(), strict=True)]
+    assert rows == [(n, None if t is None else t.upper() + "!") for n, t in enumerate(texts)]
+
+
+def test_a_batch_gives_its_memory_back():
+    """Freed memory below a block still held, which stays with a worker unless it is told to return it."""
+
+    def held():
+        return int(re.search(r"Rss:\s+(\d+)", Path("/proc/self/smaps_rollup").read_text())[1]) / 1024
+
+    blocks = []
+
+    def hoard(part, texts):
+        made = [bytes(2000) for _ in range(100_000)]
+        blocks.append(made[-1])
+        return part
+
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1], "text": ["x"]})
+    before = held()
+    assert batches.map_texts(OneBatch(batch), hoard, "") == [batch]
+    assert held() - before < 100

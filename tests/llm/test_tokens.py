@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -61,6 +62,17 @@ def test_every_character_falls_into_the_same_word(library):
     assert ids.tolist() == [i for e in library.encode_batch(texts, add_special_tokens=False) for i in e.ids]
 
 
+def test_workers_forget_the_words_of_a_task(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text").repartition(8)
+
+    def known(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(bpe.encoder(BYTE_BPE).words)] * batch.num_rows, pa.int64())], ["n"])
+
+    assert bpe.encode_digests(docs, BYTE_BPE).where("n_tokens > 0").count() > 0
+    assert {r["n"] for r in docs.mapInArrow(known, "n long").collect()} == {0}
+
+
 def test_decoding_of_broken_bytes(library):
     for ids in ([222], [222, 50256, 97], [10 for _ in range(4)], []):
         assert bpe.vocabulary(BYTE_BPE).decode(np.array(ids, int)).decode("utf-8", "replace") == library.decode(ids, skip_special_tokens=False)

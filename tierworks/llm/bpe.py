@@ -23,7 +23,7 @@ from tierworks.llm.pretokens import SPECIAL, SPECIAL_POINT, pretokens
 from tierworks.llm.words import Words, hashes
 
 NO_RANK = np.int32(2**31 - 1)
-# Distinct words whose ids a worker keeps between pieces; beyond it keeps the half used most. Only time depends on it.
+# Distinct words whose ids a task keeps between pieces; beyond it keeps the half used most. Only time depends on it.
 REMEMBERED = 400_000
 
 
@@ -231,6 +231,7 @@ class Encoder:
 
 @functools.cache
 def encoder(path: str) -> Encoder:
+    """The encoder of a task, which clears it at its end: the worker goes on with other operators."""
     v = vocabulary(path)
     return Encoder(v.encode_words, v.special)
 
@@ -250,7 +251,7 @@ def encode_decode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: st
         lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(ids, pa.int32()))
         return pa.RecordBatch.from_arrays([part.column("doc_id"), lists, pa.array(decoded, pa.string())], ["doc_id", "ids", "decoded"])
 
-    return map_texts(id_text(df, id_col, text_col), per_piece, "doc_id long, ids array<int>, decoded string")
+    return map_texts(id_text(df, id_col, text_col), per_piece, "doc_id long, ids array<int>, decoded string", at_end=lambda: encoder.cache_clear())
 
 
 def encode_digests(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -276,4 +277,5 @@ def encode_digests(df: DataFrame, path: str, id_col: str = "doc_id", text_col: s
             ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
         )
 
-    return map_texts(id_text(df, id_col, text_col), per_piece, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    return map_texts(id_text(df, id_col, text_col), per_piece, schema, at_end=lambda: encoder.cache_clear())
