@@ -152,7 +152,8 @@ def fingerprint(df: DataFrame) -> DataFrame:
 
 def same_rows(a: DataFrame, b: DataFrame, labels: tuple[str, str] = ("OFF", "ON")) -> DataFrame:
     """Number of rows of each of two tables and whether they hold the same ones, from their fingerprints."""
-    both = fingerprint(a).select(F.struct("*").alias("a")).crossJoin(fingerprint(b).select(F.struct("*").alias("b")))
+    prints = [fingerprint(df).select(F.lit(side).alias("side"), F.struct("*").alias("p")) for side, df in (("a", a), ("b", b))]
+    both = prints[0].unionByName(prints[1]).agg(*[F.max(F.when(F.col("side") == side, F.col("p"))).alias(side) for side in "ab"])
     lines = [F.struct(F.lit(label).alias("ctx"), F.col(f"{side}.n").alias("n"), (F.col("a") == F.col("b")).alias("same")) for label, side in zip(labels, "ab", strict=True)]
     return both.select(F.explode(F.array(*lines)).alias("r")).select("r.*")
 
