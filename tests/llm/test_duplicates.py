@@ -104,6 +104,42 @@ def test_suffix_array_of_a_shard():
     assert distinct == sorted(set(windows))
 
 
+def test_regions_in_blocks(monkeypatch):
+    """Regions tile the windows of every text, equal windows have one anchor, and blocks of any size give the same."""
+    rng = random.Random(7)
+    texts = [bytes(rng.choice(b"ab c") for _ in range(n)) for n in (0, 5, 199, 200, 201, 700, 0, 1200)]
+    texts += [texts[5][100:450], b"a" * 600, texts[7], b""]
+    raw, begins, ends = suffix_dedup.side_by_side(texts)
+    anchors, starts, stops = (x.tolist() for x in suffix_dedup.regions(raw, begins, ends))
+    windows = [(w, a) for a, x, y in zip(anchors, starts, stops, strict=True) for w in range(x, y - 199)]
+    assert [w for w, _ in windows] == [w for x, y in zip(begins.tolist(), ends.tolist(), strict=True) for w in range(x, y - 199)]
+    assert len({(raw[w : w + 200].tobytes(), a) for w, a in windows}) == len({raw[w : w + 200].tobytes() for w, _ in windows})
+    for block in (1, 64, 333):
+        monkeypatch.setattr(suffix_dedup, "BLOCK", block)
+        assert [x.tolist() for x in suffix_dedup.regions(raw, begins, ends)] == [anchors, starts, stops]
+
+
+def test_suffixes_sorted_by_two_or_three_ranks(monkeypatch):
+    rng = random.Random(11)
+    contents = [bytes(rng.choice(b"ab") for _ in range(rng.randint(200, 300))) for _ in range(10)] + [b"ab" * 150, b"b" * 400]
+    contents += [contents[0][20:] + b"a", b"b" + contents[0]]
+    found = []
+    for bits in (21, 1):
+        monkeypatch.setattr(suffix_dedup, "RANK_BITS", bits)
+        shard = suffix_dedup.Shard(contents)
+        found.append((shard.twice.tolist(), [shard.raw[p : p + 200].tobytes() for p in shard.sorted_windows.tolist()]))
+    assert found[0] == found[1]
+
+
+def test_an_only_content_needs_no_suffix_array(spark, monkeypatch):
+    """Texts that repeat as a whole are removed by their regions; no shard gets their bytes."""
+    rows, made = suffix_dedup.region_rows, []
+    monkeypatch.setattr(suffix_dedup, "region_rows", lambda *a, **k: made.append(rows(*a, **k)) or made[-1])
+    docs = [(k, prose(200, k % 7)) for k in range(21)]
+    assert repeat_rows(odd_table(spark, docs)) == repeats(docs)
+    assert made and sum(m.count() for m in made) == 0
+
+
 def test_op4_whole_table(spark, sf):
     rows = table(spark, sf, "documents").select("doc_id", "text").collect()
     got = sorted(((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in QUERIES["op4_suffix_dedup"](spark, sf).collect()), key=repr)

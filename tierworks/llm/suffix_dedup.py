@@ -6,10 +6,10 @@ A byte goes if a string of LENGTH bytes that covers it also starts at any other
    strings. Equal windows have equal anchors, so windows whose anchor occurs once are unique. Windows of
    consecutive starts with one anchor form a region.
 2. Regions whose anchor recurs are collected once for each distinct content; a region that occurs twice goes
-   whole. The others are dealt by anchor into shards of bounded size. An anchor with more content than a shard
+   whole, and needs no further step if its anchor has no other content. The others are dealt by anchor into shards of bounded size. An anchor with more content than a shard
    holds is dealt into several.
 3. Each shard builds the suffix array of its regions (Larsson-Sadakane refinement: sort by eight bytes, then
-   refine only unsorted groups, doubling the length by the ranks) and the common prefixes of neighbours
+   refine only unsorted groups, tripling the length by the ranks) and the common prefixes of neighbours
    (Kasai, all regions side by side). Neighbours with LENGTH bytes in common are duplicates.
 4. The shards of one anchor are merged: each gives its distinct windows in sorted order, cut into ranges, and
    the lists of a range are looked up in each other by binary search.
@@ -34,6 +34,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tierworks.llm.batches import pieces
+from tierworks.llm.words import MIX, POWERS
 from tierworks.session import new_work_path
 
 LENGTH = 200
@@ -42,52 +43,63 @@ WINDOW = LENGTH - GRAM + 1
 SHARD_BYTES = 1 << 20  # of region content in one suffix array
 FEW = 10_000  # occurrences of one anchor that a task may always hold
 HOT_ANCHORS = 10_000  # an anchor is dealt by document if it has more than one in so many of all occurrences
-MIX1, MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+BLOCK = 1 << 15  # windows whose anchors are looked for at once
+PLACE = np.uint64((1 << 16) - 1)  # bits that hold a place within a block
+RANK_BITS = 21  # three ranks make one number in shards of up to so many bits
 
 # ---------------------------------------------------------------- anchors
 
 
 def gram_hashes(raw: np.ndarray) -> np.ndarray:
-    """A hash of the GRAM bytes from each position, by doubling."""
-    h, size = (raw.astype(np.uint64) + np.uint64(1)) * MIX1, 1
-    while size < GRAM:
-        h = (h[: len(h) - size] ^ (h[: len(h) - size] >> np.uint64(29))) * MIX2 + (h[size:] ^ (h[size:] >> np.uint64(32))) * MIX1
-        size *= 2
+    """A hash of the GRAM bytes from each position, by prefix sums."""
+    up, down = POWERS.get(len(raw))
+    sums = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum((raw + np.uint64(1)) * up[: len(raw)], out=sums[1:])
+    h = (sums[GRAM:] - sums[:-GRAM]) * down[: len(raw) + 1 - GRAM]
     h ^= h >> np.uint64(31)
-    h *= MIX2
+    h *= MIX
     return h ^ (h >> np.uint64(33))
 
 
+def anchor_runs(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first start, anchor hash) of each run of windows with one anchor; in blocks that stay in the processor's cache."""
+    count, last = len(raw) - LENGTH + 1, -1
+    starts, anchors = [], []
+    places = np.arange(BLOCK + WINDOW - 1, dtype=np.uint64)
+    for a in range(0, count, BLOCK):
+        h = gram_hashes(raw[a : a + BLOCK + LENGTH - 1])
+        # the hash's upper bits, then the position: the least is the leftmost smallest
+        low = (h & ~PLACE) | places[: len(h)]
+        size = 1
+        while 2 * size <= WINDOW:
+            low = np.minimum(low[: len(low) - size], low[size:])
+            size *= 2
+        windows = len(h) - WINDOW + 1
+        low = np.minimum(low[:windows], low[WINDOW - size : WINDOW - size + windows])
+        heads = np.flatnonzero(low[1:] != low[:-1]) + 1
+        place = (low & PLACE).astype(np.int64)
+        if a + place[0] != last:
+            heads = np.append(0, heads)
+        starts.append(a + heads)
+        anchors.append(h[place[heads]])
+        last = a + int(place[-1])
+    return np.concatenate(starts), np.concatenate(anchors)
+
+
 def regions(raw: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(anchor hash, first window start, end of the last window) of all regions of texts lying side by side."""
-    n = len(raw)
-    if n < LENGTH:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    h = gram_hashes(raw)
-    # the hash's upper bits, then the position: the least is the leftmost smallest
-    bits = np.uint64(max(20, int(n).bit_length()))
-    low = ((h >> bits) << bits) | np.arange(len(h), dtype=np.uint64)
-    size = 1
-    while 2 * size <= WINDOW:
-        low = np.minimum(low[: len(low) - size], low[size:])
-        size *= 2
-    count = len(h) - WINDOW + 1
-    low = np.minimum(low[:count], low[WINDOW - size : WINDOW - size + count])
-    place = (low & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
-    # windows that lie within one text
-    whole = np.zeros(n + 1, np.int8)
     long = ends - begins >= LENGTH
-    np.add.at(whole, begins[long], 1)
-    np.add.at(whole, ends[long] - LENGTH + 1, -1)
-    valid = np.cumsum(whole)[:count] > 0
-    change = np.append(True, place[1:] != place[:-1])
-    change[begins[long][begins[long] < count]] = True
-    change[1:] |= valid[1:] != valid[:-1]
-    starts = np.flatnonzero(change)
-    stops = np.append(starts[1:], count)
-    inside = valid[starts]
+    first, behind = begins[long], ends[long] - LENGTH + 1  # window starts of each text that has any
+    if not len(first):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    heads, anchors = anchor_runs(raw)
+    # runs are cut where the windows of a text begin and end; only windows that lie within one text count
+    starts = np.unique(np.concatenate([heads, first, behind]))
+    stops = np.append(starts[1:], starts[-1])
+    owner = np.searchsorted(first, starts, side="right") - 1
+    inside = (owner >= 0) & (starts < behind[owner])
     starts, stops = starts[inside], stops[inside]
-    return h[place[starts]], starts, stops + LENGTH - 1
+    return anchors[np.searchsorted(heads, starts, side="right") - 1], starts, stops + LENGTH - 1
 
 
 def side_by_side(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -198,56 +210,59 @@ def merged_by_owner(owner: np.ndarray, starts: np.ndarray, ends: np.ndarray) ->
 
 def words_of(text: np.ndarray) -> np.ndarray:
     """The eight bytes from each position as one number, the first byte highest."""
-    padded = np.concatenate([text, np.zeros(8, np.uint8)]).astype(np.uint64)
-    out = np.zeros(len(text), np.uint64)
-    for i in range(8):
-        out = (out << np.uint64(8)) | padded[i : i + len(text)]
-    return out
+    out = np.concatenate([text, np.zeros(8, np.uint8)]).astype(np.uint64)
+    for size in (1, 2, 4):
+        out = (out[:-size] << np.uint64(8 * size)) | out[size:]
+    return out[: len(text)]
 
 
-def suffix_array(text: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def suffix_array(first: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Positions sorted by the LENGTH bytes from them, by Larsson-Sadakane refinement.
 
-    ``text``: regions, each closed by a zero; ``left``: bytes left in the region from each position. A suffix
-    that ends within the sorted length needs no refinement, as no window starts there.
+    ``first``: the eight bytes from each position, in regions each closed by a zero; ``left``: bytes left in the
+    region from each position. A suffix that ends within the sorted length needs no refinement, as no window starts
+    there. Where three ranks fit into one number, a round triples the sorted length, otherwise it doubles it.
     """
-    n = len(text)
-    first = words_of(text)
-    suffixes = np.argsort(first, kind="stable")
-    head = np.append(True, first[suffixes[1:]] != first[suffixes[:-1]])
-    group = np.maximum.accumulate(np.where(head, np.arange(n), 0))
+    n = len(first)
+    times, bits = (3, RANK_BITS) if n <= 1 << RANK_BITS else (2, 31)
+    suffixes = np.argsort(first)
+    ordered = first[suffixes]
+    head = np.append(True, ordered[1:] != ordered[:-1])
     rank = np.empty(n, np.int64)
-    rank[suffixes] = group
+    rank[suffixes] = np.maximum.accumulate(np.where(head, np.arange(n), 0))
     alone = head & np.append(head[1:], True)
     slots = np.flatnonzero(~alone)
     done = 8
     while done < LENGTH and len(slots):
+        # a group whose bytes end within the sorted length ends as a whole
         slots = slots[left[suffixes[slots]] >= done]
         if not len(slots):
             break
-        at = suffixes[slots]
-        key = (rank[at] << 32) | rank[np.minimum(at + done, n - 1)]
-        order = np.argsort(key, kind="stable")
+        at = np.sort(suffixes[slots])
+        key = rank[at]
+        for k in range(1, times):
+            key = (key << bits) | rank[np.minimum(at + k * done, n - 1)]
+        order = np.argsort(key)
         at, key = at[order], key[order]
         head = np.append(True, key[1:] != key[:-1])
         suffixes[slots] = at
         rank[at] = slots[np.maximum.accumulate(np.where(head, np.arange(len(slots)), 0))]
         slots = slots[~(head & np.append(head[1:], True))]
-        done *= 2
+        done *= times
     return suffixes, rank
 
 
-def common_prefixes(text: np.ndarray, suffixes: np.ndarray, rank: np.ndarray, starts: np.ndarray, windows: np.ndarray) -> np.ndarray:
+def common_prefixes(first: np.ndarray, suffixes: np.ndarray, rank: np.ndarray, starts: np.ndarray, windows: np.ndarray) -> np.ndarray:
     """Kasai's common prefixes, up to LENGTH, of the suffix of each window start with its neighbour before.
 
     All regions go side by side: at step t their t-th windows, each beginning with one byte less than the
     last one had in common, if the last one's neighbour without its first byte still sorts before it. Suffixes
     of one group are equal as far as they are sorted. Positions that start no window have 0.
     """
-    n = len(text)
+    n = len(first)
     before, follows = np.empty(n, np.int64), np.append(rank, n)
     before[suffixes[1:]], before[suffixes[0]] = suffixes[:-1], -1
-    words = np.concatenate([words_of(text), np.zeros(LENGTH + 8, np.uint64)])
+    words = np.concatenate([first, np.zeros(LENGTH + 8, np.uint64)])
     common = np.zeros(n, np.int32)
     order = np.argsort(-windows, kind="stable")
     starts, windows = starts[order], windows[order]
@@ -265,9 +280,7 @@ def common_prefixes(text: np.ndarray, suffixes: np.ndarray, rank: np.ndarray, st
         open_lanes = np.flatnonzero((other >= 0) & (h < LENGTH))
         while len(open_lanes):
             differ = words[at[open_lanes] + h[open_lanes]] ^ words[other[open_lanes] + h[open_lanes]]
-            equal = np.full(len(open_lanes), 8, np.int64)
-            for k in range(8):
-                equal -= differ >= np.uint64(1) << np.uint64(8 * k)
+            equal = 8 - np.searchsorted(BYTE_PLACES, differ, side="right")
             h[open_lanes] += equal
             open_lanes = open_lanes[(equal == 8) & (h[open_lanes] < LENGTH)]
         have[:lanes] = np.minimum(h, LENGTH)
@@ -275,6 +288,9 @@ def common_prefixes(text: np.ndarray, suffixes: np.ndarray, rank: np.ndarray, st
     return common
 
 
+BYTE_PLACES = np.uint64(1) << np.uint64(8) * np.arange(8, dtype=np.uint64)
+
+
 class Shard:
     """The suffix array of a shard's regions and the windows that occur in it more than once."""
 
@@ -288,8 +304,9 @@ class Shard:
         region = np.repeat(np.arange(len(contents)), lengths + 1)
         left = (self.starts + lengths)[region] - position
         windows = np.maximum(lengths - LENGTH + 1, 0)
-        suffixes, rank = suffix_array(text, left)
-        common = common_prefixes(text, suffixes, rank, self.starts, windows)
+        first = words_of(text)
+        suffixes, rank = suffix_array(first, left)
+        common = common_prefixes(first, suffixes, rank, self.starts, windows)
         valid = left >= LENGTH
         joins = common[suffixes] >= LENGTH  # with the neighbour before
         twice = np.zeros(len(text), bool)
@@ -438,17 +455,25 @@ def region_rows(stored: DataFrame, shared_only: bool = False) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc_id, tie, packed, kept in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "tie", "packed", "regions")), strict=True):
-                kept = [r for r in kept if r["kept"] and (r["shard"] >= 0 or not shared_only)]
-                if kept:
-                    raw = unpacked(packed)
-                    columns = [
-                        [r["anchor"] for r in kept], [r["shard"] for r in kept], [r["parts"] for r in kept], [doc_id] * len(kept), [tie] * len(kept),
-                        [r["start"] for r in kept], [min(r["n"], 2) for r in kept], [raw[r["start"] : r["end"]] for r in kept],
-                    ]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
-
-    found = stored.select("doc_id", "tie", "packed", "regions")
+            lists = batch.column("kept")
+            found, ends = lists.flatten(), np.cumsum(lists.value_lengths().to_numpy())
+            anchor, shard, parts, start, end, n = (found.field(c) for c in ("anchor", "shard", "parts", "start", "end", "n"))
+            spans = list(zip(start.to_pylist(), end.to_pylist(), strict=True))
+            owner = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy())
+            at, contents, size = 0, [], 0
+            for row, (packed, to) in enumerate(zip(batch.column("packed"), ends.tolist(), strict=True)):
+                raw = unpacked(packed.as_py())
+                own = [raw[x:y] for x, y in spans[at + len(contents) : to]]
+                contents += own
+                size += sum(map(len, own))
+                if size >= SHARD_BYTES or row == batch.num_rows - 1:
+                    here = pa.array(owner[at:to])
+                    columns = [*(c[at:to] for c in (anchor, shard, parts)), batch.column("doc_id").take(here), batch.column("tie").take(here), start[at:to], n[at:to]]
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array(contents, pa.binary())], schema=schema)
+                    at, contents, size = to, [], 0
+
+    kept = F.filter("regions", lambda r: r["kept"] & (r["shard"] >= 0) if shared_only else r["kept"])
+    found = stored.select("doc_id", "tie", "packed", kept.alias("kept")).where(F.size("kept") > 0)
     return found.mapInArrow(run, "anchor long, salt long, parts int, doc_id long, tie long, start int, n int, bytes binary")
 
 
@@ -465,9 +490,13 @@ def results(texts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns = [[] for _ in schema]
+            nothing = np.zeros(0, np.int64)
             for doc_id, no_id, packed, spans in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "no_id", "packed", "spans")), strict=True):
                 raw = unpacked(packed)
-                a, b = merged(np.array([s["a"] for s in spans or ()], np.int64), np.array([s["b"] for s in spans or ()], np.int64))
+                if not spans:
+                    a = b = nothing
+                else:
+                    a, b = merged(np.array([s["a"] for s in spans], np.int64), np.array([s["b"] for s in spans], np.int64))
                 cuts = np.concatenate([[0], np.stack([a, b], axis=1).ravel(), [len(raw)]]).tolist()
                 kept = hashlib.sha256(b"".join(raw[x:y] for x, y in zip(cuts[0::2], cuts[1::2], strict=True))).hexdigest()
                 for column, value in zip(columns, (None if no_id else doc_id, len(raw), int((b - a).sum()), len(a), kept, a.tolist(), b.tolist()), strict=True):
@@ -493,7 +522,9 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # regions whose anchor recurs; one of each content is kept for the suffix arrays
     dealt = occurrences(rows, hot).repartition("anchor", "salt")
     by_anchor, by_content = Window.partitionBy("anchor", "salt"), Window.partitionBy("anchor", "salt", "content")
-    kept = (F.col("n") > 0) & (F.col("place") == 1)
+    # an anchor's only content goes whole and has no window in common with any other
+    several_contents = (F.col("salts") > 1) | (F.col("in_content") < F.col("in_anchor"))
+    kept = (F.col("n") > 0) & (F.col("place") == 1) & several_contents
     shards_here = F.greatest(F.lit(1), F.ceil(F.col("size") / SHARD_BYTES)).cast("int")
     shared = (F.col("salts") > 1) | (F.col("shards_here") > 1)
     own_shard = F.pmod(F.xxhash64("doc_id", "tie", "start"), F.col("shards_here").cast("long"))
