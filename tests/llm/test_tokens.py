@@ -56,6 +56,20 @@ def test_a_piece_with_more_words_than_the_table(library):
     assert encoder.encode(texts)[0].tolist() == [i for t in texts for i in ids_of(library, t)]
 
 
+def test_tables_of_words_grow_in_place(library):
+    """Adding words costs what is added: most additions move no array, and what was learned stays."""
+    encoder = bpe.Encoder(bpe.vocabulary(BYTE_BPE).encode_words, bpe.vocabulary(BYTE_BPE).special)
+    rooms, used = set(), 0
+    for a in range(60):
+        texts = [" ".join(f"w{a}x{b}" for b in range(50)), "<|endoftext|> \ud7ff\U0010ffff it's"]
+        assert encoder.encode(texts)[0].tolist() == [i for t in texts for i in ids_of(library, t)]
+        used += len(bpe.pretokens(texts)[1])
+        rooms |= {len(x.room) for x in (encoder.words.chars, encoder.words.hash)}
+    assert len(rooms) < 30 and len(encoder.words) == encoder.counts.size == encoder.uses.size
+    assert encoder.uses.all.sum() == used
+    assert bpe.strings(np.frombuffer("aé漢\U0001f600b".encode("utf-32-le"), np.uint32), np.array([3, 0, 4]), np.array([1, 2, 1])) == ["\U0001f600", "aé", "b"]
+
+
 def test_every_character_falls_into_the_same_word(library):
     texts = [f"a{chr(c)}a {chr(c)}1{chr(c)}{chr(c)}!" for c in range(0, 0x30000, 7) if not 0xD800 <= c < 0xE000]
     ids, _ = bpe.encoder(BYTE_BPE).encode(texts)

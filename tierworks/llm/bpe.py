@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 
 from tierworks.llm.batches import id_text, map_texts
 from tierworks.llm.pretokens import SPECIAL, SPECIAL_POINT, pretokens
-from tierworks.llm.words import Words, hashes
+from tierworks.llm.words import Growing, Words, hashes
 
 NO_RANK = np.int32(2**31 - 1)
 # Distinct words whose ids a task keeps between pieces; beyond it keeps the half used most. Only time depends on it.
@@ -139,6 +139,14 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
+def strings(codes: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> list[str]:
+    """Runs of code points as strings, decoded at once."""
+    ends = np.cumsum(lengths)
+    begins = ends - lengths
+    text = codes[np.repeat(starts - begins, lengths) + np.arange(lengths.sum())].tobytes().decode("utf-32-le", "surrogatepass")
+    return [text[a:b] for a, b in zip(begins.tolist(), ends.tolist(), strict=True)]
+
+
 class Encoder:
     """Ids of texts; the ids of distinct words are kept between calls.
 
@@ -151,33 +159,31 @@ class Encoder:
 
     def forget(self) -> None:
         self.words = Words(max(10, int(self.remembered).bit_length() + 2))
-        self.ids = np.zeros(0, np.int32)
-        self.offsets = self.counts = np.zeros(0, np.int32)
-        self.uses = np.zeros(0, np.int64)
+        self.ids, self.offsets, self.counts = (Growing(np.zeros(0, np.int32)) for _ in range(3))
+        self.uses = Growing(np.zeros(0, np.int64))
 
     def keep_used(self) -> None:
         """Forget the words used least."""
-        kept = np.sort(np.argsort(-self.uses, kind="stable")[: self.remembered // 2])
-        counts = self.counts[kept]
+        kept = np.sort(np.argsort(-self.uses.all, kind="stable")[: self.remembered // 2])
+        counts = self.counts.all[kept]
         ends = np.cumsum(counts)
         self.words = self.words.kept(kept)
-        self.ids = self.ids[np.repeat(self.offsets[kept] - (ends - counts), counts) + np.arange(ends[-1])]
-        self.offsets, self.counts, self.uses = (ends - counts).astype(np.int32), counts, self.uses[kept] // 2
+        self.ids = Growing(self.ids.all[np.repeat(self.offsets.all[kept] - (ends - counts), counts) + np.arange(ends[-1])])
+        self.offsets, self.counts, self.uses = Growing((ends - counts).astype(np.int32)), Growing(counts), Growing(self.uses.all[kept] // 2)
 
     def learn(self, h: np.ndarray, codes: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> None:
         """Encode new words and remember them."""
-        spans = zip(starts.tolist(), (starts + lengths).tolist(), strict=True)
-        words = [SPECIAL if codes[a] == SPECIAL_POINT else codes[a:b].tobytes().decode("utf-32-le", "surrogatepass") for a, b in spans]
-        plain = [w for w in words if w != SPECIAL]
-        ids, counts = self.encode_words(plain)
-        if len(plain) < len(words):
-            at = words.index(SPECIAL)
+        special = codes[starts] == SPECIAL_POINT
+        ids, counts = self.encode_words(strings(codes, starts[~special], lengths[~special]))
+        if special.any():
+            at = int(np.argmax(special))
             before = int(counts[:at].sum())
             ids, counts = np.insert(ids, before, self.special), np.insert(counts, at, 1)
         self.words.add(h, codes, starts, lengths)
-        self.offsets = np.concatenate([self.offsets, (len(self.ids) + np.cumsum(counts) - counts).astype(np.int32)])
-        self.ids = np.concatenate([self.ids, ids.astype(np.int32)])
-        self.counts = np.concatenate([self.counts, counts.astype(np.int32)])
+        self.offsets.add(self.ids.size + np.cumsum(counts) - counts)
+        self.ids.add(ids)
+        self.counts.add(counts)
+        self.uses.add(np.zeros(len(counts), np.int64))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and the number of ids of each text."""
@@ -197,15 +203,13 @@ class Encoder:
             word[new] = self.words.find(h[new])
         if not self.words.same(word, codes, starts):  # two words with one hash
             return self.encode_apart(codes, starts, lengths, per_text)
-        uses = np.bincount(word, minlength=len(self.counts))
-        uses[: len(self.uses)] += self.uses
-        self.uses = uses
-        counts = self.counts[word]
+        np.add.at(self.uses.all, word, 1)
+        counts = self.counts.all[word]
         ends = np.cumsum(counts, dtype=np.int32)  # a piece holds fewer than 2**31 ids
-        place = np.repeat(self.offsets[word] - (ends - counts), counts)
+        place = np.repeat(self.offsets.all[word] - (ends - counts), counts)
         place += np.arange(len(place), dtype=np.int32)
         bounds = np.append(np.int32(0), ends)[np.append(0, np.cumsum(per_text))]
-        return self.ids[place], np.diff(bounds)
+        return self.ids.all[place], np.diff(bounds)
 
     def encode_halves(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         self.forget()
@@ -217,11 +221,9 @@ class Encoder:
 
     def encode_apart(self, codes: np.ndarray, starts: np.ndarray, lengths: np.ndarray, per_text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Without the table: every word on its own."""
-        spans = zip(starts.tolist(), (starts + lengths).tolist(), strict=True)
-        words = [SPECIAL if codes[a] == SPECIAL_POINT else codes[a:b].tobytes().decode("utf-32-le", "surrogatepass") for a, b in spans]
-        special = np.array([w == SPECIAL for w in words], bool)
-        ids, own = self.encode_words([w for w in words if w != SPECIAL])
-        counts = np.ones(len(words), np.int64)
+        special = codes[starts] == SPECIAL_POINT
+        ids, own = self.encode_words(strings(codes, starts[~special], lengths[~special]))
+        counts = np.ones(len(starts), np.int64)
         counts[~special] = own
         out = np.full(int(counts.sum()), self.special, np.int32)
         out[~np.repeat(special, counts)] = ids

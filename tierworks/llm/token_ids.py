@@ -21,6 +21,7 @@ import functools
 import os
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +29,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tierworks.llm.batches import id_text, pieces
-from tierworks.llm.bpe import Encoder
+from tierworks.llm.batches import give_back, id_text, pieces
+from tierworks.llm.bpe import REMEMBERED, Encoder
 from tierworks.llm.pretokens import SPECIAL
 
 BLOCK_IDS = 1 << 16  # a block ends with the text that reaches so many ids
@@ -93,7 +94,7 @@ def library_encoder(path: str) -> tuple[Encoder, int]:
         blank = np.array([w.isspace() for w in words], bool)
         plain = np.flatnonzero(~blank)
         lines = ["\n".join(words[i] for i in plain[a : a + 512].tolist()) + "\n" for a in range(0, len(plain), 512)]
-        flat = np.array([i for e in library.encode_batch_fast(lines, add_special_tokens=False) for i in e.ids], np.int32)
+        flat = np.fromiter(chain.from_iterable(e.ids for e in library.encode_batch_fast(lines, add_special_tokens=False)), np.int32)
         breaks = np.flatnonzero(flat == line_break)
         counts[plain] = np.diff(np.append(-1, breaks)) - 1
         flat = flat[flat != line_break]
@@ -106,7 +107,7 @@ def library_encoder(path: str) -> tuple[Encoder, int]:
         out[from_blank], out[~from_blank] = ids, flat
         return out, counts
 
-    return Encoder(encode_words, library.token_to_id(SPECIAL)), library.get_vocab_size(with_added_tokens=True)
+    return Encoder(encode_words, library.token_to_id(SPECIAL), remembered=2 * REMEMBERED), library.get_vocab_size(with_added_tokens=True)
 
 
 TOKENIZED = "shard int, row long, doc_id long, start long, n int, ids binary"
@@ -138,6 +139,8 @@ def tokenized(df: DataFrame, path: str, end_id: int, id_col: str, text_col: str)
                 )
                 row += len(texts)
                 start += int(counts.sum())
+            batch = part = texts = ids = raw = None
+            give_back()
 
     return ordered.mapInArrow(run, TOKENIZED)
 
@@ -153,6 +156,8 @@ def frequencies(tokens: DataFrame) -> DataFrame:
     """id, n over all texts; one row for each id leaves a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        library_encoder.cache_clear()  # the worker goes on without the words of the stage before
+        give_back()
         total = np.zeros(0, np.int64)
         for batch in batches:
             seen = np.bincount(unpack(batch.column("ids").to_pylist(), batch.column("n").to_pylist()))
@@ -187,8 +192,7 @@ def blocks(tokens: DataFrame, rank_of: np.ndarray) -> DataFrame:
         size = 0
         for batch in batches:
             made = []
-            for i in range(batch.num_rows):
-                g = {name: batch.column(name)[i].as_py() for name in batch.schema.names}
+            for g in batch.select(["shard", "row", "start", "doc_id", "n", "ids"]).to_pylist():
                 if group and (size >= BLOCK_IDS or g["shard"] != group[-1]["shard"] or g["row"] != group[-1]["row"] + 1):
                     made.append(pack(group))
                     group, size = [], 0

@@ -49,6 +49,26 @@ def hashes(codes: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.nda
     return (h * MIX) | np.uint64(1)
 
 
+class Growing:
+    """An array that grows at its end; its room doubles, so adding costs what is added."""
+
+    def __init__(self, values: np.ndarray):
+        self.room, self.size = values, len(values)
+
+    def add(self, values: np.ndarray) -> None:
+        end = self.size + len(values)
+        if end > len(self.room):
+            room = np.empty(max(end, 2 * self.size), self.room.dtype)
+            room[: self.size] = self.all
+            self.room = room
+        self.room[self.size : end] = values
+        self.size = end
+
+    @property
+    def all(self) -> np.ndarray:
+        return self.room[: self.size]
+
+
 class Words:
     """Numbers words from 0 as they are added; room for 2 ** (bits - 1) of them."""
 
@@ -56,12 +76,12 @@ class Words:
         self.bits = bits
         self.keys = np.zeros(1 << bits, np.uint64)
         self.numbers = np.zeros(1 << bits, np.int32)
-        self.hash = np.zeros(0, np.uint64)
-        self.chars = np.zeros(0, np.uint32)
-        self.offsets = self.lengths = np.zeros(0, np.int32)
+        self.hash = Growing(np.zeros(0, np.uint64))
+        self.chars = Growing(np.zeros(0, np.uint32))
+        self.offsets, self.lengths = Growing(np.zeros(0, np.int32)), Growing(np.zeros(0, np.int32))
 
     def __len__(self) -> int:
-        return len(self.hash)
+        return self.hash.size
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """The number under each hash, or -1."""
@@ -88,22 +108,23 @@ class Words:
             left = left[~stored]
             slots[left] = (slots[left] + 1) & ((1 << self.bits) - 1)
         ends = np.cumsum(lengths)
-        self.hash = np.concatenate([self.hash, h])
-        self.offsets = np.concatenate([self.offsets, (len(self.chars) + ends - lengths).astype(np.int32)])
-        self.lengths = np.concatenate([self.lengths, lengths.astype(np.int32)])
-        self.chars = np.concatenate([self.chars, codes[np.repeat(starts - (ends - lengths), lengths) + np.arange(lengths.sum())]])
+        self.hash.add(h)
+        self.offsets.add(self.chars.size + ends - lengths)
+        self.lengths.add(lengths)
+        self.chars.add(codes[np.repeat(starts - (ends - lengths), lengths) + np.arange(lengths.sum())])
         return made
 
     def same(self, numbers: np.ndarray, codes: np.ndarray, starts: np.ndarray) -> bool:
         """Whether the words that tile ``codes`` are those stored under the numbers."""
         lengths = np.diff(np.append(starts, len(codes)))
-        if not np.array_equal(self.lengths[numbers], lengths):
+        if not np.array_equal(self.lengths.all[numbers], lengths):
             return False
-        place = np.repeat(self.offsets[numbers] - starts.astype(np.int32), lengths) + np.arange(len(codes), dtype=np.int32)
-        return np.array_equal(self.chars[place], codes)
+        place = np.repeat(self.offsets.all[numbers] - starts.astype(np.int32), lengths)
+        place += np.arange(len(codes), dtype=np.int32)
+        return np.array_equal(self.chars.all[place], codes)
 
     def kept(self, numbers: np.ndarray) -> Words:
         """A table of only these words, numbered in this order."""
         out = Words(self.bits)
-        out.add(self.hash[numbers], self.chars, self.offsets[numbers].astype(np.int64), self.lengths[numbers].astype(np.int64))
+        out.add(self.hash.all[numbers], self.chars.all, self.offsets.all[numbers].astype(np.int64), self.lengths.all[numbers].astype(np.int64))
         return out
