@@ -332,3 +332,22 @@ def test_top_k_prunes_clustered_vectors(spark):
     left = {r["segments"]: r["pairs"] for r in topk.pruning(df, asked, k=5, rows=128).collect()}
     assert left[0] == 24 * 1200 and list(sorted(left)) == [0, 4, 8, 16, 32]
     assert left[4] >= left[8] >= left[16] >= left[32] and left[16] < 0.15 * left[0]
+
+
+@pytest.mark.parametrize("scale", [1, 2**9, 2**21])
+def test_top_k_in_many_tiles_sends_no_vectors_through_the_driver(spark, monkeypatch, scale):
+    """Single, double and whole numbers of any size; ties, k beyond what a block gives, other lengths, every block in tiles of its own."""
+    monkeypatch.setattr(topk, "PAIRS", 1)
+    monkeypatch.setattr(topk, "GROUP", 1)
+    rng = np.random.default_rng(5)
+    vectors = [[int(x) * scale for x in rng.integers(-9, 10, 16 if i % 3 else 4)] for i in range(300)]
+    vectors[40:90] = [vectors[40]] * 50  # ties
+    df = spark.createDataFrame([(i, [x / 256 for x in v]) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    asked = [i for i in range(300) if i % 7 == 0]
+    for k in (3, 20):
+        got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk.top_k(df, F.col("id") % 7 == 0, k=k, rows=16).collect())
+        assert got == best_products(list(range(300)), vectors, asked, k)
+    work = topk.blocks(df, F.col("id") % 7 == 0, 3, 256, "vec_id", "embedding", 16)
+    assert {r["offered"] for r in work.select("offered").collect()} == {False, True}
+    joins = [line for line in work._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in line]
+    assert joins and all("[id#" in line for line in joins)  # with the bars; vectors meet without a join
