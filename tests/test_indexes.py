@@ -185,6 +185,17 @@ def test_skewed_join_rows_and_balance(spark, no_broadcast):
     assert len(sizes) == 8 and max(sizes) <= 2 * sorted(sizes)[4]
 
 
+def test_skewed_join_uses_every_task_though_its_input_is_small(spark):
+    """A small input with many pairs: neither one task makes them all, nor is a side broadcast, and every pair is made by one join."""
+    left = spark.range(3000).select((F.col("id") % 1).alias("k"), (F.col("id") % 2900).alias("x"))
+    right = spark.range(500).select((F.col("id") % 1).alias("k"), (F.col("id") % 400).alias("y"))
+    met = skewed_join(left, right, "k", cell_rows=10_000)
+    assert rows(met.groupBy("k").agg(F.count(F.lit(1)), F.sum("x"), F.sum("y"))) == rows(left.join(right, "k").groupBy("k").agg(F.count(F.lit(1)), F.sum("x"), F.sum("y")))
+    sizes = [r["n"] for r in met.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert len(sizes) == 8 and max(sizes) < 2 * 3000 * 500 / 8
+    assert met._jdf.queryExecution().optimizedPlan().toString().count("Join Inner") == 1
+
+
 def test_fingerprints_tell_tables_apart(spark):
     schema = "a string, b string, c double, m map<string,int>"
     base = [("x", None, 1.0, {"k": 1}), (None, "x", 2.0, None), ("x", None, 1.0, {"k": 1}), ("", "", None, {})]
